@@ -37,3 +37,16 @@ def op6(spark, sf_dir):
     from veilframe.llm.exact_dedup import exact_dedup
 
     return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    from veilframe.llm.license_scan import oracle
+
+    return oracle()
+
+
+@register("op1_license_scan", _license_sql())
+def op1(spark, sf_dir):
+    from veilframe.llm.license_scan import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
