@@ -50,3 +50,17 @@ def op1(spark, sf_dir):
     from veilframe.llm.license_scan import license_scan
 
     return license_scan(table(spark, sf_dir, "documents"))
+
+
+@register("op9_toxicity")
+def op9(spark, sf_dir):
+    from veilframe.llm.toxicity import toxicity_query
+
+    return toxicity_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op3_quality")
+def op3(spark, sf_dir):
+    from veilframe.llm.quality import quality_query
+
+    return quality_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
