@@ -64,3 +64,10 @@ def op3(spark, sf_dir):
     from veilframe.llm.quality import quality_query
 
     return quality_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op2_language_id")
+def op2(spark, sf_dir):
+    from veilframe.llm.langid import language_query
+
+    return language_query(table(spark, sf_dir, "documents"))
