@@ -71,3 +71,24 @@ def op2(spark, sf_dir):
     from veilframe.llm.langid import language_query
 
     return language_query(table(spark, sf_dir, "documents"))
+
+
+@register(
+    "op10_embedding_dedup",
+    """
+    WITH RECURSIVE v AS (
+      SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+      WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+          WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+    r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+    c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+    n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+    SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+    FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)
+    """,
+)
+def op10(spark, sf_dir):
+    from veilframe.llm.embedding_dedup import embedding_dedup
+
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
