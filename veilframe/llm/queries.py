@@ -92,3 +92,17 @@ def op10(spark, sf_dir):
     from veilframe.llm.embedding_dedup import embedding_dedup
 
     return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+@register("op7_bpe_chunks")
+def op7(spark, sf_dir):
+    from veilframe.llm.bpe_chunks import encode_decode
+
+    return encode_decode(table(spark, sf_dir, "documents"))
+
+
+@register("op8_token_files")
+def op8(spark, sf_dir):
+    from veilframe.llm.token_files import token_files
+
+    return token_files(table(spark, sf_dir, "documents"))
