@@ -155,42 +155,69 @@ def routing_bitmap(fps: DataFrame) -> np.ndarray:
     return out
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Group rows with equal texts; of a group the row with the largest id stays.
+def _fingerprint(text):
+    return F.shiftrightunsigned(F.xxhash64(text), 64 - FP_BITS)
 
-    Returns one row per input row: doc_id, keep_id, group_size, kept,
-    text_sha256.  A null text counts as empty.  A null id never wins over
-    another; rows that repeat the winning id are all marked kept.  Columns other
-    than the two named ones are ignored, an empty table gives an empty result.
-    """
-    spark = docs.sparkSession
-    small_batches(spark, 20000)
-    folder = work_dir(spark)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    fp = F.shiftrightunsigned(F.xxhash64(text), 64 - FP_BITS)
-    narrow = stored(docs.select(F.col(id_col).alias("doc_id"), fp.alias("fp"), F.unhex(F.sha2(text, 256)).alias("sha")), folder, "narrow")
-    bits = spark.sparkContext.broadcast(routing_bitmap(repeated_fingerprints(narrow)))
+
+def _router(docs: DataFrame, fps: DataFrame):
+    """A test of fingerprints: whether byte verification has to see their rows."""
+    bits = docs.sparkSession.sparkContext.broadcast(routing_bitmap(repeated_fingerprints(fps)))
 
     @F.pandas_udf("boolean")
     def routed(fps: pd.Series) -> pd.Series:
         slots = fps.to_numpy() & ((1 << ROUTE_BITS) - 1)
         return pd.Series((bits.value[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1)
 
-    verified = (
-        docs.select(F.col(id_col).alias("doc_id"), text.alias("body"))
-        .withColumn("fp", F.shiftrightunsigned(F.xxhash64("body"), 64 - FP_BITS))
-        .where(routed("fp"))
+    return routed
+
+
+def _verified(docs: DataFrame, routed, id_col: str, text_col: str) -> DataFrame:
+    """(sha, keep, n) of each text that stands in more than one row, compared byte by byte."""
+    return (
+        docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+        .where(routed(_fingerprint("body")))
         .groupBy("body")
         .agg(F.max("doc_id").alias("keep"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
         .select(F.unhex(F.sha2("body", 256)).alias("sha"), "keep", "n")
     )
-    verified = stored(verified, folder, "groups")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Group rows with equal texts; of a group the row with the largest id stays.
+
+    Returns one row per input row: doc_id, keep_id, group_size, kept,
+    text_sha256.  A null text counts as empty.  A null id never wins over
+    another; rows that repeat the winning id are all marked kept.  Columns other
+    than the two named ones are ignored, an empty table gives an empty result.
+    """
+    small_batches(docs.sparkSession, 20000)
+    folder = work_dir(docs.sparkSession)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    narrow = stored(docs.select(F.col(id_col).alias("doc_id"), _fingerprint(text).alias("fp"), F.unhex(F.sha2(text, 256)).alias("sha")), folder, "narrow")
+    groups = stored(_verified(docs, _router(docs, narrow), id_col, text_col), folder, "groups")
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep"))
-    return narrow.join(verified, "sha", "left").select(
+    return narrow.join(groups, "sha", "left").select(
         "doc_id",
         keep.alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         F.col("doc_id").eqNullSafe(keep).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
+
+
+def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with one row, that of the largest id, for each text.
+
+    Rows whose fingerprint occurs once stay where they are; only the others are
+    shuffled.  All columns are kept.
+    """
+    small_batches(docs.sparkSession, 20000)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    routed = _router(docs, docs.select(_fingerprint(text).alias("fp")))
+    groups = stored(_verified(docs, routed, id_col, text_col), work_dir(docs.sparkSession), "groups").toDF("_sha", "_keep", "_n")
+    marked = docs.withColumn("_fp", _fingerprint(text)).withColumn("_routed", routed("_fp"))
+    some = marked.where("_routed").withColumn("_sha", F.unhex(F.sha2(text, 256))).join(groups, "_sha", "left").where(F.col("_n").isNull() | F.col(id_col).eqNullSafe(F.col("_keep")))
+    alone = some.where("_n is null").select(*docs.columns)
+    one = some.where("_n is not null").dropDuplicates(["_sha"]).select(*docs.columns)
+    return marked.where("not _routed").select(*docs.columns).unionAll(alone).unionAll(one)

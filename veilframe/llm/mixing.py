@@ -153,3 +153,15 @@ def mix_sources(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", text_co
         .groupBy("src", "shard")
         .applyInPandas(take, "doc_id long, size long, source_size long, target double, taken long, source string")
     )
+
+
+def mixed_documents(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them: taken over size, rounded.
+
+    A document of which the mix takes less than half goes, one of which it takes
+    at least one and a half times stands twice; empty texts go, as the mix takes
+    no word of them.  All columns are kept.
+    """
+    took = mix_sources(docs, seed, id_col, **options).groupBy("doc_id").agg(F.sum("taken").alias("t"), F.sum("size").alias("s"))
+    took = took.where("s > 0").select(F.col("doc_id").alias("_id"), F.floor(F.col("t") / F.col("s") + 0.5).cast("int").alias("_times")).where("_times > 0")
+    return docs.join(took, F.col(id_col) == F.col("_id")).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)

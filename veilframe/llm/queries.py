@@ -106,3 +106,25 @@ def op8(spark, sf_dir):
     from veilframe.llm.token_files import token_files
 
     return token_files(table(spark, sf_dir, "documents"))
+
+
+@register(
+    "op4_jaccard_join",
+    r"""
+    WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                 ELSE list_distinct([array_to_string(w[i:i + 3], ' ') for i in generate_series(1, len(w) - 3)]) END AS s FROM w),
+    c AS (SELECT list_sort(s) AS s, len(s) AS n, min(doc_id) AS cid FROM s WHERE len(s) > 0 GROUP BY list_sort(s), len(s)),
+    t AS (SELECT cid, n, unnest(s) AS t FROM c),
+    l AS (SELECT a.cid AS a, b.cid AS b FROM t a JOIN t b ON a.t = b.t AND a.cid <> b.cid AND a.n * 100 >= b.n * 85 AND b.n * 100 >= a.n * 85
+          GROUP BY a.cid, b.cid, a.n, b.n HAVING count(*) * 100 >= 85 * (a.n + b.n - count(*))),
+    r(a, b) AS (SELECT cid, cid FROM c UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+    k AS (SELECT a AS cid, min(b) AS component_id FROM r GROUP BY a)
+    SELECT d.doc_id, len(d.s) AS n_shingles, coalesce(k.component_id, d.doc_id) AS component_id
+    FROM s d LEFT JOIN c ON list_sort(d.s) = c.s LEFT JOIN k USING (cid)
+    """,
+)
+def op4(spark, sf_dir):
+    from veilframe.llm.near_join import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"))

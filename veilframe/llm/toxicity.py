@@ -146,3 +146,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, allowed: Column | None = None,
 def toxicity_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
     return toxicity(docs, labels, crc_mod("doc_id", 4) != 2).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
+    small_batches(docs.sparkSession)
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    score = scorer(docs.sparkSession, fit(named, labels, allowed))
+    return docs.withColumn("_score", score(F.col(text_col))).where(F.col("_score") < threshold).select(*docs.columns)
