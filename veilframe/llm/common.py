@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: Rows that one Arrow batch may hold; texts can be long, so batches stay small.
 ARROW_ROWS = 400
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -43,9 +43,18 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: cuts lineage."""
-    path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    """Write ``df`` into the shared folder and read it back: cuts lineage.
+
+    Its shuffle files go as soon as it is written, so a chain of steps needs the
+    disk of one step at a time.
+    """
+    path, conf = f"{folder}/{name}", df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
