@@ -25,6 +25,8 @@ OTHER = """CASE no WHEN 0 THEN concat('Customer ', lpad(CAST(s + 17 AS STRING),
 VAGUE = """CASE no WHEN 0 THEN c_mktsegment WHEN 1 THEN concat(n_name, ' / ', r_name) WHEN 2 THEN CASE s % 9 WHEN 0 THEN '30s' ELSE '25-35' END
   WHEN 3 THEN concat('1', lpad(CAST(s AS STRING), 6, '0')) WHEN 4 THEN 'Other' WHEN 5 THEN 'female' WHEN 6 THEN 'wed' ELSE 'x@y.z' END"""
 BASE = """SELECT c_custkey AS s, c_nationkey AS d, c_name, n_name, r_name, c_mktsegment FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey"""
+#: The lines of an order, numbered from 0; line numbers repeat in the data.
+LINES = "SELECT l_orderkey, l_suppkey, l_discount, l_tax, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) - 1 AS li FROM {lineitem}"
 
 VIEWS = {
     "ann_a": f"""SELECT CAST(d AS BIGINT) AS data_id, s AS subject_id, {TAG} AS tag, 0 AS pos, {VALUE} AS keyword, CAST(1 + (s * 3 + no * no) % 5 AS INT) AS certainty, CAST(1 + (s + no) % 3 AS INT) AS hardness
@@ -34,8 +36,8 @@ VIEWS = {
         CASE (s * 7 + no * 3 + pos * 5) % 8 WHEN 1 THEN '' WHEN 2 THEN upper({VALUE}) WHEN 3 THEN {OTHER} WHEN 4 THEN {VAGUE} WHEN 5 THEN lower({VALUE}) WHEN 6 THEN concat({VALUE}, ' ') ELSE {VALUE} END AS keyword,
         CAST((s + no * 2 + pos) % 6 AS INT) AS certainty, CAST(1 + (s + no + pos) % 3 AS INT) AS hardness, CASE WHEN pos = 0 AND (s + no) % 11 = 5 THEN 0 WHEN pos = 1 AND (s + no) % 3 <> 0 THEN 0 ELSE 1 END AS there
       FROM (SELECT *, {{series1}} AS pos FROM (SELECT *, {{series7}} AS no FROM ({BASE}) AS base) AS t) AS u) AS v WHERE there = 1""",
-    "subj_a": "SELECT l_orderkey AS data_id, CAST(l_linenumber - 1 AS INT) AS idx, CAST(l_linenumber - 1 AS STRING) AS id, concat('line of supplier ', CAST(l_suppkey AS STRING)) AS description FROM {lineitem}",
-    "subj_b": "SELECT l_orderkey AS data_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS INT) AS idx, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS STRING) AS id, concat('sold by ', CAST(l_suppkey AS STRING)) AS description, CAST(l_linenumber - 1 AS INT) AS a_idx, l_tax FROM {lineitem} WHERE l_discount >= 0.02",
+    "subj_a": f"SELECT l_orderkey AS data_id, CAST(li AS INT) AS idx, CAST(li AS STRING) AS id, concat('line of supplier ', CAST(l_suppkey AS STRING)) AS description FROM ({LINES}) AS t",
+    "subj_b": f"SELECT l_orderkey AS data_id, CAST(bi AS INT) AS idx, CAST(bi AS STRING) AS id, concat('sold by ', CAST(l_suppkey AS STRING)) AS description, CAST(li AS INT) AS a_idx, l_tax FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY li) - 1 AS bi FROM ({LINES}) AS t WHERE l_discount >= 0.02) AS u",
 }
 
 

@@ -99,7 +99,7 @@ def ignorable(piece: Column, extra: tuple[str, ...] = CLOSED_CLASS) -> Column:
 
 
 def mention_masked(text: Column, start: Column, end: Column, masked: Column) -> Column:
-    return F.forall(uncovered(text, start, end, masked), ignorable)
+    return F.forall(uncovered(text, start, end, masked), lambda piece: ignorable(piece))
 
 
 def apply_masks(text: Column, spans: Column) -> Column:

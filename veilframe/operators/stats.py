@@ -57,7 +57,7 @@ def case_logs(evaluations: DataFrame, mode: str = "all") -> DataFrame:
         "keyword_a", F.lit("' vs '"), "keyword_b", F.lit("' | score="), F.col("agreement_score").cast("string"),
     )
     wanted = {"disagree": F.col("agreement_score") < 1, "mismatch": F.col("agreement_score") == 0}.get(mode, F.lit(True))
-    return evaluations.where(wanted).select("data_id", "subject_id", "tag", group.alias("case_group"), line.alias("log"))
+    return evaluations.where(wanted).select("data_id", "subject_id", group.alias("case_group"), line.alias("log"))
 
 
 def subject_stats(aligned: DataFrame) -> DataFrame:
