@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 ROOT = Path(__file__).resolve().parents[1]
-sys.path.insert(0, str(ROOT))
+sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 TINY = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -43,25 +43,3 @@ def duck(sf):
     for t in TABLES:
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     return c
-
-
-def canonical(rows, columns):
-    """Rows as sorted tuples of columns by name, numbers rounded."""
-    order = sorted(range(len(columns)), key=lambda i: columns[i])
-
-    def cell(v):
-        if isinstance(v, float):
-            return "NaN" if v != v else round(v, 6)
-        return round(float(v), 6) if hasattr(v, "as_tuple") else v
-
-    return sorted(columns), sorted((tuple(cell(r[i]) for i in order) for r in rows), key=repr)
-
-
-def same(spark, duck, sf, query, sql):
-    got = query(spark, sf)
-    found = canonical([tuple(r) for r in got.collect()], got.columns)
-    cur = duck.execute(sql)
-    want = canonical(cur.fetchall(), [d[0] for d in cur.description])
-    assert found[0] == want[0]
-    assert len(found[1]) == len(want[1])
-    assert found[1] == want[1]

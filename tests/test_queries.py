@@ -1,7 +1,7 @@
 """Every registered query that has SQL against DuckDB on the smallest tables."""
 
 import pytest
-from conftest import same
+from compare import same
 
 from veilframe import queries_documents  # noqa: F401
 from veilframe.queries import ORACLES, QUERIES
