@@ -38,18 +38,21 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAS
             break
         pair = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
         slot = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS)).astype(np.int32)
-        busy = np.bincount(slot, minlength=1 << BUCKETS) >= least
-        at = np.flatnonzero(busy[slot])
-        kinds, which, n = np.unique(pair[at], return_inverse=True, return_counts=True)
+        # One pair owns each slot; another that falls into it has its turn in a later round, if at all.
+        owner = np.zeros(1 << BUCKETS, np.uint64)
+        owner[slot] = pair
+        at = np.flatnonzero(owner[slot] == pair)
+        n = np.bincount(slot[at], minlength=1 << BUCKETS)
         want = np.flatnonzero(n >= least)
         if len(want) > room - used:
             want = np.sort(want[np.argsort(-n[want], kind="stable")[: room - used]])
         if not len(want):
             break
-        number = np.full(len(kinds), -1, np.int64)
+        number = np.full(1 << BUCKETS, -1, np.int32)
         number[want] = np.arange(len(want)) + base + used
-        live = number[which] >= 0
-        at, sym = at[live], number[which][live]
+        sym = number[slot[at]]
+        at, sym = at[sym >= 0], sym[sym >= 0]
+        kinds = owner[want]
         # Of overlapping places, every second one of a run of neighbours is taken.
         first = np.concatenate([[True], at[1:] != at[:-1] + 1])
         run = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
@@ -60,7 +63,7 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAS
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq = seq[stay]
-        rules.append(np.stack([kinds[want] >> np.uint64(32), kinds[want] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
+        rules.append(np.stack([kinds >> np.uint64(32), kinds & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
         used += len(want)
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
@@ -199,8 +202,9 @@ def read_token_files(spark, path: str) -> DataFrame:
                 ids = f.ids().astype("<u4")
                 ends = np.cumsum(f.counts.astype(np.int64))
                 starts = ends - f.counts
-                crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist())]
-                yield pd.DataFrame({"doc_id": pd.array(np.where(f.known > 0, f.doc_ids, 0), "Int64").copy() if f.known.all() else pd.array([int(d) if k else None for d, k in zip(f.doc_ids, f.known)], "Int64"), "start": starts + start + base, "n_tokens": f.counts.astype(np.int64), "ids_crc32": np.array(crc, np.int64)})
+                raw = memoryview(ids.tobytes())
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
+                yield pd.DataFrame({"doc_id": pd.arrays.IntegerArray(f.doc_ids.astype(np.int64), f.known == 0), "start": starts + start + base, "n_tokens": f.counts.astype(np.int64), "ids_crc32": np.array(crc, np.int64)})
 
     return placed.select("base", "start", "file").mapInPandas(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
