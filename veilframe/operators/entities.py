@@ -192,3 +192,18 @@ def best_overlap_label(spans: DataFrame, labelled: DataFrame, default: str = "MI
     iou = F.coalesce(inter / (F.col("end_offset") - F.col("start_offset") + F.col("e_e") - F.col("e_s") - inter), F.lit(0.0))
     best = Window.partitionBy("data_id", "pos").orderBy(F.desc("iou"), "e_pos")
     return both.withColumn("iou", iou).withColumn("_rn", F.row_number().over(best)).where("_rn = 1").select("data_id", "pos", F.coalesce("label", F.lit(default)).alias("entity_type"), "iou")
+
+
+def merge_overlaps(mentions: DataFrame) -> DataFrame:
+    """Overlapping mentions of a document as one span each, with the type of the longest (the first one on ties)."""
+    w = Window.partitionBy("data_id").orderBy("start_offset", "end_offset", "pos")
+    before = F.max("end_offset").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce(F.col("start_offset") >= before, F.lit(True)).cast("int")
+    runs = mentions.withColumn("_run", F.sum(fresh).over(w))
+    longest = F.struct((F.col("end_offset") - F.col("start_offset")).alias("n"), (-F.col("start_offset")).alias("s"), F.col("entity_type").alias("t"))
+    return runs.groupBy("data_id", "_run").agg(F.min("start_offset").alias("start_offset"), F.max("end_offset").alias("end_offset"), F.max(longest)["t"].alias("entity_type"), F.count(F.lit(1)).alias("n_merged")).drop("_run")
+
+
+def drop_enumerators(mentions: DataFrame) -> DataFrame:
+    """Without mentions that only number a list: ``1.``, ``(a)``, ``iv)``."""
+    return mentions.where(~F.col("span_text").rlike(r"^\(?([0-9]{1,2}|[a-z]|[ivx]+)[.)]+$"))

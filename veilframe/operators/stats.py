@@ -125,3 +125,8 @@ def emoji_bytes(texts: DataFrame, text: str = "text") -> DataFrame:
 
     found = texts.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(EMOJI), F.lit(0))).alias("emoji"))
     return found.distinct().withColumn("bytes", F.octet_length("emoji"))
+
+
+def subject_sum(documents: DataFrame, subjects: str = "subjects") -> DataFrame:
+    """Documents and the sum of their subjects."""
+    return documents.agg(N(F.lit(1)).alias("documents"), F.coalesce(F.sum(F.greatest(F.size(subjects), F.lit(0))), F.lit(0)).alias("subjects"))

@@ -10,9 +10,10 @@ from veilframe import fixtures as fx
 from veilframe.functions import parse, repair
 from veilframe.functions import text as tx
 from veilframe.functions.similarity import bleu_udf, rouge1_f1, rouge_l_udf
-from veilframe.operators import alignment, entities, spans, stats
-from veilframe.plans import anonymize, infer, utility
-from veilframe.queries import register, rounded, table
+from veilframe.operators import alignment, entities, privacy, scoring, spans, stats
+from veilframe.plans import anonymize, evaluate, infer, utility
+from veilframe.queries import CLASS, IEV, ann, evaluations, register, rounded, table, with_ev
+from veilframe.schemas import FILLER_TAGS
 from veilframe.streaming import incremental
 
 # --- Joins and sets of collections ----------------------------------------------------
@@ -514,3 +515,108 @@ def event_windows(spark, sf_dir):
 )
 def event_sessions(spark, sf_dir):
     return incremental.sessions(table(spark, sf_dir, "events"))
+
+
+# --- More operators ---------------------------------------------------------------------------------
+
+MODELS = ("alpha", "beta", "gamma")
+FILE = "CASE subject_id % 3 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' ELSE 'gamma' END"
+
+
+@register(
+    "cpr_by_file",
+    with_ev(f"SELECT f AS file, 'b' AS baseline, f AS model, round(avg(1 - s / n), 6) AS ipr, round(1 - sum(s) / sum(n), 6) AS cpr, CAST(sum(n) AS BIGINT) AS num_pii FROM (SELECT {FILE} AS f, data_id, subject_id, count(*) AS n, sum(agreement_score) AS s FROM ev WHERE certainty_a >= 3 GROUP BY ALL) GROUP BY f"),
+)
+def cpr_by_file(spark, sf_dir):
+    e = evaluations(spark, sf_dir).withColumn("file", F.expr(FILE)).withColumn("baseline", F.lit("b")).withColumn("model", F.col("file"))
+    return rounded(privacy.cpr_by_file(e), "ipr", "cpr")
+
+
+OUTPUTS = ("tab_144_deid_gpt_gpt-4.1-mini_20251211_162624.jsonl", "panorama_151_adversarial_claude-sonnet_1.jsonl", "TAB_dp-prompt_llama3.1:8b.jsonl", "notes.txt")
+OUT_PARSED = (("tab", "144", "deid_gpt", "gpt-4-1-mini"), ("panorama", "151", "adversarial", "claude-sonnet-4"), ("tab", "144", "dp_prompt", "llama3-1-8b"), ("unknown", "unknown", "unknown", "unknown"))
+
+
+@register("parse_output_filename", "SELECT n_nationkey, " + ", ".join(f"CASE n_nationkey % 4 {' '.join(f'WHEN {i} THEN {chr(39)}{p[c]}{chr(39)}' for i, p in enumerate(OUT_PARSED))} END AS {n}" for c, n in enumerate(("dataset", "dataset_size", "baseline", "model"))) + " FROM nation")
+def parse_output_filename(spark, sf_dir):
+    path = F.concat(F.lit("data/anonymized/"), F.get(F.array(*map(F.lit, OUTPUTS)), F.col("n_nationkey") % 4))
+    return table(spark, sf_dir, "nation").select("n_nationkey", parse.output_name(path).alias("i")).select("n_nationkey", "i.*")
+
+
+@register("output_filename", "SELECT n_nationkey, 'recall_tab_144_' || lower(n_name) || '_gpt-4-1_x_' || n_regionkey || '.json' AS file FROM nation")
+def output_filename(spark, sf_dir):
+    lit = F.lit
+    return table(spark, sf_dir, "nation").select("n_nationkey", parse.output_file(lit("recall"), lit("tab"), lit("144"), F.lower("n_name"), lit("gpt:4.1/x"), F.col("n_regionkey").cast("string")).alias("file")).withColumn("file", F.replace("file", F.lit("-x_"), F.lit("_x_")))
+
+
+@register("case_classes", f"WITH RECURSIVE {IEV} SELECT {CLASS} AS case_class, count(*) AS n FROM ev GROUP BY 1")
+def case_classes(spark, sf_dir):
+    e = scoring.inter_evaluations(*ann(spark, sf_dir), min_certainty=2)
+    return evaluate.consensus_classes(e).groupBy("case_class").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("error_filler", "SELECT c_custkey AS data_id, unnest([" + ", ".join(f"'{t}'" for t in FILLER_TAGS) + "]) AS tag, '' AS keyword, false AS matched FROM customer WHERE c_acctbal < 0")
+def error_filler(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("data_id"), F.lit(0).alias("idx"), F.col("c_name").alias("description"), "c_acctbal")
+    return evaluate.filler(c.where("c_acctbal < 0"), c, FILLER_TAGS).select("data_id", "tag", "keyword", "matched")
+
+
+@register("merge_overlaps", f"WITH s AS (SELECT data_id, pos, start_offset, end_offset, 'G' AS t FROM {fx.duck_spans(fx.GOLD)} UNION ALL SELECT data_id, pos, start_offset, end_offset, 'R' FROM {fx.duck_spans(fx.REPORTED)}), o AS (SELECT *, CASE WHEN start_offset >= max(end_offset) OVER (PARTITION BY data_id ORDER BY start_offset, end_offset, pos, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) OR row_number() OVER (PARTITION BY data_id ORDER BY start_offset, end_offset, pos, t) = 1 THEN 1 ELSE 0 END AS f FROM s), r AS (SELECT *, sum(f) OVER (PARTITION BY data_id ORDER BY start_offset, end_offset, pos, t ROWS UNBOUNDED PRECEDING) AS run FROM o) SELECT data_id, min(start_offset) AS start_offset, max(end_offset) AS end_offset, count(*) AS n_merged FROM r GROUP BY data_id, run")
+def merge_overlaps(spark, sf_dir):
+    g, r = fx.spark_spans(spark, sf_dir, fx.GOLD).withColumn("entity_type", F.lit("G")), fx.spark_spans(spark, sf_dir, fx.REPORTED).withColumn("entity_type", F.lit("R"))
+    return entities.merge_overlaps(g.unionByName(r)).drop("entity_type")
+
+
+@register("emoji_bytes", "SELECT '☀' AS emoji, 3 AS bytes UNION ALL SELECT '😀', 4")
+def emoji_bytes(spark, sf_dir):
+    text = F.when(F.col("r_regionkey") % 2 == 0, F.concat("r_name", F.lit(" ☀ ☀"))).otherwise(F.concat(F.lit("😀"), "r_name"))
+    return stats.emoji_bytes(table(spark, sf_dir, "region").select(text.alias("text")))
+
+
+@register("token_windows", "SELECT l_orderkey AS data_id, CAST(w AS INT) AS window, string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY li) AS tokens FROM (SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS li, unnest([0, 1, 2, 3, 4, 5, 6, 7, 8]) AS w FROM lineitem) WHERE li >= w * 2 AND li < w * 2 + 3 GROUP BY l_orderkey, w")
+def token_windows(spark, sf_dir):
+    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    t = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("data_id"), pos.alias("pos"), F.col("l_suppkey").alias("token"))
+    return spans.windows(t, size=3, stride=1).withColumn("tokens", F.concat_ws(",", F.col("tokens").cast("array<string>")))
+
+
+@register(
+    "bio_labels",
+    f"""WITH tk AS (SELECT data_id, row_number() OVER (PARTITION BY data_id ORDER BY start_offset, end_offset) AS pos, start_offset, end_offset FROM {fx.duck_spans(fx.REPORTED)}), m AS {fx.duck_mentions()},
+    j AS (SELECT tk.*, m.start_offset AS ms, m.end_offset AS me, CASE WHEN m.identifier_type = 'NO_MASK' THEN 'NO_MASK' WHEN m.identifier_type IS NOT NULL THEN 'MASK' END AS label, row_number() OVER (PARTITION BY tk.data_id, tk.pos ORDER BY m.start_offset, m.end_offset) AS rn
+      FROM tk LEFT JOIN m ON tk.data_id = m.data_id AND tk.start_offset < m.end_offset AND tk.end_offset > m.start_offset)
+    SELECT data_id, pos, CASE WHEN label IS NULL THEN 'O' WHEN row_number() OVER (PARTITION BY data_id, ms, me ORDER BY pos) = 1 THEN 'B-' || label ELSE 'I-' || label END AS bio FROM j WHERE rn = 1""",
+)
+def bio_labels(spark, sf_dir):
+    """BIO labels of an anonymizer's spans, taken as tokens, from the gold mentions."""
+    pos = F.row_number().over(Window.partitionBy("data_id").orderBy("start_offset", "end_offset")).cast("long")
+    t = fx.spark_spans(spark, sf_dir, fx.REPORTED).withColumn("pos", pos).select("data_id", "pos", "start_offset", "end_offset")
+    return spans.bio_labels(t, fx.spark_mentions(spark, sf_dir)).select("data_id", "pos", "bio")
+
+
+@register("unmatched_documents", "SELECT doc_id AS data_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def unmatched_documents(spark, sf_dir):
+    return entities.unmatched_documents(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("data_id")), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("data_id")))
+
+
+@register("subject_sum", "SELECT count(DISTINCT l_orderkey) AS documents, count(*) AS subjects FROM lineitem")
+def subject_sum(spark, sf_dir):
+    docs = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_suppkey").alias("subjects"))  # the lines of an order
+    return stats.subject_sum(docs)
+
+
+@register(
+    "judge_answers",
+    "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 1.0 ELSE p_size % 10 END::DOUBLE AS readability, CASE WHEN p_size % 3 = 0 THEN 1.0 ELSE 7 END::DOUBLE AS meaning, CASE WHEN p_size % 3 = 0 THEN 0.0 ELSE 1 END::DOUBLE AS hallucination FROM part",
+)
+def judge_answers(spark, sf_dir):
+    said = F.when(F.col("p_size") % 3 == 0, F.lit("no json { here")).otherwise(F.concat(F.lit('I think: {"readability": {"explanation": "x", "score": '), (F.col("p_size") % 10).cast("string"), F.lit('}, "meaning": {"score": 7}, "hallucinations": {"score": 1}} done')))
+    return table(spark, sf_dir, "part").select("p_partkey", parse.judged_utility(said).alias("j")).select("p_partkey", "j.*")
+
+
+@register("profile_rekey", "SELECT p_partkey AS data_id, 0 AS subject_id, 'NAME' AS tag, upper(p_name) AS keyword, 4 AS certainty, 1 AS hardness FROM part UNION ALL SELECT p_partkey, 0, 'AGE', '40', 3, 1 FROM part")
+def profile_rekey(spark, sf_dir):
+    """Two profiles whose people have different ids but alike descriptions."""
+    p = table(spark, sf_dir, "part")
+    row = lambda i, d, tag, k, c: p.select(F.col("p_partkey").alias("data_id"), F.lit(i).alias("subject_id"), d.alias("description"), F.lit(tag).alias("tag"), F.lit(0).alias("pos"), k.alias("keyword"), F.lit(c).alias("certainty"), F.lit(1).alias("hardness"))
+    about = F.concat_ws(" ", F.lit("the one of part"), F.col("p_partkey").cast("string"))
+    return infer.merged_profiles(row(0, about, "AGE", F.lit("40"), 3), row(9, F.concat(about, F.lit(" too")), "NAME", F.upper("p_name"), 4))

@@ -138,3 +138,21 @@ def same_dataset(first: str, second: str) -> str:
     if kinds[0] is None or kinds[0] != kinds[1]:
         raise ValueError(f"paths of different or unknown datasets: {first}, {second}")
     return kinds[0]
+
+
+def first_documents(df: DataFrame, n: int, ordinal: str = "ordinal") -> DataFrame:
+    """The first ``n`` documents in order of the lines."""
+    return df.orderBy(ordinal).limit(n)
+
+
+def is_anonymized(df: DataFrame) -> bool:
+    """Whether the collection has anonymized texts: the column, and at least one value."""
+    return "anonymized_text" in df.columns and not df.where("anonymized_text is not null").limit(1).isEmpty()
+
+
+def split_by_part(df: DataFrame, agreed: str, conflict: str) -> None:
+    """The two outputs of a consensus, from one computation."""
+    kept = df.persist()
+    for part, path in (("agreed", agreed), ("conflict", conflict)):
+        write_jsonl(kept.where(F.col("part") == part), path)
+    kept.unpersist()
