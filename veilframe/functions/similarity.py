@@ -1,7 +1,4 @@
-"""Similarities that no built-in expresses, as Arrow-batched Pandas UDFs.
-
-Callers pass distinct pairs of values and join the result back.
-"""
+"""Similarities that no built-in expresses, as Arrow-batched Pandas UDFs."""
 
 from __future__ import annotations
 
@@ -40,7 +37,13 @@ def jaro_winkler(a: str, b: str) -> float:
 
 @F.pandas_udf(T.DoubleType())
 def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else jaro_winkler(x, y) for x, y in zip(a, b)], dtype="float64")
+    known: dict = {}
+    out = []
+    for pair in zip(a, b):
+        if pair not in known:
+            known[pair] = None if None in pair else jaro_winkler(*pair)
+        out.append(known[pair])
+    return pd.Series(out, dtype="float64")
 
 
 # --- BLEU with smoothing of orders without a hit ------------------------------

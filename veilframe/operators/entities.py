@@ -128,8 +128,9 @@ def covered_tokens(system: DataFrame, mentions: DataFrame) -> DataFrame:
 def token_precision(documents: DataFrame, mentions: DataFrame, reported: DataFrame) -> DataFrame:
     """Share of masked tokens that had to be masked; null if nothing was reported."""
     system = system_tokens(documents, reported)
-    hit, n = covered_tokens(system, mentions).agg(F.count(F.lit(1)).alias("tp")), system.agg(F.count(F.lit(1)).alias("total"))
-    return hit.crossJoin(n).withColumn("token_precision", F.when(F.col("total") > 0, F.col("tp") / F.col("total")))  # one row each
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    rows = system.select(zero.alias("tp"), one.alias("total")).unionAll(covered_tokens(system, mentions).select(one, zero))
+    return rows.agg(F.coalesce(F.sum("tp"), zero).alias("tp"), F.coalesce(F.sum("total"), zero).alias("total")).withColumn("token_precision", F.when(F.col("total") > 0, F.col("tp") / F.col("total")))
 
 
 def unmatched_documents(gold: DataFrame, anonymized: DataFrame) -> DataFrame:

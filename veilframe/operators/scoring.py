@@ -19,16 +19,16 @@ SUBJECT = ["data_id", "subject_id"]
 
 
 def with_similarity(pairs: DataFrame) -> DataFrame:
-    """Adds ``similarity`` where string similarity decides.
+    """Adds ``similarity`` where string similarity decides, null elsewhere.
 
-    Only distinct pairs of values that need it reach Python; the result is
-    joined back, so repeated values cost one comparison.
+    The comparison runs in place: rows that rules decide send nulls to Python, a
+    batch compares each distinct pair once, and the join's partitioning stays as
+    the windows after it need it (joining distinct pairs back took two shuffles
+    more and ran the join twice).
     """
     a, b = F.coalesce("keyword_a", F.lit("")), F.coalesce("keyword_b", F.lit(""))
     wanted = needs_similarity(a, b, F.col("tag"))
-    keyed = pairs.withColumn("_x", F.when(wanted, plain(a))).withColumn("_y", F.when(wanted, plain(b)))
-    kinds = keyed.where("_x is not null").select("_x", "_y").distinct().withColumn("similarity", jaro_winkler_udf("_x", "_y"))
-    return keyed.join(kinds, ["_x", "_y"], "left").drop("_x", "_y")
+    return pairs.withColumn("similarity", jaro_winkler_udf(F.when(wanted, plain(a)), F.when(wanted, plain(b))))
 
 
 def rule_scores(pairs: DataFrame, max_depth: int | None = None) -> DataFrame:
