@@ -25,6 +25,8 @@ MAX_REPEAT = 2
 SHARD_WORDS, MAX_SHARDS = 1 << 18, 1 << 16
 #: The longest block, and the most blocks over all shards.
 BLOCK_WORDS, MAX_BLOCKS = 1024, 1 << 30
+#: Rows of the plan up to which it is broadcast; a longer one is joined by shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def water_fill(sizes: list[int], weights: list[float], share: float = SHARE, repeat: float = MAX_REPEAT) -> list[float]:
@@ -102,6 +104,10 @@ def draw_blocks(sizes: np.ndarray, quota: int, block: int, seed) -> np.ndarray:
     return full * sizes + upto(ends) - upto(ends - sizes)
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def mix_sources(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, repeat: int = MAX_REPEAT) -> DataFrame:
     """How many words of each document the mix takes.
 
@@ -127,7 +133,7 @@ def mix_sources(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", text_co
         [(i, n, s, float(t), k) for i, (n, s, t, k) in enumerate(zip(names, sizes, targets, n_shards))], "src int, source string, source_size long, target double, shards int"
     )
     shard = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards")).cast("int")
-    placed = sized.join(F.broadcast(plan), sized["source"].eqNullSafe(plan["source"])).select("doc_id", sized["source"], "size", "src", "source_size", "target", shard.alias("shard"))
+    placed = sized.join(_small(plan, len(names)), sized["source"].eqNullSafe(plan["source"])).select("doc_id", sized["source"], "size", "src", "source_size", "target", shard.alias("shard"))
     cells = placed.groupBy("src", "shard").agg(F.sum("size").alias("n")).collect()
     by_source: dict[int, list[tuple[int, int]]] = {}
     for r in cells:
@@ -148,7 +154,7 @@ def mix_sources(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", text_co
         return pdf[["doc_id", "size", "source_size", "target", "taken", "source"]]
 
     return (
-        placed.join(F.broadcast(quota), ["src", "shard"])
+        placed.join(_small(quota, len(quotas)), ["src", "shard"])
         .withColumn("o", F.xxhash64(F.lit(seed + 1), "doc_id"))
         .groupBy("src", "shard")
         .applyInPandas(take, "doc_id long, size long, source_size long, target double, taken long, source string")
