@@ -24,3 +24,12 @@ def test_entry(spark):
     row = entry.entry(spark).collect()[0]
     assert 0 < row["ipr"] < 1 and 0 < row["cpr"] < 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_core_stands_alone():
+    """Nothing but the entry point knows the training-data subpackage."""
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    own = [p for p in (root / "veilframe").rglob("*.py") if "llm" not in p.relative_to(root).parts]
+    assert own and not [p for p in own if "veilframe.llm" in p.read_text() or "corpus_pipeline" in p.read_text()]
