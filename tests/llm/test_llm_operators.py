@@ -354,3 +354,22 @@ def test_tiles_lose_no_link(spark, monkeypatch):
     np.fill_diagonal(link, False)
     got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.embedding_dedup(df).collect()}
     assert sum(got.values()) >= 0.99 * link.sum() and all(got[i] <= link[i].sum() for i in range(len(m)))
+
+
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """Parts that surely link are added up; copies count each; the rest is met as before."""
+    monkeypatch.setattr(embedding_dedup, "TILE_ROWS", 20)
+    rng = np.random.default_rng(9)
+    hot = rng.normal(size=24)
+    m = np.concatenate([hot + rng.normal(size=(150, 24)) * 0.04, hot + rng.normal(size=(40, 24)) * 0.25, rng.normal(size=(60, 24))])
+    m = np.concatenate([m, m[:30]])
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(m)], "vec_id long, embedding array<double>, label int")
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    link = unit @ unit.T >= 0.93
+    np.fill_diagonal(link, False)
+    root = list(range(len(m)))
+    for _ in range(len(m)):
+        root = [min([root[i], *(root[j] for j in np.flatnonzero(link[i]))]) for i in range(len(m))]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_dedup(df).collect()}
+    assert [got[i][0] for i in range(len(m))] == link.sum(1).tolist()
+    assert [got[i][1] for i in range(len(m))] == root

@@ -1,8 +1,10 @@
 """Embedding near-dedup by rotated binary codes (operator 10).
 
 Equal vectors of a label are one class.  The classes of a label lie in tiles
-around sampled pivots; pairs of tiles that the triangle inequality keeps apart
-are never met.  Within a pair of tiles the sign codes of the randomly rotated
+around sampled pivots, each tile in two parts: close to its pivot and farther
+off.  By the triangle inequality some pairs of parts hold no link and are never
+met, in others every pair is a link and only the parts' totals are added (so a
+large group of near copies isn't paired out).  Within any other pair of parts the sign codes of the randomly rotated
 vectors give an unbiased estimate of each inner product (corrected by the
 stored product of a vector and its code) with a confidence bound; only pairs
 that the bound can't rule out are recomputed in double precision.
@@ -168,17 +170,20 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
             yield pdf.assign(tile=tile, angle=angle, code=code, factor=factor)
 
     placed = stored(classes.mapInPandas(place, f"label {label_type}, embedding {dict(classes.dtypes)['embedding']}, cid {dict(classes.dtypes)['cid']}, n long, dim int, tile int, angle double, code binary, factor double"), folder, "placed")
-    pairs = _tile_pairs(spark, placed, big.select("label", "dim"), pivots, tile_rows, threshold) if pivots else None
-    if pairs is None:
-        met = placed.withColumn("pair", F.lit(-1).cast("long")).withColumn("side", F.lit(0))
+    out = f"cid {dict(classes.dtypes)['cid']}, links long, root {dict(classes.dtypes)['cid']}"
+    columns = ["label", "dim", "pair", "side", "cid", "n", "embedding", "code", "factor"]
+    if not pivots:
+        met, sure = placed.withColumn("pair", F.lit(-1).cast("long")).withColumn("side", F.lit(0)).select(*columns), None
     else:
-        whole, subs = pairs
-        sub = F.pmod(F.xxhash64("cid"), F.col("subs")).cast("int")
-        cut = placed.join(F.broadcast(subs), ["label", "dim", "tile"], "left").withColumn("sub", F.coalesce(sub, F.lit(-1)))
-        small = cut.where("sub < 0").withColumn("pair", F.lit(-1).cast("long")).withColumn("side", F.lit(0))
-        large = cut.where("sub >= 0").join(whole, ["label", "dim", "tile", "sub"])
-        met = small.select("label", "dim", "pair", "side", "cid", "n", "embedding", "code", "factor").unionAll(large.select("label", "dim", "pair", "side", "cid", "n", "embedding", "code", "factor"))
-    found = stored(met.select("label", "dim", "pair", "side", "cid", "n", "embedding", "code", "factor").groupBy("label", "dim", "pair").applyInPandas(_compare(threshold), f"cid {dict(classes.dtypes)['cid']}, links long, root {dict(classes.dtypes)['cid']}"), folder, "found")
+        reach = float(np.arccos(threshold))
+        placed = placed.withColumn("core", (F.col("angle") <= reach / 2 - 1e-6).cast("int"))
+        whole, subs, sure = _tile_pairs(spark, placed, big.select("label", "dim"), pivots, tile_rows, reach)
+        cut = placed.join(F.broadcast(subs), ["label", "dim", "tile", "core"], "left").withColumn("sub", F.coalesce(F.pmod(F.xxhash64("cid"), F.col("subs")).cast("int"), F.lit(-1)))
+        small = cut.where("sub < 0").withColumn("pair", F.lit(-1).cast("long")).withColumn("side", F.lit(0)).select(*columns)
+        met = small.unionAll(cut.where("sub >= 0").join(whole, ["label", "dim", "tile", "core", "sub"]).select(*columns))
+        sure = placed.join(F.broadcast(sure), ["label", "dim", "tile", "core"]).select("cid", (F.col("weight") - F.when(F.col("self"), F.col("n")).otherwise(0)).alias("links"), "root")
+    found = met.groupBy("label", "dim", "pair").applyInPandas(_compare(threshold), out)
+    found = stored(found if sure is None else found.unionAll(sure), folder, "found")
     comps = components(found.select("cid", "root"), folder)
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     of_class = classes.select("label", "embedding", "cid", "n").join(links, "cid", "left").join(comps.withColumnRenamed("node", "cid"), "cid", "left")
@@ -187,33 +192,43 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     return linked.unionAll(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _tile_pairs(spark, placed, big, pivots, tile_rows, threshold):
-    """Pairs of tiles that may hold a link, as rows for either side; and tiles' numbers of parts.
+def _tile_pairs(spark, placed, big, pivots, tile_rows, reach):
+    """(rows for either side of each pair of part pieces to meet, pieces of each part, totals of surely linked parts).
 
-    The tiles are at most about twice MAX_PIVOTS, so the driver may list them.
+    The parts are at most about four times MAX_PIVOTS, so the driver may list them.
     """
-    stats = placed.join(F.broadcast(big), ["label", "dim"]).groupBy("label", "dim", "tile").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("r")).collect()
-    reach = float(np.arccos(threshold)) + 1e-9
+    stats = placed.join(F.broadcast(big), ["label", "dim"]).groupBy("label", "dim", "tile", "core").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("w"), F.max("angle").alias("r"), F.min("cid").alias("lo")).collect()
     by: dict = {}
     for s in stats:
-        by.setdefault((s["label"], s["dim"]), []).append((s["tile"], -(-s["n"] // (2 * tile_rows)), s["r"]))
-    rows, parts, number = [], [], 0
-    for (label, dim), tiles in by.items():
-        tiles.sort()
-        t = np.array([x[0] for x in tiles])
-        r = np.array([x[2] for x in tiles])
+        by.setdefault((s["label"], s["dim"]), []).append(s)
+    rows, parts, sure, number = [], [], [], 0
+    for (label, dim), own in by.items():
+        own.sort(key=lambda s: (s["tile"], s["core"]))
+        t, r = np.array([s["tile"] for s in own]), np.array([s["r"] for s in own])
         apart = np.arccos(np.clip(pivots[label, dim][t] @ pivots[label, dim][t].T, -1, 1))
-        near = apart <= r[:, None] + r[None, :] + reach
-        parts += [(label, dim, int(x[0]), int(x[1])) for x in tiles]
-        for a in range(len(tiles)):
-            for b in range(a, len(tiles)):
-                if not near[a, b]:
+        apart[t[:, None] == t[None, :]] = 0
+        pieces = [-(-s["rows"] // (2 * tile_rows)) for s in own]
+        for i, s in enumerate(own):
+            key = (label, dim, s["tile"], s["core"])
+            parts.append((*key, pieces[i]))
+            near = np.flatnonzero(apart[i] <= r[i] + r + reach + 1e-9)
+            linked = apart[i] + r[i] + r <= reach - 1e-6
+            all_of = [j for j in near if linked[j]]
+            if all_of:
+                sure.append((*key, sum(own[j]["w"] for j in all_of), bool(linked[i]), min(own[j]["lo"] for j in all_of)))
+            for j in near:
+                if j < i or linked[j]:
                     continue
-                for p in range(tiles[a][1]):
-                    for q in range(p if a == b else 0, tiles[b][1]):
-                        rows.append((label, dim, int(t[a]), p, number, 0))
-                        if (a, p) != (b, q):
-                            rows.append((label, dim, int(t[b]), q, number, 1))
+                for p in range(pieces[i]):
+                    for q in range(p if i == j else 0, pieces[j]):
+                        rows.append((*key, p, number, 0))
+                        if (i, p) != (j, q):
+                            rows.append((label, dim, own[j]["tile"], own[j]["core"], q, number, 1))
                         number += 1
-    kind = dict(placed.dtypes)["label"]
-    return spark.createDataFrame(rows, f"label {kind}, dim int, tile int, sub int, pair long, side int"), spark.createDataFrame(parts, f"label {kind}, dim int, tile int, subs int")
+    kinds = dict(placed.dtypes)
+    key = f"label {kinds['label']}, dim int, tile int, core int"
+    return (
+        spark.createDataFrame(rows, f"{key}, sub int, pair long, side int"),
+        spark.createDataFrame(parts, f"{key}, subs int"),
+        spark.createDataFrame(sure, f"{key}, weight long, self boolean, root {kinds['cid']}"),
+    )
