@@ -27,8 +27,8 @@ PER_LANG, MAX_CHARS = 300, 20000
 #: One text in so many is held back for the rejection thresholds.
 HOLD_BACK = 5
 UNKNOWN = "und"
-#: Slots of the per-worker table of probabilities looked up before.
-SLOTS = 1 << 18
+#: Numbers in the per-worker table of probabilities looked up before, and its most slots.
+TABLE, SLOTS = 1 << 22, 1 << 18
 ALPHABET = 1 << 16
 
 
@@ -108,19 +108,20 @@ def train(texts: list[str], order: int = ORDER) -> KneserNey:
 class Scorer:
     """Cross-entropies per character of texts under every language.
 
-    Probabilities found before stay in a table of SLOTS places, filled as texts
+    Probabilities found before stay in a table of fixed size, filled as texts
     come; others are searched in the models' sorted arrays.
     """
 
     def __init__(self, models: list[KneserNey], order: int = ORDER):
         self.models, self.order = models, order
-        self.keys = np.zeros(SLOTS, np.uint64)
-        self.rows = np.zeros((SLOTS, len(models)), np.float32)
-        self.used = np.zeros(SLOTS, bool)
+        self.slots = 1 << (min(SLOTS, max(1024, TABLE // max(1, len(models)))).bit_length() - 1)
+        self.keys = np.zeros(self.slots, np.uint64)
+        self.rows = np.zeros((self.slots, len(models)), np.float32)
+        self.used = np.zeros(self.slots, bool)
 
     def _logs(self, codes, hashes) -> np.ndarray:
         top = hashes[-1]
-        slot = (top >> np.uint64(40)).astype(np.int64) & (SLOTS - 1)
+        slot = (top >> np.uint64(40)).astype(np.int64) & (self.slots - 1)
         hit = self.used[slot] & (self.keys[slot] == top)
         out = self.rows[slot]
         miss = np.flatnonzero(~hit)
