@@ -128,3 +128,37 @@ def test_stream_equals_batch(spark, tmp_path):
     streamed = sorted(tuple(r)[:2] for r in spark.read.parquet(str(tmp_path / "out")).select("data_id", "n").collect())
     batch = sorted(tuple(r) for r in stage(jsonl.read_jsonl(spark, str(src))).collect())
     assert streamed == batch and len(batch) == 12
+
+
+def test_ground_truth_pipeline(spark, tmp_path):
+    """From two JSONL files over prompts and a stubbed aligner to protection rates."""
+
+    def doc(i, name, age):
+        return {"metadata": {"data_id": f"d{i}"}, "text": "t", "subjects": [{"id": "0", "description": "p", "PIIs": [{"tag": "NAME", "keyword": name, "certainty": 5, "hardness": 1}, {"tag": "AGE", "keyword": age, "certainty": 4, "hardness": 1}]}]}
+
+    (tmp_path / "gold.jsonl").write_text("".join(json.dumps(d) + "\n" for d in (doc(0, "x", "1"), doc(0, "Ann", "30"), doc(1, "Bob", "40"))))
+    (tmp_path / "found.jsonl").write_text("".join(json.dumps(d) + "\n" for d in (doc(0, "ann", "33"), doc(1, "Rob", "60"), doc(2, "Eve", "9"))))
+    read = lambda f: jsonl.with_ordinal(jsonl.read_jsonl(spark, str(tmp_path / f))).withColumn("data_id", F.col("metadata.data_id"))
+    both = evaluate.combine(read("gold.jsonl"), read("found.jsonl"))
+    assert {r["data_id"] for r in both.collect()} == {"d0", "d1"} and evaluate.align_errors(both).count() == 0
+    told = backends.call(evaluate.align_prompts(both), backends.Stub(lambda p: "Result: Matched\nSubject: A_0; B_0" if "Subject 0 (p): NAME: " in p else "?"))
+    people = lambda c: both.select("data_id", F.posexplode(c).alias("idx", "s")).select("data_id", "idx", "s.id", "s.description")
+    assert evaluate.matched_pairs(told, people("annotation_A"), people("annotation_B")).count() == 2
+    side = lambda c: both.select("data_id", F.posexplode(c).alias("subject_id", "s")).select("data_id", "subject_id", F.posexplode("s.PIIs").alias("pos", "p")).select("data_id", "subject_id", "p.tag", "pos", "p.keyword", "p.certainty", "p.hardness")
+    out = evaluate.evaluate_ground_truth(side("annotation_A"), side("annotation_B"))
+    r = out["privacy"].collect()[0]
+    assert (r["num_subjects"], r["num_pii"], r["ipr"], r["cpr"]) == (2, 4, 0.5, 0.5)
+    assert out["statistics"].collect()[0]["total_matches"] == 2 and scoring.nested_evaluations(out["evaluations"]).count() == 2
+
+
+def test_windows_of_stream_and_table(spark, sf, tmp_path):
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = incremental.once_each(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), "event_id", "ts", "4000 days")
+    q = stream.writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    want = sorted(tuple(r)[:4] for r in incremental.windowed_counts(events).collect())
+    assert sorted(tuple(r)[:4] for r in incremental.windowed_counts(spark.table("seen")).collect()) == want
+    q = incremental.windowed_counts(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")), delay="4000 days").writeStream.format("memory").outputMode("complete").queryName("windows").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(tuple(r)[:4] for r in spark.table("windows").collect()) == want
