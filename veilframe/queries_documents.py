@@ -372,7 +372,7 @@ def description_jaccard(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.round(alignment.description_jaccard(F.col("p_name"), F.expr("concat(p_type, ' ', split_part(p_name, ' ', 1))")), 9).alias("jaccard"))
 
 
-NAMES = ("panorama_gt_vs_llm_panorama_anon_adversarial_gemma3_27b_evaluation.json", "tab_144_deid_gpt_gpt-4.1-mini_20251211_evaluation.json", "x_longformer_evaluation.json", "tab_dp_prompt_claude-sonnet-4-5_evaluation.json", "other_gpt4_evaluation.json")
+NAMES = ("panorama_run7_adversarial_gemma3_27b_evaluation.json", "tab_run7_deid_gpt_gpt-4.1-mini_evaluation.json", "x_longformer_evaluation.json", "tab_dp_prompt_claude-sonnet-4-5_evaluation.json", "other_gpt4_evaluation.json")
 PARSED = (("151", "adversarial", "gemma3-27b"), ("144", "deid_gpt", "gpt-4-1-mini"), ("unknown", "longformer", "longformer"), ("144", "dp_prompt", "claude-sonnet-4-5"), ("unknown", "unknown", "gpt-4-1"))
 
 
@@ -532,7 +532,7 @@ def cpr_by_file(spark, sf_dir):
     return rounded(privacy.cpr_by_file(e), "ipr", "cpr")
 
 
-OUTPUTS = ("tab_144_deid_gpt_gpt-4.1-mini_20251211_162624.jsonl", "panorama_151_adversarial_claude-sonnet_1.jsonl", "TAB_dp-prompt_llama3.1:8b.jsonl", "notes.txt")
+OUTPUTS = ("tab_deid_gpt_gpt-4.1-mini_run7.jsonl", "panorama_adversarial_claude-sonnet_run7.jsonl", "TAB_dp-prompt_llama3.1:8b.jsonl", "notes.txt")
 OUT_PARSED = (("tab", "144", "deid_gpt", "gpt-4-1-mini"), ("panorama", "151", "adversarial", "claude-sonnet-4"), ("tab", "144", "dp_prompt", "llama3-1-8b"), ("unknown", "unknown", "unknown", "unknown"))
 
 
