@@ -617,6 +617,6 @@ def judge_answers(spark, sf_dir):
 def profile_rekey(spark, sf_dir):
     """Two profiles whose people have different ids but alike descriptions."""
     p = table(spark, sf_dir, "part")
-    row = lambda i, d, tag, k, c: p.select(F.col("p_partkey").alias("data_id"), F.lit(i).alias("subject_id"), d.alias("description"), F.lit(tag).alias("tag"), F.lit(0).alias("pos"), k.alias("keyword"), F.lit(c).alias("certainty"), F.lit(1).alias("hardness"))
+    row = lambda i, d, tag, k, c: p.select(F.col("p_partkey").alias("data_id"), F.lit(i).alias("subject_id"), d.alias("description"), F.explode(F.array(F.lit(tag))).alias("tag"), F.lit(0).alias("pos"), k.alias("keyword"), F.lit(c).alias("certainty"), F.lit(1).alias("hardness"))
     about = F.concat_ws(" ", F.lit("the one of part"), F.col("p_partkey").cast("string"))
     return infer.merged_profiles(row(0, about, "AGE", F.lit("40"), 3), row(9, F.concat(about, F.lit(" too")), "NAME", F.upper("p_name"), 4))
