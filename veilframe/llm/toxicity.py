@@ -56,13 +56,20 @@ class SparseLogit:
         return out
 
 
-def train(texts: list[str], labels: list[int], bits: int = BITS, epochs: int = 2, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0, seed: int = 7) -> SparseLogit:
+def _drained(items: list):
+    """The items in order, each let go as soon as it is used."""
+    items.reverse()
+    while items:
+        yield items.pop()
+
+
+def train(texts, labels: list[int], bits: int = BITS, epochs: int = 2, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0, seed: int = 7) -> SparseLogit:
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     z0 = n0 = 0.0
     own = []
     for text in texts:
         own.append(np.unique(features([text], bits)[1]).astype(np.int32))
-    order = np.arange(len(texts))
+    order = np.arange(len(own))
     rng = np.random.default_rng(seed)
     w0 = 0.0
 
@@ -104,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, label
     if not any(y):
         return SparseLogit(np.zeros(0, np.int64), np.zeros(0, np.float32), -30.0)
     population = {r[label]: r["count"] for r in labels.where(allowed & F.col(label).isin(0, 1)).groupBy(label).count().collect()}
-    got = train(texts, y)
+    got = train(_drained(texts), y)
     return SparseLogit(got.buckets, got.weights, got.bias + prior_shift(population, y), got.bits)
 
 
