@@ -170,6 +170,24 @@ def test_jaccard_join_brute_force(spark, seed, k, percent):
     assert got == brute_components(texts, k, percent)
 
 
+def test_members_link_beyond_their_group(spark):
+    """Pages 1 and 2 have one prefix and size but don't link; page 3 links both, and only its link with the head is met by heads."""
+    rng = random.Random(6)
+    words = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    body, head, foot = words("b", 103), [words(f"h{v}x", 5) for v in (1, 2)], [words(f"f{v}x", 5) for v in (1, 2)]
+    page = lambda h, f, more=(): " ".join([*head[h], *body, *foot[f], *more])
+    texts = [(1, page(0, 0)), (2, page(1, 1)), (3, page(0, 1, ["more"]))]
+    # Other pages make headers and footers common, so that prefixes are of the body alone.
+    for i in range(6):
+        fill = [f"r{rng.randrange(10**9)}" for _ in range(60)]
+        texts += [(10 + 4 * i + 2 * v, " ".join([*head[v], *body[:3], *fill[30 * v : 30 * v + 30]])) for v in (0, 1)]
+        texts += [(11 + 4 * i + 2 * v, " ".join([*fill[30 * v + 5 : 30 * v + 30], *body[-3:], *foot[v]])) for v in (0, 1)]
+    want = brute_components(texts, 4, 85)
+    assert {want[i][1] for i in (1, 2, 3)} == {1} and brute_components(texts[:2], 4, 85)[2][1] == 2
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_join.jaccard_join(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(0, 60)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)] + [(500, 7), (None, 3)]

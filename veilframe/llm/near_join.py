@@ -11,8 +11,8 @@ how many prefix shingles they share, which bounds how much they can overlap at
 all.  Members are expanded and verified in two ways.  First each group meets
 only one neighbour per shared shingle, in a few rounds; the links found join
 most near copies.  Then all pairs of a shingle are met whose classes no links
-join yet, so no link between components is lost while a large group of near
-copies isn't paired out.
+join yet, whichever members of their groups they are, so no link between
+components is lost while a large group of near copies isn't paired out.
 """
 
 from __future__ import annotations
@@ -228,7 +228,6 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     # Rounds of single neighbours: of the groups that share a shingle the one that shares most of its shingles (what copies
     # were made from shares all of them), then that of smallest id.
-    members = classes.select("gid", "cid")
     orders = (F.col("n") / F.col("k"), F.col("gid"))
     links = verified(_single(shared, orders[0], percent).unionAll(classes.where("cid <> gid").select(F.col("gid").alias("a"), F.col("cid").alias("b"))), "0")
     joined = components(links, folder, "joined-0")
@@ -238,23 +237,32 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         joined = components(links, folder, f"joined-{r}")
 
     # Every pair left whose classes no links join.
-    marked = shared.join(joined.withColumnRenamed("node", "gid"), "gid", "left").withColumn("comp", F.coalesce("comp", "gid"))
-    marked = stored(marked.withColumn("lo", F.min("comp").over(over)).withColumn("hi", F.max("comp").over(over)).where("lo <> hi").select("token", "gid", "n", "pos", "comp"), folder, "open")
-    x, y = marked.toDF("token", "ga", "na", "pa", "ca"), marked.toDF("token", "gb", "nb", "pb", "cb")
+    comps = classes.select("gid", "cid").join(joined.withColumnRenamed("node", "cid"), "cid", "left").select("gid", "cid", F.coalesce("comp", "cid").alias("comp"))
+    comps = stored(comps, folder, "comps")
+    # A group's members can lie in several components; only groups that lie in one and the same have nothing to find.
+    spread = comps.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    marked = shared.join(spread, "gid")
+    marked = marked.withColumn("first", F.min("lo").over(over)).withColumn("last", F.max("hi").over(over)).where("first <> last")
+    marked = stored(marked.select("token", "gid", "n", "pos", "lo", "hi"), folder, "open")
+    x, y = marked.toDF("token", "ga", "na", "pa", "la", "ha"), marked.toDF("token", "gb", "nb", "pb", "lb", "hb")
     # A pair needs a shingle early enough in both sets: with what follows it they can still overlap enough.
     early = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= _least_overlap(percent)
-    across = x.join(y, "token").where((F.col("ca") < F.col("cb")) & _near_in_size("na", "nb", percent) & early).select("ga", "gb").distinct()
-    wide = across.join(members.toDF("ga", "a"), "ga").join(members.toDF("gb", "b"), "gb").select("a", "b")
-    own = classes.where("members > 1").select("gid", "cid").join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    within = own.toDF("a", "gid", "ca").join(own.toDF("b", "gid", "cb"), "gid").where("ca < cb").select("a", "b")
-    links = links.unionAll(verified(_apart(wide.unionAll(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), joined), "rest"))
+    differ = F.least("la", "lb") != F.greatest("ha", "hb")
+    across = x.join(y, "token").where((F.col("ga") < F.col("gb")) & differ & _near_in_size("na", "nb", percent) & early).select("ga", "gb").distinct()
+    # Components are paired before members, so that only members to be verified are.
+    parts = comps.select("gid", "comp").distinct()
+    apart = across.join(parts.toDF("ga", "ca"), "ga").join(parts.toDF("gb", "cb"), "gb").where("ca <> cb")
+    wide = apart.join(comps.toDF("ga", "a", "ca"), ["ga", "ca"]).join(comps.toDF("gb", "b", "cb"), ["gb", "cb"]).select("a", "b")
+    own = comps.join(classes.where("members > 1").select("gid", "cid").distinct(), ["gid", "cid"], "left_semi")
+    within = own.toDF("gid", "a", "ca").join(own.toDF("gid", "b", "cb"), "gid").where("ca < cb").select("a", "b")
+    links = links.unionAll(verified(wide.unionAll(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "rest"))
     members = stored(live.select("doc_id", *keys).join(classes.select(*keys, "cid"), keys).select("doc_id", "n", "cid"), folder, "members")
     twice = members.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("hi")).where("a <> hi").select("doc_id", "a")
     links = links.unionAll(members.join(twice, "doc_id").select("a", F.col("cid").alias("b")))
     comps = components(links, folder, "components").withColumnRenamed("node", "cid")
     found = members.join(comps, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "cid").alias("component_id"))
     rest = stored(sig.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")), folder, "rest")
-    for name in ("signatures", "classes", "shared", "open"):
+    for name in ("signatures", "classes", "shared", "comps", "open"):
         drop_path(spark, f"{folder}/{name}")
     return found.unionAll(rest)
 
