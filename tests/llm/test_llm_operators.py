@@ -252,6 +252,22 @@ def test_mix_meets_targets(spark, sf):
     assert all(words[r["doc_id"]] == r["size"] for r in got)
 
 
+def test_long_documents_meet_their_source_target(spark):
+    """Sources of documents of 5,000 and 20,000 words, longer than a shard, mixed and short, at ratios below and above one half."""
+    docs = []
+    for source, sizes in {"a": [5000] * 60, "b": [20000] * 80, "c": [20000, 700] * 30, "d": [300000] * 6, "e": [20000] * 60, "f": [400] * 900}.items():
+        docs += [(len(docs) + i, "w " * n, source) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(docs + [(None, "w " * 5000, "a"), (0, "", "a"), (0, "w " * 5000, "f")], "doc_id long, text string, source string")
+    longest = {"a": 5000, "b": 20000, "c": 20000, "d": 300000, "e": 20000, "f": 5000}
+    for share in (0.6, 1.5):
+        want = {r["source"]: r for r in mixing.mix_sources(df, share=share).groupBy("source").sum("taken", "size").collect()}
+        assert share > 1 or any(r["sum(taken)"] < 0.4 * r["sum(size)"] for r in want.values())
+        got = dict.fromkeys(want, 0)
+        for r in mixing.mixed_documents(df, share=share).selectExpr("source", "length(text) div 2 as n").collect():
+            got[r["source"]] += r["n"]
+        assert not [(s, got[s], r["sum(taken)"]) for s, r in want.items() if abs(got[s] - r["sum(taken)"]) > longest[s] * 0.51]
+
+
 # --- 6 exact dedup --------------------------------------------------------------------------
 
 

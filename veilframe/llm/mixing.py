@@ -10,6 +10,7 @@ picked blocks.
 from __future__ import annotations
 
 import heapq
+import itertools
 
 import numpy as np
 import pandas as pd
@@ -108,6 +109,22 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def copies(wanted, sizes, repeat: int = MAX_REPEAT, carry: int = 0) -> tuple[list[int], int]:
+    """How often each document stands, and the words still owed after the last one.
+
+    Each takes the whole number of copies nearest to its own words and those
+    that the ones before it owe, so copies times sizes miss the words wanted by
+    about half of the last size.
+    """
+    out = []
+    for t, s in zip(wanted, sizes):
+        carry += t
+        n = min(max((2 * carry + s) // (2 * s), 0), repeat)
+        carry -= n * s
+        out.append(n)
+    return out, carry
+
+
 def mix_sources(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, repeat: int = MAX_REPEAT) -> DataFrame:
     """How many words of each document the mix takes.
 
@@ -117,6 +134,14 @@ def mix_sources(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", text_co
     row per source and at most MAX_SHARDS shards besides; blocks and documents
     stay on the executors.  Reruns give the same rows.
     """
+    shards, take = _shards(docs, seed, id_col, text_col, source_col, weights, share, repeat)
+    schema = "doc_id long, size long, source_size long, target double, taken long, source string"
+    names = [c.split()[0] for c in schema.split(", ")]
+    return shards.applyInPandas(lambda key, pdf: take(key, pdf)[names], schema)
+
+
+def _shards(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str, weights, share: float, repeat: int):
+    """The documents grouped by source and shard, and the function that draws the words taken of a group."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     sized = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size")), work_dir(spark), "sized")
@@ -151,23 +176,55 @@ def mix_sources(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", text_co
     def take(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["o", "doc_id", "size"], kind="stable")
         pdf["taken"] = draw_blocks(pdf["size"].to_numpy(), int(pdf["quota"].iloc[0]), block, [seed, int(key[0]), int(key[1])])
-        return pdf[["doc_id", "size", "source_size", "target", "taken", "source"]]
+        return pdf
 
-    return (
-        placed.join(_small(quota, len(quotas)), ["src", "shard"])
-        .withColumn("o", F.xxhash64(F.lit(seed + 1), "doc_id"))
-        .groupBy("src", "shard")
-        .applyInPandas(take, "doc_id long, size long, source_size long, target double, taken long, source string")
-    )
+    return placed.join(_small(quota, len(quotas)), ["src", "shard"]).withColumn("o", F.xxhash64(F.lit(seed + 1), "doc_id")).groupBy("src", "shard"), take
 
 
-def mixed_documents(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them: taken over size, rounded.
+def mixed_documents(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, repeat: int = MAX_REPEAT) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, so that each source has its target's words.
 
-    A document of which the mix takes less than half goes, one of which it takes
-    at least one and a half times stands twice; empty texts go, as the mix takes
-    no word of them.  All columns are kept.
+    A document stands taken over size times, rounded to a whole number; what
+    rounding gives too much or too little is carried on to the next one, from
+    the longest of a shard to its shortest.  The shortest of each shard are left
+    open and dealt in the same way over the shards of a source, so a source
+    misses the words taken by about half of its shards' shortest document,
+    however long its documents are.  Empty texts go, as the mix takes no word of
+    them.  Rows that repeat an id within a source stand equally often.  All
+    columns are kept.
     """
-    took = mix_sources(docs, seed, id_col, **options).groupBy("doc_id").agg(F.sum("taken").alias("t"), F.sum("size").alias("s"))
-    took = took.where("s > 0").select(F.col("doc_id").alias("_id"), F.floor(F.col("t") / F.col("s") + 0.5).cast("int").alias("_times")).where("_times > 0")
-    return docs.join(took, F.col(id_col) == F.col("_id")).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    spark = docs.sparkSession
+    shards, take = _shards(docs, seed, id_col, text_col, source_col, weights, share, repeat)
+
+    def whole(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        got = take(key, pdf)
+        got = got.groupby("doc_id", dropna=False, sort=False).agg(o=("o", "first"), source=("source", "first"), size=("size", "sum"), taken=("taken", "sum")).reset_index()
+        got = got[got["size"] > 0].sort_values(["size", "o", "doc_id"], ascending=[False, True, True], kind="stable")
+        times, owed = copies(got["taken"].tolist()[:-1], got["size"].tolist()[:-1], repeat)
+        n = len(got)
+        return pd.DataFrame(
+            {
+                "_id": got["doc_id"].astype("Int64"),
+                "_source": got["source"],
+                "src": int(key[0]),
+                "shard": int(key[1]),
+                "size": got["size"].astype("int64"),
+                "times": pd.array([*times, None][:n], dtype="Int64"),
+                "owed": pd.array([None] * (n - 1) + [owed + int(got["taken"].iloc[-1])] if n else [], dtype="Int64"),
+            }
+        )
+
+    folder = work_dir(spark)
+    dealt = stored(shards.applyInPandas(whole, "_id long, _source string, src int, shard int, size long, times long, owed long"), folder, "dealt")
+    rows = dealt.where("times is null").select("src", "shard", "size", "owed").collect()
+    rows.sort(key=lambda r: (r["src"], -r["size"], r["shard"]))
+    last = []
+    for _, own in itertools.groupby(rows, key=lambda r: r["src"]):
+        own = list(own)
+        times, _ = copies([r["owed"] for r in own], [r["size"] for r in own], repeat)
+        last += [(r["src"], r["shard"], n) for r, n in zip(own, times)]
+    plan = spark.createDataFrame(last, "src int, shard int, n long")
+    ends = dealt.where("times is null").join(_small(plan, len(last)), ["src", "shard"]).select("_id", "_source", "n")
+    took = dealt.where("times > 0").select("_id", "_source", F.col("times").alias("n")).unionAll(ends.where("n > 0")).withColumnRenamed("n", "_times")
+    same = docs[id_col].cast("long").eqNullSafe(took["_id"]) & docs[source_col].cast("string").eqNullSafe(took["_source"]) & (word_count(F.coalesce(docs[text_col], F.lit(""))) > 0)
+    return docs.join(took, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
