@@ -332,6 +332,18 @@ def test_repair_round_trip(ids, least):
     assert token_files.expand(seq, rules, 6).tolist() == ids
 
 
+@pytest.mark.parametrize("buckets", [20, 3])
+def test_no_frequent_pair_is_left(monkeypatch, buckets):
+    monkeypatch.setattr(token_files, "BUCKETS", buckets)
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 300, 500)
+    ids = np.concatenate([np.concatenate([passage, rng.integers(0, 300, 40)]) for _ in range(60)]).astype(np.uint32)
+    seq, rules = token_files.compress(ids, 300)
+    assert token_files.expand(seq, rules, 300).tolist() == ids.tolist()
+    _, n = np.unique((seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:], return_counts=True)
+    assert n.max() < token_files.LEAST
+
+
 def test_random_access():
     ids = np.array([1, 2, 3, 1, 2, 3, 4] * 500 + [9], np.uint32)
     f = token_files.TokenFile(token_files.pack(np.array([5, 6]), np.array([True, True]), np.array([3000, 501]), ids, 10))

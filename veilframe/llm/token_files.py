@@ -10,6 +10,7 @@ shared folder, which Spark's committers write once even if tasks are repeated.
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 
@@ -24,35 +25,52 @@ from veilframe.llm.common import small_batches, work_dir
 
 MAGIC = b"RPT1"
 SHARD_IDS = 1 << 20
-ROUNDS, LEAST = 3, 24
+#: Rounds (None: as many as find a pair that occurs LEAST times).
+ROUNDS, LEAST = None, 24
 END_ID = 0
 BUCKETS = 20
 
 
-def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules): rule k makes symbol base + k stand for two earlier symbols."""
-    seq, rules, used = ids.astype(np.uint32), [], 0
+def compress(ids: np.ndarray, base: int, rounds: int | None = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, rules): rule k makes symbol base + k stand for two earlier symbols.
+
+    Rounds go on until no pair occurs ``least`` times or the rules are used up.
+    """
+    seq, rules, used, fresh = ids.astype(np.uint32), [], 0, 0
     room = max(0, (1 << 16) - base) if base < 1 << 16 else 1 << 16
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         if len(seq) < 2 or used >= room:
             break
-        pair = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
+        # What occurred less than ``least`` times in the last round does so still, so only pairs with a new symbol are counted.
+        spot = np.flatnonzero((seq[:-1] >= fresh) | (seq[1:] >= fresh))
+        pair = (seq[spot].astype(np.uint64) << np.uint64(32)) | seq[spot + 1]
         slot = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS)).astype(np.int32)
-        # One pair owns each slot; another that falls into it has its turn in a later round, if at all.
+        # One pair owns each slot and is counted there; others that fall into it are counted by sorting.
         owner = np.zeros(1 << BUCKETS, np.uint64)
         owner[slot] = pair
-        at = np.flatnonzero(owner[slot] == pair)
-        n = np.bincount(slot[at], minlength=1 << BUCKETS)
+        owned = owner[slot] == pair
+        n = np.bincount(slot[owned], minlength=1 << BUCKETS)
         want = np.flatnonzero(n >= least)
-        if len(want) > room - used:
-            want = np.sort(want[np.argsort(-n[want], kind="stable")[: room - used]])
-        if not len(want):
+        rest = np.flatnonzero(~owned)
+        others, which, m = np.unique(pair[rest], return_inverse=True, return_counts=True)
+        more = np.flatnonzero(m >= least)
+        kinds, n = np.concatenate([owner[want], others[more]]), np.concatenate([n[want], m[more]])
+        if not len(kinds):
             break
+        rank = np.arange(len(kinds))
+        if len(kinds) > room - used:
+            keep = np.sort(np.argsort(-n, kind="stable")[: room - used])
+            rank = np.full(len(kinds), -1)
+            rank[keep] = np.arange(len(keep))
+            kinds = kinds[keep]
         number = np.full(1 << BUCKETS, -1, np.int32)
-        number[want] = np.arange(len(want)) + base + used
-        sym = number[slot[at]]
-        at, sym = at[sym >= 0], sym[sym >= 0]
-        kinds = owner[want]
+        number[want] = rank[: len(want)]
+        sym = np.where(owned, number[slot], -1)
+        turn = np.full(len(others), -1, np.int32)
+        turn[more] = rank[len(want) :]
+        sym[rest] = turn[which]
+        at, sym = spot[sym >= 0], sym[sym >= 0] + base + used
+        fresh = base + used
         # Of overlapping places, every second one of a run of neighbours is taken.
         first = np.concatenate([[True], at[1:] != at[:-1] + 1])
         run = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
@@ -64,7 +82,7 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAS
         stay[at + 1] = False
         seq = seq[stay]
         rules.append(np.stack([kinds >> np.uint64(32), kinds & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
-        used += len(want)
+        used += len(kinds)
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
