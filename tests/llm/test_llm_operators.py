@@ -44,6 +44,32 @@ def test_every_rule_has_its_keyword_and_a_root():
         assert any(root in plain or root in keyword for root in license_rules.ROOTS), label
 
 
+def test_no_match_lacks_its_keyword_or_a_root():
+    """Every text that a rule without free parts can match, by expanding its alternatives, passes the gates."""
+    import re
+
+    group = re.compile(r"\(([^()]*)\)(\?)?")
+
+    def texts(regex):
+        m = group.search(regex)
+        if not m:
+            return [regex]
+        ways = m[1].split("|") + [""] * bool(m[2])
+        return [t for w in ways for t in texts(regex[: m.start()] + w + regex[m.end() :])]
+
+    for _, _, label, keyword, regex in license_rules.tried():
+        for t in texts(regex):
+            assert keyword in t and any(root in t for root in license_rules.ROOTS), (label, keyword, t)
+
+
+def test_reference_to_a_copying_file(spark):
+    from veilframe.llm.license_scan import license_scan
+
+    texts = ["See COPYING for details.", "See the license file for more information", "see the COPYING file for details, see license for details", "copying"]
+    got = {r["doc_id"]: r for r in license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [(got[i]["labels"], got[i]["score"], got[i]["n_detections"]) for i in range(4)] == [("license-reference", 0.3, 1), ("license-reference", 0.3, 1), ("license-reference", 0.3, 2), ("", 0.0, 0)]
+
+
 def test_license_labels(spark):
     from veilframe.llm.license_scan import license_scan
 

@@ -228,7 +228,7 @@ odbl-1.0 odc-by-1.0 pddl-1.0 busl-1.1 sspl-1.0 elastic-2.0 blueoak-1.0 gfdl-1.3
 """
 
 #: Words of which one stands in every match: a text without any is done at once.
-ROOTS = ("licen", "copyright", "gpl", "spdx", "cc  by", "cc0", "cc  zero", "creative", "public  domain", "apache", "bsd", "mpl", "mit  no", "cecill", "wtfpl", "mulan", "openrail", "permission", "redistribution", "provided  as  is", "without  limitation", "classpath", "free  software", "neither  the", "advertising", "same  terms", "used  for  good", "commons", "historical", "proprietary", "unauthorized", "all  rights", "nasa  open")
+ROOTS = ("licen", "copyright", "copying", "gpl", "spdx", "cc  by", "cc0", "cc  zero", "creative", "public  domain", "apache", "bsd", "mpl", "mit  no", "cecill", "wtfpl", "mulan", "openrail", "permission", "redistribution", "provided  as  is", "without  limitation", "classpath", "free  software", "neither  the", "advertising", "same  terms", "used  for  good", "commons", "historical", "proprietary", "unauthorized", "all  rights", "nasa  open")
 
 BASE = (("gpl", "gnu general public license"), ("apache", "apache license"), ("cc-by", "cc by"), ("mit", "mit license"))
 
@@ -248,3 +248,14 @@ def rules() -> list[tuple[int, int, str, str, str]]:
         words = tag.replace(".", " ").replace("-", " ")
         out.append((len(out), 9, tag, "spdx", wide(f"spdx license identifier {words}")))
     return out
+
+
+def tried() -> list[tuple[int, int, str, str, str]]:
+    """The rules as the scan tries them: one whose keyword stands in one of two alternatives only is a row for each, of the same number."""
+    out = []
+    for n, p, label, keyword, regex in rules():
+        if "(license|copying)" in regex and keyword == "license":
+            out += [(n, p, label, word, regex.replace("(license|copying)", word)) for word in ("license", "copying")]
+        else:
+            out.append((n, p, label, keyword, regex))
+    return out

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.license_rules import BASE, ROOTS, rules, wide
+from veilframe.llm.license_rules import BASE, ROOTS, rules, tried, wide
 
 NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
@@ -56,7 +56,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_suppressed.  Null and empty texts have no words; other columns of the
     table are not read; repeated ids give repeated rows.
     """
-    rule = "array(" + ",".join(f"named_struct('n',{n},'p',{p},'l','{label}','k','{k}','r','{r}')" for n, p, label, k, r in rules()) + ")"
+    rule = "array(" + ",".join(f"named_struct('n',{n},'p',{p},'l','{label}','k','{k}','r','{r}')" for n, p, label, k, r in tried()) + ")"
     spaced = docs.select(F.col(id_col).alias("doc_id"), spaced_words(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
     gate = None
     for root in ROOTS:
