@@ -113,6 +113,15 @@ def test_language_held_out(spark):
     assert np.mean([r["lang_pred"] == want[r["doc_id"]] for r in got]) > 0.99
 
 
+def test_language_of_long_texts_only_is_learned(spark):
+    long = "der hund und die katze sitzen auf der matte "
+    docs = [(i, "the cat and the dog sit on the mat " * 3, "en") for i in range(30)] + [(100 + i, long * 600, "de") for i in range(8)] + [(200 + i, long * 2, None) for i in range(3)]
+    model = langid.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    assert model.names == ("de", "en")
+    got = langid.language_id(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()
+    assert all(r["lang_pred"] == ("en" if r["doc_id"] < 100 else "de") for r in got)
+
+
 def test_kneser_ney_sums_to_one():
     m = langid.train(["abcabcabd", "abd cab"])
     chars = sorted(set("abcd "))

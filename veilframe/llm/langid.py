@@ -176,13 +176,17 @@ class LanguageId:
 def fit(docs: DataFrame, allowed: Column | None = None, per_lang: int = PER_LANG, max_chars: int = MAX_CHARS) -> LanguageId:
     """Models from at most ``per_lang`` texts of each language, none longer than ``max_chars``.
 
-    Ids are drawn first, by a hash, so that no task sorts texts.
+    A language that has fewer such texts learns from the first ``max_chars``
+    characters of longer ones besides.  Ids are drawn first, by a hash, so that
+    no task sorts texts.
     """
     allowed = F.lit(True) if allowed is None else allowed
-    usable = docs.where(allowed & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0) & (F.length("text") <= max_chars))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = usable.select("doc_id", "lang", rank.alias("r")).where(F.col("r") <= per_lang).select("doc_id", "lang").dropDuplicates()
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).where(F.length("text") <= max_chars).collect()
+    long = F.length("text") > max_chars
+    usable = docs.where(allowed & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id"))
+    ids = usable.select("doc_id", "lang", long.alias("long")).withColumn("r", rank).where(F.col("r") <= per_lang).select("doc_id", "lang", "long").dropDuplicates()
+    texts = docs.select("doc_id", "lang", F.substring("text", 1, max_chars).alias("text"), long.alias("long"))
+    rows = texts.join(F.broadcast(ids), ["doc_id", "lang", "long"]).collect()
     rows = sorted((r["lang"], r["doc_id"], r["text"]) for r in rows if r["text"])
     names = sorted({r[0] for r in rows})
     by = {name: [t for lang, _, t in rows if lang == name] for name in names}
