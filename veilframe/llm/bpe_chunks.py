@@ -1,35 +1,45 @@
 """BPE encoding and decoding with content-defined chunk reuse (operator 7).
 
 A rolling hash over the last 16 bytes cuts texts into chunks, so passages that
-documents share give equal chunks wherever they stand.  A chunk is encoded once
-and its ids are kept while a bounded cache lasts.  Tokens around a cut may
-differ from those of the whole text, so each join is encoded again, from the
-last place in the left chunk to the first place in the right one where a token
-must end: where a blank follows a visible ASCII character, which no token
-spans, whatever stands around.  At both places the window must meet token ends
-of its neighbours' ids; if a chunk has no such place, the window grows over it.
+documents share give equal chunks wherever they stand.  Documents are dealt to
+bins.  One pass lists the digests of each bin's chunks; chunks of more than one
+bin are sent to the task that owns their digest and encoded there once, and
+their ids go to every bin that needs them.  A bin's documents then meet these
+ids; a chunk that no other bin has is encoded in its bin and kept while the bin
+lasts.  Documents without a shared chunk stay where they are.
+
+Tokens around a cut may differ from those of the whole text, so each join is
+encoded again, between places where a token must end: where a blank follows a
+visible ASCII character, which no token spans, whatever stands around.  The
+window begins at the last but one such place of the left chunk and ends at the
+second one of the right chunk, and its ids have to agree exactly with the left
+chunk's ids up to its last place and with the right chunk's from its first one;
+if they don't, or a chunk lacks such places, the window grows over the chunk.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm import bpe
-from veilframe.llm.common import small_batches
+from veilframe.llm.common import BATCH_BYTES, drop_path, partitions, route_bitmap, small_batches, stored, work_dir
 
 #: A cut for about every 2**MASK_BITS bytes, and the shortest and longest chunk.
 MASK_BITS, MIN_CHUNK, MAX_CHUNK = 10, 256, 1 << 15
-#: Bytes of chunks whose ids a worker keeps.
-CACHE_BYTES = 12 << 20
+#: Bytes of texts that a bin is meant to hold.
+BIN_BYTES = 32 << 20
+#: Bytes of a bin's own chunks whose ids are kept, as a number of ids.
+CACHE_IDS = 4 << 20
 #: Bytes of text that are encoded before their ids are folded into the digests.
 PART_BYTES = 1 << 20
+#: Digests of chunks that a task remembers to have sent.
+SENT = 1 << 20
 
 FIRST = re.compile(rb"[!-~](?=[ \t\n\r])")
 LAST = re.compile(rb".*[!-~](?=[ \t\n\r])", re.S)
@@ -66,113 +76,290 @@ def _whole(data: bytes, p: int) -> int:
     return p
 
 
+def digest(chunk: bytes) -> bytes:
+    return hashlib.blake2b(chunk, digest_size=16).digest()
+
+
+def parts(codec: bpe.ByteBpe, text: str):
+    """(bytes, special id) of one text after another, cut at sure places into about PART_BYTES bytes."""
+    for part, special in codec.segments(text):
+        if special is not None:
+            yield b"", special
+            continue
+        data, at = part.encode("utf-8"), 0
+        while at < len(data):
+            m = FIRST.search(data, at + PART_BYTES) if len(data) - at > PART_BYTES else None
+            end = m.end() if m else len(data)
+            yield data[at:end], None
+            at = end
+
+
+def chunks(codec: bpe.ByteBpe, text: str):
+    for data, special in parts(codec, text):
+        if special is None:
+            bounds = [0, *cuts(data), len(data)]
+            for a, b in zip(bounds, bounds[1:]):
+                yield data[a:b]
+
+
 class ChunkEncoder:
-    """Encodes texts by chunks; ``reused`` and ``encoded`` count them."""
+    """Encodes texts by chunks; ``reused`` and ``encoded`` count them.
 
-    def __init__(self, codec: bpe.ByteBpe, cache_bytes: int = CACHE_BYTES):
-        self.codec, self.cache_bytes = codec, cache_bytes
+    ``shared`` maps digests to ids (bytes) that were encoded elsewhere; others are
+    encoded here and kept, up to ``cache_ids`` ids in all.
+    """
+
+    def __init__(self, codec: bpe.ByteBpe, shared: dict | None = None, cache_ids: int = CACHE_IDS):
+        self.codec, self.shared, self.cache_ids = codec, shared or {}, cache_ids
         self.cache: dict[bytes, tuple] = {}
         self.held = self.reused = self.encoded = 0
 
     def _chunk(self, data: bytes):
-        """(ids, token and byte of the first sure end, token and byte of the last one) or those None."""
-        got = self.cache.get(data)
+        """(ids, places): the token and byte numbers of the first two and last two sure ends, or None."""
+        key = digest(data)
+        got = self.cache.get(key)
         if got is not None:
             self.reused += 1
             return got
-        self.encoded += 1
-        ids = self.codec.plain(data.decode("utf-8"))
-        first, last = FIRST.search(data), LAST.match(data)
-        if first is None or last is None:
-            got = (ids, None, 0, None, 0)
+        known = self.shared.get(key)
+        if known is None:
+            self.encoded += 1
+            ids = self.codec.plain(data.decode("utf-8"))
         else:
-            ends = np.cumsum(self.codec.lengths[ids])
-            a, b = np.searchsorted(ends, (first.end(), last.end())).tolist()
-            if ends[a] != first.end() or ends[b] != last.end():
-                got = (ids, None, 0, None, 0)
-            else:
-                got = (ids, a + 1, first.end(), b + 1, last.end())
-        if self.held > self.cache_bytes:
+            self.reused += 1
+            ids = np.frombuffer(known, "<u4").tolist()
+        got = (ids, self._places(data, ids))
+        if self.held > self.cache_ids:
             self.cache.clear()
             self.held = 0
-        self.cache[data] = got
-        self.held += len(data) * 12
+        self.cache[key] = got
+        self.held += len(ids)
         return got
 
+    def _places(self, data: bytes, ids: list[int]):
+        first = FIRST.search(data)
+        second = first and FIRST.search(data, first.end())
+        if not second:
+            return None
+        last = LAST.match(data).end()
+        before = LAST.match(data, 0, last)
+        if not before or before.end() < second.end():
+            return None
+        at = (first.end(), second.end(), before.end(), last)
+        ends = np.cumsum(self.codec.lengths[ids])
+        tokens = np.searchsorted(ends, at)
+        if (ends[tokens] != at).any():
+            return None
+        return *(tokens + 1).tolist(), *at
+
     def _segment(self, data: bytes) -> list[int]:
         bounds = [0, *cuts(data), len(data)]
         if len(bounds) == 2:
             return self._chunk(data)[0]
         out: list[int] = []
-        pending = 0
-        for k in range(len(bounds) - 1):
-            s, e = bounds[k], bounds[k + 1]
-            ids, a, first, b, last = self._chunk(data[s:e])
-            if k == 0:
-                a, first = 0, 0
-            if k == len(bounds) - 2 and a is not None:
-                b, last = len(ids), e - s
-            if a is None or b is None:
+        pending, due = 0, []
+        for k, (s, e) in enumerate(zip(bounds, bounds[1:])):
+            ids, places = self._chunk(data[s:e])
+            if places is None:
                 continue
-            if pending < s + first:
-                out += self.codec.plain(data[pending : s + first].decode("utf-8"))
-            out += ids[a:b]
-            pending = s + last
-        if pending < len(data):
-            out += self.codec.plain(data[pending:].decode("utf-8"))
-        return out
+            a1, a2, b2, b1, _, second, before, _ = places
+            if k == 0:
+                out += ids[:b2]
+            else:
+                window = self.codec.plain(data[pending : s + second].decode("utf-8"))
+                if window[: len(due)] != due or window[len(window) - (a2 - a1) :] != ids[a1:a2]:
+                    continue
+                out += window
+                if k == len(bounds) - 2:
+                    return out + ids[a2:]
+                out += ids[a2:b2]
+            pending, due = s + before, ids[b2:b1]
+        return out + self.codec.plain(data[pending:].decode("utf-8"))
 
     def parts(self, text: str):
         """Lists of ids of one text after another, each of about PART_BYTES bytes."""
-        for part, special in self.codec.segments(text):
-            if special is not None:
-                yield [special]
-                continue
-            data, at = part.encode("utf-8"), 0
-            while at < len(data):
-                m = FIRST.search(data, at + PART_BYTES) if len(data) - at > PART_BYTES else None
-                end = m.end() if m else len(data)
-                yield self._segment(data[at:end])
-                at = end
+        if not self.codec.fast:
+            yield self.codec.plain(text)
+            return
+        for data, special in parts(self.codec, text):
+            yield [special] if special is not None else self._segment(data)
 
     def encode(self, text: str) -> list[int]:
         return [i for part in self.parts(text) for i in part]
 
 
+class Digests:
+    """Rows (n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids) of texts."""
+
+    def __init__(self, codec: bpe.ByteBpe, with_ids: bool):
+        self.codec, self.with_ids = codec, with_ids
+        self.names = [str(i) for i in range(len(codec.bytes))]
+
+    def row(self, encoder: ChunkEncoder, text: str) -> tuple:
+        n, of_ids, of_bytes, every, tail = 0, hashlib.sha256(), hashlib.sha256(), [], b""
+        names = self.names
+        for ids in encoder.parts(text):
+            if not ids:
+                continue
+            of_ids.update((("," if n else "") + ",".join([names[i] for i in ids])).encode())
+            n += len(ids)
+            if self.codec.fast:
+                tail += self.codec.decode_bytes(ids)
+                whole = tail.decode("utf-8", "ignore").encode() if len(tail) > 4 and tail[-1] & 0x80 else tail
+                of_bytes.update(whole.decode("utf-8", "replace").encode())
+                tail = tail[len(whole) :]
+            else:
+                of_bytes.update(self.codec.decode(ids).encode())
+            if self.with_ids:
+                every += ids
+        of_bytes.update(tail.decode("utf-8", "replace").encode())
+        return n, of_ids.hexdigest(), of_bytes.hexdigest(), *([every] if self.with_ids else [])
+
+    def batch(self, ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())][: 4 if self.with_ids else 3]
+        columns = list(zip(*rows)) if rows else [()] * len(kinds)
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(kinds) + 1]
+        return pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(columns, kinds))], names)
+
+
+def _digests_of_chunks(spec):
+    def run(batches):
+        codec = bpe.of(spec.value)
+        for batch in batches:
+            bins, hashes = [], []
+            for b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for h in {digest(c) for c in chunks(codec, text)}:
+                    bins.append(b)
+                    hashes.append(h)
+            yield pa.RecordBatch.from_arrays([pa.array(bins, pa.int32()), pa.array(hashes, pa.binary())], ["bin", "h"])
+
+    return run
+
+
+def _is_shared(bits: np.ndarray, h: bytes) -> bool:
+    slot = int.from_bytes(h[:6], "big") & (len(bits) * 8 - 1)
+    return bool(bits[slot >> 3] >> (slot & 7) & 1)
+
+
+def _shared_chunks(spec, sent):
+    """(h, chunk) of every chunk that the bitmap lets through, mostly once a task."""
+
+    def run(batches):
+        codec, bits, seen = bpe.of(spec.value), sent.value, set()
+        for batch in batches:
+            hashes, data, n = [], [], 0
+            for text in batch.column(0).to_pylist():
+                for c in chunks(codec, text):
+                    h = digest(c)
+                    if h in seen or not _is_shared(bits, h):
+                        continue
+                    if len(seen) >= SENT:
+                        seen.clear()
+                    seen.add(h)
+                    hashes.append(h)
+                    data.append(c)
+                    n += len(c)
+                    if n > BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(data, pa.binary())], ["h", "chunk"])
+                        hashes, data, n = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(data, pa.binary())], ["h", "chunk"])
+
+    return run
+
+
+def _encoded_once(spec):
+    """(h, ids) of each chunk of a partition sorted by h."""
+
+    def run(batches):
+        codec, past = bpe.of(spec.value), None
+        for batch in batches:
+            hashes, ids = [], []
+            for h, chunk in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if h != past:
+                    past = h
+                    hashes.append(h)
+                    ids.append(np.array(codec.plain(chunk.as_py().decode("utf-8")), "<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(ids, pa.binary())], ["h", "ids"])
+
+    return run
+
+
+def _bins(spec, with_ids: bool):
+    """Digests of documents, sorted by bin and each bin's shared ids before them."""
+
+    def run(batches):
+        codec = bpe.of(spec.value)
+        out, now, encoder = Digests(codec, with_ids), None, ChunkEncoder(codec)
+        for batch in batches:
+            bins, h, ids, texts = (batch.column(c).to_pylist() for c in ("bin", "h", "ids", "text"))
+            rows, live = [], []
+            for i, b in enumerate(bins):
+                if b != now:
+                    now, encoder = b, ChunkEncoder(codec)
+                if h[i] is not None:
+                    encoder.shared[h[i]] = ids[i]
+                else:
+                    live.append(i)
+                    rows.append(out.row(encoder, texts[i]))
+            yield out.batch(batch.column("doc_id").take(pa.array(live, pa.int64())), rows)
+
+    return run
+
+
+def _alone(spec, with_ids: bool):
+    def run(batches):
+        codec = bpe.of(spec.value)
+        out, encoder = Digests(codec, with_ids), ChunkEncoder(codec)
+        for batch in batches:
+            yield out.batch(batch.column("doc_id"), [out.row(encoder, t) for t in batch.column("text").to_pylist()])
+
+    return run
+
+
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row (and ids, if asked for).
 
-    Null texts count as empty and have no ids; repeated ids give repeated rows;
-    other columns are not read.  ``tokenizer`` is the vocabulary file, read on
-    the driver.
+    Null texts count as empty and have no ids; very long texts are encoded and
+    folded into their digests a part at a time; rows that repeat an id give a
+    row each, null ids too; an empty table gives no rows; other columns are not
+    read, whatever their names.  ``tokenizer`` is the vocabulary file, read on
+    the driver.  A vocabulary that isn't plain byte-level BPE is encoded text by
+    text, without chunks.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    spec = spark.sparkContext.broadcast(bpe.ByteBpe.read(tokenizer))
-    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
+    text = bpe.ByteBpe.read(tokenizer)
+    spec = spark.sparkContext.broadcast(text)
+    named = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kind = named.select("doc_id").dtypes[0][1]
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
+    if not bpe.is_plain(bpe.json.loads(text)):
+        return named.mapInArrow(_alone(spec, with_ids), schema)
+    folder = work_dir(spark)
+    total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_bins = max(partitions(spark), -(-total // BIN_BYTES))
+    binned = named.withColumn("bin", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_bins)).cast("int"))
+    by_bin = binned.select("bin", "text").mapInArrow(_digests_of_chunks(spec), "bin int, h binary")
+    shared = stored(by_bin.groupBy("h").agg(F.collect_set("bin").alias("bins")).where(F.size("bins") > 1), folder, "shared")
+    slot = F.conv(F.hex(F.substring("h", 1, 6)), 16, 10).cast("long")
+    bits = spark.sparkContext.broadcast(route_bitmap(shared, slot))
 
-    @F.pandas_udf(schema)
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = bpe.of(spec.value)
-        encoder = ChunkEncoder(codec)
-        names = [str(i) for i in range(len(codec.bytes))]
-        for s in batches:
-            rows = []
-            for text in s.fillna("").tolist():
-                n, of_ids, of_bytes, every = 0, hashlib.sha256(), hashlib.sha256(), []
-                tail = b""
-                for ids in encoder.parts(text):
-                    if ids:
-                        of_ids.update((("," if n else "") + ",".join([names[i] for i in ids])).encode())
-                        n += len(ids)
-                        tail += codec.decode_bytes(ids)
-                        whole = tail.decode("utf-8", "ignore").encode() if len(tail) > 4 and tail[-1] & 0x80 else tail
-                        of_bytes.update(whole.decode("utf-8", "replace").encode())
-                        tail = tail[len(whole) :]
-                        if with_ids:
-                            every += ids
-                of_bytes.update(tail.decode("utf-8", "replace").encode())
-                rows.append((n, of_ids.hexdigest(), of_bytes.hexdigest(), *([every] if with_ids else [])))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
-
-    return docs.select(F.col(id_col).alias("doc_id"), encode(F.col(text_col)).alias("e")).select("doc_id", "e.*")
+    # Each shared chunk is encoded once, by the task that its digest belongs to.
+    sent = named.select("text").mapInArrow(_shared_chunks(spec, bits), "h binary, chunk binary")
+    once = sent.repartition("h").sortWithinPartitions("h").mapInArrow(_encoded_once(spec), "h binary, ids binary")
+    ids = stored(once.join(shared, "h").select(F.explode("bins").alias("bin"), "h", "ids"), folder, "ids")
+
+    @F.pandas_udf("boolean")
+    def meets(texts):
+        codec, table = bpe.of(spec.value), bits.value
+        return texts.map(lambda t: any(_is_shared(table, digest(c)) for c in chunks(codec, t))).astype(bool)
+
+    routed = binned.withColumn("meets", meets("text"))
+    some = routed.where("meets").select("bin", F.lit(None).cast("binary").alias("h"), F.lit(None).cast("binary").alias("ids"), "doc_id", "text")
+    both = ids.select("bin", "h", "ids", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("string").alias("text")).unionAll(some)
+    ordered = both.repartition(min(n_bins, max(partitions(spark), 1 << 13)), "bin").sortWithinPartitions("bin", F.col("h").isNull())
+    found = stored(ordered.mapInArrow(_bins(spec, with_ids), schema), folder, "found")
+    rest = stored(routed.where("not meets").select("doc_id", "text").mapInArrow(_alone(spec, with_ids), schema), folder, "rest")
+    for name in ("shared", "ids"):
+        drop_path(spark, f"{folder}/{name}")
+    return found.unionAll(rest)

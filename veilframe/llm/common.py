@@ -5,12 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that one Arrow batch may hold (a longer row is a batch of its own).
 BATCH_BYTES = 4 << 20
 
+#: Rows of one key that may always come into one task, and the most keys that are broadcast because they have more.
+HOT_ROWS, HOT_KEYS = 1000, 100_000
+#: The least and the most bits of a routing bitmap, as powers of two.
+LEAST_BITS, MOST_BITS = 16, 27
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -25,15 +32,22 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared ``spark.checkpoint.dir``.
+    """A new folder below the cluster's shared ``spark.checkpoint.dir``, deleted when the driver ends.
 
-    Where that setting is absent (local runs, tests) a temporary folder is
-    used, which is right for a single machine only.
+    Where that setting is absent a temporary folder is used if the session runs
+    on one machine; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="veilframe-")
-    return f"{root.rstrip('/')}/vf-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/vf-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -77,29 +91,89 @@ def crc_mod(id_col: str, m: int):
     return F.crc32(F.col(id_col).cast("string")) % m
 
 
+def keep_columns(docs: DataFrame, **extra) -> DataFrame:
+    """The rows of ``docs`` as one column ``row`` beside ``extra`` columns, so that no name of theirs can clash."""
+    return docs.select(F.struct("*").alias("row"), *(col.alias(name) for name, col in extra.items()))
+
+
+def route_bitmap(rows: DataFrame, slot) -> np.ndarray:
+    """A bitmap with a bit for the long ``slot`` of each row; about 16 bits a row, from 8 KB to 16 MB.
+
+    ``slot`` counts modulo the bitmap's size.  More rows than fit saturate it:
+    then more is let through, never less.
+    """
+    bits = min(max((16 * rows.count()).bit_length(), LEAST_BITS), MOST_BITS)
+    at = slot.bitwiseAND(F.lit((1 << bits) - 1)) + 1
+    got = rows.select(F.bitmap_bucket_number(at).alias("b"), F.bitmap_bit_position(at).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in got:
+        out[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
+
+
+def marked(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    s = slots & (len(bits) * 8 - 1)
+    return (bits[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1
+
+
+def router(spark: SparkSession, bits: np.ndarray):
+    """A test of slots (longs) against a broadcast bitmap."""
+    sent = spark.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def test(slots: pd.Series) -> pd.Series:
+        return pd.Series(marked(sent.value, slots.to_numpy()))
+
+    return test
+
+
+def hot_limit(rows: int) -> int:
+    """How many rows of one key a task may meet; no more than HOT_KEYS keys have more, so that these can be broadcast."""
+    return max(HOT_ROWS, rows // HOT_KEYS)
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``keyed``, which has one row a key and in ``weight`` how many rows of ``rows`` have it.
+
+    Busy keys (at most HOT_KEYS) are broadcast, so none of them comes into one task.
+    """
+    limit = hot_limit(total)
+    if total <= limit:
+        return rows.join(keyed, keys, how)
+    hot = keyed.where(F.col(weight) > limit)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(keyed.where(F.col(weight) <= limit), keys, how)
+    return rows.join(F.broadcast(hot), keys).select(*cold.columns).unionAll(cold)
+
+
 def sample_by_label(docs: DataFrame, labels: DataFrame, label: str, allowed, per_class: int, max_chars: int):
     """A bounded, repeatable training sample: at most ``per_class`` rows of each
     of the labels 0 and 1, none longer than ``max_chars``.
 
     Ids are drawn first (top-k by a hash, a few bytes a row) and only their
-    texts are fetched, through a broadcast of at most ``2 * per_class`` ids.
+    texts are fetched, through a broadcast of at most ``2 * per_class`` ids.  An
+    id labelled both 0 and 1 isn't drawn; of rows that repeat an id the one
+    whose text hashes lowest is, so the sample is bounded by rows as well.
     """
+    value = F.col(label)
+    known = (
+        labels.where(value.isin(0, 1) & F.col("doc_id").isNotNull() & allowed)
+        .groupBy(F.col("doc_id").alias("_id"))
+        .agg(F.min(value).alias("_y"), F.max(value).alias("_other"))
+        .where("_y = _other")
+        .select("_id", F.col("_y").cast("int").alias("_y"))
+    )
     ids = None
-    for value in (0, 1):
-        part = (
-            labels.where((F.col(label) == value) & F.col("doc_id").isNotNull() & allowed)
-            .select(F.col("doc_id").alias("_id"), F.lit(value).alias("_y"))
-            .orderBy(F.xxhash64("_id"), "_id")
-            .limit(per_class)
-        )
+    for v in (0, 1):
+        part = known.where(F.col("_y") == v).orderBy(F.xxhash64("_id"), "_id").limit(per_class)
         ids = part if ids is None else ids.unionAll(part)
-    ids = ids.dropDuplicates(["_id"])
     got = (
         docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
         .where(F.col("_text").isNotNull() & (F.length("_text") <= max_chars))
         .join(F.broadcast(ids), "_id")
-        .select("_id", "_text", "_y")
+        .groupBy("_id", "_y")
+        .agg(F.min(F.struct(F.xxhash64("_text").alias("h"), F.col("_text").alias("t"))).alias("_t"))
+        .select("_id", F.col("_t.t").alias("_text"), "_y")
         .collect()
     )
-    got.sort(key=lambda r: (r["_id"], r["_text"]))
+    got.sort(key=lambda r: r["_id"])
     return [r["_text"] for r in got], [r["_y"] for r in got]

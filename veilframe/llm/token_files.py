@@ -177,9 +177,8 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
 
         for pdf in batches:
             for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
-                ids = codec.encode(text or "")
-                ids.append(END_ID)
-                held.append(np.array(ids, np.uint32))
+                ids = np.append(codec.array(text or ""), np.uint32(END_ID))
+                held.append(ids)
                 known.append(not pd.isna(doc_id))
                 doc_ids.append(int(doc_id) if known[-1] else 0)
                 counts.append(len(ids))
