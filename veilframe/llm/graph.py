@@ -2,34 +2,57 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import drop_path, stored
+from veilframe.llm.common import drop_path, hot_limit, stored
+
+
+def with_least(links: DataFrame, rows: int) -> DataFrame:
+    """``links`` (u, v) with the smallest v of each u as m; ``rows`` is their number or an upper bound.
+
+    A window finds it for ordinary nodes.  For hubs, of which there are few, it
+    is aggregated before the shuffle and broadcast, so no task meets all links of a hub.
+    """
+    window = F.min("v").over(Window.partitionBy("u"))
+    limit = hot_limit(rows)
+    if rows <= limit:
+        return links.withColumn("m", window)
+    hubs = links.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("u", "m")
+    cold = links.join(F.broadcast(hubs.select("u")), "u", "left_anti").withColumn("m", window)
+    return links.join(F.broadcast(hubs), "u").select("u", "v", "m").unionAll(cold.select("u", "v", "m"))
 
 
-def components(links: DataFrame, folder: str, name: str = "cc", rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, folder: str, name: str = "cc") -> DataFrame:
     """(node, comp) of every node that has a link; comp is its component's smallest node.
 
     Alternates large-star and small-star steps: each moves every neighbour of a
-    node to the smallest one, by a window over the node that spills if a node is
-    very busy, until nothing changes.  Each round is written to ``folder``.
+    node to the smallest one, until nothing changes, however many rounds that
+    takes (their number grows with the logarithm of the longest path).  Each
+    round is written to ``folder``, and the one before it dropped.
     """
     spark = links.sparkSession
     u, v = F.col("u"), F.col("v")
+
+    def state_of(df: DataFrame):
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
     now = stored(links.toDF("u", "v").where("u is not null and v is not null and u <> v").select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), folder, f"{name}-0")
-    state, past = None, f"{folder}/{name}-0"
-    for i in range(1, rounds + 1):
-        least = F.min("v").over(Window.partitionBy("u"))
+    state, past = state_of(now), f"{folder}/{name}-0"
+    for i in itertools.count(1):
+        if not state[0]:
+            break
         both = now.unionAll(now.select(v.alias("u"), u.alias("v")))
-        large = both.withColumn("m", F.least(u, least)).where("v > u").select(v.alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        stars = large.withColumn("m", least)
+        large = with_least(both, 2 * state[0]).withColumn("m", F.least(u, "m")).where("v > u").select(v.alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        stars = with_least(large, 2 * state[0])
         small = stars.select(F.explode(F.array(F.struct(u.alias("u"), F.col("m").alias("v")), F.struct(v.alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         now = stored(small, folder, f"{name}-{i}")
         drop_path(spark, past)
         past = f"{folder}/{name}-{i}"
-        row = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if (row[0], row[1]) == state:
+        got = state_of(now)
+        if got == state:
             break
-        state = (row[0], row[1])
+        state = got
     return now.select(F.col("u").alias("node"), v.alias("comp")).unionAll(now.select(v.alias("node"), v.alias("comp")).distinct())
