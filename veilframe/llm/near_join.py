@@ -25,15 +25,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import drop_path, small_batches, stored, work_dir
+from veilframe.llm.common import drop_path, hot_limit, join_hot, keep_columns, marked, route_bitmap, router, small_batches, stored, work_dir
 from veilframe.llm.graph import components
 from veilframe.llm.textvec import PLACES, mixed, word_hashes
 
 SHINGLE, PERCENT = 4, 85
-#: Rows and cells of the counting sketch (16 MB when broadcast, whatever the input), its blocks, its steps to a logarithm of 1.
-ROWS, CELL_BITS, BLOCK_BITS, STEPS = 2, 22, 15, 2600
-#: Bits of the bitmap of classes to be verified: 1 MB, whatever the input.
-ROUTE_BITS = 23
+#: Rows of the counting sketch, its blocks, its steps to a logarithm of 1.
+ROWS, BLOCK_BITS, STEPS = 2, 15, 2600
+#: Bytes of text for each cell of a row, and the least and most cells as powers of two (4 bytes of broadcast a cell).
+CELL_BYTES, LEAST_CELLS, MOST_CELLS = 256, 16, 24
+#: Shingles that the sketch has seen more often are busy: what meets in one task is then aggregated or salted first.
+BUSY = 1000
+#: Tasks that the groups of a busy shingle, or the pairs of a busy class, are dealt over.
+SALTS = 16
 #: Bytes of a text whose words are split at a time.
 SLICE = 1 << 20
 
@@ -71,20 +75,20 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def _cells(hashes: np.ndarray, row: int) -> np.ndarray:
+def _cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
     """The cell of each shingle in one of the sketch's rows."""
     h = hashes if row == 0 else hashes * PLACES[4]
-    return (h >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _sketch(k: int):
+def _sketch(k: int, bits: int):
     def run(batches):
-        cells = np.zeros((ROWS, 1 << CELL_BITS), np.uint32)
+        cells = np.zeros((ROWS, 1 << bits), np.uint32)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 s = shingles(text or "", k)
                 for r in range(ROWS):
-                    np.add.at(cells[r], _cells(s, r), 1)
+                    np.add.at(cells[r], _cells(s, r, bits), 1)
         if cells.any():
             blocks = cells.reshape(-1, 1 << BLOCK_BITS)
             for at in range(0, len(blocks), 16):
@@ -98,8 +102,10 @@ def shingle_counts(docs: DataFrame, k: int = SHINGLE) -> np.ndarray:
     """The merged count-min sketch: how often shingles of each cell occur over all documents, a line for each of its rows.
 
     Counts are kept as logarithms in steps of about 0.04 %, which is finer than
-    their noise and halves what is broadcast.
+    their noise and halves what is broadcast.  The cells grow with the text.
     """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(max((size // CELL_BYTES).bit_length(), LEAST_CELLS), MOST_CELLS)
 
     def add(key, pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(1 << BLOCK_BITS, np.int64)
@@ -107,8 +113,8 @@ def shingle_counts(docs: DataFrame, k: int = SHINGLE) -> np.ndarray:
             total += np.frombuffer(c, np.uint8 if len(c) == 1 << BLOCK_BITS else np.uint32)
         return pd.DataFrame({"block": [key[0]], "cells": [np.round(np.log1p(total) * STEPS).astype(np.uint16).tobytes()]})
 
-    rows = docs.select("text").mapInArrow(_sketch(k), "block int, cells binary").groupBy("block").applyInPandas(add, "block int, cells binary").collect()
-    out = np.zeros((ROWS << CELL_BITS >> BLOCK_BITS, 1 << BLOCK_BITS), np.uint16)
+    rows = docs.select("text").mapInArrow(_sketch(k, bits), "block int, cells binary").groupBy("block").applyInPandas(add, "block int, cells binary").collect()
+    out = np.zeros((ROWS << bits >> BLOCK_BITS, 1 << BLOCK_BITS), np.uint16)
     for r in rows:
         out[r["block"]] = np.frombuffer(r["cells"], np.uint16)
     return out.reshape(ROWS, -1)
@@ -116,10 +122,12 @@ def shingle_counts(docs: DataFrame, k: int = SHINGLE) -> np.ndarray:
 
 def frequency(counts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """The sketch's estimate of how often each shingle occurs, as a logarithm; the same for all documents."""
-    return np.minimum.reduce([counts[r][_cells(hashes, r)] for r in range(ROWS)])
+    bits = counts.shape[1].bit_length() - 1
+    return np.minimum.reduce([counts[r][_cells(hashes, r, bits)] for r in range(ROWS)])
 
 
 def _signatures(sent, k: int, percent: int):
+    busy = int(np.log1p(BUSY) * STEPS)
     weights = np.random.default_rng(17).integers(1, 1 << 63, 4, dtype=np.uint64) | np.uint64(1)
 
     def digest(values: np.ndarray) -> list[int]:
@@ -130,18 +138,21 @@ def _signatures(sent, k: int, percent: int):
     def run(batches):
         counts = sent.value
         for batch in batches:
-            ids, n, marks, prefixes = batch.column(0), [], [], []
+            ids, n, marks, prefixes, calm = batch.column(0), [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text or "", k)
-                order = np.argsort(frequency(counts, s), kind="stable")
-                p = s[order[: prefix_length(len(s), percent)]] if len(s) else s
+                often = frequency(counts, s)
+                order = np.argsort(often, kind="stable")
+                order = order[: prefix_length(len(s), percent)] if len(s) else order
+                p = s[order]
+                calm.append(int((often[order] <= busy).sum()))
                 n.append(len(s))
                 marks.append(digest(s) + digest(p))
                 prefixes.append(p.astype(np.int64))
             cols = list(zip(*marks)) if marks else [()] * 4
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             values = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), *(pa.array(c, pa.int64()) for c in cols), pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "n", "h1", "h2", "p1", "p2", "prefix"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), *(pa.array(c, pa.int64()) for c in cols), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(calm, pa.int32())], ["doc_id", "n", "h1", "h2", "p1", "p2", "prefix", "calm"])
 
     return run
 
@@ -151,7 +162,7 @@ def _sets(bits, k: int):
         for batch in batches:
             ids, keep, sets = batch.column(0), [], []
             slots = batch.column(2).to_numpy(zero_copy_only=False)
-            wanted = np.flatnonzero((bits.value[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1)
+            wanted = np.flatnonzero(marked(bits.value, slots))
             texts = batch.column(1).take(pa.array(wanted)).to_pylist()
             for i, text in zip(wanted.tolist(), texts):
                 s = shingles(text or "", k).astype(np.int64)
@@ -165,19 +176,6 @@ def _sets(bits, k: int):
     return run
 
 
-def _slot(col):
-    return F.xxhash64(col).bitwiseAND(F.lit((1 << ROUTE_BITS) - 1))
-
-
-def _bitmap(ids: DataFrame, col: str) -> np.ndarray:
-    slot = _slot(col) + 1
-    rows = ids.select(F.bitmap_bucket_number(slot).alias("b"), F.bitmap_bit_position(slot).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
-    out = np.zeros((1 << ROUTE_BITS) // 8, np.uint8)
-    for r in rows:
-        out[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out
-
-
 def _near_in_size(a: str, b: str, percent: int):
     return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
@@ -187,43 +185,58 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Returns one row per input row: doc_id, n_shingles, component_id (smallest
     id reachable).  Null and empty texts have no shingles and link with
-    nothing; texts shorter than a shingle are one shingle.  Rows that repeat an
-    id are one node, linked by the texts of either; a null id links with
-    nothing.  Other columns are not read.
+    nothing; texts shorter than a shingle are one shingle; very long texts are
+    read whole.  Rows that repeat an id are one node, linked by the texts of
+    either; a null id links with nothing.  Other columns are not read, an empty
+    table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
     folder = work_dir(spark)
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     counts = spark.sparkContext.broadcast(shingle_counts(named, shingle))
-    sig = stored(named.mapInArrow(_signatures(counts, shingle, percent), "doc_id long, n long, h1 long, h2 long, p1 long, p2 long, prefix array<long>"), folder, "signatures")
+    sig = stored(named.mapInArrow(_signatures(counts, shingle, percent), "doc_id long, n long, h1 long, h2 long, p1 long, p2 long, prefix array<long>, calm int"), folder, "signatures")
     keys = ["n", "p1", "p2", "h1", "h2"]
     live = sig.where("n > 0 and doc_id is not null")
-    classes = live.groupBy(*keys).agg(F.min("doc_id").alias("cid"))
+    classes = live.groupBy(*keys).agg(F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("rows"))
     groups = classes.groupBy("n", "p1", "p2").agg(F.min("cid").alias("gid"), F.count(F.lit(1)).alias("members"))
     classes = stored(classes.join(groups, ["n", "p1", "p2"]), folder, "classes")
-
-    # Postings of groups.  A shingle leads on only where the next smaller or larger group that has it is near in size.
-    heads = classes.where("cid = gid").select("n", "p1", "p2", "gid").distinct().withColumnRenamed("gid", "doc_id")
-    postings = sig.join(heads, ["doc_id", "n", "p1", "p2"], "left_semi").select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("gid"), "n")
-    over = Window.partitionBy("token")
-    below, above = F.lag("n").over(over.orderBy("n", "gid")), F.lead("n").over(over.orderBy("n", "gid"))
+    total = classes.agg(F.sum("rows")).first()[0] or 0
+
+    # Postings of groups.  A shingle leads on only where the next smaller or larger group that has it is near in size; a busy
+    # one always does.
+    heads = classes.where("cid = gid").select("n", "p1", "p2", F.col("gid").alias("doc_id"))
+    postings = sig.join(heads, ["doc_id", "n", "p1", "p2"], "left_semi").select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("gid"), "n", "calm")
+    over = Window.partitionBy("token").orderBy("n", "gid")
+    below, above = F.lag("n").over(over), F.lead("n").over(over)
     near = (F.coalesce(below, F.lit(0)) * 100 >= F.col("n") * percent) | (F.coalesce(F.col("n") * 100 >= above * percent, F.lit(False)))
-    shared = postings.withColumn("near", near).where("near").select("token", "gid", "n", "pos", F.count(F.lit(1)).over(Window.partitionBy("gid")).alias("k"))
-    shared = stored(shared, folder, "shared")
+    fields = ["token", "gid", "n", "pos"]
+    calm = postings.where("pos < calm").withColumn("near", near).where("near").select(*fields, F.lit(False).alias("busy"))
+    shared = stored(calm.unionAll(postings.where("pos >= calm").select(*fields, F.lit(True).alias("busy"))), folder, "postings")
+    kept = shared.groupBy("gid").agg(F.count(F.lit(1)).alias("k"))
+    shared = stored(shared.join(kept, "gid").select(*fields, "k", "busy"), folder, "shared")
+    drop_path(spark, f"{folder}/postings")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """Links among the pairs (a, b) of classes; only the texts of these classes are read as sets."""
+        """Links among the pairs (a, b) of classes; only the texts of these classes are read as sets.
+
+        Each pair brings the set of its b; that of a comes once a task.
+        """
         pairs = stored(pairs.where("a <> b").distinct(), folder, f"pairs-{name}")
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("cid"))
-        bits = spark.sparkContext.broadcast(_bitmap(asked, "cid"))
-        sets = named.select("doc_id", "text", _slot("doc_id").alias("slot")).where("doc_id is not null").mapInArrow(_sets(bits, shingle), "cid long, set array<long>")
-        sets = stored(sets.join(asked.distinct(), "cid", "left_semi"), folder, f"sets-{name}")
+        asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), folder, f"asked-{name}")
+        bits = spark.sparkContext.broadcast(route_bitmap(asked, F.xxhash64("cid")))
+        sets = named.select("doc_id", "text", F.xxhash64("doc_id").alias("slot")).where("doc_id is not null").mapInArrow(_sets(bits, shingle), "cid long, set array<long>")
+        sets = stored(sets.join(asked, "cid", "left_semi"), folder, f"sets-{name}")
+        limit = hot_limit(pairs.count())
+        hubs = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > limit).select("a", F.ceil(F.col("c") / limit).alias("slices"))
+        sliced = pairs.join(F.broadcast(hubs), "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), "slices"), F.lit(0)).alias("slice"))
+        left = sets.toDF("a", "sa").join(F.broadcast(hubs), "a", "left").select("a", "sa", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("slices", F.lit(1)) - 1)).alias("slice"))
         both = F.size(F.array_intersect("sa", "sb"))
         union = F.size("sa") + F.size("sb") - both
-        left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
-        links = stored(pairs.join(left, "a").join(right, "b").where(both * 100 >= union * percent).select("a", "b").distinct(), folder, f"links-{name}")
-        drop_path(spark, f"{folder}/sets-{name}")
+        met = sliced.join(sets.toDF("b", "sb"), "b").join(left, ["a", "slice"])
+        links = stored(met.where(both * 100 >= union * percent).select("a", "b").distinct(), folder, f"links-{name}")
+        for part in ("sets", "asked", "pairs"):
+            drop_path(spark, f"{folder}/{part}-{name}")
         return links
 
     # Rounds of single neighbours: of the groups that share a shingle the one that shares most of its shingles (what copies
@@ -241,14 +254,22 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     comps = stored(comps, folder, "comps")
     # A group's members can lie in several components; only groups that lie in one and the same have nothing to find.
     spread = comps.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    marked = shared.join(spread, "gid")
-    marked = marked.withColumn("first", F.min("lo").over(over)).withColumn("last", F.max("hi").over(over)).where("first <> last")
-    marked = stored(marked.select("token", "gid", "n", "pos", "lo", "hi"), folder, "open")
-    x, y = marked.toDF("token", "ga", "na", "pa", "la", "ha"), marked.toDF("token", "gb", "nb", "pb", "lb", "hb")
+    placed = stored(shared.join(spread, "gid").select(*fields, "lo", "hi", "busy"), folder, "placed")
+    whole = Window.partitionBy("token")
+    calm = placed.where("not busy").withColumn("first", F.min("lo").over(whole)).withColumn("last", F.max("hi").over(whole)).where("first <> last")
+    ends = placed.where("busy").groupBy("token").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where("first <> last")
+    busy = _salted(placed.where("busy"), ends)
+    names = [*fields, "lo", "hi", "busy"]
+    open_ = stored(calm.select(*names).unionAll(busy.select(*names)), folder, "open")
+    # Of a busy shingle each block of groups meets all groups in a task of its own.
+    blocks = F.when(F.col("busy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    own = F.when(F.col("busy"), F.pmod(F.xxhash64("gid"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    x = open_.select("token", own.alias("block"), *fields[1:], "lo", "hi").toDF("token", "block", "ga", "na", "pa", "la", "ha")
+    y = open_.select("token", F.explode(blocks).alias("block"), *fields[1:], "lo", "hi").toDF("token", "block", "gb", "nb", "pb", "lb", "hb")
     # A pair needs a shingle early enough in both sets: with what follows it they can still overlap enough.
     early = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= _least_overlap(percent)
     differ = F.least("la", "lb") != F.greatest("ha", "hb")
-    across = x.join(y, "token").where((F.col("ga") < F.col("gb")) & differ & _near_in_size("na", "nb", percent) & early).select("ga", "gb").distinct()
+    across = x.join(y, ["token", "block"]).where((F.col("ga") < F.col("gb")) & differ & _near_in_size("na", "nb", percent) & early).select("ga", "gb").distinct()
     # Components are paired before members, so that only members to be verified are.
     parts = comps.select("gid", "comp").distinct()
     apart = across.join(parts.toDF("ga", "ca"), "ga").join(parts.toDF("gb", "cb"), "gb").where("ca <> cb")
@@ -256,17 +277,25 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own = comps.join(classes.where("members > 1").select("gid", "cid").distinct(), ["gid", "cid"], "left_semi")
     within = own.toDF("gid", "a", "ca").join(own.toDF("gid", "b", "cb"), "gid").where("ca < cb").select("a", "b")
     links = links.unionAll(verified(wide.unionAll(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "rest"))
-    members = stored(live.select("doc_id", *keys).join(classes.select(*keys, "cid"), keys).select("doc_id", "n", "cid"), folder, "members")
+    members = join_hot(live.select("doc_id", *keys), classes.select(*keys, "cid", "rows"), keys, "rows", total)
+    members = stored(members.select("doc_id", "n", "cid"), folder, "members")
     twice = members.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("hi")).where("a <> hi").select("doc_id", "a")
     links = links.unionAll(members.join(twice, "doc_id").select("a", F.col("cid").alias("b")))
     comps = components(links, folder, "components").withColumnRenamed("node", "cid")
-    found = members.join(comps, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "cid").alias("component_id"))
+    of_class = classes.select("cid", "n", "rows").groupBy("cid").agg(F.sum("rows").alias("rows")).join(comps, "cid")
+    found = join_hot(members, of_class, ["cid"], "rows", total, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "cid").alias("component_id"))
     rest = stored(sig.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")), folder, "rest")
-    for name in ("signatures", "classes", "shared", "comps", "open"):
+    for name in ("signatures", "shared", "comps", "placed", "open"):
         drop_path(spark, f"{folder}/{name}")
     return found.unionAll(rest)
 
 
+def _salted(rows: DataFrame, by_token: DataFrame) -> DataFrame:
+    """``rows`` joined with the one row of their token, a busy token's rows dealt over SALTS tasks."""
+    salt = F.pmod(F.xxhash64("gid"), F.lit(SALTS)).cast("int")
+    return rows.withColumn("salt", salt).join(by_token.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["token", "salt"]).drop("salt")
+
+
 def _least_overlap(percent: int):
     """The overlap that sets of na and nb shingles need."""
     return F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
@@ -283,12 +312,16 @@ def _least_shared(percent: int):
 
 
 def _single(shared: DataFrame, order, percent: int) -> DataFrame:
-    """Each group with the first one, by ``order``, of each of its shingles, if they share enough of them."""
+    """Each group (b) with the first one (a), by ``order``, of each of its shingles, if they share enough of them."""
     over = Window.partitionBy("token").orderBy("o", "gid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    head = F.first(F.struct("gid", "n")).over(over)
-    pairs = shared.withColumn("o", order).withColumn("h", head).select(F.col("h.gid").alias("ga"), F.col("gid").alias("gb"), F.col("h.n").alias("na"), F.col("n").alias("nb"))
+    ordered = shared.withColumn("o", order)
+    head = F.struct("o", "gid", "n")
+    calm = ordered.where("not busy").withColumn("h", F.first(head).over(over))
+    busy = _salted(ordered.where("busy"), ordered.where("busy").groupBy("token").agg(F.min(head).alias("h")))
+    names = [F.col("h.gid").alias("ga"), F.col("gid").alias("gb"), F.col("h.n").alias("na"), F.col("n").alias("nb")]
+    pairs = calm.select(*names).unionAll(busy.select(*names))
     counted = pairs.where((F.col("ga") != F.col("gb")) & _near_in_size("na", "nb", percent)).groupBy("ga", "gb", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
-    return counted.where(F.col("c") >= _least_shared(percent)).select(F.least("ga", "gb").alias("a"), F.greatest("ga", "gb").alias("b"))
+    return counted.where(F.col("c") >= _least_shared(percent)).select(F.col("ga").alias("a"), F.col("gb").alias("b"))
 
 
 def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
@@ -300,18 +333,17 @@ def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` without those that another of their component stands for.
 
-    Of each component the smallest id stays.  Only rows that a bitmap of the
-    dropped ids lets through are shuffled, so most texts stay where they are.
+    Of each component the smallest id stays; rows that repeat it all stay.  Null
+    and empty texts and null ids link with nothing and stay.  All columns are
+    kept, whatever their names; an empty table stays empty.  Only rows that a
+    bitmap of the dropped ids lets through are shuffled, so most texts stay
+    where they are.
     """
     spark = docs.sparkSession
-    gone = stored(jaccard_join(docs, id_col, text_col, shingle, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), work_dir(spark), "gone")
-    bits = spark.sparkContext.broadcast(_bitmap(gone, "_gone"))
-
-    @F.pandas_udf("boolean")
-    def maybe(slots: pd.Series) -> pd.Series:
-        s = slots.to_numpy()
-        return pd.Series((bits.value[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1)
-
-    marked = docs.withColumn("_maybe", maybe(_slot(F.col(id_col).cast("long"))))
-    checked = marked.where("_maybe").join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    return marked.where("not _maybe").unionAll(checked).select(*docs.columns)
+    found = jaccard_join(docs, id_col, text_col, shingle, percent)
+    gone = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), work_dir(spark), "gone")
+    maybe = router(spark, route_bitmap(gone, F.xxhash64("doc_id")))
+    doc_id = F.col(id_col).cast("long")
+    rows = keep_columns(docs, doc_id=doc_id, maybe=maybe(F.xxhash64(doc_id)))
+    checked = rows.where("maybe").join(gone, "doc_id", "left_anti")
+    return rows.where("not maybe").select("row.*").unionAll(checked.select("row.*"))
