@@ -14,11 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import partitions, small_batches, stored, work_dir
+from veilframe.llm.common import drop_path, join_hot, keep_columns, partitions, route_bitmap, router, small_batches, stored, work_dir
 
 FP_BITS = 48
-#: Bits of the broadcast routing bitmap: 2**23 bits are 1 MB, whatever the input.
-ROUTE_BITS = 23
 #: Fingerprints that a partition gathers before it writes out its filters.
 FLUSH = 1 << 20
 
@@ -139,50 +137,40 @@ def repeated_fingerprints(fingerprints: DataFrame) -> DataFrame:
     return blobs.groupBy("range_id").applyInPandas(_merge(ranges), "fp long, n long")
 
 
-def routing_bitmap(fps: DataFrame) -> np.ndarray:
-    """A bitmap of 2**ROUTE_BITS bits of the fingerprints' low bits, at most 1 MB on the driver."""
-    slot = F.col("fp").bitwiseAND(F.lit((1 << ROUTE_BITS) - 1)) + 1
-    rows = (
-        fps.select(F.bitmap_bucket_number(slot).alias("b"), F.bitmap_bit_position(slot).alias("p"))
-        .groupBy("b")
-        .agg(F.bitmap_construct_agg("p").alias("bits"))
-        .collect()
-    )
-    out = np.zeros((1 << ROUTE_BITS) // 8, np.uint8)
-    for r in rows:
-        at = (r["b"] - 1) * 4096
-        out[at : at + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out
-
-
 def _fingerprint(text):
     return F.shiftrightunsigned(F.xxhash64(text), 64 - FP_BITS)
 
 
-def _router(docs: DataFrame, fps: DataFrame):
-    """A test of fingerprints: whether byte verification has to see their rows."""
-    bits = docs.sparkSession.sparkContext.broadcast(routing_bitmap(repeated_fingerprints(fps)))
+def _sha(text):
+    return F.unhex(F.sha2(text, 256))
 
-    @F.pandas_udf("boolean")
-    def routed(fps: pd.Series) -> pd.Series:
-        slots = fps.to_numpy() & ((1 << ROUTE_BITS) - 1)
-        return pd.Series((bits.value[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1)
 
-    return routed
+def _narrow(docs: DataFrame, folder: str, id_col: str, text_col: str):
+    """(doc_id, fp, sha) of every row, and a test of fingerprints: whether byte verification has to see their rows."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    narrow = stored(docs.select(F.col(id_col).alias("doc_id"), _fingerprint(text).alias("fp"), _sha(text).alias("sha")), folder, "narrow")
+    repeated = stored(repeated_fingerprints(narrow), folder, "repeated")
+    return narrow, router(docs.sparkSession, route_bitmap(repeated, F.col("fp")))
 
 
 def _verified(docs: DataFrame, routed, id_col: str, text_col: str) -> DataFrame:
-    """(sha, keep, n) of each text that stands in more than one row, compared byte by byte."""
+    """(sha, keep, n) of each text that stands in more than one row, compared byte by byte; copies are added up before the shuffle."""
     return (
         docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-        .where(routed(_fingerprint("body")))
+        .where(routed(_fingerprint(F.col("body"))))
         .groupBy("body")
         .agg(F.max("doc_id").alias("keep"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
-        .select(F.unhex(F.sha2("body", 256)).alias("sha"), "keep", "n")
+        .select(_sha(F.col("body")).alias("sha"), "keep", "n")
     )
 
 
+def _grouped(narrow: DataFrame, routed, groups: DataFrame):
+    """(routed rows with keep and n, null where a row is alone; the rows that aren't routed)."""
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    return join_hot(narrow.where(routed("fp")), groups, ["sha"], "n", total, "left"), narrow.where(~routed("fp"))
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Group rows with equal texts; of a group the row with the largest id stays.
 
@@ -193,11 +181,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     small_batches(docs.sparkSession)
     folder = work_dir(docs.sparkSession)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    narrow = stored(docs.select(F.col(id_col).alias("doc_id"), _fingerprint(text).alias("fp"), F.unhex(F.sha2(text, 256)).alias("sha")), folder, "narrow")
-    groups = stored(_verified(docs, _router(docs, narrow), id_col, text_col), folder, "groups")
+    narrow, routed = _narrow(docs, folder, id_col, text_col)
+    groups = stored(_verified(docs, routed, id_col, text_col), folder, "groups")
+    some, alone = _grouped(narrow, routed, groups)
+    kind = dict(narrow.dtypes)["doc_id"]
+    every = some.select("doc_id", "sha", "keep", "n").unionAll(alone.select("doc_id", "sha", F.lit(None).cast(kind), F.lit(None).cast("long")))
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep"))
-    return narrow.join(groups, "sha", "left").select(
+    return every.select(
         "doc_id",
         keep.alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
@@ -209,15 +199,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with one row, that of the largest id, for each text.
 
-    Rows whose fingerprint occurs once stay where they are; only the others are
-    shuffled.  All columns are kept.
+    A null text counts as empty, a null id stays only where its text has no
+    other; of rows that repeat both the id that stays and the text, any one
+    stays.  All columns are kept, whatever their names; an empty table stays
+    empty.  Digests decide which rows may stay, and only these few rows' texts
+    are shuffled, for an exact check: rows whose fingerprint occurs once stay
+    where they are, and rows that lose to another go where they are.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
+    folder = work_dir(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    routed = _router(docs, docs.select(_fingerprint(text).alias("fp")))
-    groups = stored(_verified(docs, routed, id_col, text_col), work_dir(docs.sparkSession), "groups").toDF("_sha", "_keep", "_n")
-    marked = docs.withColumn("_fp", _fingerprint(text)).withColumn("_routed", routed("_fp"))
-    some = marked.where("_routed").withColumn("_sha", F.unhex(F.sha2(text, 256))).join(groups, "_sha", "left").where(F.col("_n").isNull() | F.col(id_col).eqNullSafe(F.col("_keep")))
-    alone = some.where("_n is null").select(*docs.columns)
-    one = some.where("_n is not null").dropDuplicates(["_sha"]).select(*docs.columns)
-    return marked.where("not _routed").select(*docs.columns).unionAll(alone).unionAll(one)
+    narrow, routed = _narrow(docs, folder, id_col, text_col)
+    groups = stored(_verified(docs, routed, id_col, text_col), folder, "groups")
+    some, _ = _grouped(narrow, routed, groups)
+    slot = F.xxhash64("doc_id", "sha")
+    stays = some.where(F.col("n").isNull() | F.col("doc_id").eqNullSafe(F.col("keep"))).select("doc_id", "sha")
+    may_stay = router(spark, route_bitmap(stored(stays, folder, "stays"), slot))
+    rows = keep_columns(docs, doc_id=F.col(id_col), sha=_sha(text), routed=routed(_fingerprint(text)))
+    asked = rows.where("routed").withColumn("may", may_stay(slot)).where("may").groupBy("sha", "doc_id").agg(F.first("row").alias("row"))
+    sure = asked.join(groups, "sha", "left").where(F.col("n").isNull() | F.col("doc_id").eqNullSafe(F.col("keep")))
+    drop_path(spark, f"{folder}/narrow")
+    return rows.where("not routed").select("row.*").unionAll(sure.select("row.*"))
