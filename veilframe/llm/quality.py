@@ -125,12 +125,13 @@ def scores(texts: list[str], folded: np.ndarray, bias: float, bits: int = BITS)
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, label: str = "quality", per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> tuple[np.ndarray, float]:
     """Folded vectors and bias of a model of at most ``per_class`` rows of each class.
 
-    Without labels of both classes every text scores 1.
+    With labels of one class alone every text scores about that class, without
+    any label one half.
     """
     allowed = F.lit(True) if allowed is None else allowed
     texts, y = sample_by_label(docs, labels, label, allowed, per_class, max_chars)
     if not any(y) or all(y):
-        return np.zeros(1 << BITS, np.float32), 30.0
+        return np.zeros(1 << BITS, np.float32), 30.0 if any(y) else -30.0 if y else 0.0
     population = {r[label]: r["count"] for r in labels.where(allowed & F.col(label).isin(0, 1)).groupBy(label).count().collect()}
     model = train(texts, y)
     return model.folded(), float(model.bias[1] - model.bias[0]) + prior_shift(population, y)

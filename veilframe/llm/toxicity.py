@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import crc_mod, sample_by_label, small_batches
+from veilframe.llm.common import crc_mod, keep_columns, sample_by_label, small_batches
 from veilframe.llm.textvec import PLACES, mixed, prior_shift, word_hashes
 
 WORD = re.compile(r"[^\W_]+")
@@ -104,12 +104,13 @@ def scores(texts: list[str], model: SparseLogit, dense: np.ndarray) -> np.ndarra
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, label: str = "toxic", per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> SparseLogit:
     """A model of at most ``per_class`` rows of each class, none longer than ``max_chars``.
 
-    Without any usable label the model is empty and scores everything 0.
+    Without any usable label, or with labels 0 alone, the model is empty and
+    scores everything about 0; with labels 1 alone about 1.
     """
     allowed = F.lit(True) if allowed is None else allowed
     texts, y = sample_by_label(docs, labels, label, allowed, per_class, max_chars)
-    if not any(y):
-        return SparseLogit(np.zeros(0, np.int64), np.zeros(0, np.float32), -30.0)
+    if not any(y) or all(y):
+        return SparseLogit(np.zeros(0, np.int64), np.zeros(0, np.float32), 30.0 if any(y) else -30.0)
     population = {r[label]: r["count"] for r in labels.where(allowed & F.col(label).isin(0, 1)).groupBy(label).count().collect()}
     got = train(_drained(texts), y)
     return SparseLogit(got.buckets, got.weights, got.bias + prior_shift(population, y), got.bits)
@@ -156,8 +157,13 @@ def toxicity_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
+    """The rows of ``docs`` that score below ``threshold``, with all their columns, whatever their names.
+
+    Null and empty texts score by the bias alone, very long ones as a whole;
+    rows that repeat an id are scored each by its own text, null ids too; an
+    empty table stays empty.
+    """
     small_batches(docs.sparkSession)
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     score = scorer(docs.sparkSession, fit(named, labels, allowed))
-    return docs.withColumn("_score", score(F.col(text_col))).where(F.col("_score") < threshold).select(*docs.columns)
+    return keep_columns(docs, score=score(F.col(text_col))).where(F.col("score") < threshold).select("row.*")
