@@ -17,13 +17,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import stored, word_count, work_dir
+from veilframe.llm.common import keep_columns, stored, word_count, work_dir
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MAX_REPEAT = 2
-#: Words in a shard, and the most shards that the driver's plan may list.
-SHARD_WORDS, MAX_SHARDS = 1 << 18, 1 << 16
+#: Words and documents in a shard, and the most shards that the driver's plan may list besides one a source.
+SHARD_WORDS, SHARD_ROWS, MAX_SHARDS = 1 << 18, 1 << 16, 1 << 16
 #: The longest block, and the most blocks over all shards.
 BLOCK_WORDS, MAX_BLOCKS = 1024, 1 << 30
 #: Rows of the plan up to which it is broadcast; a longer one is joined by shuffle.
@@ -37,22 +37,19 @@ def water_fill(sizes: list[int], weights: list[float], share: float = SHARE, rep
     none is above its cap.
     """
     target = [0.0] * len(sizes)
-    open_ = [i for i, s in enumerate(sizes) if s > 0]
-    for i in range(len(sizes)):
-        if sizes[i] <= 0:
-            target[i] = 0.0
     left = share * sum(sizes)
-    while open_:
-        whole = sum(weights[i] for i in open_)
-        over = [i for i in open_ if left * weights[i] / whole > repeat * sizes[i]]
-        if not over:
-            for i in open_:
-                target[i] = left * weights[i] / whole
+    # Sources reach their caps in the order of cap over weight.
+    open_ = sorted((i for i, s in enumerate(sizes) if s > 0), key=lambda i: (repeat * sizes[i] / weights[i], i))
+    whole = sum(weights[i] for i in open_)
+    for at, i in enumerate(open_):
+        cap = float(repeat * sizes[i])
+        if left * weights[i] / whole <= cap:
+            for j in open_[at:]:
+                target[j] = left * weights[j] / whole
             break
-        for i in over:
-            target[i] = float(repeat * sizes[i])
-        left -= sum(target[i] for i in over)
-        open_ = [i for i in open_ if i not in set(over)]
+        target[i] = cap
+        left -= cap
+        whole -= weights[i]
     return target
 
 
@@ -74,7 +71,8 @@ def sainte_lague(weights, seats: int, caps) -> np.ndarray:
             lo = mid
         else:
             hi = mid
-    got = np.minimum(np.floor(w / hi + 0.5), caps).astype(np.int64)
+    # A little above that divisor no seat is dealt that ties with another by less than rounding errors.
+    got = np.minimum(np.floor(w / (hi * (1 + 1e-9)) + 0.5), caps).astype(np.int64)
     queue = [(-w[i] / (2 * got[i] + 1), i) for i in np.flatnonzero(got < caps)]
     heapq.heapify(queue)
     for _ in range(seats - int(got.sum())):
@@ -129,36 +127,42 @@ def mix_sources(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", text_co
     """How many words of each document the mix takes.
 
     Returns doc_id, size, source_size, target, taken and source, one row per
-    input row.  Null texts have size 0, a null source is a source of its own
-    that stands last, repeated ids are rows like any others.  The plan holds one
-    row per source and at most MAX_SHARDS shards besides; blocks and documents
-    stay on the executors.  Reruns give the same rows.
+    input row.  Null and empty texts have size 0 and are taken 0 words of; a
+    null source is a source of its own that stands last; rows that repeat an id
+    and null ids are rows like any others; columns other than the three named
+    ones are not read; an empty table gives no rows.  The plan holds one row per
+    source and at most MAX_SHARDS shards besides; blocks and documents stay on
+    the executors.  Reruns give the same rows.
     """
-    shards, take = _shards(docs, seed, id_col, text_col, source_col, weights, share, repeat)
-    schema = "doc_id long, size long, source_size long, target double, taken long, source string"
-    names = [c.split()[0] for c in schema.split(", ")]
-    return shards.applyInPandas(lambda key, pdf: take(key, pdf)[names], schema)
+    shards, take, empty = _shards(docs, seed, id_col, text_col, source_col, weights, share, repeat)
+    kind = docs.select(id_col).dtypes[0][1]
+    schema = "doc_id string, size long, source_size long, target double, taken long, source string"
+    names = ["doc_id", "size", "source_size", "target", "taken", "source"]
+    taken = shards.applyInPandas(lambda key, pdf: take(key, pdf)[names], schema).withColumn("doc_id", F.col("doc_id").cast(kind))
+    return taken.unionAll(empty.withColumn("taken", F.lit(0).cast("long")).select(*names))
 
 
 def _shards(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str, weights, share: float, repeat: int):
-    """The documents grouped by source and shard, and the function that draws the words taken of a group."""
+    """The documents with words grouped by source and shard, the function that draws the words taken of a group, and the documents without words."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     sized = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size")), work_dir(spark), "sized")
-    rows = sized.groupBy("source").agg(F.sum("size").alias("n")).collect()
+    rows = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count(F.when(F.col("size") > 0, 1)).alias("docs")).collect()
     rows.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     names, sizes = [r["source"] for r in rows], [int(r["n"]) for r in rows]
     total = sum(sizes)
     targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share, repeat)
     shard_words = max(SHARD_WORDS, -(-total // MAX_SHARDS))
-    n_shards = [max(1, -(-s // shard_words)) for s in sizes]
+    shard_rows = max(SHARD_ROWS, -(-sum(r["docs"] for r in rows) // MAX_SHARDS))
+    n_shards = [max(1, -(-s // shard_words), -(-r["docs"] // shard_rows)) for s, r in zip(sizes, rows)]
     least = min((t for t in targets if t > 0), default=1)
     block = max(-(-total // MAX_BLOCKS), min(BLOCK_WORDS, max(1, int(least // 64))), 1)
     plan = spark.createDataFrame(
         [(i, n, s, float(t), k) for i, (n, s, t, k) in enumerate(zip(names, sizes, targets, n_shards))], "src int, source string, source_size long, target double, shards int"
     )
-    shard = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards")).cast("int")
-    placed = sized.join(_small(plan, len(names)), sized["source"].eqNullSafe(plan["source"])).select("doc_id", sized["source"], "size", "src", "source_size", "target", shard.alias("shard"))
+    shard = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.col("shards")).cast("int")
+    every = sized.join(_small(plan, len(names)), sized["source"].eqNullSafe(plan["source"])).select("doc_id", sized["source"], "size", "src", "source_size", "target", shard.alias("shard"))
+    placed = every.where("size > 0")
     cells = placed.groupBy("src", "shard").agg(F.sum("size").alias("n")).collect()
     by_source: dict[int, list[tuple[int, int]]] = {}
     for r in cells:
@@ -178,7 +182,9 @@ def _shards(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col:
         pdf["taken"] = draw_blocks(pdf["size"].to_numpy(), int(pdf["quota"].iloc[0]), block, [seed, int(key[0]), int(key[1])])
         return pdf
 
-    return placed.join(_small(quota, len(quotas)), ["src", "shard"]).withColumn("o", F.xxhash64(F.lit(seed + 1), "doc_id")).groupBy("src", "shard"), take
+    # Ids go to pandas as text, which keeps long ones exact beside nulls.
+    drawn = placed.join(_small(quota, len(quotas)), ["src", "shard"]).withColumn("o", F.xxhash64(F.lit(seed + 1), "doc_id")).withColumn("doc_id", F.col("doc_id").cast("string"))
+    return drawn.groupBy("src", "shard"), take, every.where("size = 0")
 
 
 def mixed_documents(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, repeat: int = MAX_REPEAT) -> DataFrame:
@@ -189,42 +195,48 @@ def mixed_documents(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", tex
     the longest of a shard to its shortest.  The shortest of each shard are left
     open and dealt in the same way over the shards of a source, so a source
     misses the words taken by about half of its shards' shortest document,
-    however long its documents are.  Empty texts go, as the mix takes no word of
-    them.  Rows that repeat an id within a source stand equally often.  All
-    columns are kept.
+    however long its documents are.  Null and empty texts go, as the mix takes no
+    word of them.  Rows of a source that repeat an id and have equal sizes stand
+    equally often, null ids too; a null source is one like any other.  All
+    columns are kept, whatever their names; an empty table stays empty.
     """
     spark = docs.sparkSession
-    shards, take = _shards(docs, seed, id_col, text_col, source_col, weights, share, repeat)
+    shards, take, _ = _shards(docs, seed, id_col, text_col, source_col, weights, share, repeat)
+    kind = docs.select(id_col).dtypes[0][1]
 
     def whole(key, pdf: pd.DataFrame) -> pd.DataFrame:
         got = take(key, pdf)
-        got = got.groupby("doc_id", dropna=False, sort=False).agg(o=("o", "first"), source=("source", "first"), size=("size", "sum"), taken=("taken", "sum")).reset_index()
-        got = got[got["size"] > 0].sort_values(["size", "o", "doc_id"], ascending=[False, True, True], kind="stable")
-        times, owed = copies(got["taken"].tolist()[:-1], got["size"].tolist()[:-1], repeat)
+        got = got.groupby(["doc_id", "size"], dropna=False, sort=False).agg(o=("o", "first"), source=("source", "first"), rows=("size", "count"), taken=("taken", "sum")).reset_index()
+        got = got.sort_values(["size", "o", "doc_id"], ascending=[False, True, True], kind="stable")
+        each = (got["size"] * got["rows"]).tolist()
+        times, owed = copies(got["taken"].tolist()[:-1], each[:-1], repeat)
         n = len(got)
         return pd.DataFrame(
             {
-                "_id": got["doc_id"].astype("Int64"),
-                "_source": got["source"],
+                "doc_id": got["doc_id"],
+                "source": got["source"],
+                "size": got["size"].astype("int64"),
                 "src": int(key[0]),
                 "shard": int(key[1]),
-                "size": got["size"].astype("int64"),
+                "words": each,
                 "times": pd.array([*times, None][:n], dtype="Int64"),
-                "owed": pd.array([None] * (n - 1) + [owed + int(got["taken"].iloc[-1])] if n else [], dtype="Int64"),
+                "owed": pd.array([None] * (n - 1) + [owed + int(got["taken"].iloc[-1])], dtype="Int64"),
             }
         )
 
     folder = work_dir(spark)
-    dealt = stored(shards.applyInPandas(whole, "_id long, _source string, src int, shard int, size long, times long, owed long"), folder, "dealt")
-    rows = dealt.where("times is null").select("src", "shard", "size", "owed").collect()
-    rows.sort(key=lambda r: (r["src"], -r["size"], r["shard"]))
+    dealt = shards.applyInPandas(whole, "doc_id string, source string, size long, src int, shard int, words long, times long, owed long")
+    dealt = stored(dealt.withColumn("doc_id", F.col("doc_id").cast(kind)), folder, "dealt")
+    rows = dealt.where("times is null").select("src", "shard", "words", "owed").collect()
+    rows.sort(key=lambda r: (r["src"], -r["words"], r["shard"]))
     last = []
     for _, own in itertools.groupby(rows, key=lambda r: r["src"]):
         own = list(own)
-        times, _ = copies([r["owed"] for r in own], [r["size"] for r in own], repeat)
+        times, _ = copies([r["owed"] for r in own], [r["words"] for r in own], repeat)
         last += [(r["src"], r["shard"], n) for r, n in zip(own, times)]
     plan = spark.createDataFrame(last, "src int, shard int, n long")
-    ends = dealt.where("times is null").join(_small(plan, len(last)), ["src", "shard"]).select("_id", "_source", "n")
-    took = dealt.where("times > 0").select("_id", "_source", F.col("times").alias("n")).unionAll(ends.where("n > 0")).withColumnRenamed("n", "_times")
-    same = docs[id_col].cast("long").eqNullSafe(took["_id"]) & docs[source_col].cast("string").eqNullSafe(took["_source"]) & (word_count(F.coalesce(docs[text_col], F.lit(""))) > 0)
-    return docs.join(took, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
+    ends = dealt.where("times is null").join(_small(plan, len(last)), ["src", "shard"]).select("doc_id", "source", "size", "n")
+    took = dealt.where("times > 0").select("doc_id", "source", "size", F.col("times").alias("n")).unionAll(ends.where("n > 0"))
+    d, t = keep_columns(docs, doc_id=F.col(id_col), source=F.col(source_col).cast("string"), size=word_count(F.coalesce(F.col(text_col), F.lit("")))), took
+    same = d["doc_id"].eqNullSafe(t["doc_id"]) & d["source"].eqNullSafe(t["source"]) & (d["size"] == t["size"])
+    return d.where("size > 0").join(t, same).select("row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("row.*")
