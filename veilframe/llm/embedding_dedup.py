@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import small_batches, stored, work_dir
+from veilframe.llm.common import join_hot, small_batches, stored, work_dir
 from veilframe.llm.graph import components
 
 THRESHOLD = 0.93
@@ -124,9 +124,10 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     """Links of cosine >= threshold within a label and their components.
 
     Returns one row per input row: vec_id, n_links, component_id, kept.  A
-    vector that is null, empty, zero or not finite, or whose label is null,
-    links with nothing.  Vectors of other lengths never meet.  Rows that repeat
-    an id count as vectors each, but share one node of the graph.
+    vector that is null, empty, zero or not finite, or whose label or id is
+    null, links with nothing.  Vectors of other lengths never meet.  Rows that
+    repeat an id count as vectors each, but share one node of the graph.  Other
+    columns are not read, an empty table gives no rows.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -177,58 +178,86 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     else:
         reach = float(np.arccos(threshold))
         placed = placed.withColumn("core", (F.col("angle") <= reach / 2 - 1e-6).cast("int"))
-        whole, subs, sure = _tile_pairs(spark, placed, big.select("label", "dim"), pivots, tile_rows, reach)
-        cut = placed.join(F.broadcast(subs), ["label", "dim", "tile", "core"], "left").withColumn("sub", F.coalesce(F.pmod(F.xxhash64("cid"), F.col("subs")).cast("int"), F.lit(-1)))
-        small = cut.where("sub < 0").withColumn("pair", F.lit(-1).cast("long")).withColumn("side", F.lit(0)).select(*columns)
-        met = small.unionAll(cut.where("sub >= 0").join(whole, ["label", "dim", "tile", "core", "sub"]).select(*columns))
-        sure = placed.join(F.broadcast(sure), ["label", "dim", "tile", "core"]).select("cid", (F.col("weight") - F.when(F.col("self"), F.col("n")).otherwise(0)).alias("links"), "root")
+        subs, met_by, sure = _tile_pairs(spark, placed, big.select("label", "dim"), pivots, TILE_ROWS, reach, folder)
+        cut = placed.join(F.broadcast(subs), ["label", "dim", "tile", "core"], "left").withColumn("piece", F.coalesce(F.col("first") + F.pmod(F.xxhash64("cid"), F.col("subs")), F.lit(-1).cast("long")))
+        small = cut.where("piece < 0").withColumn("pair", F.lit(-1).cast("long")).withColumn("side", F.lit(0)).select(*columns)
+        met = small.unionAll(cut.where("piece >= 0").join(met_by, "piece").select(*columns))
+        sure = cut.where("piece >= 0").join(F.broadcast(sure), "part").select("cid", (F.col("weight") - F.when(F.col("self"), F.col("n")).otherwise(0)).alias("links"), "root")
     found = met.groupBy("label", "dim", "pair").applyInPandas(_compare(threshold), out)
     found = stored(found if sure is None else found.unionAll(sure), folder, "found")
     comps = components(found.select("cid", "root"), folder)
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
-    of_class = classes.select("label", "embedding", "cid", "n").join(links, "cid", "left").join(comps.withColumnRenamed("node", "cid"), "cid", "left")
-    linked = good.join(of_class, ["label", "embedding"]).select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("comp", "cid").alias("component_id"))
+    of_class = stored(classes.select("label", "embedding", "cid", "n").join(links, "cid", "left").join(comps.withColumnRenamed("node", "cid"), "cid", "left"), folder, "of_class")
+    total = of_class.agg(F.sum("n")).first()[0] or 0
+    linked = join_hot(good, of_class, ["label", "embedding"], "n", total).select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("comp", "cid").alias("component_id"))
     rest = named.where(~ok).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionAll(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _tile_pairs(spark, placed, big, pivots, tile_rows, reach):
-    """(rows for either side of each pair of part pieces to meet, pieces of each part, totals of surely linked parts).
+def _tile_pairs(spark, placed, big, pivots, tile_rows, reach, folder):
+    """(number and pieces of each part, the pairs of pieces to meet that each piece is a side of, totals of surely linked parts).
 
-    The parts are at most about four times MAX_PIVOTS, so the driver may list them.
+    The driver lists the parts, at most about four times MAX_PIVOTS.  Pairs of
+    them, which can be many more, are made on the executors: a task compares
+    some parts with all parts of their label.
     """
     stats = placed.join(F.broadcast(big), ["label", "dim"]).groupBy("label", "dim", "tile", "core").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("w"), F.max("angle").alias("r"), F.min("cid").alias("lo")).collect()
-    by: dict = {}
-    for s in stats:
-        by.setdefault((s["label"], s["dim"]), []).append(s)
-    rows, parts, sure, number = [], [], [], 0
-    for (label, dim), own in by.items():
-        own.sort(key=lambda s: (s["tile"], s["core"]))
-        t, r = np.array([s["tile"] for s in own]), np.array([s["r"] for s in own])
-        apart = np.arccos(np.clip(pivots[label, dim][t] @ pivots[label, dim][t].T, -1, 1))
-        apart[t[:, None] == t[None, :]] = 0
-        pieces = [-(-s["rows"] // (2 * tile_rows)) for s in own]
-        for i, s in enumerate(own):
-            key = (label, dim, s["tile"], s["core"])
-            parts.append((*key, pieces[i]))
-            near = np.flatnonzero(apart[i] <= r[i] + r + reach + 1e-9)
-            linked = apart[i] + r[i] + r <= reach - 1e-6
-            all_of = [j for j in near if linked[j]]
-            if all_of:
-                sure.append((*key, sum(own[j]["w"] for j in all_of), bool(linked[i]), min(own[j]["lo"] for j in all_of)))
-            for j in near:
-                if j < i or linked[j]:
+    order = {key: i for i, key in enumerate(pivots)}
+    stats.sort(key=lambda s: (order[s["label"], s["dim"]], s["tile"], s["core"]))
+    pieces = np.array([-(-s["rows"] // (2 * tile_rows)) for s in stats], np.int64)
+    first = np.cumsum(pieces) - pieces
+    total = int(pieces.sum())
+    parts = [(s["label"], s["dim"], s["tile"], s["core"], i, int(f), int(p)) for i, (s, f, p) in enumerate(zip(stats, first, pieces))]
+    group = np.array([order[s["label"], s["dim"]] for s in stats])
+    every = {
+        "group": group,
+        "tile": np.array([s["tile"] for s in stats]),
+        "radius": np.array([s["r"] for s in stats]),
+        "weight": np.array([s["w"] for s in stats], np.int64),
+        "least": np.array([s["lo"] for s in stats]),
+        "pivots": list(pivots.values()),
+    }
+    sent = spark.sparkContext.broadcast(every)
+
+    def near(i: int):
+        """Parts of part i's label that may link with it, and which of them surely do."""
+        e = sent.value
+        own = np.flatnonzero(e["group"] == e["group"][i])
+        centres, t = e["pivots"][e["group"][i]], e["tile"][own]
+        apart = np.arccos(np.clip(centres[t] @ centres[e["tile"][i]], -1, 1))
+        apart[t == e["tile"][i]] = 0
+        far = e["radius"][i] + e["radius"][own]
+        close = apart <= far + reach + 1e-9
+        return own[close], (apart + far <= reach - 1e-6)[close]
+
+    def pairs(batches):
+        for pdf in batches:
+            for i in pdf["id"].tolist():
+                own, linked = near(i)
+                own = own[(own >= i) & ~linked]
+                if not len(own):
                     continue
-                for p in range(pieces[i]):
-                    for q in range(p if i == j else 0, pieces[j]):
-                        rows.append((*key, p, number, 0))
-                        if (i, p) != (j, q):
-                            rows.append((label, dim, own[j]["tile"], own[j]["core"], q, number, 1))
-                        number += 1
+                right = np.concatenate([first[j] + np.arange(pieces[j]) for j in own])
+                for left in range(int(first[i]), int(first[i] + pieces[i])):
+                    to = right[right >= left]
+                    number = left * total + to
+                    other = to != left
+                    yield pd.DataFrame({"piece": np.concatenate([np.full(len(to), left), to[other]]), "pair": np.concatenate([number, number[other]]), "side": np.concatenate([np.zeros(len(to), np.int32), np.ones(int(other.sum()), np.int32)])})
+
+    def totals(batches):
+        for pdf in batches:
+            rows = []
+            for i in pdf["id"].tolist():
+                own, linked = near(i)
+                own = own[linked]
+                if len(own):
+                    rows.append((i, int(sent.value["weight"][own].sum()), bool((own == i).any()), sent.value["least"][own].min()))
+            yield pd.DataFrame(rows, columns=["part", "weight", "self", "root"])
+
     kinds = dict(placed.dtypes)
-    key = f"label {kinds['label']}, dim int, tile int, core int"
+    numbers = spark.range(0, len(stats), 1, max(1, min(len(stats) // 8, 4 * spark.sparkContext.defaultParallelism)))
     return (
-        spark.createDataFrame(rows, f"{key}, sub int, pair long, side int"),
-        spark.createDataFrame(parts, f"{key}, subs int"),
-        spark.createDataFrame(sure, f"{key}, weight long, self boolean, root {kinds['cid']}"),
+        spark.createDataFrame(parts, f"label {kinds['label']}, dim int, tile int, core int, part long, first long, subs long"),
+        stored(numbers.mapInPandas(pairs, "piece long, pair long, side int"), folder, "pairs"),
+        stored(numbers.mapInPandas(totals, f"part long, weight long, self boolean, root {kinds['cid']}"), folder, "sure"),
     )
