@@ -33,23 +33,53 @@ def replace_all(c: Column, *pairs: tuple[str, str]) -> Column:
     return c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def sums_before(numbers: Column) -> Column:
+    """For each element of an array the sum of those before it.
+
+    Blocks of 64 are added up first, and blocks of blocks, so the work grows
+    about in proportion to the array.
+    """
+    zero = F.lit(0).cast("long")
+
+    def total(x):
+        return F.aggregate(x, zero, lambda acc, e: acc + e)
+
+    def level(x, depth):
+        if not depth:
+            return F.transform(x, lambda _, i: total(F.slice(x, 1, i)))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / 64).cast("int")), lambda b: F.slice(x, b * 64 + 1, F.lit(64)))
+        blocks = F.when(F.size(x) > 0, blocks).otherwise(F.array(x))
+        inside = lambda start: lambda block, b: F.transform(block, lambda _, i: start[b] + total(F.slice(block, 1, i)))
+        return let(blocks, lambda bl: let(level(F.transform(bl, total), depth - 1), lambda start: F.flatten(F.transform(bl, inside(start)))))
+
+    return let(F.transform(numbers, lambda e: e.cast("long")), lambda x: level(x, 2))
+
+
+def places(text: Column, pattern: Column, size) -> Column:
+    """array<struct<h,s,e>>: each match, what ``size`` says of the text before it, and that with the match."""
+    kind = "array<struct<h:string,s:bigint,e:bigint>>"
+
+    def found(hits):
+        gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), lambda g: size(g).cast("long"))
+        lengths = F.transform(hits, lambda h: size(h).cast("long"))
+        both = lambda g, n: let(sums_before(F.zip_with(g, n, lambda a, b: a + b)), lambda at: F.transform(hits, lambda h, i: F.struct(h.alias("h"), (at[i] + g[i]).alias("s"), (at[i] + g[i] + n[i]).alias("e"))))
+        return let(gaps, lambda g: let(lengths, lambda n: both(g, n)))
+
+    return let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda hits: F.when(F.size(hits) == 0, F.array().cast(kind)).otherwise(found(hits)))
+
+
 def pieces(text: Column, pattern: str) -> Column:
     """array<struct<span_text,start_offset,end_offset>> of all matches, in code points.
 
     Offsets come from the lengths of the gaps and matches before; Spark's own
     position functions of regexes count UTF-16 units.
     """
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    kind = "array<struct<span_text:string,start_offset:int,end_offset:int>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-
-    def step(acc, pair):
-        start = acc["at"] + F.length(pair["g"])
-        end = start + F.length(pair["h"])
-        span = F.struct(pair["h"].alias("span_text"), start.alias("start_offset"), end.alias("end_offset"))
-        return F.when(pair["h"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out")))
-
-    return F.aggregate(F.arrays_zip(gaps.alias("g"), hits.alias("h")), zero, step, lambda acc: acc["out"])
+    return F.transform(places(text, F.lit(pattern), F.length), lambda p: F.struct(p["h"].alias("span_text"), p["s"].cast("int").alias("start_offset"), p["e"].cast("int").alias("end_offset")))
 
 
 def tokens(text: Column, start: Column, end: Column) -> Column:
