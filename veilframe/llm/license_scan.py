@@ -10,17 +10,30 @@ wins, and of equal readings the one of highest priority.
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.functions.text import places
 from veilframe.llm.license_rules import BASE, ROOTS, rules, tried, wide
 
 NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
+#: Characters other than A-Z whose lower case holds ASCII letters: the Kelvin sign and the dotted capital I.
+FALSE_CAPITALS = "\u212a\u0130"
+
+
+def lower_ascii(text: Column) -> Column:
+    """A-Z in lower case, as far as ASCII patterns can tell; other letters may change too, but not into ASCII."""
+    odd = F.contains(text, F.lit(FALSE_CAPITALS[0])) | F.contains(text, F.lit(FALSE_CAPITALS[1]))
+    return F.when(odd, F.translate(text, string.ascii_uppercase, string.ascii_lowercase)).otherwise(F.lower(text))
+
+
 def spaced_words(text: Column) -> Column:
     """Lower-cased words, each between two spaces of its own; '' if there is none."""
-    bare = F.btrim(F.regexp_replace(F.lower(text), NOT_WORD, "  "), F.lit(" "))
+    bare = F.btrim(F.regexp_replace(lower_ascii(text), NOT_WORD, "  "), F.lit(" "))
     return F.when(F.length(bare) == 0, F.lit("")).otherwise(F.concat(F.lit(" "), bare, F.lit(" ")))
 
 
@@ -28,24 +41,6 @@ def n_words(spaced: Column) -> Column:
     return ((F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit("")))) / 2).cast("long")
 
 
-def places(spaced: Column, pattern: Column) -> Column:
-    """array<struct<s,e>>: first word and the one after the last of each match."""
-    gaps = F.split(spaced, pattern, -1)
-    hits = F.regexp_extract_all(spaced, pattern, F.lit(0))
-    empty = F.array().cast("array<struct<s:bigint,e:bigint>>")
-    pairs = F.arrays_zip(gaps.alias("g"), hits.alias("h"))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out"))
-
-    def step(acc, pair):
-        start = acc["at"] + n_words(pair["g"])
-        end = start + n_words(pair["h"])
-        return F.when(pair["h"].isNull(), acc).otherwise(
-            F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("s"), end.alias("e"))).alias("out"))
-        )
-
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
-
-
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Phrases and license labels of every text.
 
@@ -65,12 +60,12 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     w = F.col("w")
 
     def labelled(label: str, phrase: str) -> Column:
-        return F.transform(places(w, F.lit(wide(phrase))), lambda x: F.struct(x["s"].alias("s"), F.lit(label).alias("l")))
+        return F.transform(places(w, F.lit(wide(phrase)), n_words), lambda x: F.struct(x["s"].alias("s"), F.lit(label).alias("l")))
 
     base = [labelled(*b) for b in BASE]
     live = F.filter(F.expr(rule), lambda r: F.contains(w, r["k"]))
     found = F.flatten(
-        F.transform(live, lambda r: F.transform(places(w, r["r"]), lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("ne"), (-r["p"]).alias("np"), r["n"].alias("n"), r["l"].alias("l"))))
+        F.transform(live, lambda r: F.transform(places(w, r["r"], n_words), lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("ne"), (-r["p"]).alias("np"), r["n"].alias("n"), r["l"].alias("l"))))
     )
     zero = F.struct(F.lit(-1).cast("long").alias("end"), F.array().cast("array<string>").alias("labels"), F.lit(0).alias("best"), F.lit(0).cast("long").alias("kept"))
 
