@@ -24,6 +24,8 @@ from veilframe.llm.textvec import PLACES, code_points, pieces
 ORDER = 4
 #: Bound of the training sample: texts of each language, and their longest text.
 PER_LANG, MAX_CHARS = 300, 20000
+#: Texts of all languages together (each has one at least), and the languages that are learned, those with most texts first.
+SAMPLE_TEXTS, MAX_LANGS = 30000, 2000
 #: One text in so many is held back for the rejection thresholds.
 HOLD_BACK = 5
 UNKNOWN = "und"
@@ -177,12 +179,18 @@ def fit(docs: DataFrame, allowed: Column | None = None, per_lang: int = PER_LANG
     """Models from at most ``per_lang`` texts of each language, none longer than ``max_chars``.
 
     A language that has fewer such texts learns from the first ``max_chars``
-    characters of longer ones besides.  Ids are drawn first, by a hash, so that
-    no task sorts texts.
+    characters of longer ones besides.  Where there are many languages each has
+    fewer, SAMPLE_TEXTS together; past MAX_LANGS tags those with the fewest
+    texts are taken for junk, so that what the driver and the models hold stays
+    bounded.  Ids are drawn first, by a hash, so that no task sorts texts.
     """
     allowed = F.lit(True) if allowed is None else allowed
     long = F.length("text") > max_chars
     usable = docs.where(allowed & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0))
+    kinds = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    per_lang = max(1, min(per_lang, SAMPLE_TEXTS // max(1, len(kinds))))
+    if len(kinds) == MAX_LANGS:
+        usable = usable.join(F.broadcast(docs.sparkSession.createDataFrame([(r["lang"],) for r in kinds], "lang string")), "lang", "left_semi")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id"))
     ids = usable.select("doc_id", "lang", long.alias("long")).withColumn("r", rank).where(F.col("r") <= per_lang).select("doc_id", "lang", "long").dropDuplicates()
     texts = docs.select("doc_id", "lang", F.substring("text", 1, max_chars).alias("text"), long.alias("long"))
@@ -206,8 +214,10 @@ def language_id(docs: DataFrame, allowed: Column | None = None, id_col: str = "d
 
     Null texts and texts without a letter get ``und``, score 0 and rejected; so
     does everything if there is nothing to learn from.  Any other text gets a
-    learned language; rejected says that its cross-entropy is above that
-    language's calibrated limit.  Repeated ids give repeated rows.
+    learned language, of equally good ones the first by name; rejected says that
+    its cross-entropy is above that language's calibrated limit.  Very long texts
+    are scored as a whole.  Repeated ids give repeated rows, null ids too; other
+    columns are not read, whatever their names; an empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
