@@ -110,7 +110,7 @@ def _compare(threshold: float):
         lab = lowest_labels(n, place[i], place[j])
         root = pdf["cid"].to_numpy()[order][lab][place]
         live = got > 0
-        return pd.DataFrame({"cid": pdf["cid"][live], "links": got[live].astype(np.int64), "root": root[live]})
+        return pd.DataFrame({"cls": pdf["cls"][live], "links": got[live].astype(np.int64), "cid": pdf["cid"][live], "root": root[live]})
 
     return run
 
@@ -135,7 +135,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     named = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("embedding"), F.col(label_col).alias("label"))
     ok = F.coalesce(usable(F.col("embedding"), F.col("label")) & F.col("vec_id").isNotNull(), F.lit(False))
     good = named.where(ok)
-    classes = stored(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("cid"), F.count(F.lit(1)).alias("n")).withColumn("dim", F.size("embedding")), folder, "classes")
+    classes = stored(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("cid"), F.count(F.lit(1)).alias("n")).withColumn("dim", F.size("embedding")).withColumn("cls", F.monotonically_increasing_id()), folder, "classes")
 
     tile_rows = max(TILE_ROWS, -(-classes.count() // MAX_PIVOTS))
     big = classes.groupBy("label", "dim").count().where(F.col("count") > 2 * tile_rows)
@@ -170,9 +170,9 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
                     angle[at] = np.arccos(np.clip(cos.max(1), -1, 1))
             yield pdf.assign(tile=tile, angle=angle, code=code, factor=factor)
 
-    placed = stored(classes.mapInPandas(place, f"label {label_type}, embedding {dict(classes.dtypes)['embedding']}, cid {dict(classes.dtypes)['cid']}, n long, dim int, tile int, angle double, code binary, factor double"), folder, "placed")
-    out = f"cid {dict(classes.dtypes)['cid']}, links long, root {dict(classes.dtypes)['cid']}"
-    columns = ["label", "dim", "pair", "side", "cid", "n", "embedding", "code", "factor"]
+    placed = stored(classes.mapInPandas(place, f"label {label_type}, embedding {dict(classes.dtypes)['embedding']}, cid {dict(classes.dtypes)['cid']}, n long, dim int, cls long, tile int, angle double, code binary, factor double"), folder, "placed")
+    out = f"cls long, links long, cid {dict(classes.dtypes)['cid']}, root {dict(classes.dtypes)['cid']}"
+    columns = ["label", "dim", "pair", "side", "cid", "cls", "n", "embedding", "code", "factor"]
     if not pivots:
         met, sure = placed.withColumn("pair", F.lit(-1).cast("long")).withColumn("side", F.lit(0)).select(*columns), None
     else:
@@ -182,12 +182,12 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         cut = placed.join(F.broadcast(subs), ["label", "dim", "tile", "core"], "left").withColumn("piece", F.coalesce(F.col("first") + F.pmod(F.xxhash64("cid"), F.col("subs")), F.lit(-1).cast("long")))
         small = cut.where("piece < 0").withColumn("pair", F.lit(-1).cast("long")).withColumn("side", F.lit(0)).select(*columns)
         met = small.unionAll(cut.where("piece >= 0").join(met_by, "piece").select(*columns))
-        sure = cut.where("piece >= 0").join(F.broadcast(sure), "part").select("cid", (F.col("weight") - F.when(F.col("self"), F.col("n")).otherwise(0)).alias("links"), "root")
+        sure = cut.where("piece >= 0").join(F.broadcast(sure), "part").select("cls", (F.col("weight") - F.when(F.col("self"), F.col("n")).otherwise(0)).alias("links"), "cid", "root")
     found = met.groupBy("label", "dim", "pair").applyInPandas(_compare(threshold), out)
     found = stored(found if sure is None else found.unionAll(sure), folder, "found")
     comps = components(found.select("cid", "root"), folder)
-    links = found.groupBy("cid").agg(F.sum("links").alias("links"))
-    of_class = stored(classes.select("label", "embedding", "cid", "n").join(links, "cid", "left").join(comps.withColumnRenamed("node", "cid"), "cid", "left"), folder, "of_class")
+    links = found.groupBy("cls").agg(F.sum("links").alias("links"))
+    of_class = stored(classes.select("label", "embedding", "cid", "cls", "n").join(links, "cls", "left").join(comps.withColumnRenamed("node", "cid"), "cid", "left"), folder, "of_class")
     total = of_class.agg(F.sum("n")).first()[0] or 0
     linked = join_hot(good, of_class, ["label", "embedding"], "n", total).select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("comp", "cid").alias("component_id"))
     rest = named.where(~ok).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
