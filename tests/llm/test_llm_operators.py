@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
-from veilframe.llm import bpe, bpe_chunks, embedding_dedup, exact_dedup, langid, license_rules, mixing, near_join, quality, token_files, toxicity  # noqa: E402
+from veilframe.llm import bpe, bpe_chunks, common, embedding_dedup, exact_dedup, langid, license_rules, mixing, near_join, quality, token_files, toxicity  # noqa: E402
 from veilframe.llm.graph import components  # noqa: E402
 
 
@@ -83,6 +83,21 @@ def test_license_labels(spark):
     assert got[4]["base_labels"] == "" and got[5]["labels"] == "gpl,gpl-3.0"
 
 
+def test_only_ascii_is_lowered_and_many_matches_are_quick(spark):
+    import time
+
+    from veilframe.llm.license_scan import license_scan
+
+    kelvin, dotted = "\u212a", "\u0130"
+    texts = [f"Ruby license blueoa{kelvin} GPL", f"MIT L{dotted}CENSE, MIT LICENSE", f"gnu general public l{dotted}cense", f"blue oa{kelvin} model license", "Blue Oak Model License", "gpl cc by " * 125000]
+    start = time.time()
+    got = {r["doc_id"]: r for r in license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert time.time() - start < 60
+    assert got[0]["labels"] == "gpl,ruby" and (got[1]["n_base"], got[1]["first_word"], got[1]["n_words"]) == (1, 2, 4) and got[2]["n_base"] == 0
+    assert "blueoak-1.0" not in got[3]["labels"] and "blueoak-1.0" in got[4]["labels"]
+    assert (got[5]["n_base"], got[5]["first_word"], got[5]["last_word"], got[5]["n_detections"]) == (125000, 1, 374998, 250000)
+
+
 # --- 2, 3, 9 models ----------------------------------------------------------------
 
 
@@ -134,6 +149,55 @@ def test_kneser_ney_sums_to_one():
         assert total == pytest.approx(1, abs=1e-3)
 
 
+def slow_kneser_ney(texts, order):
+    """Probabilities by dictionaries of character tuples."""
+
+    def grams(text):
+        s = [None] * (order - 1) + list(text.lower())
+        return [tuple(s[: i + 1]) for i in range(order - 1, len(s))]
+
+    counts = [{} for _ in range(order)]
+    for text in texts:
+        for g in grams(text):
+            counts[-1][g[-order:]] = counts[-1].get(g[-order:], 0) + 1
+    for k in range(order - 1, 0, -1):
+        for g in {g[-k - 1 :] for text in texts for g in grams(text)}:
+            counts[k - 1][g[1:]] = counts[k - 1].get(g[1:], 0) + 1
+
+    def probability(history):
+        p = 1 / langid.ALPHABET
+        for k in range(1, order + 1):
+            c, g = counts[k - 1], history[-k:]
+            n1, n2 = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+            d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+            follow = [v for other, v in c.items() if other[:-1] == g[:-1]]
+            share = max(c[g] - d, 0) / sum(follow) if g in c else 0
+            p = share + (d * len(follow) / sum(follow) * p if follow else p)
+        return p
+
+    return lambda text: sum(-math.log(probability(g)) for g in grams(text)) / max(1, len(text))
+
+
+def test_kneser_ney_against_dictionaries():
+    texts = [["the cat sat on the mat", "a cat and a hat"], ["der hund und die katze", "auf der matte"]]
+    slow = [slow_kneser_ney(t, langid.ORDER) for t in texts]
+    asked = ["the hat", "die hunde", "xyz", "Der Cat"]
+    got = langid.Scorer([langid.train(t) for t in texts]).entropies(asked)[0]
+    assert np.allclose(got, [[f(t) for f in slow] for t in asked], rtol=1e-5)
+
+
+def test_equally_good_languages_go_to_the_first(spark):
+    docs = spark.createDataFrame([(i, "one two three", lang) for i, lang in enumerate(["no", "da", "no", "da"])], "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in langid.language_id(docs).collect()} == {"da"}
+
+
+def test_many_languages_stay_within_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGS", 3)
+    monkeypatch.setattr(langid, "SAMPLE_TEXTS", 6)
+    docs = spark.createDataFrame([(i, f"text {i % 5} of a tag", f"t{i % 5}") for i in range(48)], "doc_id long, text string, lang string")
+    assert langid.fit(docs).names == ("t0", "t1", "t2")
+
+
 def test_language_cache_changes_nothing():
     m = [langid.train(["the cat and the hat " * 5]), langid.train(["der hund und die katze " * 5])]
     scorer, texts = langid.Scorer(m), ["the dog", "und", "", "the the the"]
@@ -162,6 +226,90 @@ def test_ftrl_learns_and_stays_sparse():
     assert s[0] > 0.3 > s[1] and len(m.buckets) < 2000
 
 
+def test_ftrl_against_a_loop():
+    texts, y = ["a b c", "a foul d", "b c d a", "foul foul a", "c", "a b"] * 5, [0, 1, 0, 1, 0, 0] * 5
+    bits, alpha, beta, l1, l2 = 8, 1.0, 1.0, 0.3, 1.0
+    got = toxicity.train(iter(texts), y, bits=bits, l1=l1)
+    z, n, bias = {}, {}, [0.0, 0.0]
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= l1 else -(zi - math.copysign(l1, zi)) / ((beta + math.sqrt(n.get(i, 0.0))) / alpha + l2)
+
+    w0, order, rng = 0.0, np.arange(len(texts)), np.random.default_rng(7)
+    own = [sorted(set(toxicity.features([t], bits)[1].tolist())) for t in texts]
+    for _ in range(2):
+        rng.shuffle(order)
+        for d in order:
+            w = {i: weight(i) for i in own[d]}
+            g = 1 / (1 + math.exp(-(sum(w.values()) + w0))) - y[d]
+            for i in own[d]:
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha
+                z[i], n[i] = z.get(i, 0.0) + g - sigma * w[i], n.get(i, 0.0) + g * g
+            sigma = (math.sqrt(bias[1] + g * g) - math.sqrt(bias[1])) / alpha
+            bias = [bias[0] + g - sigma * w0, bias[1] + g * g]
+            w0 = -bias[0] / ((beta + math.sqrt(bias[1])) / alpha)
+    want = {i: weight(i) for i in z if weight(i)}
+    assert dict(zip(got.buckets.tolist(), got.weights.tolist())) == pytest.approx(want, rel=1e-5) and got.bias == pytest.approx(w0)
+    dense = got.dense()
+    for t in ("a foul", "c b", ""):
+        logit = got.bias + sum(want.get(i, 0.0) for i in set(toxicity.features([t], bits)[1].tolist()))
+        assert toxicity.scores([t], got, dense)[0] == pytest.approx(1 / (1 + math.exp(-logit)), rel=1e-5)
+
+
+def test_sgd_against_a_loop():
+    texts, y = ["ab cd", "xy xy zz", "ab ef gh", "zz xy", "", "cd"], [1, 0, 1, 0, 1, 1]
+    bits, dim, epochs, rate = 9, 4, 3, 0.5
+    got = quality.train(texts, y, bits=bits, dim=dim, epochs=epochs, rate=rate)
+    rng = np.random.default_rng(5)
+    vectors = rng.uniform(-1 / dim, 1 / dim, (1 << bits, dim)).tolist()
+    layer, bias, own = [[0.0] * dim, [0.0] * dim], [0.0, 0.0], []
+    for t in texts:
+        n = {}
+        for _, buckets, w in quality.grams([t], bits):
+            for b in buckets.tolist():
+                n[b] = n.get(b, 0.0) + w
+        own.append({b: c / sum(n.values()) for b, c in n.items()})
+    order, step = np.arange(len(texts)), 0
+    for _ in range(epochs):
+        rng.shuffle(order)
+        for d in order:
+            lr, share = rate * (1 - step / (epochs * len(texts))), own[d]
+            step += 1
+            hidden = [sum(s * vectors[b][j] for b, s in share.items()) for j in range(dim)]
+            logit = [sum(a * h for a, h in zip(layer[c], hidden)) + bias[c] for c in (0, 1)]
+            e = [math.exp(v - max(logit)) for v in logit]
+            g = [v / sum(e) - (c == y[d]) for c, v in enumerate(e)]
+            back = [g[0] * layer[0][j] + g[1] * layer[1][j] for j in range(dim)]
+            for c in (0, 1):
+                layer[c] = [a - lr * g[c] * h for a, h in zip(layer[c], hidden)]
+                bias[c] -= lr * 0.1 * g[c]
+            for b, s in share.items():
+                vectors[b] = [v - lr * len(share) ** 0.5 * s * k for v, k in zip(vectors[b], back)]
+    assert np.allclose(got.vectors, vectors, atol=1e-4) and np.allclose(got.layer, layer, atol=1e-4) and np.allclose(got.bias, bias, atol=1e-4)
+    folded, shift = got.folded(), float(got.bias[1] - got.bias[0])
+    for d, t in enumerate(texts):
+        logit = shift + sum(s * float(folded[b]) for b, s in own[d].items())
+        assert quality.scores([t], folded, shift, bits)[0] == pytest.approx(1 / (1 + math.exp(-logit)), abs=1e-4)
+
+
+@pytest.mark.parametrize("operator,label", [(toxicity.toxicity, "toxic"), (quality.quality, "quality")])
+def test_labels_of_one_class_and_conflicts(spark, operator, label):
+    texts = [(i, f"words of text {i}") for i in range(40)]
+    docs = spark.createDataFrame(texts + [(3, "words of text 3")] * 10000, "doc_id long, text string")
+
+    def scored(rows):
+        return [r["score"] for r in operator(docs, spark.createDataFrame(rows, f"doc_id long, {label} int")).collect()]
+
+    assert max(scored([(i, 0) for i in range(40)])) < 0.01
+    assert min(scored([(i, 1) for i in range(40)])) > 0.99
+    from veilframe.llm.common import F, sample_by_label
+
+    rows = [(i, i % 2) for i in range(40)] + [(5, 0), (7, 1), (None, 1), (8, None)]
+    texts, y = sample_by_label(docs, spark.createDataFrame(rows, f"doc_id long, {label} int"), label, F.lit(True), 100, 100)
+    assert len(texts) == 39 and "words of text 5" not in texts and sum(y) == 19
+
+
 # --- 4 near duplicates ---------------------------------------------------------------
 
 
@@ -187,8 +335,11 @@ def brute_components(texts, k, percent):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize("seed,k,percent", [(1, 4, 85), (2, 5, 80), (3, 2, 50)])
-def test_jaccard_join_brute_force(spark, seed, k, percent):
+@pytest.mark.parametrize("seed,k,percent,busy", [(1, 4, 85, 1000), (2, 5, 80, 1000), (3, 2, 50, 1000), (4, 4, 85, 2), (5, 2, 50, 0)])
+def test_jaccard_join_brute_force(spark, seed, k, percent, busy, monkeypatch):
+    if busy < 1000:
+        monkeypatch.setattr(near_join, "BUSY", busy)
+        monkeypatch.setattr(common, "HOT_ROWS", 2)
     rng = random.Random(seed)
     vocab = [f"w{i}" for i in range(400)]
     passage = " ".join(rng.choice(vocab) for _ in range(25))
@@ -243,6 +394,17 @@ def test_components(spark):
     assert got == {x: find(x) for x in root}
 
 
+@pytest.mark.parametrize("hot", [1000, 10])
+def test_components_of_a_long_path_and_a_large_star(spark, hot, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    path = list(range(700 if hot < 1000 else 5000))
+    random.Random(1).shuffle(path)
+    links = spark.createDataFrame([(-a - 1, -b - 1) for a, b in zip(path, path[1:])], "a long, b long")
+    links = links.unionAll(spark.range(1, 100001).selectExpr("100001 as a", "id as b"))
+    got = {r["comp"]: r["count"] for r in components(links, common.work_dir(spark)).groupBy("comp").count().collect()}
+    assert got == {-len(path): len(path), 1: 100001}
+
+
 # --- 5 mixing ---------------------------------------------------------------------------
 
 
@@ -303,6 +465,76 @@ def test_long_documents_meet_their_source_target(spark):
         assert not [(s, got[s], r["sum(taken)"]) for s, r in want.items() if abs(got[s] - r["sum(taken)"]) > longest[s] * 0.51]
 
 
+def slow_targets(sizes):
+    weights, target, left = [mixing.WEIGHTS[i % 3] for i in range(len(sizes))], {}, 1.5 * sum(sizes)
+    open_ = [i for i, s in enumerate(sizes) if s]
+    while True:
+        whole = sum(weights[i] for i in open_)
+        over = [i for i in open_ if left * weights[i] / whole > 2 * sizes[i]]
+        target |= {i: left * weights[i] / whole for i in open_} if not over else {i: 2.0 * sizes[i] for i in over}
+        if not over:
+            return [target.get(i, 0.0) for i in range(len(sizes))]
+        left -= sum(2 * sizes[i] for i in over)
+        open_ = [i for i in open_ if i not in over]
+
+
+def slow_seats(weights, seats, caps):
+    got = [0] * len(weights)
+    for _ in range(min(seats, sum(c for w, c in zip(weights, caps) if w > 0))):
+        got[max((i for i in range(len(got)) if got[i] < caps[i] and weights[i] > 0), key=lambda i: (weights[i] / (2 * got[i] + 1), -i))] += 1
+    return got
+
+
+def test_mix_against_a_slow_version(spark, sf, monkeypatch):
+    """The whole query: targets, seats one by one, and words of blocks one by one."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 3000)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").unionAll(spark.createDataFrame([(None, "a b c", None, None, 1), (None, None, "en", "x", 0), (5, "", "en", None, 0)], "doc_id long, text string, lang string, source string, n_chars long"))
+    rows = [(r["doc_id"], len((r["text"] or "").encode().split()), r["source"]) for r in docs.collect()]
+    names = sorted({r[2] for r in rows}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(r[1] for r in rows if r[2] == s) for s in names]
+    targets = slow_targets(sizes)
+    block = min(mixing.BLOCK_WORDS, max(1, int(min(t for t in targets if t) // 64)))
+    hashed = spark.createDataFrame(sorted({(r[0], r[1]) for r in rows}, key=repr), "doc_id long, size long").select("doc_id", "size", F.xxhash64(F.lit(42), "doc_id", "size").alias("h"), F.xxhash64(F.lit(43), "doc_id").alias("o")).collect()
+    h, o = ({(r["doc_id"], r["size"]): r[c] for r in hashed} for c in ("h", "o"))
+    shards = {}
+    for i, (s, n) in enumerate(zip(names, sizes)):
+        for r in rows:
+            if r[2] == s and r[1]:
+                shards.setdefault((i, h[r[:2]] % max(1, -(-n // 3000))), []).append(r)
+    blocks = [sum(-(-sum(r[1] for r in own) // block) for (j, _), own in shards.items() if j == i) for i in range(len(names))]
+    seats = slow_seats(targets, round(sum(targets) / block), [2 * b for b in blocks])
+    want = [(r[0], r[1], r[2], 0) for r in rows if not r[1]]
+    for i in range(len(names)):
+        own = sorted(k for k in shards if k[0] == i)
+        words = [sum(r[1] for r in shards[k]) for k in own]
+        caps = [2 * -(-n // block) for n in words]
+        quota = slow_seats(words, sum(caps) if targets[i] >= 2 * sizes[i] else seats[i], caps)
+        for k, n, q in zip(own, words, quota):
+            every, extra = divmod(q, -(-n // block))
+            picked = set(np.random.default_rng([42, *k]).permutation(-(-n // block))[:extra].tolist())
+            at = 0
+            for r in sorted(shards[k], key=lambda r: (o[r[:2]], r[0] is None, str(r[0]), r[1])):
+                want.append((r[0], r[1], r[2], every * r[1] + sum((at + w) // block in picked for w in range(r[1]))))
+                at += r[1]
+    got = mixing.mix_sources(docs).collect()
+    assert sorted(((r["doc_id"], r["size"], r["source"], r["taken"]) for r in got), key=repr) == sorted(want, key=repr)
+    assert all(r["target"] == pytest.approx(targets[names.index(r["source"])]) and r["source_size"] == sizes[names.index(r["source"])] for r in got)
+
+
+def test_many_sources_fill_quickly():
+    import time
+
+    rng = random.Random(3)
+    sizes = [rng.randrange(1000) for _ in range(100000)]
+    start = time.time()
+    t = mixing.water_fill(sizes, [mixing.WEIGHTS[i % 3] for i in range(len(sizes))])
+    mixing.sainte_lague(t, 500000, [2 * s for s in sizes])
+    assert time.time() - start < 20 and sum(t) == pytest.approx(1.5 * sum(sizes))
+    assert mixing.water_fill(sizes[:300], [mixing.WEIGHTS[i % 3] for i in range(300)]) == pytest.approx(slow_targets(sizes[:300]))
+
+
 # --- 6 exact dedup --------------------------------------------------------------------------
 
 
@@ -332,6 +564,107 @@ def test_same_ids_as_the_library(codec, library, spark, sf):
     assert encoder.reused > 0
 
 
+RUNS = [" ", "\n", "\t", "a", "xq ", "-"]
+
+
+@pytest.mark.parametrize("size", [1 << 20, 1 << 22])
+def test_long_runs(codec, library, size):
+    for run in RUNS:
+        t = run * (size // len(run))
+        assert codec.encode(t) == library.encode(t, add_special_tokens=False).ids, run
+
+
+def test_long_blanks_inside_texts(codec, library, monkeypatch):
+    monkeypatch.setattr(bpe, "LONG_RUN", 8)
+    monkeypatch.setattr(bpe, "LONG_BLANKS", bpe.re.compile(f"(?<![{bpe.BLANKS}])[{bpe.BLANKS}]{{8,}}"))
+    rng = random.Random(8)
+    for _ in range(400):
+        t = "".join(rng.choice(["a", "b1", "é", "'s", "\x1c", "\u200b", ",", "<|endoftext|>"]) + rng.choice([" ", "\n", "\u3000", " \t", "\xa0", "\x1d"]) * rng.choice([0, 1, 1, 9, 12]) + rng.choice([" ", "", "\n"]) for _ in range(rng.randrange(1, 9)))
+        t = t[rng.randrange(2) :] + " " * rng.choice([0, 10])
+        want = library.encode(t, add_special_tokens=False).ids
+        assert codec.encode(t) == want and codec.array(t).tolist() == want and bpe_chunks.ChunkEncoder(codec).encode(t) == want
+
+
+@pytest.mark.parametrize("size", [1 << 20])
+def test_long_runs_in_the_queries(spark, library, size):
+    texts = [(i, f"word{run * (size // len(run))}end") for i, run in enumerate(RUNS[:4])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in bpe_chunks.encode_decode(docs).collect()}
+    files = {r["doc_id"]: r for r in token_files.token_files(docs).collect()}
+    for i, t in texts:
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert got[i]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and got[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
+        assert files[i]["ids_crc32"] == zlib.crc32(np.array([*ids, 0], "<u4").tobytes())
+
+
+def test_other_vocabularies_go_to_the_library(library, tmp_path, spark):
+    import json
+
+    from tokenizers import Tokenizer
+
+    plain = json.loads(bpe.ByteBpe.read())
+    assert bpe.is_plain(plain)
+    texts = ["a b  c", " don't\n\n x", "x <|endoftext|> y", "", "é日 1 22"]
+    for change in ("add_prefix_space", "use_regex", "lstrip", "normalizer", "ignore_merges"):
+        doc = json.loads(json.dumps(plain))
+        if change == "lstrip":
+            doc["added_tokens"][0]["lstrip"] = True
+        elif change == "normalizer":
+            doc["normalizer"] = {"type": "Lowercase"}
+        elif change == "ignore_merges":
+            doc["model"]["ignore_merges"] = True
+        else:
+            doc["pre_tokenizer"][change] = not doc["pre_tokenizer"][change]
+        own, codec = Tokenizer.from_str(json.dumps(doc)), bpe.ByteBpe(json.dumps(doc))
+        assert not codec.fast
+        for t in texts:
+            assert codec.encode(t) == codec.array(t).tolist() == bpe_chunks.ChunkEncoder(codec).encode(t) == own.encode(t, add_special_tokens=False).ids
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(doc))
+    got = {r["doc_id"]: r for r in bpe_chunks.encode_decode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tokenizer=str(path), with_ids=True).collect()}
+    for i, t in enumerate(texts):
+        ids = own.encode(t, add_special_tokens=False).ids
+        assert got[i]["ids"] == ids and got[i]["decoded_sha256"] == hashlib.sha256(own.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_shared_chunks_are_encoded_once(codec, spark):
+    """Over the documents in bins as many chunks are encoded as one encoder that never forgets would."""
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{BIGGER}/documents.parquet").select("text").collect()]
+    one = bpe_chunks.ChunkEncoder(codec, cache_ids=1 << 60)
+    where, chunk_of = {}, {}
+    for i, t in enumerate(texts):
+        one.encode(t)
+        for c in bpe_chunks.chunks(codec, t):
+            where.setdefault(bpe_chunks.digest(c), set()).add(i % 7)
+            chunk_of[bpe_chunks.digest(c)] = c
+    shared = {h: np.array(codec.plain(chunk_of[h].decode()), "<u4").tobytes() for h, bins in where.items() if len(bins) > 1}
+    bins = [bpe_chunks.ChunkEncoder(codec, dict(shared)) for _ in range(7)]
+    for i in range(0, len(texts)):
+        bins[i % 7].encode(texts[i])
+    assert one.encoded == len(where) and one.reused > 0.08 * one.encoded
+    assert len(shared) + sum(b.encoded for b in bins) == one.encoded
+    assert sum(b.reused for b in bins) >= one.reused
+
+
+def test_joins_that_disagree_grow(codec):
+    """A shared chunk whose ids are wrong near a join is encoded over."""
+    t = " ".join(f"word{i} more" for i in range(400))
+    data = t.encode()
+    bounds = [0, *bpe_chunks.cuts(data), len(data)]
+    assert len(bounds) > 4
+    for k in range(1, len(bounds) - 2):
+        chunk = data[bounds[k] : bounds[k + 1]]
+        ids = codec.plain(chunk.decode())
+        first = bpe_chunks.ChunkEncoder(codec)._places(chunk, ids)[0]
+        # The token after the first sure place cut into its bytes: same text, other ids.
+        byte = {bytes([b]): i for i, b in ((i, x[0]) for i, x in enumerate(codec.bytes) if len(x) == 1)}
+        split = [byte[bytes([b])] for b in codec.bytes[ids[first]]]
+        assert len(split) > 1
+        wrong = ids[:first] + split + ids[first + 1 :]
+        encoder = bpe_chunks.ChunkEncoder(codec, {bpe_chunks.digest(chunk): np.array(wrong, "<u4").tobytes()})
+        assert encoder.encode(t) == codec.encode(t)
+
+
 def test_same_ids_over_many_characters(codec, library):
     points = [c for c in range(0, 0x30000, 37) if not 0xD800 <= c < 0xE000]
     for i in range(0, len(points), 50):
@@ -437,6 +770,29 @@ def test_tiles_lose_no_link(spark, monkeypatch):
     assert sum(got.values()) >= 0.99 * link.sum() and all(got[i] <= link[i].sum() for i in range(len(m)))
 
 
+@pytest.mark.parametrize("clusters", [2000, 0])
+def test_recall_over_many_vectors(spark, clusters):
+    rng = np.random.default_rng(21)
+    n, dim = 20000, 64
+    if clusters:
+        centres = rng.normal(size=(clusters, dim))
+        m = centres[rng.integers(0, clusters, n)] + rng.normal(size=(n, dim)) * rng.choice([0.1, 0.25, 0.5], n)[:, None]
+    else:
+        m = rng.normal(size=(n, dim))
+        m[::10] = m[1::10] + rng.normal(size=(n // 10, dim)) * 0.25
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(m)], "vec_id long, embedding array<double>, label int").repartition(8)
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = np.concatenate([(unit[a : a + 1000] @ unit.T >= 0.93).sum(1) - 1 for a in range(0, n, 1000)])
+    got = np.array([r["n_links"] for r in sorted(embedding_dedup.embedding_dedup(df).collect(), key=lambda r: r["vec_id"])])
+    assert (got <= want).all() and got.sum() >= 0.999 * want.sum() > 0
+
+
+def test_repeated_ids_share_a_node(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.01], 1), (3, [0.01, 1.0], 1), (None, [1.0, 0.0], 1), (1, [1.0, 0.0], 1)]
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()), key=repr)
+    assert got == sorted([(1, 2, 1), (1, 2, 1), (1, 1, 1), (2, 2, 1), (3, 1, 1), (None, 0, None)], key=repr)
+
+
 def test_large_group_of_near_copies(spark, monkeypatch):
     """Parts that surely link are added up; copies count each; the rest is met as before."""
     monkeypatch.setattr(embedding_dedup, "TILE_ROWS", 20)

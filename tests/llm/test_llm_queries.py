@@ -4,6 +4,7 @@ import pytest
 from compare import same
 from pyspark.sql import functions as F
 
+from veilframe.llm import common
 from veilframe.llm.bpe_chunks import encode_decode
 from veilframe.llm.embedding_dedup import embedding_dedup
 from veilframe.llm.exact_dedup import drop_duplicates, exact_dedup
@@ -46,7 +47,7 @@ def test_empty_table(spark, none, name):
 def test_no_labels_at_all(spark, odd):
     none = labels(spark, odd).where("false")
     assert {r["predicted"] for r in toxicity_query(odd, none).collect()} == {0}
-    assert {r["predicted"] for r in quality_query(odd, none).collect()} == {1}
+    assert {r["score"] for r in quality_query(odd, none).collect()} == {0.5}
 
 
 def test_odd_rows_of_stages(spark, odd):
@@ -59,6 +60,40 @@ def test_odd_rows_of_stages(spark, odd):
     assert len({r["text"] or "" for r in kept}) == len(kept)
 
 
+CLASHING = "row score may maybe routed sha fp n keep size src shard times owed words source_size target taken col h ids bin meets cid gid token busy _score _fp _sha _n _keep _routed _maybe _gone _copy _id _times _source _text _y doc_id_ slot".split()
+
+
+@pytest.mark.parametrize("hot", [1000, 1])
+def test_clashing_columns_keep_their_values(spark, odd, hot, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    docs = docs.select("*", *(F.concat_ws("/", F.lit(c), F.col("doc_id").cast("string"), F.length("text").cast("string")).alias(c) for c in CLASHING))
+    before = {tuple(r) for r in docs.collect()}
+    for stage in (drop_duplicates, drop_near_duplicates, mixed_documents, lambda d: drop_toxic(d, labels(spark, d), threshold=0.9)):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        rows = [tuple(r) for r in out.collect()]
+        assert rows and set(rows) <= before
+    for name, operator in OPERATORS.items():
+        assert operator(spark, docs).count() == docs.count(), name
+
+
+def test_null_ids_stay_in_the_mix(spark):
+    docs = spark.createDataFrame([(None, "a b c", "s")] * 40 + [(i, "a b c d", "t") for i in range(40)], "doc_id long, text string, source string")
+    assert mixed_documents(docs).where("doc_id is null").count() > 0
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, none, tmp_path):
+    import corpus_pipeline
+
+    for name, docs in (("odd", odd), ("none", none)):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels(spark, docs).withColumn("toxic", F.lit(0)).write.parquet(str(tmp_path / name / "labels.parquet"))
+        got = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert bool(got) == (name == "odd")
+        assert {r["doc_id"] for r in got} <= {r["doc_id"] for r in odd.collect()}
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
