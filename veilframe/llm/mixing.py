@@ -213,8 +213,8 @@ def mixed_documents(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", tex
         n = len(got)
         return pd.DataFrame(
             {
-                "doc_id": got["doc_id"],
-                "source": got["source"],
+                "doc_id": [None if pd.isna(x) else str(x) for x in got["doc_id"]],
+                "source": [None if pd.isna(x) else str(x) for x in got["source"]],
                 "size": got["size"].astype("int64"),
                 "src": int(key[0]),
                 "shard": int(key[1]),
