@@ -46,7 +46,28 @@ def is_plain(doc: dict) -> bool:
     )
 
 
-class ByteBpe:
+class Splitter:
+    """Cuts texts at special tokens, which stand for themselves."""
+
+    def __init__(self, special: dict[str, int]):
+        self.special = special
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+
+    def segments(self, text: str):
+        """(segment, id): ordinary segments have id None, special tokens their id."""
+        if self.split is None:
+            yield text, None
+            return
+        for part in self.split.split(text):
+            if part:
+                yield part, self.special.get(part)
+
+
+def special_tokens(doc: dict) -> dict[str, int]:
+    return {t["content"]: t["id"] for t in doc.get("added_tokens", [])}
+
+
+class ByteBpe(Splitter):
     """Encodes as the vocabulary file's own library does, without added tokens.
 
     Where the file asks for nothing but plain byte-level BPE (``is_plain``),
@@ -61,17 +82,17 @@ class ByteBpe:
         doc = json.loads(spec)
         letters = byte_letters()
         vocab = doc["model"]["vocab"]
-        self.special = {t["content"]: t["id"] for t in doc.get("added_tokens", [])}
-        size = max([*vocab.values(), *self.special.values()]) + 1
+        self.fast = is_plain(doc)
+        super().__init__(special_tokens(doc) if self.fast else {})
+        special = special_tokens(doc)
+        size = max([*vocab.values(), *special.values()]) + 1
         self.bytes: list[bytes] = [b""] * size
         for token, i in vocab.items():
-            if token not in self.special:
+            if token not in special:
                 self.bytes[i] = bytes(letters.get(ch, 63) for ch in token)
-        for token, i in self.special.items():
+        for token, i in special.items():
             self.bytes[i] = token.encode()
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
-        self.fast = is_plain(doc)
-        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special and self.fast else None
         if self.fast:
             import tiktoken
 
@@ -107,15 +128,6 @@ class ByteBpe:
         with open(path or default_path(), encoding="utf-8") as f:
             return f.read()
 
-    def segments(self, text: str):
-        """(segment, id): ordinary segments have id None, special tokens their id."""
-        if self.split is None:
-            yield text, None
-            return
-        for part in self.split.split(text):
-            if part:
-                yield part, self.special.get(part)
-
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         for part, special in self.segments(text):

@@ -20,6 +20,7 @@ if they don't, or a chunk lacks such places, the window grows over the chunk.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 
 import numpy as np
@@ -33,7 +34,7 @@ from veilframe.llm.common import BATCH_BYTES, drop_path, partitions, route_bitma
 #: A cut for about every 2**MASK_BITS bytes, and the shortest and longest chunk.
 MASK_BITS, MIN_CHUNK, MAX_CHUNK = 10, 256, 1 << 15
 #: Bytes of texts that a bin is meant to hold.
-BIN_BYTES = 32 << 20
+BIN_BYTES = 8 << 20
 #: Bytes of a bin's own chunks whose ids are kept, as a number of ids.
 CACHE_IDS = 4 << 20
 #: Bytes of text that are encoded before their ids are folded into the digests.
@@ -80,7 +81,7 @@ def digest(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=16).digest()
 
 
-def parts(codec: bpe.ByteBpe, text: str):
+def parts(codec: bpe.Splitter, text: str):
     """(bytes, special id) of one text after another, cut at sure places into about PART_BYTES bytes."""
     for part, special in codec.segments(text):
         if special is not None:
@@ -94,7 +95,7 @@ def parts(codec: bpe.ByteBpe, text: str):
             at = end
 
 
-def chunks(codec: bpe.ByteBpe, text: str):
+def chunks(codec: bpe.Splitter, text: str):
     for data, special in parts(codec, text):
         if special is None:
             bounds = [0, *cuts(data), len(data)]
@@ -222,9 +223,8 @@ class Digests:
         return pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(columns, kinds))], names)
 
 
-def _digests_of_chunks(spec):
+def _digests_of_chunks(codec: bpe.Splitter):
     def run(batches):
-        codec = bpe.of(spec.value)
         for batch in batches:
             bins, hashes = [], []
             for b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -241,11 +241,11 @@ def _is_shared(bits: np.ndarray, h: bytes) -> bool:
     return bool(bits[slot >> 3] >> (slot & 7) & 1)
 
 
-def _shared_chunks(spec, sent):
+def _shared_chunks(codec: bpe.Splitter, sent):
     """(h, chunk) of every chunk that the bitmap lets through, mostly once a task."""
 
     def run(batches):
-        codec, bits, seen = bpe.of(spec.value), sent.value, set()
+        bits, seen = sent.value, set()
         for batch in batches:
             hashes, data, n = [], [], 0
             for text in batch.column(0).to_pylist():
@@ -333,26 +333,26 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = named.select("doc_id").dtypes[0][1]
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
-    if not bpe.is_plain(bpe.json.loads(text)):
+    doc = json.loads(text)
+    if not bpe.is_plain(doc):
         return named.mapInArrow(_alone(spec, with_ids), schema)
-    folder = work_dir(spark)
+    folder, splitter = work_dir(spark), bpe.Splitter(bpe.special_tokens(doc))
     total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_bins = max(partitions(spark), -(-total // BIN_BYTES))
     binned = named.withColumn("bin", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_bins)).cast("int"))
-    by_bin = binned.select("bin", "text").mapInArrow(_digests_of_chunks(spec), "bin int, h binary")
+    by_bin = binned.select("bin", "text").mapInArrow(_digests_of_chunks(splitter), "bin int, h binary")
     shared = stored(by_bin.groupBy("h").agg(F.collect_set("bin").alias("bins")).where(F.size("bins") > 1), folder, "shared")
     slot = F.conv(F.hex(F.substring("h", 1, 6)), 16, 10).cast("long")
     bits = spark.sparkContext.broadcast(route_bitmap(shared, slot))
 
     # Each shared chunk is encoded once, by the task that its digest belongs to.
-    sent = named.select("text").mapInArrow(_shared_chunks(spec, bits), "h binary, chunk binary")
+    sent = named.select("text").mapInArrow(_shared_chunks(splitter, bits), "h binary, chunk binary")
     once = sent.repartition("h").sortWithinPartitions("h").mapInArrow(_encoded_once(spec), "h binary, ids binary")
     ids = stored(once.join(shared, "h").select(F.explode("bins").alias("bin"), "h", "ids"), folder, "ids")
 
     @F.pandas_udf("boolean")
     def meets(texts):
-        codec, table = bpe.of(spec.value), bits.value
-        return texts.map(lambda t: any(_is_shared(table, digest(c)) for c in chunks(codec, t))).astype(bool)
+        return texts.map(lambda t: any(_is_shared(bits.value, digest(c)) for c in chunks(splitter, t))).astype(bool)
 
     routed = binned.withColumn("meets", meets("text"))
     some = routed.where("meets").select("bin", F.lit(None).cast("binary").alias("h"), F.lit(None).cast("binary").alias("ids"), "doc_id", "text")
