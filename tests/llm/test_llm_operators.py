@@ -637,7 +637,7 @@ def test_shared_chunks_are_encoded_once(codec, spark):
         for c in bpe_chunks.chunks(codec, t):
             where.setdefault(bpe_chunks.digest(c), set()).add(i % 7)
             chunk_of[bpe_chunks.digest(c)] = c
-    shared = {h: np.array(codec.plain(chunk_of[h].decode()), "<u4").tobytes() for h, bins in where.items() if len(bins) > 1}
+    shared = {h: np.array(codec.plain(chunk_of[h].decode()), codec.kind).tobytes() for h, bins in where.items() if len(bins) > 1}
     bins = [bpe_chunks.ChunkEncoder(codec, dict(shared)) for _ in range(7)]
     for i in range(0, len(texts)):
         bins[i % 7].encode(texts[i])
@@ -661,7 +661,7 @@ def test_joins_that_disagree_grow(codec):
         split = [byte[bytes([b])] for b in codec.bytes[ids[first]]]
         assert len(split) > 1
         wrong = ids[:first] + split + ids[first + 1 :]
-        encoder = bpe_chunks.ChunkEncoder(codec, {bpe_chunks.digest(chunk): np.array(wrong, "<u4").tobytes()})
+        encoder = bpe_chunks.ChunkEncoder(codec, {bpe_chunks.digest(chunk): np.array(wrong, codec.kind).tobytes()})
         assert encoder.encode(t) == codec.encode(t)
 
 

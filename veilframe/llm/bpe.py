@@ -92,6 +92,8 @@ class ByteBpe(Splitter):
                 self.bytes[i] = bytes(letters.get(ch, 63) for ch in token)
         for token, i in special.items():
             self.bytes[i] = token.encode()
+        #: How ids are stored.
+        self.kind = "<u2" if size <= 1 << 16 else "<u4"
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
         if self.fast:
             import tiktoken

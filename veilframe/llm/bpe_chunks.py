@@ -39,6 +39,8 @@ BIN_BYTES = 8 << 20
 CACHE_IDS = 4 << 20
 #: Bytes of text that are encoded before their ids are folded into the digests.
 PART_BYTES = 1 << 20
+#: Bits of the bitmap for each shared chunk: a document has many chunks, so each must seldom pass for another.
+ROUTE_BITS = 512
 #: Digests of chunks that a task remembers to have sent.
 SENT = 1 << 20
 
@@ -128,7 +130,7 @@ class ChunkEncoder:
             ids = self.codec.plain(data.decode("utf-8"))
         else:
             self.reused += 1
-            ids = np.frombuffer(known, "<u4").tolist()
+            ids = np.frombuffer(known, self.codec.kind).tolist()
         got = (ids, self._places(data, ids))
         if self.held > self.cache_ids:
             self.cache.clear()
@@ -278,7 +280,7 @@ def _encoded_once(spec):
                 if h != past:
                     past = h
                     hashes.append(h)
-                    ids.append(np.array(codec.plain(chunk.as_py().decode("utf-8")), "<u4").tobytes())
+                    ids.append(np.array(codec.plain(chunk.as_py().decode("utf-8")), codec.kind).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(ids, pa.binary())], ["h", "ids"])
 
     return run
@@ -343,7 +345,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     by_bin = binned.select("bin", "text").mapInArrow(_digests_of_chunks(splitter), "bin int, h binary")
     shared = stored(by_bin.groupBy("h").agg(F.collect_set("bin").alias("bins")).where(F.size("bins") > 1), folder, "shared")
     slot = F.conv(F.hex(F.substring("h", 1, 6)), 16, 10).cast("long")
-    bits = spark.sparkContext.broadcast(route_bitmap(shared, slot))
+    bits = spark.sparkContext.broadcast(route_bitmap(shared, slot, ROUTE_BITS))
 
     # Each shared chunk is encoded once, by the task that its digest belongs to.
     sent = named.select("text").mapInArrow(_shared_chunks(splitter, bits), "h binary, chunk binary")

@@ -96,13 +96,13 @@ def keep_columns(docs: DataFrame, **extra) -> DataFrame:
     return docs.select(F.struct("*").alias("row"), *(col.alias(name) for name, col in extra.items()))
 
 
-def route_bitmap(rows: DataFrame, slot) -> np.ndarray:
-    """A bitmap with a bit for the long ``slot`` of each row; about 16 bits a row, from 8 KB to 16 MB.
+def route_bitmap(rows: DataFrame, slot, bits_a_row: int = 16) -> np.ndarray:
+    """A bitmap with a bit for the long ``slot`` of each row; ``bits_a_row`` to twice that a row, from 8 KB to 16 MB.
 
     ``slot`` counts modulo the bitmap's size.  More rows than fit saturate it:
     then more is let through, never less.
     """
-    bits = min(max((16 * rows.count()).bit_length(), LEAST_BITS), MOST_BITS)
+    bits = min(max((bits_a_row * rows.count()).bit_length(), LEAST_BITS), MOST_BITS)
     at = slot.bitwiseAND(F.lit((1 << bits) - 1)) + 1
     got = rows.select(F.bitmap_bucket_number(at).alias("b"), F.bitmap_bit_position(at).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
     out = np.zeros((1 << bits) // 8, np.uint8)
