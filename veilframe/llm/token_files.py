@@ -28,60 +28,87 @@ SHARD_IDS = 1 << 20
 #: Rounds (None: as many as find a pair that occurs LEAST times).
 ROUNDS, LEAST = None, 24
 END_ID = 0
+#: Most bits of the table that finds a pair's rule.
 BUCKETS = 20
 
 
+def _frequent(pair: np.ndarray, least: int) -> np.ndarray:
+    """The distinct values that occur at least ``least`` times, in order."""
+    ordered = np.sort(pair)
+    if least > 1:
+        n = max(0, len(ordered) - least + 1)
+        ordered = ordered[:n][ordered[least - 1 :] == ordered[:n]]
+    return ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])] if len(ordered) else ordered
+
+
+def _ranks(pair: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """The place of each pair among ``kinds``, or -1: by a table of slots, and by search where two kinds share a slot."""
+    bits = min(BUCKETS, len(kinds).bit_length() + 5)
+
+    def slots(keys):
+        return ((keys * keys.dtype.type(0x9E3779B1)) >> keys.dtype.type(keys.dtype.itemsize * 8 - bits)).astype(np.int32)
+
+    of_kind, slot = slots(kinds), slots(pair)
+    table = np.full(1 << bits, -1, np.int32)
+    table[of_kind] = np.arange(len(kinds), dtype=np.int32)
+    got = table[slot]
+    got[kinds[got] != pair] = -1
+    lost = np.flatnonzero(table[of_kind] != np.arange(len(kinds)))
+    if len(lost):
+        crowded = np.zeros(1 << bits, bool)
+        crowded[of_kind[lost]] = True
+        at = np.flatnonzero((got < 0) & crowded[slot])
+        place = np.minimum(np.searchsorted(kinds[lost], pair[at]), len(lost) - 1)
+        found = kinds[lost][place] == pair[at]
+        got[at[found]] = lost[place[found]]
+    return got
+
+
 def compress(ids: np.ndarray, base: int, rounds: int | None = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): rule k makes symbol base + k stand for two earlier symbols.
 
-    Rounds go on until no pair occurs ``least`` times or the rules are used up.
+    Rounds go on until no pair occurs ``least`` times or the rules are used up;
+    then the most frequent pairs get the rules that are left.
     """
     seq, rules, used, fresh = ids.astype(np.uint32), [], 0, 0
     room = max(0, (1 << 16) - base) if base < 1 << 16 else 1 << 16
+    half, kind = (16, np.uint32) if base + room <= 1 << 16 else (32, np.uint64)
     for _ in itertools.count() if rounds is None else range(rounds):
         if len(seq) < 2 or used >= room:
             break
-        # What occurred less than ``least`` times in the last round does so still, so only pairs with a new symbol are counted.
-        spot = np.flatnonzero((seq[:-1] >= fresh) | (seq[1:] >= fresh))
-        pair = (seq[spot].astype(np.uint64) << np.uint64(32)) | seq[spot + 1]
-        slot = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS)).astype(np.int32)
-        # One pair owns each slot and is counted there; others that fall into it are counted by sorting.
-        owner = np.zeros(1 << BUCKETS, np.uint64)
-        owner[slot] = pair
-        owned = owner[slot] == pair
-        n = np.bincount(slot[owned], minlength=1 << BUCKETS)
-        want = np.flatnonzero(n >= least)
-        rest = np.flatnonzero(~owned)
-        others, which, m = np.unique(pair[rest], return_inverse=True, return_counts=True)
-        more = np.flatnonzero(m >= least)
-        kinds, n = np.concatenate([owner[want], others[more]]), np.concatenate([n[want], m[more]])
+        pair = (seq[:-1].astype(kind) << kind(half)) | seq[1:]
+        spot = None
+        if used:
+            # What occurred less than ``least`` times in the last round does so still, so only pairs with a new symbol are counted.
+            new = seq >= fresh
+            spot = np.flatnonzero(new[:-1] | new[1:])
+            pair = pair[spot]
+        kinds = _frequent(pair, least)
         if not len(kinds):
             break
-        rank = np.arange(len(kinds))
+        rank = _ranks(pair, kinds)
+        at = np.flatnonzero(rank >= 0)
         if len(kinds) > room - used:
-            keep = np.sort(np.argsort(-n, kind="stable")[: room - used])
-            rank = np.full(len(kinds), -1)
-            rank[keep] = np.arange(len(keep))
-            kinds = kinds[keep]
-        number = np.full(1 << BUCKETS, -1, np.int32)
-        number[want] = rank[: len(want)]
-        sym = np.where(owned, number[slot], -1)
-        turn = np.full(len(others), -1, np.int32)
-        turn[more] = rank[len(want) :]
-        sym[rest] = turn[which]
-        at, sym = spot[sym >= 0], sym[sym >= 0] + base + used
+            keep = np.sort(np.argsort(-np.bincount(rank[at], minlength=len(kinds)), kind="stable")[: room - used])
+            to = np.full(len(kinds), -1, np.int32)
+            to[keep] = np.arange(len(keep))
+            kinds, rank = kinds[keep], np.where(rank >= 0, to[rank], -1)
+            at = np.flatnonzero(rank >= 0)
+        sym = rank[at] + (base + used)
+        at = at if spot is None else spot[at]
         fresh = base + used
         # Of overlapping places, every second one of a run of neighbours is taken.
-        first = np.concatenate([[True], at[1:] != at[:-1] + 1])
-        run = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
-        take = (np.arange(len(at)) - run) % 2 == 0
-        at, sym = at[take], sym[take]
-        seq = seq.copy()
+        near = at[1:] == at[:-1] + 1
+        if near.any():
+            first = np.concatenate([[True], ~near])
+            run = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+            take = (np.arange(len(at)) - run) % 2 == 0
+            at, sym = at[take], sym[take]
         seq[at] = sym
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq = seq[stay]
-        rules.append(np.stack([kinds >> np.uint64(32), kinds & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
+        rules.append(np.stack([kinds >> kind(half), kinds & kind((1 << half) - 1)], 1).astype(np.uint32))
         used += len(kinds)
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
@@ -102,19 +129,29 @@ def lengths_of(rules: np.ndarray, base: int) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    seq = symbols.astype(np.uint32)
+    """The ids that the symbols stand for: each rule is spelled out once, then all symbols are copied from these."""
+    spelled, size = _spelled(rules, base)
+    start = np.cumsum(size) - size
+    big = size[symbols]
+    ends = np.cumsum(big)
+    return spelled[np.repeat(start[symbols] - (ends - big), big) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+def _spelled(rules: np.ndarray, base: int):
+    """(ids of all symbols in order, one after another, and how many each has)."""
+    seq, owner = np.arange(base + len(rules), dtype=np.uint32), np.arange(base + len(rules))
     while True:
         big = seq >= base
         if not big.any():
-            return seq
+            return seq, np.bincount(owner, minlength=base + len(rules))
         size = 1 + big.astype(np.int64)
         start = np.cumsum(size) - size
         out = np.empty(int(size.sum()), np.uint32)
-        out[start[~big]] = seq[~big]
         pair = rules[seq[big] - base]
+        out[start[~big]] = seq[~big]
         out[start[big]] = pair[:, 0]
         out[start[big] + 1] = pair[:, 1]
-        seq = out
+        seq, owner = out, np.repeat(owner, size)
 
 
 def pack(doc_ids: np.ndarray, known: np.ndarray, counts: np.ndarray, ids: np.ndarray, base: int) -> bytes:
