@@ -339,7 +339,6 @@ def brute_components(texts, k, percent):
 def test_jaccard_join_brute_force(spark, seed, k, percent, busy, monkeypatch):
     if busy < 1000:
         monkeypatch.setattr(near_join, "BUSY", busy)
-        monkeypatch.setattr(common, "HOT_ROWS", 2)
     rng = random.Random(seed)
     vocab = [f"w{i}" for i in range(400)]
     passage = " ".join(rng.choice(vocab) for _ in range(25))
@@ -394,10 +393,8 @@ def test_components(spark):
     assert got == {x: find(x) for x in root}
 
 
-@pytest.mark.parametrize("hot", [1000, 10])
-def test_components_of_a_long_path_and_a_large_star(spark, hot, monkeypatch):
-    monkeypatch.setattr(common, "HOT_ROWS", hot)
-    path = list(range(700 if hot < 1000 else 5000))
+def test_components_of_a_long_path_and_a_large_star(spark):
+    path = list(range(5000))
     random.Random(1).shuffle(path)
     links = spark.createDataFrame([(-a - 1, -b - 1) for a, b in zip(path, path[1:])], "a long, b long")
     links = links.unionAll(spark.range(1, 100001).selectExpr("100001 as a", "id as b"))

@@ -4,7 +4,6 @@ import pytest
 from compare import same
 from pyspark.sql import functions as F
 
-from veilframe.llm import common
 from veilframe.llm.bpe_chunks import encode_decode
 from veilframe.llm.embedding_dedup import embedding_dedup
 from veilframe.llm.exact_dedup import drop_duplicates, exact_dedup
@@ -63,9 +62,7 @@ def test_odd_rows_of_stages(spark, odd):
 CLASHING = "row score may maybe routed sha fp n keep size src shard times owed words source_size target taken col h ids bin meets cid gid token busy _score _fp _sha _n _keep _routed _maybe _gone _copy _id _times _source _text _y doc_id_ slot".split()
 
 
-@pytest.mark.parametrize("hot", [1000, 1])
-def test_clashing_columns_keep_their_values(spark, odd, hot, monkeypatch):
-    monkeypatch.setattr(common, "HOT_ROWS", hot)
+def test_clashing_columns_keep_their_values(spark, odd):
     docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
     docs = docs.select("*", *(F.concat_ws("/", F.lit(c), F.col("doc_id").cast("string"), F.length("text").cast("string")).alias(c) for c in CLASHING))
     before = {tuple(r) for r in docs.collect()}

@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 #: Bytes that one Arrow batch may hold (a longer row is a batch of its own).
 BATCH_BYTES = 4 << 20
 
-#: Rows of one key that may always come into one task, and the most keys that are broadcast because they have more.
-HOT_ROWS, HOT_KEYS = 1000, 100_000
 #: The least and the most bits of a routing bitmap, as powers of two.
 LEAST_BITS, MOST_BITS = 16, 27
 
@@ -56,8 +54,8 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: cuts lineage.
+def stored(df: DataFrame, folder: str, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` into the shared folder (in a folder for each value of ``by``) and read it back: cuts lineage.
 
     Its shuffle files go as soon as it is written, so a chain of steps needs the
     disk of one step at a time.
@@ -66,7 +64,7 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     before = conf.get(CLEANUP, "false")
     conf.set(CLEANUP, "true")
     try:
-        df.write.mode("overwrite").parquet(path)
+        (df.write.partitionBy(by) if by else df.write).mode("overwrite").parquet(path)
     finally:
         conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -127,24 +125,6 @@ def router(spark: SparkSession, bits: np.ndarray):
     return test
 
 
-def hot_limit(rows: int) -> int:
-    """How many rows of one key a task may meet; no more than HOT_KEYS keys have more, so that these can be broadcast."""
-    return max(HOT_ROWS, rows // HOT_KEYS)
-
-
-def join_hot(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``keyed``, which has one row a key and in ``weight`` how many rows of ``rows`` have it.
-
-    Busy keys (at most HOT_KEYS) are broadcast, so none of them comes into one task.
-    """
-    limit = hot_limit(total)
-    if total <= limit:
-        return rows.join(keyed, keys, how)
-    hot = keyed.where(F.col(weight) > limit)
-    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(keyed.where(F.col(weight) <= limit), keys, how)
-    return rows.join(F.broadcast(hot), keys).select(*cold.columns).unionAll(cold)
-
-
 def sample_by_label(docs: DataFrame, labels: DataFrame, label: str, allowed, per_class: int, max_chars: int):
     """A bounded, repeatable training sample: at most ``per_class`` rows of each
     of the labels 0 and 1, none longer than ``max_chars``.

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import drop_path, join_hot, keep_columns, partitions, route_bitmap, router, small_batches, stored, work_dir
+from veilframe.llm.common import drop_path, keep_columns, partitions, route_bitmap, router, small_batches, stored, work_dir
 
 FP_BITS = 48
 #: Fingerprints that a partition gathers before it writes out its filters.
@@ -166,9 +166,12 @@ def _verified(docs: DataFrame, routed, id_col: str, text_col: str) -> DataFrame:
 
 
 def _grouped(narrow: DataFrame, routed, groups: DataFrame):
-    """(routed rows with keep and n, null where a row is alone; the rows that aren't routed)."""
-    total = groups.agg(F.sum("n")).first()[0] or 0
-    return join_hot(narrow.where(routed("fp")), groups, ["sha"], "n", total, "left"), narrow.where(~routed("fp"))
+    """(routed rows with keep and n, null where a row is alone; the rows that aren't routed).
+
+    Nothing follows the join that needs its partitioning, so adaptive execution
+    can deal the rows of a large group over several tasks.
+    """
+    return narrow.where(routed("fp")).join(groups, "sha", "left"), narrow.where(~routed("fp"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,25 +4,20 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import drop_path, hot_limit, stored
+from veilframe.llm.common import drop_path, stored
 
 
-def with_least(links: DataFrame, rows: int) -> DataFrame:
-    """``links`` (u, v) with the smallest v of each u as m; ``rows`` is their number or an upper bound.
+def with_least(links: DataFrame) -> DataFrame:
+    """``links`` (u, v) with the smallest v of each u as m.
 
-    A window finds it for ordinary nodes.  For hubs, of which there are few, it
-    is aggregated before the shuffle and broadcast, so no task meets all links of a hub.
+    The least is aggregated before the shuffle and joined, so that adaptive
+    execution can deal the links of a busy node over several tasks, as it can't
+    for a window.
     """
-    window = F.min("v").over(Window.partitionBy("u"))
-    limit = hot_limit(rows)
-    if rows <= limit:
-        return links.withColumn("m", window)
-    hubs = links.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("u", "m")
-    cold = links.join(F.broadcast(hubs.select("u")), "u", "left_anti").withColumn("m", window)
-    return links.join(F.broadcast(hubs), "u").select("u", "v", "m").unionAll(cold.select("u", "v", "m"))
+    return links.join(links.groupBy("u").agg(F.min("v").alias("m")), "u")
 
 
 def components(links: DataFrame, folder: str, name: str = "cc") -> DataFrame:
@@ -45,8 +40,8 @@ def components(links: DataFrame, folder: str, name: str = "cc") -> DataFrame:
         if not state[0]:
             break
         both = now.unionAll(now.select(v.alias("u"), u.alias("v")))
-        large = with_least(both, 2 * state[0]).withColumn("m", F.least(u, "m")).where("v > u").select(v.alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        stars = with_least(large, 2 * state[0])
+        large = with_least(both).withColumn("m", F.least(u, "m")).where("v > u").select(v.alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        stars = with_least(large)
         small = stars.select(F.explode(F.array(F.struct(u.alias("u"), F.col("m").alias("v")), F.struct(v.alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         now = stored(small, folder, f"{name}-{i}")
         drop_path(spark, past)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import drop_path, hot_limit, join_hot, keep_columns, marked, route_bitmap, router, small_batches, stored, work_dir
+from veilframe.llm.common import drop_path, keep_columns, marked, route_bitmap, router, small_batches, stored, work_dir
 from veilframe.llm.graph import components
 from veilframe.llm.textvec import PLACES, mixed, word_hashes
 
@@ -198,43 +198,38 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sig = stored(named.mapInArrow(_signatures(counts, shingle, percent), "doc_id long, n long, h1 long, h2 long, p1 long, p2 long, prefix array<long>, calm int"), folder, "signatures")
     keys = ["n", "p1", "p2", "h1", "h2"]
     live = sig.where("n > 0 and doc_id is not null")
-    classes = live.groupBy(*keys).agg(F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("rows"))
+    classes = live.groupBy(*keys).agg(F.min("doc_id").alias("cid"))
     groups = classes.groupBy("n", "p1", "p2").agg(F.min("cid").alias("gid"), F.count(F.lit(1)).alias("members"))
     classes = stored(classes.join(groups, ["n", "p1", "p2"]), folder, "classes")
-    total = classes.agg(F.sum("rows")).first()[0] or 0
 
     # Postings of groups.  A shingle leads on only where the next smaller or larger group that has it is near in size; a busy
     # one always does.
     heads = classes.where("cid = gid").select("n", "p1", "p2", F.col("gid").alias("doc_id"))
     postings = sig.join(heads, ["doc_id", "n", "p1", "p2"], "left_semi").select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("gid"), "n", "calm")
-    over = Window.partitionBy("token").orderBy("n", "gid")
+    over = Window.partitionBy("token", "salt").orderBy("n", "gid")
     below, above = F.lag("n").over(over), F.lead("n").over(over)
     near = (F.coalesce(below, F.lit(0)) * 100 >= F.col("n") * percent) | (F.coalesce(F.col("n") * 100 >= above * percent, F.lit(False)))
+    postings = postings.withColumn("busy", F.col("pos") >= F.col("calm")).withColumn("salt", F.when(F.col("busy"), _salt("gid")).otherwise(0))
+    postings = postings.withColumn("near", F.col("busy") | near).where("near").withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("gid")))
     fields = ["token", "gid", "n", "pos"]
-    calm = postings.where("pos < calm").withColumn("near", near).where("near").select(*fields, F.lit(False).alias("busy"))
-    shared = stored(calm.unionAll(postings.where("pos >= calm").select(*fields, F.lit(True).alias("busy"))), folder, "postings")
-    kept = shared.groupBy("gid").agg(F.count(F.lit(1)).alias("k"))
-    shared = stored(shared.join(kept, "gid").select(*fields, "k", "busy"), folder, "shared")
-    drop_path(spark, f"{folder}/postings")
+    shared = stored(postings.select(*fields, "k", "busy"), folder, "shared", "busy")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """Links among the pairs (a, b) of classes; only the texts of these classes are read as sets.
 
-        Each pair brings the set of its b; that of a comes once a task.
+        Each pair brings the set of its b to that of a.  Adaptive execution may
+        deal the pairs of a busy a over several tasks, as nothing that follows
+        needs the join's partitioning.
         """
         pairs = stored(pairs.where("a <> b").distinct(), folder, f"pairs-{name}")
         asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), folder, f"asked-{name}")
         bits = spark.sparkContext.broadcast(route_bitmap(asked, F.xxhash64("cid")))
         sets = named.select("doc_id", "text", F.xxhash64("doc_id").alias("slot")).where("doc_id is not null").mapInArrow(_sets(bits, shingle), "cid long, set array<long>")
         sets = stored(sets.join(asked, "cid", "left_semi"), folder, f"sets-{name}")
-        limit = hot_limit(pairs.count())
-        hubs = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > limit).select("a", F.ceil(F.col("c") / limit).alias("slices"))
-        sliced = pairs.join(F.broadcast(hubs), "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), "slices"), F.lit(0)).alias("slice"))
-        left = sets.toDF("a", "sa").join(F.broadcast(hubs), "a", "left").select("a", "sa", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("slices", F.lit(1)) - 1)).alias("slice"))
         both = F.size(F.array_intersect("sa", "sb"))
         union = F.size("sa") + F.size("sb") - both
-        met = sliced.join(sets.toDF("b", "sb"), "b").join(left, ["a", "slice"])
-        links = stored(met.where(both * 100 >= union * percent).select("a", "b").distinct(), folder, f"links-{name}")
+        met = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
+        links = stored(met.where(both * 100 >= union * percent).select("a", "b"), folder, f"links-{name}")
         for part in ("sets", "asked", "pairs"):
             drop_path(spark, f"{folder}/{part}-{name}")
         return links
@@ -254,7 +249,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     comps = stored(comps, folder, "comps")
     # A group's members can lie in several components; only groups that lie in one and the same have nothing to find.
     spread = comps.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    placed = stored(shared.join(spread, "gid").select(*fields, "lo", "hi", "busy"), folder, "placed")
+    placed = stored(shared.join(spread, "gid").select(*fields, "lo", "hi", "busy"), folder, "placed", "busy")
     whole = Window.partitionBy("token")
     calm = placed.where("not busy").withColumn("first", F.min("lo").over(whole)).withColumn("last", F.max("hi").over(whole)).where("first <> last")
     ends = placed.where("busy").groupBy("token").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where("first <> last")
@@ -263,7 +258,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     open_ = stored(calm.select(*names).unionAll(busy.select(*names)), folder, "open")
     # Of a busy shingle each block of groups meets all groups in a task of its own.
     blocks = F.when(F.col("busy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    own = F.when(F.col("busy"), F.pmod(F.xxhash64("gid"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    own = F.when(F.col("busy"), _salt("gid")).otherwise(F.lit(0))
     x = open_.select("token", own.alias("block"), *fields[1:], "lo", "hi").toDF("token", "block", "ga", "na", "pa", "la", "ha")
     y = open_.select("token", F.explode(blocks).alias("block"), *fields[1:], "lo", "hi").toDF("token", "block", "gb", "nb", "pb", "lb", "hb")
     # A pair needs a shingle early enough in both sets: with what follows it they can still overlap enough.
@@ -277,23 +272,25 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own = comps.join(classes.where("members > 1").select("gid", "cid").distinct(), ["gid", "cid"], "left_semi")
     within = own.toDF("gid", "a", "ca").join(own.toDF("gid", "b", "cb"), "gid").where("ca < cb").select("a", "b")
     links = links.unionAll(verified(wide.unionAll(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "rest"))
-    members = join_hot(live.select("doc_id", *keys), classes.select(*keys, "cid", "rows"), keys, "rows", total)
+    members = live.select("doc_id", *keys).join(classes.select(*keys, "cid"), keys)
     members = stored(members.select("doc_id", "n", "cid"), folder, "members")
     twice = members.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("hi")).where("a <> hi").select("doc_id", "a")
     links = links.unionAll(members.join(twice, "doc_id").select("a", F.col("cid").alias("b")))
     comps = components(links, folder, "components").withColumnRenamed("node", "cid")
-    of_class = classes.select("cid", "n", "rows").groupBy("cid").agg(F.sum("rows").alias("rows")).join(comps, "cid")
-    found = join_hot(members, of_class, ["cid"], "rows", total, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "cid").alias("component_id"))
+    found = members.join(comps, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "cid").alias("component_id"))
     rest = stored(sig.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")), folder, "rest")
     for name in ("signatures", "shared", "comps", "placed", "open"):
         drop_path(spark, f"{folder}/{name}")
     return found.unionAll(rest)
 
 
+def _salt(col: str):
+    return F.pmod(F.xxhash64(col), F.lit(SALTS)).cast("int")
+
+
 def _salted(rows: DataFrame, by_token: DataFrame) -> DataFrame:
     """``rows`` joined with the one row of their token, a busy token's rows dealt over SALTS tasks."""
-    salt = F.pmod(F.xxhash64("gid"), F.lit(SALTS)).cast("int")
-    return rows.withColumn("salt", salt).join(by_token.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["token", "salt"]).drop("salt")
+    return rows.withColumn("salt", _salt("gid")).join(by_token.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["token", "salt"]).drop("salt")
 
 
 def _least_overlap(percent: int):
