@@ -61,8 +61,49 @@ def fix_json(text: str) -> str:
     return text + "]" * max(0, text.count("[") - text.count("]")) + "}" * max(0, text.count("{") - text.count("}"))
 
 
+#: The second pass: replacements in the order in which they have to run (fixed values).
+CLEANINGS = (
+    ("\n    ", ""), ("\n ", ""), ("\n", ""), ("  ", " "), ("  ", " "), ("**", ""), (" ... ", " "), ("[...", "["), ("...]", "]"), ("...", ""),
+    ("\\'s", "'s"), ('"s', "'s"), ("`", ""), ("\\", ""),
+)
+#: What may stand between two people in a broken list: how the first is closed, and what may follow up to the second (fixed values, in order).
+BETWEEN = (
+    ("}]}]", (", [", ", ", ",[", "[", "", "}, ")),
+    ("}]]", (", [", ", ", ",[", "[", ",")),
+    ("}}]", (", [", ", ", ",[", "[", "),", ",")),
+    ("}}", (", [", ", ", ",[", "[", ",")),
+    ("}]", (", [", ", ", ",[", "[", ",")),
+)
+NEXT_PERSON, JOINED = '{"id"', '}]}, {"id"'
+#: Misplaced brackets and quotes (fixed values, in order).
+MISPLACED = (
+    ('}]},{["id"', JOINED), ('}]},{{"id"', JOINED), ('}],{["id"', JOINED), ('}],{{"id"', JOINED),
+    ('"hardness}', '"hardness"'), ("}:", '}"'), (", {}", ""), ("{}", ""), ('{tag:"', '{"tag":"'), ('"tag:"', '"tag":"'), ('"keyword:"', '"keyword":"'), ('"},', "},"),
+)
+CLEANED = (*CLEANINGS, *((close + gap + NEXT_PERSON, JOINED) for close, gaps in BETWEEN for gap in gaps), *MISPLACED)
+EDGES = "[]{} \n,\t"
+
+
+def clean_json(text: str | None) -> str:
+    """A stronger repair: separators between people put right, everything but one list of people with lists of values cut off."""
+    if not text:
+        return ""
+    text = fix_json(text)
+    for old, new in CLEANED:
+        text = text.replace(old, new)
+    inside = text.strip(EDGES)
+    if inside:
+        text = "[{" + inside + "}]}]"
+    try:
+        json.loads(text)
+    except ValueError:
+        text = re.sub(r"(?m)^```(?:json)?\s*", "", text)
+        text = re.sub(r"(?m)```\s*$", "", text)
+    return text
+
+
 def _read(text: str):
-    for source in (text, fix_json(text)):
+    for source in (text, fix_json(text), clean_json(text)):
         for reader in (json.loads, ast.literal_eval):
             try:
                 got = reader(source)
@@ -145,6 +186,11 @@ def fix_json_udf(texts: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else fix_json(t) for t in texts], dtype=object)
 
 
+@F.pandas_udf(T.StringType())
+def clean_json_udf(texts: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else clean_json(t) for t in texts], dtype=object)
+
+
 STRICT = "array<struct<id:int,description:string,PIIs:array<struct<tag:string,keyword:string,certainty:int,hardness:int>>>>"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe import prompts
+from veilframe import backends, prompts
 from veilframe.functions.parse import analysis_part, normalized_pii, subject_count
 from veilframe.functions.repair import parse_profiles
 from veilframe.operators.alignment import description_jaccard, keep_first, prefer_first
@@ -32,16 +32,17 @@ def long_profiles(answers: DataFrame) -> DataFrame:
 def rekeyed(first: DataFrame, second: DataFrame, least: float = 0.5) -> DataFrame:
     """``second`` with ids of ``first`` for people whom only their descriptions match.
 
-    For the ids of either side alone, the pair of most similar descriptions is
-    taken first, if they share more than ``least`` of their words; each id is
-    used once.  Rounds of mutual best pairs do that without a loop over rows.
+    Ids that only ``first`` has are served in ascending order: each takes the
+    most similar description, of equal ones the smallest id, that no id before
+    it took, if they share more than ``least`` of their words.  An id of 0 that
+    only ``second`` has is never taken.
     """
     ids = lambda d: d.groupBy("data_id", "subject_id").agg(F.first("description").alias("description"))
     a, b = ids(first), ids(second)
     lone_a = a.join(b, ["data_id", "subject_id"], "left_anti")
     lone_b = b.join(a, ["data_id", "subject_id"], "left_anti").withColumnsRenamed({"subject_id": "other", "description": "other_description"})
-    pairs = lone_a.join(lone_b, "data_id").withColumn("s", description_jaccard(F.col("description"), F.col("other_description"))).where(F.col("s") > least)
-    best = pairs.groupBy("data_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "subject_id", "other"))).alias("p"))
+    pairs = lone_a.join(lone_b, "data_id").withColumn("s", description_jaccard(F.col("description"), F.col("other_description"))).where((F.col("s") > least) & (F.col("other") != 0))
+    best = pairs.groupBy("data_id").agg(F.array_sort(F.collect_list(F.struct("subject_id", (-F.col("s")).alias("s"), "other"))).alias("p"))
     zero = F.array().cast("array<struct<subject_id:int,other:int>>")
     free = lambda acc, x: ~F.exists(acc, lambda y: (y["subject_id"] == x["subject_id"]) | (y["other"] == x["other"]))
     picked = F.aggregate("p", zero, lambda acc, x: F.when(free(acc, x), F.array_append(acc, F.struct(x["subject_id"].cast("int").alias("subject_id"), x["other"].cast("int").alias("other")))).otherwise(acc))
@@ -61,3 +62,16 @@ def merged_profiles(code: DataFrame, free: DataFrame, allow_fallback: bool = Tru
     both = prefer_first(code.select(*keys), rekeyed(code, free).select(*keys))
     n = normalized_pii(F.col("keyword"), F.coalesce("certainty", F.lit(0)), F.coalesce("hardness", F.lit(1)))
     return both.withColumn("_n", n).select("data_id", "subject_id", "tag", "_n.*")
+
+
+def with_repair(answers: DataFrame, backend) -> DataFrame:
+    """Parsed profile answers (data_id, response); what can't be read goes to a model once, with the request to mend it.
+
+    Adds parsed (as ``parse_profiles``) and repaired: whether the answer had to be mended.
+    """
+    read = parse_profiles(answers, "response").withColumn("repaired", F.lit(False))
+    bad = read.where("parsed.status = 'error' and trim(coalesce(response, '')) <> ''").select("data_id", prompts.mend(F.col("response"), F.coalesce("parsed.error", F.lit(""))).alias("prompt"))
+    mended = parse_profiles(backends.call(bad, backend).where("status = 'success'").select("data_id", "response"), "response")
+    fixed = mended.where("parsed.status = 'success'").withColumn("repaired", F.lit(True))
+    good = read.join(fixed.select("data_id"), "data_id", "left_anti")
+    return good.select("data_id", "response", "parsed", "repaired").unionByName(fixed.select("data_id", "response", "parsed", "repaired"))
