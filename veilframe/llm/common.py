@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.sources.folders import hadoop_path
+from veilframe.sources.folders import work_folder as work_dir  # noqa: F401
+
 #: Bytes that one Arrow batch may hold (a longer row is a batch of its own).
 BATCH_BYTES = 4 << 20
 
@@ -29,29 +29,9 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared ``spark.checkpoint.dir``, deleted when the driver ends.
-
-    Where that setting is absent a temporary folder is used if the session runs
-    on one machine; on a cluster that is an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="veilframe-")
-    path = f"{root.rstrip('/')}/vf-{uuid.uuid4().hex}"
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(p)
-    fs.deleteOnExit(p)
-    return path
-
-
 def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = hadoop_path(spark, path)
+    fs.delete(p, True)
 
 
 def stored(df: DataFrame, folder: str, name: str, by: str | None = None) -> DataFrame:
