@@ -807,3 +807,13 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_dedup(df).collect()}
     assert [got[i][0] for i in range(len(m))] == link.sum(1).tolist()
     assert [got[i][1] for i in range(len(m))] == root
+
+
+def test_long_texts_have_the_same_features(monkeypatch):
+    from veilframe.llm import textvec
+
+    text = "Ein Wort, und_noch eins\n ΑΣ.B  x" * 40
+    whole = toxicity.features([text, "a b"])
+    monkeypatch.setattr(textvec, "STEP_CHARS", 23)
+    assert "".join(textvec.slices(text)) == text and len(list(textvec.slices(text))) > 20
+    assert all((a == b).all() for a, b in zip(whole, toxicity.features([text, "a b"])))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm import bpe
-from veilframe.llm.common import BATCH_BYTES, drop_path, partitions, route_bitmap, small_batches, stored, work_dir
+from veilframe.llm.common import BATCH_BYTES, drop_path, partitions, route_bitmap, small_batches, stored, tidy, work_dir
 
 #: A cut for about every 2**MASK_BITS bytes, and the shortest and longest chunk.
 MASK_BITS, MIN_CHUNK, MAX_CHUNK = 10, 256, 1 << 15
@@ -337,19 +337,19 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
     doc = json.loads(text)
     if not bpe.is_plain(doc):
-        return named.mapInArrow(_alone(spec, with_ids), schema)
+        return named.mapInArrow(tidy(_alone(spec, with_ids)), schema)
     folder, splitter = work_dir(spark), bpe.Splitter(bpe.special_tokens(doc))
     total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_bins = max(partitions(spark), -(-total // BIN_BYTES))
     binned = named.withColumn("bin", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_bins)).cast("int"))
-    by_bin = binned.select("bin", "text").mapInArrow(_digests_of_chunks(splitter), "bin int, h binary")
+    by_bin = binned.select("bin", "text").mapInArrow(tidy(_digests_of_chunks(splitter)), "bin int, h binary")
     shared = stored(by_bin.groupBy("h").agg(F.collect_set("bin").alias("bins")).where(F.size("bins") > 1), folder, "shared")
     slot = F.conv(F.hex(F.substring("h", 1, 6)), 16, 10).cast("long")
     bits = spark.sparkContext.broadcast(route_bitmap(shared, slot, ROUTE_BITS))
 
     # Each shared chunk is encoded once, by the task that its digest belongs to.
-    sent = named.select("text").mapInArrow(_shared_chunks(splitter, bits), "h binary, chunk binary")
-    once = sent.repartition("h").sortWithinPartitions("h").mapInArrow(_encoded_once(spec), "h binary, ids binary")
+    sent = named.select("text").mapInArrow(tidy(_shared_chunks(splitter, bits)), "h binary, chunk binary")
+    once = sent.repartition("h").sortWithinPartitions("h").mapInArrow(tidy(_encoded_once(spec)), "h binary, ids binary")
     ids = stored(once.join(shared, "h").select(F.explode("bins").alias("bin"), "h", "ids"), folder, "ids")
 
     @F.pandas_udf("boolean")
@@ -360,8 +360,8 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     some = routed.where("meets").select("bin", F.lit(None).cast("binary").alias("h"), F.lit(None).cast("binary").alias("ids"), "doc_id", "text")
     both = ids.select("bin", "h", "ids", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("string").alias("text")).unionAll(some)
     ordered = both.repartition(min(n_bins, max(partitions(spark), 1 << 13)), "bin").sortWithinPartitions("bin", F.col("h").isNull())
-    found = stored(ordered.mapInArrow(_bins(spec, with_ids), schema), folder, "found")
-    rest = stored(routed.where("not meets").select("doc_id", "text").mapInArrow(_alone(spec, with_ids), schema), folder, "rest")
+    found = stored(ordered.mapInArrow(tidy(_bins(spec, with_ids)), schema), folder, "found")
+    rest = stored(routed.where("not meets").select("doc_id", "text").mapInArrow(tidy(_alone(spec, with_ids)), schema), folder, "rest")
     for name in ("shared", "ids"):
         drop_path(spark, f"{folder}/{name}")
     return found.unionAll(rest)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +23,26 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SPACES = " \t\n\x0b\x0c\r"
 
 
+def let_go() -> None:
+    """Give what a finished task took back to the system, so that a worker that is used again doesn't keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run):
+    """A function of batches that lets go of its memory at its end."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            let_go()
+
+    return tidied
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

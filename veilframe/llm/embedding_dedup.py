@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import small_batches, stored, work_dir
+from veilframe.llm.common import small_batches, stored, tidy, work_dir
 from veilframe.llm.graph import components
 
 THRESHOLD = 0.93
@@ -170,7 +170,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
                     angle[at] = np.arccos(np.clip(cos.max(1), -1, 1))
             yield pdf.assign(tile=tile, angle=angle, code=code, factor=factor)
 
-    placed = stored(classes.mapInPandas(place, f"label {label_type}, embedding {dict(classes.dtypes)['embedding']}, cid {dict(classes.dtypes)['cid']}, n long, dim int, cls long, tile int, angle double, code binary, factor double"), folder, "placed")
+    placed = stored(classes.mapInPandas(tidy(place), f"label {label_type}, embedding {dict(classes.dtypes)['embedding']}, cid {dict(classes.dtypes)['cid']}, n long, dim int, cls long, tile int, angle double, code binary, factor double"), folder, "placed")
     out = f"cls long, links long, cid {dict(classes.dtypes)['cid']}, root {dict(classes.dtypes)['cid']}"
     columns = ["label", "dim", "pair", "side", "cid", "cls", "n", "embedding", "code", "factor"]
     if not pivots:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import drop_path, keep_columns, partitions, route_bitmap, router, small_batches, stored, work_dir
+from veilframe.llm.common import drop_path, keep_columns, partitions, route_bitmap, router, small_batches, stored, tidy, work_dir
 
 FP_BITS = 48
 #: Fingerprints that a partition gathers before it writes out its filters.
@@ -133,7 +133,7 @@ def _merge(range_bits: int):
 def repeated_fingerprints(fingerprints: DataFrame) -> DataFrame:
     """(fp, n) of every fingerprint in column ``fp`` that occurs more than once."""
     ranges = max(4, min(12, (4 * partitions(fingerprints.sparkSession)).bit_length()))
-    blobs = fingerprints.select("fp").mapInPandas(_build(ranges), "range_id long, filter binary")
+    blobs = fingerprints.select("fp").mapInPandas(tidy(_build(ranges)), "range_id long, filter binary")
     return blobs.groupBy("range_id").applyInPandas(_merge(ranges), "fp long, n long")
 
 

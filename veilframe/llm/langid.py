@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import crc_mod, small_batches
+from veilframe.llm.common import crc_mod, let_go, small_batches
 from veilframe.llm.textvec import PLACES, code_points, pieces
 
 ORDER = 4
@@ -230,6 +230,7 @@ def language_id(docs: DataFrame, allowed: Column | None = None, id_col: str = "d
         scorer = Scorer(list(model.models))
         for s in batches:
             yield model.predict([None if x is None else x for x in s.tolist()], scorer)
+        let_go()
 
     return named.select("doc_id", predict("text").alias("p")).select("doc_id", "p.*")
 

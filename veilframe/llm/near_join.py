@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import drop_path, keep_columns, marked, route_bitmap, router, small_batches, stored, work_dir
+from veilframe.llm.common import drop_path, keep_columns, marked, route_bitmap, router, small_batches, stored, tidy, work_dir
 from veilframe.llm.graph import components
 from veilframe.llm.textvec import PLACES, mixed, word_hashes
 
@@ -113,7 +113,7 @@ def shingle_counts(docs: DataFrame, k: int = SHINGLE) -> np.ndarray:
             total += np.frombuffer(c, np.uint8 if len(c) == 1 << BLOCK_BITS else np.uint32)
         return pd.DataFrame({"block": [key[0]], "cells": [np.round(np.log1p(total) * STEPS).astype(np.uint16).tobytes()]})
 
-    rows = docs.select("text").mapInArrow(_sketch(k, bits), "block int, cells binary").groupBy("block").applyInPandas(add, "block int, cells binary").collect()
+    rows = docs.select("text").mapInArrow(tidy(_sketch(k, bits)), "block int, cells binary").groupBy("block").applyInPandas(add, "block int, cells binary").collect()
     out = np.zeros((ROWS << bits >> BLOCK_BITS, 1 << BLOCK_BITS), np.uint16)
     for r in rows:
         out[r["block"]] = np.frombuffer(r["cells"], np.uint16)
@@ -195,7 +195,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     folder = work_dir(spark)
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     counts = spark.sparkContext.broadcast(shingle_counts(named, shingle))
-    sig = stored(named.mapInArrow(_signatures(counts, shingle, percent), "doc_id long, n long, h1 long, h2 long, p1 long, p2 long, prefix array<long>, calm int"), folder, "signatures")
+    sig = stored(named.mapInArrow(tidy(_signatures(counts, shingle, percent)), "doc_id long, n long, h1 long, h2 long, p1 long, p2 long, prefix array<long>, calm int"), folder, "signatures")
     keys = ["n", "p1", "p2", "h1", "h2"]
     live = sig.where("n > 0 and doc_id is not null")
     classes = live.groupBy(*keys).agg(F.min("doc_id").alias("cid"))
@@ -224,7 +224,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         pairs = stored(pairs.where("a <> b").distinct(), folder, f"pairs-{name}")
         asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), folder, f"asked-{name}")
         bits = spark.sparkContext.broadcast(route_bitmap(asked, F.xxhash64("cid")))
-        sets = named.select("doc_id", "text", F.xxhash64("doc_id").alias("slot")).where("doc_id is not null").mapInArrow(_sets(bits, shingle), "cid long, set array<long>")
+        sets = named.select("doc_id", "text", F.xxhash64("doc_id").alias("slot")).where("doc_id is not null").mapInArrow(tidy(_sets(bits, shingle)), "cid long, set array<long>")
         sets = stored(sets.join(asked, "cid", "left_semi"), folder, f"sets-{name}")
         both = F.size(F.array_intersect("sa", "sb"))
         union = F.size("sa") + F.size("sb") - both

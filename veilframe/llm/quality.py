@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import crc_mod, sample_by_label, small_batches
+from veilframe.llm.common import crc_mod, let_go, sample_by_label, small_batches
 from veilframe.llm.textvec import PLACES, code_points, mixed, pieces, prior_shift, word_hashes
 
 BITS, DIM, ORDERS = 17, 16, (2, 3, 4)
@@ -153,6 +153,7 @@ def quality(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, i
         folded, bias = sent.value
         for s in batches:
             yield pd.Series(scores(s.fillna("").tolist(), folded, bias), dtype="float64")
+        let_go()
 
     return named.select("doc_id", score("text").alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 
@@ -9,6 +11,7 @@ import pandas as pd
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 #: Characters that one vector step covers; longer texts go in several steps.
 STEP_CHARS = 1 << 19
+BLANK = re.compile(r"\s")
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
@@ -41,6 +44,16 @@ def pieces(texts, overlap: int):
         yield held
 
 
+def slices(text: str):
+    """The text in slices of about STEP_CHARS characters, cut before white space."""
+    at = 0
+    while at < len(text):
+        m = BLANK.search(text, at + STEP_CHARS) if len(text) - at > STEP_CHARS else None
+        end = m.start() if m else len(text)
+        yield text[at:end]
+        at = end
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(29))
     return h * np.uint64(0xBF58476D1CE4E5B9)

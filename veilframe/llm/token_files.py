@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm import bpe
-from veilframe.llm.common import small_batches, work_dir
+from veilframe.llm.common import small_batches, tidy, work_dir
 
 MAGIC = b"RPT1"
 SHARD_IDS = 1 << 20
@@ -231,7 +231,7 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         .repartitionByRange("doc_id")
         .sortWithinPartitions("doc_id", "text")
-        .mapInPandas(encode, "part int, piece int, start long, n_docs long, n_ids long, file binary")
+        .mapInPandas(tidy(encode), "part int, piece int, start long, n_docs long, n_ids long, file binary")
         .write.mode("overwrite")
         .option("compression", "zstd")
         .parquet(path)
@@ -260,7 +260,7 @@ def read_token_files(spark, path: str) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
                 yield pd.DataFrame({"doc_id": pd.arrays.IntegerArray(f.doc_ids.astype(np.int64), f.known == 0), "start": starts + start + base, "n_tokens": f.counts.astype(np.int64), "ids_crc32": np.array(crc, np.int64)})
 
-    return placed.select("base", "start", "file").mapInPandas(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.select("base", "start", "file").mapInPandas(tidy(decode), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, path: str | None = None, **options) -> DataFrame:

@@ -17,8 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import crc_mod, keep_columns, sample_by_label, small_batches
-from veilframe.llm.textvec import PLACES, mixed, prior_shift, word_hashes
+from veilframe.llm.common import crc_mod, keep_columns, let_go, sample_by_label, small_batches
+from veilframe.llm.textvec import PLACES, mixed, prior_shift, slices, word_hashes
 
 WORD = re.compile(r"[^\W_]+")
 BITS = 20
@@ -29,9 +29,16 @@ THRESHOLD = 0.3
 
 def features(texts: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """(document numbers, feature buckets) of the texts' words and pairs, repeats included."""
-    words = [WORD.findall(t.lower()) for t in texts]
-    counts = np.array([len(w) for w in words], np.int64)
-    h = word_hashes([x for w in words for x in w])
+    counts, parts, held = np.zeros(len(texts), np.int64), [], []
+    for i, text in enumerate(texts):
+        for part in slices(text):
+            words = WORD.findall(part.lower())
+            counts[i] += len(words)
+            held += words
+            if len(held) > 1 << 17:
+                parts.append(word_hashes(held))
+                held = []
+    h = np.concatenate([*parts, word_hashes(held)])
     doc = np.repeat(np.arange(len(texts)), counts)
     grams, docs = [h], [doc]
     for gap in (1, 2, 3):
@@ -135,6 +142,7 @@ def scorer(spark, model: SparseLogit):
             if held:
                 out.append(scores(held, m, dense))
             yield pd.Series(np.concatenate(out) if out else np.zeros(0), dtype="float64")
+        let_go()
 
     return score
 
