@@ -123,7 +123,7 @@ class ChunkEncoder:
         got = self.cache.get(key)
         if got is not None:
             self.reused += 1
-            return got
+            return got[0].tolist(), got[1]
         known = self.shared.get(key)
         if known is None:
             self.encoded += 1
@@ -131,13 +131,13 @@ class ChunkEncoder:
         else:
             self.reused += 1
             ids = np.frombuffer(known, self.codec.kind).tolist()
-        got = (ids, self._places(data, ids))
+        places = self._places(data, ids)
         if self.held > self.cache_ids:
             self.cache.clear()
             self.held = 0
-        self.cache[key] = got
+        self.cache[key] = (np.array(ids, self.codec.kind), places)
         self.held += len(ids)
-        return got
+        return ids, places
 
     def _places(self, data: bytes, ids: list[int]):
         first = FIRST.search(data)
@@ -308,12 +308,31 @@ def _bins(spec, with_ids: bool):
     return run
 
 
-def _alone(spec, with_ids: bool):
+def _meets(codec: bpe.Splitter, bits: np.ndarray, text: str) -> bool:
+    return any(_is_shared(bits, digest(c)) for c in chunks(codec, text))
+
+
+def _with_shared(codec: bpe.Splitter, sent):
+    """The rows whose text has a chunk that the bitmap lets through."""
+
+    def run(batches):
+        for batch in batches:
+            live = [i for i, t in enumerate(batch.column("text").to_pylist()) if _meets(codec, sent.value, t)]
+            yield batch.take(pa.array(live, pa.int64()))
+
+    return run
+
+
+def _alone(spec, with_ids: bool, sent=None):
+    """Digests of documents without such a chunk, or of all."""
+
     def run(batches):
         codec = bpe.of(spec.value)
         out, encoder = Digests(codec, with_ids), ChunkEncoder(codec)
         for batch in batches:
-            yield out.batch(batch.column("doc_id"), [out.row(encoder, t) for t in batch.column("text").to_pylist()])
+            texts = batch.column("text").to_pylist()
+            live = [i for i, t in enumerate(texts) if sent is None or not _meets(codec, sent.value, t)]
+            yield out.batch(batch.column("doc_id").take(pa.array(live, pa.int64())), [out.row(encoder, texts[i]) for i in live])
 
     return run
 
@@ -352,16 +371,12 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     once = sent.repartition("h").sortWithinPartitions("h").mapInArrow(tidy(_encoded_once(spec)), "h binary, ids binary")
     ids = stored(once.join(shared, "h").select(F.explode("bins").alias("bin"), "h", "ids"), folder, "ids")
 
-    @F.pandas_udf("boolean")
-    def meets(texts):
-        return texts.map(lambda t: any(_is_shared(bits.value, digest(c)) for c in chunks(splitter, t))).astype(bool)
-
-    routed = binned.withColumn("meets", meets("text"))
-    some = routed.where("meets").select("bin", F.lit(None).cast("binary").alias("h"), F.lit(None).cast("binary").alias("ids"), "doc_id", "text")
+    some = binned.mapInArrow(tidy(_with_shared(splitter, bits)), f"doc_id {kind}, text string, bin int")
+    some = some.select("bin", F.lit(None).cast("binary").alias("h"), F.lit(None).cast("binary").alias("ids"), "doc_id", "text")
     both = ids.select("bin", "h", "ids", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("string").alias("text")).unionAll(some)
     ordered = both.repartition(min(n_bins, max(partitions(spark), 1 << 13)), "bin").sortWithinPartitions("bin", F.col("h").isNull())
     found = stored(ordered.mapInArrow(tidy(_bins(spec, with_ids)), schema), folder, "found")
-    rest = stored(routed.where("not meets").select("doc_id", "text").mapInArrow(tidy(_alone(spec, with_ids)), schema), folder, "rest")
+    rest = stored(named.mapInArrow(tidy(_alone(spec, with_ids, bits)), schema), folder, "rest")
     for name in ("shared", "ids"):
         drop_path(spark, f"{folder}/{name}")
     return found.unionAll(rest)
