@@ -150,20 +150,39 @@ def lcs_length(a: list, b: list) -> int:
     return len(a) - row.bit_count()
 
 
-def _lcs_places(a: list, b: list) -> set[int]:
-    """Places in ``a`` of one longest common subsequence with ``b``."""
-    rows = [[0] * (len(b) + 1)]
-    for x in a:
-        last, row = rows[-1], [0]
-        for j, y in enumerate(b):
-            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
-        rows.append(row)
-    i, j, out = len(a), len(b), set()
-    while i and j:
+def _lcs_places(a: list, b: list, every: int = 128) -> set[int]:
+    """Places in ``a`` of one longest common subsequence with ``b``.
+
+    A row is one integer, with a bit of 0 where ``b``'s prefix gains a word.
+    One row in ``every`` is kept; those between are made again when the way
+    back comes to them, so memory grows with the texts, not with their product.
+    """
+    where: dict = {}
+    for j, y in enumerate(b):
+        where[y] = where.get(y, 0) | 1 << j
+    full = (1 << len(b)) - 1
+
+    def below(row: int, x) -> int:
+        hit = row & where.get(x, 0)
+        return ((row + hit) | (row - hit)) & full
+
+    row, kept = full, [full]
+    for i, x in enumerate(a, 1):
+        row = below(row, x)
+        if i % every == 0:
+            kept.append(row)
+    i, j, left, out = len(a), len(b), len(b) - row.bit_count(), set()
+    first, rows = len(a) + 1, []
+    while left:
+        if i - 1 < first:
+            first = (i - 1) // every * every
+            rows = [kept[first // every]]
+            for x in a[first:i]:
+                rows.append(below(rows[-1], x))
         if a[i - 1] == b[j - 1]:
             out.add(i - 1)
-            i, j = i - 1, j - 1
-        elif rows[i - 1][j] >= rows[i][j - 1]:
+            i, j, left = i - 1, j - 1, left - 1
+        elif not rows[i - first] >> (j - 1) & 1 or j - (rows[i - 1 - first] & ((1 << j) - 1)).bit_count() == left:
             i -= 1
         else:
             j -= 1
