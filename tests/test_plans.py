@@ -2,7 +2,7 @@
 
 import pytest
 
-from veilframe import queries_documents, queries_files  # noqa: F401
+from veilframe import queries_documents, queries_files, queries_runs  # noqa: F401
 from veilframe.functions import sql
 from veilframe.queries import QUERIES
 

@@ -3,7 +3,7 @@
 import pytest
 from compare import same
 
-from veilframe import queries_documents, queries_files  # noqa: F401
+from veilframe import queries_documents, queries_files, queries_runs  # noqa: F401
 from veilframe.queries import ORACLES, QUERIES
 
 

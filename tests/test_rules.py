@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import agreement, parse, repair, similarity
 from veilframe.functions import text as tx
-from veilframe.operators import alignment, entities, privacy, spans
+from veilframe.operators import alignment, entities, privacy, spans, stats
 
 
 def one(spark, expr, **values):
@@ -42,6 +42,35 @@ def test_lcs(a, b):
     assert len(similarity._lcs_places(a, b)) == rows[-1][-1]
 
 
+@given(st.lists(st.sampled_from("abc"), max_size=30), st.lists(st.sampled_from("abc"), max_size=30), st.sampled_from([1, 3, 128]))
+@settings(max_examples=200, deadline=None)
+def test_lcs_places(a, b, every):
+    """The places that the full table gives, going up on ties."""
+    rows = [[0] * (len(b) + 1)]
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(rows[-1][j] + 1 if x == y else max(rows[-1][j + 1], row[j]))
+        rows.append(row)
+    i, j, want = len(a), len(b), set()
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            want.add(i - 1)
+            i, j = i - 1, j - 1
+        elif rows[i - 1][j] >= rows[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    assert similarity._lcs_places(a, b, every) == want
+
+
+def test_long_rouge():
+    """20,000 words a side in one line: a table of all pairs of words would need gigabytes."""
+    words = [f"w{i * i % 9973}" for i in range(20000)]
+    got = similarity.rouge(" ".join(words), " ".join(reversed(words)))
+    assert got["rouge1"] == 1 and got["rougeL"] == got["rougeLsum"] < 1
+
+
 def test_overlap_scores():
     r = similarity.rouge("the cat sat on the mat", "the cat lay on a mat")
     assert round(r["rouge1"], 4) == round(r["rougeL"], 4) == 0.6667
@@ -165,6 +194,28 @@ def test_inferences():
     assert got["LOCATION"] == {"inference": "near: the sea", "guess": ["A", "B", "C"], "certainty": "4"} and got["AGE"]["inference"] == "MISSING"
 
 
+def test_match_stats_odd(spark):
+    """Null ids, one side missing, repeated partners, blank and null values."""
+    a = spark.createDataFrame([("d", 0, None), ("d", 1, "7"), ("e", 0, "1")], "data_id string, idx int, id string")
+    b = spark.createDataFrame([("d", 0, "0"), ("d", 1, "1")], "data_id string, idx int, id string")
+    pairs = spark.createDataFrame([("d", 1, 0)], "data_id string, a_idx int, b_idx int")
+    values = spark.createDataFrame([("d", "A", 0, "x"), ("d", "A", 0, None), ("d", "A", 1, "y"), ("d", "B", 1, "\u00a0"), ("e", "A", 0, " ")], "data_id string, side string, idx int, keyword string")
+    d, e = stats.match_stats(a, b, pairs, values).orderBy("data_id").collect()
+    assert tuple(d) == ("d", 2, 2, 1, 1, 0, ["0"], ["1"]) and tuple(e) == ("e", 1, 0, 0, 0, 0, ["1"], [])
+    none = stats.run_totals(stats.match_stats(a.limit(0), b.limit(0), pairs.limit(0), values.limit(0))).collect()[0]
+    assert none["documents"] == 0 and none["match_ratio"] == 0
+
+
+def test_corrected_outside(spark):
+    """Mentions beyond their text, turned round or without a label go; a null text has none."""
+    docs = spark.createDataFrame([("d", "Miss Ann, EUR 5"), ("e", None)], "data_id string, text string")
+    rows = [("d", 0, 5, 8, "PERSON"), ("d", 1, 9, 40, "PERSON"), ("d", 2, 8, 5, "ORG"), ("d", 3, 0, 4, None), ("e", 0, 0, 2, "ORG"), ("d", 4, 14, 15, "CARDINAL")]
+    m = spark.createDataFrame(rows, "data_id string, pos int, start_offset int, end_offset int, label string")
+    got = [tuple(r) for r in entities.corrected(m, docs).orderBy("pos").collect()]
+    assert got == [("d", 0, 0, 8, "PERSON"), ("d", 4, 10, 15, "QUANTITY")]
+    assert [r["pos"] for r in entities.corrected(m, docs, never=("Ann",)).collect()] == [4]
+
+
 def test_split_and_trim(spark):
     df = spark.createDataFrame([("d", 0, " (ab|cd), ", 10, 20), ("d", 1, " x. ", 30, 34)], "data_id string, pos int, span_text string, start_offset int, end_offset int")
     got = sorted(tuple(r)[1:] for r in spans.split_spans(df).collect())

@@ -12,7 +12,7 @@ import time
 import urllib.request
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Protocol
 
 import pandas as pd
@@ -39,12 +39,17 @@ class Backend(Protocol):
 
 @dataclass(frozen=True)
 class Stub:
-    """A backend that answers by a function of the prompt."""
+    """A backend that answers by a function of the prompt; a limit counts words."""
 
     answer: Callable[[str], str]
+    limit: int | None = None
+
+    def limited(self, tokens: int) -> Stub:
+        return replace(self, limit=tokens)
 
     def __call__(self, prompt: str) -> str:
-        return self.answer(prompt)
+        words = self.answer(prompt)
+        return words if self.limit is None else " ".join(words.split(" ")[: self.limit])
 
 
 @dataclass(frozen=True)
@@ -65,6 +70,9 @@ class Http:
     attempts: int = 3
     pause: float = 10.0
 
+    def limited(self, tokens: int) -> Http:
+        return replace(self, limit=tokens)
+
     def request(self, prompt: str) -> urllib.request.Request:
         provider = "anthropic" if self.model.startswith("claude") else self.provider
         body: dict = {"model": self.model, "messages": [{"role": "user", "content": prompt}]}
@@ -96,23 +104,27 @@ class Http:
         raise AssertionError
 
 
-def call(df: DataFrame, backend: Backend, prompt: str = "prompt", threads: int = 20, partitions: int | None = None) -> DataFrame:
-    """Adds status and response.  A failed call is a row with status ``error`` and the message."""
+def call(df: DataFrame, backend: Backend, prompt: str = "prompt", threads: int = 20, partitions: int | None = None, limit: str | None = None) -> DataFrame:
+    """Adds status and response.  A failed call is a row with status ``error`` and the message.
+
+    ``limit`` names a column with the most tokens that a row's answer may have; it
+    needs a backend with ``limited``.
+    """
     if partitions:
         df = df.repartition(partitions)
 
-    def one(text):
+    def one(text, most=None):
         if text is None:
             return "error", "no prompt"
         try:
-            return "success", backend(text)
+            return "success", (backend if most is None else backend.limited(int(most)))(text)
         except Exception as e:  # noqa: BLE001  any failure of a call is data
             return "error", f"{type(e).__name__}: {e}"
 
     def run(batches):
         with ThreadPoolExecutor(threads) as pool:
             for pdf in batches:
-                got = list(pool.map(one, pdf[prompt].tolist()))
+                got = list(pool.map(one, pdf[prompt].tolist(), *([pdf[limit].tolist()] if limit else [])))
                 yield pdf.assign(status=[s for s, _ in got], response=pd.Series([r for _, r in got], index=pdf.index, dtype=object))
 
     schema = df.withColumn("status", F.lit("")).withColumn("response", F.lit("")).schema

@@ -7,6 +7,8 @@ merged array of intervals; characters are never exploded.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -208,3 +210,60 @@ def merge_overlaps(mentions: DataFrame) -> DataFrame:
 def drop_enumerators(mentions: DataFrame) -> DataFrame:
     """Without mentions that only number a list: ``1.``, ``(a)``, ``iv)``."""
     return mentions.where(~F.col("span_text").rlike(r"^\(?([0-9]{1,2}|[a-z]|[ivx]+)[.)]+$"))
+
+
+#: Types of a general tagger's labels, and the words that its corrections look for (fixed values).
+TAGGER_TYPES = {
+    "PERSON": "PERSON", "ORG": "ORG", "GPE": "LOC", "LOC": "LOC", "FAC": "LOC", "LANGUAGE": "DEM", "NORP": "DEM", "PRODUCT": "MISC", "EVENT": "MISC", "WORK_OF_ART": "MISC",
+    "DATE": "DATETIME", "TIME": "DATETIME", "PERCENT": "QUANTITY", "QUANTITY": "QUANTITY", "MONEY": "QUANTITY", "CARDINAL": "CODE",
+}
+TITLE = r"(?i)(?:^|\s|\()((?:mr|mrs|ms|dr)\.?|sir|prof|miss|judge|justice)(\s+)$"
+REALM = r"((?:Kingdom|Republic) of\s+)$"
+CURRENCY_SYMBOLS = ("$", "¥", "£", "€", "kr", "₽", "R$", "₹", "Rp", "₪", "zł", "Rs", "₺", "RS")
+CURRENCY_CODES = (
+    "USD", "EUR", "CNY", "JPY", "GBP", "NOK", "DKK", "CAD", "RUB", "MXN", "ARS", "BGN", "BRL", "CHF", "CLP", "CZK", "INR", "IDR", "ILS", "IRR", "IQD", "KRW", "KZT", "NGN",
+    "QAR", "SEK", "SYP", "TRY", "UAH", "AED", "AUD", "COP", "MYR", "SGD", "NZD", "THB", "HUF", "HKD", "ZAR", "PHP", "KES", "EGP", "PKR", "PLN", "XAU", "VND", "GBX",
+)
+MONEY_BEFORE = r"((?<![\p{L}\p{N}])(?:" + "|".join(map(re.escape, CURRENCY_CODES + CURRENCY_SYMBOLS)) + r")\s*)$"
+MONEY_AFTER = r"^(\s*(?:million|billion|mln|bln|bn|thousand)\b\.?)"
+MONTH = r"^(?:January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)\b"
+#: How much text beside a mention the corrections may look at: the longest of them needs a few words.
+BESIDE = 48
+
+
+def corrected(mentions: DataFrame, documents: DataFrame, countries: tuple[str, ...] = (), never: tuple[str, ...] = ()) -> DataFrame:
+    """A general tagger's mentions with this project's types and mended borders.
+
+    ``mentions``: data_id, pos, start_offset, end_offset, label; ``documents``: data_id, text.  A title before
+    a person, the day before a month, a currency sign before and ``million`` after a number, and ``Kingdom
+    of`` belong to the mention; a genitive ``'s``, a closing ``to`` or ``as`` and a leading article don't.
+    Places named in ``countries`` are organisations unless ``in`` or ``from`` stands within two words before
+    them.  Short bare numbers as dates, short numbers, list numbers at the start of a text, words in ``never``
+    and labels that stand for nothing are dropped, as are mentions outside their text.  Slices of the text are cut before
+    anything else, so no row keeps a whole text.
+    """
+    s, e, label = F.col("start_offset"), F.col("end_offset"), F.col("label")
+    cut = mentions.select("data_id", "pos", "start_offset", "end_offset", "label").join(documents.select("data_id", "text"), "data_id").select(
+        "data_id", "pos", s, e, label, F.substring("text", s + 1, e - s).alias("span"),
+        F.substring("text", F.greatest(s - BESIDE, F.lit(0)) + 1, F.least(s, F.lit(BESIDE))).alias("before"), F.substring("text", e + 1, F.lit(BESIDE)).alias("after"),
+    )
+    span, before, after = F.col("span"), F.col("before"), F.col("after")
+    size = lambda c, p, *g: sum((F.length(F.regexp_extract(c, p, i)) for i in g[1:]), F.length(F.regexp_extract(c, p, g[0])))
+    money, number, day = label.isin("MONEY"), label.isin("MONEY", "CARDINAL"), label.isin("DATE", "TIME")
+    realm, priced = before.rlike(REALM), before.rlike(MONEY_BEFORE) & (number | label.isin("QUANTITY", "PERCENT"))
+    dated = label.isin("DATE") & before.rlike(r"(?:^|\s)\d\d?\s+$") & span.rlike(MONTH)
+    left = (
+        F.when(label == "PERSON", size(before, TITLE, 1, 2)).when(realm, size(before, REALM, 1)).when(priced, size(before, MONEY_BEFORE, 1)).when(dated, size(before, r"(\d\d?\s+)$", 1)).otherwise(0)
+    )
+    article = F.when(left == 0, size(span, r"(?i)^((?:the|a)\s+)\S", 1)).otherwise(0)
+    tail = F.when(span.rlike(r"\S\s+(?:to|as)$"), size(span, r"(\s+(?:to|as))$", 1)).when((label == "PERSON") & span.rlike(r".'s$"), 2).otherwise(0)
+    more = F.when(number & after.rlike(MONEY_AFTER), size(after, MONEY_AFTER, 1)).otherwise(0)
+    home = span.rlike("Kingdom of|Republic of") | realm
+    named = F.coalesce(span.isin(*countries), F.lit(False)) & ~before.rlike(r"(?:^|\s)(?:in|from)\s+(?:\S+\s+)?$") if countries else F.lit(False)
+    kinds = F.create_map(*(F.lit(x) for p in TAGGER_TYPES.items() for x in p))
+    kind = F.when(realm | ((label == "GPE") & (home | named)), "ORG").when(priced | money | (number & after.rlike(MONEY_AFTER)) | span.rlike(r"^\d\S*p$"), "QUANTITY").otherwise(kinds[label])
+    listed = (s == 0) & F.concat(span, after).rlike(r"^(?:\d+\.(?:\s|$)|[A-Z]\.(?:\s|$)|(?:II|III|IV|VI|VII|VIII|IX)\.)")
+    bare = (day & span.rlike(r"^\d{1,3}$")) | ((kind == "CODE") & ((F.length("span") <= 4) | ~span.rlike(r"\d")))
+    live = cut.where("length(span) = end_offset - start_offset and end_offset > start_offset").where(~listed)
+    live = live.where(~span.isin(*never)) if never else live
+    return live.select("data_id", "pos", (s - left + article).cast("int").alias("start_offset"), (e - tail + more).cast("int").alias("end_offset"), kind.alias("entity_type"), bare.alias("_bare")).where("entity_type is not null and not _bare").drop("_bare")

@@ -97,6 +97,75 @@ def alignment_summary(aligned: DataFrame, piis: DataFrame) -> DataFrame:
     )
 
 
+def _filled(keyword):
+    return F.coalesce(keyword.rlike(r"(?U)\S"), F.lit(False))
+
+
+def match_stats(a: DataFrame, b: DataFrame, pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """Per document, what an alignment matched and what either side has alone.
+
+    ``a`` (ground truth) and ``b`` (model): data_id, idx, id; ``pairs``: data_id, a_idx, b_idx;
+    ``values``: data_id, side (A or B), idx, keyword.  Ids without a partner come in order of idx,
+    a null id as its idx.  Everything is counted by subject before it is put together by document.
+    """
+    none, no = F.lit(None).cast("string"), F.lit(0)
+    subject = lambda d, side: d.select("data_id", F.lit(side).alias("side"), "idx", F.coalesce(F.col("id").cast("string"), F.col("idx").cast("string")).alias("id"), no.alias("hit"), no.alias("filled"))
+    partner = lambda side, idx: pairs.select("data_id", F.lit(side).alias("side"), F.col(idx).alias("idx"), none.alias("id"), F.lit(1).alias("hit"), no.alias("filled"))
+    value = values.select("data_id", "side", "idx", none.alias("id"), no.alias("hit"), _filled(F.col("keyword")).cast("int").alias("filled"))
+    rows = subject(a, "A").unionByName(subject(b, "B")).unionByName(partner("A", "a_idx")).unionByName(partner("B", "b_idx")).unionByName(value)
+    own = rows.groupBy("data_id", "side", "idx").agg(F.max("id").alias("id"), (F.max("hit") == 1).alias("hit"), F.sum("filled").alias("filled")).where("id is not null")
+    on_a, alone = F.col("side") == "A", ~F.col("hit")
+    ids = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("idx", "id")))), lambda x: x["id"])
+    return own.groupBy("data_id").agg(
+        N(F.when(on_a, 1)).alias("gt_subjects"), N(F.when(~on_a, 1)).alias("llm_subjects"), N(F.when(on_a & F.col("hit"), 1)).alias("matched"),
+        F.coalesce(F.sum(F.when(on_a & alone, F.col("filled"))), F.lit(0)).alias("gt_only_piis"), F.coalesce(F.sum(F.when(~on_a & alone, F.col("filled"))), F.lit(0)).alias("llm_only_piis"),
+        ids(on_a & alone).alias("gt_only_ids"), ids(~on_a & alone).alias("llm_only_ids"),
+    )
+
+
+def saved_match_stats(documents: DataFrame) -> DataFrame:
+    """The counts of ``match_stats`` from saved alignments (``schemas.ALIGNED_DOC``), without a shuffle.
+
+    Documents in error or without subjects are left out.  A subject saved without ``matched`` counts as
+    matched if the other annotation has any value that isn't blank.  Subjects of the model alone aren't saved.
+    """
+    n_filled = lambda piis: F.size(F.filter(F.coalesce(piis, F.array().cast("array<struct<tag:string,keyword:string,certainty:int,hardness:int>>")), lambda p: _filled(p["keyword"])))
+    subjects = F.transform(
+        "subjects",
+        lambda s, i: F.struct(
+            F.coalesce(s["matched"], n_filled(s["PIIs"]["annotation_B"]) > 0).alias("hit"), n_filled(s["PIIs"]["annotation_A"]).alias("filled"), F.coalesce(s["id"].cast("string"), i.cast("string")).alias("id")
+        ),
+    )
+    live = documents.where("coalesce(status, '') <> 'error' and size(subjects) > 0").select("metadata.data_id", subjects.alias("s"))
+    alone = live.withColumn("alone", F.filter("s", lambda x: ~x["hit"]))
+    hits, zero = (F.size("s") - F.size("alone")).cast("long"), F.lit(0).cast("long")
+    return alone.select(
+        "data_id", F.size("s").cast("long").alias("gt_subjects"), hits.alias("llm_subjects"), hits.alias("matched"), F.aggregate("alone", zero, lambda n, x: n + x["filled"]).alias("gt_only_piis"),
+        zero.alias("llm_only_piis"), F.transform("alone", lambda x: x["id"]).alias("gt_only_ids"), F.array().cast("array<string>").alias("llm_only_ids"),
+    )
+
+
+def run_totals(per_document: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """One row over the counts of all documents, new and saved ones alike (``unionByName`` of both).
+
+    Documents in ``failed`` (of the same columns) count with all their subjects as the ground truth's alone,
+    but neither as processed nor among the distinct subjects.
+    """
+    rows = per_document.withColumn("ok", F.lit(True))
+    if failed is not None:
+        rows = rows.unionByName(failed.withColumn("ok", F.lit(False)))
+    ok, lone = F.col("ok"), F.size("gt_only_ids")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    t = rows.agg(
+        N(F.when(ok, 1)).alias("documents"), total(F.when(ok, F.col("gt_subjects") + F.col("llm_subjects"))).alias("subjects_of_both"),
+        total(F.when(ok, F.col("matched") + lone + F.size("llm_only_ids"))).alias("distinct_subjects"), total(F.col("matched") + lone).alias("gt_subjects"), total("matched").alias("matched_subjects"),
+        total(lone).alias("gt_only_subjects"), total("gt_only_piis").alias("gt_only_piis"), total(F.size("llm_only_ids")).alias("llm_only_subjects"), total("llm_only_piis").alias("llm_only_piis"),
+        N(F.when(lone > 0, 1)).alias("docs_with_gt_only"),
+    )
+    m, g = F.col("matched_subjects"), F.col("gt_subjects")
+    return t.withColumn("match_ratio", F.round(_rate(m, g), 4)).withColumn("gt_miss_ratio", F.round(_rate(F.col("gt_only_subjects"), g), 4)).withColumn("avg_matched_per_doc", F.round(_rate(m, F.col("documents")), 2))
+
+
 def ner_stats(matches: DataFrame) -> DataFrame:
     """Exact, partial (exact ones included) and missing agreement of entity and identifier types."""
     n = N(F.lit(1))

@@ -41,9 +41,19 @@ def by_spans(documents: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def by_model(documents: DataFrame, backend, method: str = "redact") -> DataFrame:
-    """``redact`` or ``paraphrase`` by a model; failed calls are errors with an empty text."""
-    prompt = {"redact": prompts.redact, "paraphrase": prompts.paraphrase}[method](F.col("text"))
-    got = backends.call(documents.withColumn("prompt", prompt), backend)
+    """``redact`` or ``paraphrase`` by a model; failed calls are errors with an empty text.
+
+    A paraphrase may have as many tokens as half the text's characters, half
+    again as many, and 50.
+    """
+    text = F.col("text")
+    prompt = {"redact": prompts.redact, "paraphrase": prompts.paraphrase}[method](text)
+    asked = documents.withColumn("prompt", prompt)
+    if method == "paraphrase":
+        most = F.floor(F.floor(F.length(text) / 2) * 1.5).cast("int") + 50
+        got = backends.call(asked.withColumn("_most", F.coalesce(most, F.lit(50))), backend, limit="_most").drop("_most")
+    else:
+        got = backends.call(asked, backend)
     return finish(got.withColumn("anonymized_text", F.when(F.col("status") == "success", F.col("response")).otherwise("")).drop("prompt", "response", "status"))
 
 

@@ -37,6 +37,30 @@ def filler(documents: DataFrame, subjects: DataFrame, tags) -> DataFrame:
     return rows.select("data_id", F.col("idx").alias("subject_id"), "description", F.lit("error").alias("status"), F.lit(False).alias("matched"), F.explode(F.array(*map(F.lit, tags))).alias("tag")).withColumn("keyword", F.lit("")).withColumn("certainty", F.lit(0)).withColumn("hardness", F.lit(0))
 
 
+def run_alignment(combined: DataFrame, answers: DataFrame, done: DataFrame | None = None) -> dict[str, DataFrame]:
+    """One run of the aligner: checks answers, numbers subjects, gives failures a type and counts.
+
+    ``combined``: data_id, text, annotation_A, annotation_B (arrays of ``schemas.SUBJECT``); ``answers``:
+    data_id, status, response to ``align_prompts`` (``backends.call``, ``cached_call`` or ``replay``), kept as
+    a table, as it is read several times; ``done``: data_ids that an earlier run has, left out.
+    Returns aligned (a row per subject), errors (data_id, error_type, error), per_document
+    (``stats.match_stats``) and totals, in which failed documents count as the ground truth's alone.
+    """
+    todo = combined if done is None else alignment.resume(combined, done, "data_id")
+    side = lambda c: todo.select("data_id", F.posexplode(c).alias("idx", "s")).select("data_id", "idx", "s.*")
+    a, b = side("annotation_A"), side("annotation_B")
+    told = align_prompts(todo).select("data_id").join(answers.select("data_id", "status", "response"), "data_id", "left")
+    good = F.coalesce(F.col("status") == "success", F.lit(False))
+    ok, unread = told.where(good), told.where(~good).select("data_id", F.lit("alignment").alias("error_type"), F.coalesce("response", F.lit("no answer")).alias("error"))
+    lost = align_errors(todo).select("data_id", F.lit("missing_annotations").alias("error_type"), "error").unionByName(unread)
+    pairs = matched_pairs(ok, a, b)
+    value = lambda d, s: d.select("data_id", F.lit(s).alias("side"), "idx", F.explode("PIIs").alias("p")).select("data_id", "side", "idx", "p.keyword")
+    of = lambda d, ids: d.join(ids.select("data_id"), "data_id", "left_semi")
+    per = stats.match_stats(of(a, ok), of(b, ok), pairs, of(value(a, "A").unionByName(value(b, "B")), ok))
+    failed = stats.match_stats(of(a, lost), b.where("false"), pairs.where("false"), of(value(a, "A"), lost))
+    return {"aligned": alignment.align_gt(of(a, ok), of(b, ok), pairs), "errors": lost, "per_document": per, "totals": stats.run_totals(per, failed)}
+
+
 def evaluate_ground_truth(a: DataFrame, b: DataFrame, k: int = 3, max_depth: int | None = None, decisions: DataFrame | None = None) -> dict[str, DataFrame]:
     """Evaluations of aligned annotations and everything that is reported from them."""
     e = scoring.gt_evaluations(a, b, max_depth=max_depth, decisions=decisions)

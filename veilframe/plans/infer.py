@@ -23,9 +23,9 @@ def profile_prompts(documents: DataFrame, analysed: DataFrame, code: bool) -> Da
 
 
 def long_profiles(answers: DataFrame) -> DataFrame:
-    """data_id, subject_id, description, tag, pos, keyword, certainty, hardness of profile answers; the first value of a tag counts."""
-    people = parse_profiles(answers, "response").where("parsed.status = 'success'").select("data_id", F.explode("parsed.subjects").alias("s"))
-    flat = people.select("data_id", F.col("s.id").alias("subject_id"), "s.description", F.posexplode("s.PIIs").alias("pos", "p")).select("data_id", "subject_id", "description", "p.tag", "pos", "p.keyword", "p.certainty", "p.hardness")
+    """data_id, subject_id, subject_pos, description, tag, pos, keyword, certainty, hardness of profile answers; the first value of a tag counts."""
+    people = parse_profiles(answers, "response").where("parsed.status = 'success'").select("data_id", F.posexplode("parsed.subjects").alias("subject_pos", "s"))
+    flat = people.select("data_id", F.col("s.id").alias("subject_id"), "subject_pos", "s.description", F.posexplode("s.PIIs").alias("pos", "p")).select("data_id", "subject_id", "subject_pos", "description", "p.tag", "pos", "p.keyword", "p.certainty", "p.hardness")
     return keep_first(flat.where("tag is not null"), ["data_id", "subject_id", "tag"], "pos")
 
 
@@ -54,11 +54,15 @@ def merged_profiles(code: DataFrame, free: DataFrame, allow_fallback: bool = Tru
     """Both profiles by person and tag, values that say nothing blanked.
 
     Documents without a code profile come from the other one alone if
-    ``allow_fallback``, else they go.
+    ``allow_fallback``, else they go.  Alone, people take their place in the
+    answer (``subject_pos``, if there) for an id, whatever id it gave them.
     """
     keys = ["data_id", "subject_id", "tag", "keyword", "certainty", "hardness"]
     if not allow_fallback:
         free = free.join(code.select("data_id").distinct(), "data_id", "left_semi")
+    elif "subject_pos" in free.columns:
+        lone = free.join(code.select("data_id").distinct(), "data_id", "left_anti").withColumn("subject_id", F.col("subject_pos").cast(free.schema["subject_id"].dataType))
+        free = free.join(code.select("data_id").distinct(), "data_id", "left_semi").unionByName(lone)
     both = prefer_first(code.select(*keys), rekeyed(code, free).select(*keys))
     n = normalized_pii(F.col("keyword"), F.coalesce("certainty", F.lit(0)), F.coalesce("hardness", F.lit(1)))
     return both.withColumn("_n", n).select("data_id", "subject_id", "tag", "_n.*")
