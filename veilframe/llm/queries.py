@@ -128,3 +128,24 @@ def op4(spark, sf_dir):
     from veilframe.llm.near_join import jaccard_join
 
     return jaccard_join(table(spark, sf_dir, "documents"))
+
+
+@register(
+    "op11_chat_format",
+    r"""
+    WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+    e AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) IS NULL AS ends, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i,
+      length(text) + len(regexp_extract_all(text, '\\')) + list_sum([(length(text) - length(replace(text, k, ''))) // length(k) for k in ['<s>', '</s>', '[INST]', '[/INST]', '<<SYS>>', '<</SYS>>', '[OUT]', '[ROLE]', '[/ROLE]', '[/TURN]']])
+        + CASE role WHEN 'system' THEN 18 WHEN 'user' THEN 18 WHEN 'assistant' THEN 12 END AS chars FROM c),
+    f AS (SELECT *, coalesce(role = CASE before WHEN 'user' THEN 'assistant' ELSE 'user' END OR (before IS NULL AND role = 'system'), false) AS fits FROM e)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars,
+      bool_and(fits) AND bool_or(ends AND role = 'assistant') AS valid, min(i) FILTER (NOT fits) AS bad_turn
+    FROM f GROUP BY conv_id
+    """,
+)
+def op11(spark, sf_dir):
+    from veilframe.llm.chat import chat_query
+
+    return chat_query(table(spark, sf_dir, "conversations"))
