@@ -149,3 +149,32 @@ def op11(spark, sf_dir):
     from veilframe.llm.chat import chat_query
 
     return chat_query(table(spark, sf_dir, "conversations"))
+
+
+def _merkle_sql() -> str:
+    part = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END"
+    leaf = lambda n: f"sha256({' || '.join(map(part, ('doc_id', 'source', 'lang', n, 'text')))})"
+    bits = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))"
+    crc = f"xor(list_reduce([4294967295::UBIGINT] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::UBIGINT), lambda c, b: {bits}), 4294967295)"
+    beside = "sha256(CASE WHEN q.i % 2 = 0 THEN q.fold || coalesce(s.h, '') ELSE s.h || q.fold END), q.sib || coalesce(s.h, '')"
+    return f"""
+    WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, '') AS tree, {leaf("n_chars")} AS leaf, CASE WHEN {crc} % 7 = 0 THEN {leaf("n_chars + 1")} END AS changed FROM documents),
+    p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS m FROM d),
+    n(tree, l, i, h, m) AS (SELECT tree, 0, pos, leaf, m FROM p UNION ALL SELECT tree, l + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (m + 1) // 2 FROM n WHERE m > 1 GROUP BY tree, l, i // 2, m),
+    t AS (SELECT tree, l AS top, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS m FROM n WHERE m = 1),
+    k(l, i, h, m) AS (SELECT 0, pos, subroot, m FROM t UNION ALL SELECT l + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (m + 1) // 2 FROM k WHERE m > 1 GROUP BY l, i // 2, m),
+    q(rid, tree, l, i, fold, sib) AS (SELECT rid, tree, 0, pos, coalesce(changed, leaf), '' FROM p
+      UNION ALL SELECT q.rid, q.tree, q.l + 1, q.i // 2, {beside} FROM q JOIN t ON q.tree = t.tree AND q.l < t.top LEFT JOIN n s ON s.tree = q.tree AND s.l = q.l AND s.i = xor(q.i, 1)),
+    w AS (SELECT l AS top, h AS root FROM k WHERE m = 1),
+    u(rid, l, i, fold, sib) AS (SELECT q.rid, 0, t.pos, q.fold, q.sib FROM q JOIN t ON q.tree = t.tree AND q.l = t.top
+      UNION ALL SELECT q.rid, q.l + 1, q.i // 2, {beside} FROM u q JOIN w ON q.l < w.top LEFT JOIN k s ON s.l = q.l AND s.i = xor(q.i, 1))
+    SELECT p.doc_id, p.leaf, t.subroot, w.root, sha256(u.sib) AS proof_sha256, u.fold AS folded_root, u.fold = w.root AS verified
+    FROM u JOIN w ON u.l = w.top JOIN p ON p.rid = u.rid JOIN t ON t.tree = p.tree
+    """
+
+
+@register("op12_merkle_manifest", _merkle_sql())
+def op12(spark, sf_dir):
+    from veilframe.llm.merkle import merkle_query
+
+    return merkle_query(table(spark, sf_dir, "documents"))
