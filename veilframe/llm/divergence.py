@@ -82,7 +82,7 @@ def _arrow(ddl: str) -> pa.Schema:
 COUNTED, KEPT = "lang string, source string, term string, n long, docs long", "lang string, source string, term string, n long, all_n long, sources long"
 
 
-def _counts(batches, term: str = TERM):
+def _counts(batches, most: int, term: str = TERM):
     """Counts of the terms of a task's texts, some megabytes of text at a time."""
     schema, waiting, size = _arrow(COUNTED), [], 0
 
@@ -94,7 +94,7 @@ def _counts(batches, term: str = TERM):
     for batch in batches:
         waiting.append(batch)
         size += batch.nbytes
-        if size >= TEXT_BYTES:
+        if size >= most:
             yield from counted()
             waiting, size = [], 0
     if waiting:
@@ -111,7 +111,7 @@ def _shard(batches, sql: str, schema: str, **given):
 def term_counts(docs: DataFrame, folder: str, least: int = 10) -> DataFrame:
     """Terms in at least ``least`` documents of their language: lang, source, term, n, all_n (in the language), sources (that have it)."""
     spark = docs.sparkSession
-    counted = stored(docs.mapInArrow(tidy(_counts), COUNTED), folder, "counted")
+    counted = stored(docs.mapInArrow(tidy(partial(_counts, most=TEXT_BYTES)), COUNTED), folder, "counted")
     shards = max(partitions(spark), -(-counted.count() // SHARD_ROWS))
     return stored(counted.repartition(shards, "lang", "term").mapInArrow(tidy(partial(_shard, sql=KEEP, schema=KEPT, least=least)), KEPT), folder, "kept")
 
