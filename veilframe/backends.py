@@ -1,7 +1,8 @@
 """Model calls: a protocol, a replay table, a deterministic stub and an HTTP client.
 
 Prompts are a column; ``call`` runs a backend over them in ``mapInPandas`` with
-a few threads a task, and its result must be written before it is used twice.
+a few threads a task, and its result must be written before it is used twice;
+``sources.ledger`` does that and asks each prompt once.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.sources.ledger import Ledger, ask_one
+
 #: Answer lengths that a provider allows, by model, the first prefix that fits (fixed values).
 MAX_TOKENS = {
     "claude-opus-4": 32000, "claude-opus-4.1": 32000, "claude-opus-4-5": 64000, "claude-sonnet-4": 64000, "claude-sonnet-4-5": 64000, "claude-3-7-sonnet": 64000,
@@ -114,12 +117,7 @@ def call(df: DataFrame, backend: Backend, prompt: str = "prompt", threads: int =
         df = df.repartition(partitions)
 
     def one(text, most=None):
-        if text is None:
-            return "error", "no prompt"
-        try:
-            return "success", (backend if most is None else backend.limited(int(most)))(text)
-        except Exception as e:  # noqa: BLE001  any failure of a call is data
-            return "error", f"{type(e).__name__}: {e}"
+        return ("error", "no prompt") if text is None else ask_one(backend, text, most)
 
     def run(batches):
         with ThreadPoolExecutor(threads) as pool:
@@ -137,8 +135,10 @@ def replay(df: DataFrame, answers: DataFrame, key: str = "data_id") -> DataFrame
     return df.join(saved, key, "left").withColumn("status", F.when(F.col("response").isNull(), "error").otherwise("success"))
 
 
-def cached_call(df: DataFrame, saved: DataFrame, backend: Backend, key: str = "data_id", prompt: str = "prompt") -> DataFrame:
-    """Saved responses where there are any, calls for the rest."""
-    known = df.join(saved.select(key, "response").dropDuplicates([key]), key).withColumn("status", F.lit("success"))
-    asked = call(df.join(saved.select(key), key, "left_anti"), backend, prompt)
-    return known.select(*asked.columns).unionByName(asked)
+def cached_call(df: DataFrame, saved: DataFrame, backend: Backend, key: str = "data_id", prompt: str = "prompt", ledger: Ledger | None = None, stage: str = "call") -> DataFrame:
+    """Saved responses where there are any, calls through ``ledger`` for the rest."""
+    said = saved.select(key, F.col("response").alias("_saved")).dropDuplicates([key])
+    both = df.join(said, key, "left")
+    asked = (ledger or Ledger(df.sparkSession)).ask(both.withColumn("_prompt", F.when(F.col("_saved").isNull(), F.col(prompt))), backend, stage, "_prompt")
+    known = F.col("_saved").isNotNull()
+    return asked.withColumn("status", F.when(known, "success").otherwise(F.col("status"))).withColumn("response", F.coalesce("_saved", "response")).drop("_saved", "_prompt")

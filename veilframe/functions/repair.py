@@ -66,21 +66,52 @@ CLEANINGS = (
     ("\n    ", ""), ("\n ", ""), ("\n", ""), ("  ", " "), ("  ", " "), ("**", ""), (" ... ", " "), ("[...", "["), ("...]", "]"), ("...", ""),
     ("\\'s", "'s"), ('"s', "'s"), ("`", ""), ("\\", ""),
 )
-#: What may stand between two people in a broken list: how the first is closed, and what may follow up to the second (fixed values, in order).
-BETWEEN = (
-    ("}]}]", (", [", ", ", ",[", "[", "", "}, ")),
-    ("}]]", (", [", ", ", ",[", "[", ",")),
-    ("}}]", (", [", ", ", ",[", "[", "),", ",")),
-    ("}}", (", [", ", ", ",[", "[", ",")),
-    ("}]", (", [", ", ", ",[", "[", ",")),
+#: What stands between two people in a broken list, in order; each becomes ``JOINED`` (fixed values).
+SEAMS = (
+    '}]}], [{"id"',
+    '}]}], {"id"',
+    '}]}],[{"id"',
+    '}]}][{"id"',
+    '}]}]{"id"',
+    '}]}]}, {"id"',
+    '}]], [{"id"',
+    '}]], {"id"',
+    '}]],[{"id"',
+    '}]][{"id"',
+    '}]],{"id"',
+    '}}], [{"id"',
+    '}}], {"id"',
+    '}}],[{"id"',
+    '}}][{"id"',
+    '}}]),{"id"',
+    '}}],{"id"',
+    '}}, [{"id"',
+    '}}, {"id"',
+    '}},[{"id"',
+    '}}[{"id"',
+    '}},{"id"',
+    '}], [{"id"',
+    '}], {"id"',
+    '}],[{"id"',
+    '}][{"id"',
+    '}],{"id"',
+    '}]},{["id"',
+    '}]},{{"id"',
+    '}],{["id"',
+    '}],{{"id"',
 )
-NEXT_PERSON, JOINED = '{"id"', '}]}, {"id"'
+JOINED = '}]}, {"id"'
 #: Misplaced brackets and quotes (fixed values, in order).
 MISPLACED = (
-    ('}]},{["id"', JOINED), ('}]},{{"id"', JOINED), ('}],{["id"', JOINED), ('}],{{"id"', JOINED),
-    ('"hardness}', '"hardness"'), ("}:", '}"'), (", {}", ""), ("{}", ""), ('{tag:"', '{"tag":"'), ('"tag:"', '"tag":"'), ('"keyword:"', '"keyword":"'), ('"},', "},"),
-)
-CLEANED = (*CLEANINGS, *((close + gap + NEXT_PERSON, JOINED) for close, gaps in BETWEEN for gap in gaps), *MISPLACED)
+    ('"hardness}', '"hardness"'),
+    ("}:", '}"'),
+    (", {}", ""),
+    ("{}", ""),
+    ('{tag:"', '{"tag":"'),
+    ('"tag:"', '"tag":"'),
+    ('"keyword:"', '"keyword":"'),
+    ('"},', "},"),
+)
 EDGES = "[]{} \n,\t"
 
 
@@ -89,7 +120,11 @@ def clean_json(text: str | None) -> str:
     if not text:
         return ""
     text = fix_json(text)
-    for old, new in CLEANED:
+    for old, new in CLEANINGS:
+        text = text.replace(old, new)
+    for seam in SEAMS:
+        text = text.replace(seam, JOINED)
+    for old, new in MISPLACED:
         text = text.replace(old, new)
     inside = text.strip(EDGES)
     if inside:
@@ -151,16 +186,14 @@ def _sections(answer: str) -> list[tuple]:
     return out
 
 
-def read_profiles(answer: str | None, repair=None) -> tuple:
-    """(status, subjects, error): JSON, repaired JSON, a Python literal, ``repair``'s answer once, or headed sections."""
+def read_profiles(answer: str | None) -> tuple:
+    """(status, subjects, error): JSON, repaired JSON, a Python literal, or headed sections."""
     if not answer or not answer.strip():
         return "error", None, "empty answer"
     start = min((i for i in (answer.find("["), answer.find("{")) if i >= 0), default=-1)
     end = max(answer.rfind("]"), answer.rfind("}"))
     body = answer[start : end + 1] if 0 <= start < end else answer
     got = _read(body) if start >= 0 else None
-    if got is None and repair is not None and start >= 0:
-        got = _read(repair(body))
     if isinstance(got, dict):
         got = got.get("subjects", [got]) if isinstance(got.get("subjects", [got]), list) else [got]
     if isinstance(got, list):
@@ -200,13 +233,16 @@ def strict_profiles(answer: Column) -> Column:
 
 
 def parse_profiles(df, answer: str = "response"):
-    """Adds ``parsed`` (status, subjects, error); only answers that aren't clean JSON reach Python."""
+    """Adds ``parsed`` (status, subjects, error); only answers that aren't clean JSON reach Python.
+
+    The rows of ``df`` are read once: one select, no union of parts of it.
+    """
     strict = strict_profiles(F.col(answer))
-    clean = strict.isNotNull() & (F.size(strict) > 0) & F.forall(strict, lambda s: s["id"].isNotNull() & s["PIIs"].isNotNull())
-    marked = df.withColumn("_clean", F.coalesce(clean, F.lit(False)))
-    good = marked.where("_clean").withColumn("parsed", F.struct(F.lit("success").alias("status"), strict.alias("subjects"), F.lit(None).cast("string").alias("error")))
-    rest = marked.where("not _clean").withColumn("parsed", _profiles_udf(F.col(answer)))
-    return good.unionByName(rest).drop("_clean")
+    clean = F.coalesce(strict.isNotNull() & (F.size(strict) > 0) & F.forall(strict, lambda s: s["id"].isNotNull() & s["PIIs"].isNotNull()), F.lit(False))
+    read = df.withColumn("_strict", F.when(clean, strict))
+    mended = _profiles_udf(F.when(F.col("_strict").isNull(), F.col(answer)))
+    good = F.struct(F.lit("success").alias("status"), F.col("_strict").alias("subjects"), F.lit(None).cast("string").alias("error"))
+    return read.withColumn("parsed", F.when(F.col("_strict").isNotNull(), good).otherwise(mended)).drop("_strict")
 
 
 # --- Inferences of an attacker ----------------------------------------------------

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe import backends, prompts
+from veilframe import prompts
 from veilframe.functions.parse import after_marker
 from veilframe.functions.text import apply_masks, length_check
+from veilframe.sources.ledger import Ledger
 
 #: What the rule-based detector looks for and as which type (this project's own patterns).
 RULES = (
@@ -40,31 +41,31 @@ def by_spans(documents: DataFrame, spans: DataFrame) -> DataFrame:
     return finish(documents.join(g, "data_id", "left").withColumn("anonymized_text", apply_masks(F.col("text"), F.coalesce("spans", none))).drop("spans"))
 
 
-def by_model(documents: DataFrame, backend, method: str = "redact") -> DataFrame:
-    """``redact`` or ``paraphrase`` by a model; failed calls are errors with an empty text.
+def by_model(documents: DataFrame, backend, method: str = "redact", ledger: Ledger | None = None, attempts: int = 1) -> DataFrame:
+    """``redact`` or ``paraphrase`` by a model, asked through ``ledger``; failed calls are errors with an empty text.
 
     A paraphrase may have as many tokens as half the text's characters, half
     again as many, and 50.
     """
-    text = F.col("text")
+    text, ledger = F.col("text"), ledger or Ledger(documents.sparkSession)
     prompt = {"redact": prompts.redact, "paraphrase": prompts.paraphrase}[method](text)
     asked = documents.withColumn("prompt", prompt)
     if method == "paraphrase":
         most = F.floor(F.floor(F.length(text) / 2) * 1.5).cast("int") + 50
-        got = backends.call(asked.withColumn("_most", F.coalesce(most, F.lit(50))), backend, limit="_most").drop("_most")
+        got = ledger.ask(asked.withColumn("_most", F.coalesce(most, F.lit(50))), backend, method, limit="_most", attempts=attempts).drop("_most")
     else:
-        got = backends.call(asked, backend)
+        got = ledger.ask(asked, backend, method, attempts=attempts)
     return finish(got.withColumn("anonymized_text", F.when(F.col("status") == "success", F.col("response")).otherwise("")).drop("prompt", "response", "status"))
 
 
-def adversarial(documents: DataFrame, attacker, defender, rounds: int = 3, keep=None) -> DataFrame:
-    """Rounds of guessing and rewriting; ``keep`` writes each round's result so that no call is repeated."""
+def adversarial(documents: DataFrame, attacker, defender, rounds: int = 3, ledger: Ledger | None = None) -> DataFrame:
+    """Rounds of guessing and rewriting, asked through ``ledger``: a round that is run again asks nothing twice."""
+    ledger = ledger or Ledger(documents.sparkSession)
     now = documents.withColumn("anonymized_text", F.col("text")).withColumn("rounds", F.array().cast("array<struct<round:int,inferences:string,text:string>>"))
-    keep = keep or (lambda df, name: df)
     for r in range(1, rounds + 1):
-        guessed = backends.call(now.withColumn("prompt", prompts.infer(F.col("anonymized_text"))), attacker).withColumnRenamed("response", "inferences").drop("status", "prompt")
-        told = backends.call(guessed.withColumn("prompt", prompts.anonymize(F.col("anonymized_text"), F.col("inferences"))), defender)
+        guessed = ledger.ask(now.withColumn("prompt", prompts.infer(F.col("anonymized_text"))), attacker, f"guess-{r}").withColumnRenamed("response", "inferences").drop("status", "prompt")
+        told = ledger.ask(guessed.withColumn("prompt", prompts.anonymize(F.col("anonymized_text"), F.col("inferences"))), defender, f"rewrite-{r}")
         text = F.when(F.col("status") == "success", after_marker(F.col("response"))).otherwise(F.col("anonymized_text"))
         step = F.struct(F.lit(r).alias("round"), "inferences", text.alias("text"))
-        now = keep(told.withColumn("rounds", F.array_append("rounds", step)).withColumn("anonymized_text", text).drop("prompt", "response", "status", "inferences"), f"round-{r}")
+        now = told.withColumn("rounds", F.array_append("rounds", step)).withColumn("anonymized_text", text).drop("prompt", "response", "status", "inferences")
     return finish(now)

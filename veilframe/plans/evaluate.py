@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe import prompts
+from veilframe.backends import Backend
 from veilframe.functions.parse import agreement_answer, alignment_pairs
 from veilframe.operators import alignment, privacy, scoring, stats
+from veilframe.sources.folders import work_folder, written
+from veilframe.sources.ledger import Ledger
 
 
 def combine(gold: DataFrame, found: DataFrame) -> DataFrame:
@@ -61,6 +67,38 @@ def run_alignment(combined: DataFrame, answers: DataFrame, done: DataFrame | Non
     return {"aligned": alignment.align_gt(of(a, ok), of(b, ok), pairs), "errors": lost, "per_document": per, "totals": stats.run_totals(per, failed)}
 
 
+def align_documents(combined: DataFrame, backend, ledger: Ledger | None = None, done: DataFrame | None = None, attempts: int = 3) -> dict[str, DataFrame]:
+    """The aligner as one run: asks, keeps the answers, asks failed calls and unreadable answers' documents again, reports.
+
+    A document gets up to ``attempts`` passes; one whose last answer states no
+    section at all is asked again like one whose call failed.  A run that is
+    started again with the same ``ledger`` asks only what it lacks.  Returns what
+    ``run_alignment`` does, and passes (data_id, attempt, status).
+    """
+    ledger = ledger or Ledger(combined.sparkSession)
+    todo = combined if done is None else alignment.resume(combined, done, "data_id")
+    asked = align_prompts(todo).select("data_id", "prompt")
+    strict = Stated(backend)
+    answers = ledger.ask(asked, strict, "align", attempts=attempts)
+    answers = written(answers.drop("prompt"), work_folder(combined.sparkSession), "answers")
+    tries = ledger.answers("align").select("key", "attempt", "status")
+    passes = asked.select("data_id", F.sha2(F.concat(F.lit("\n"), F.col("prompt")), 256).alias("key")).join(tries, "key").select("data_id", "attempt", "status")
+    return {**run_alignment(todo, answers), "passes": passes}
+
+
+@dataclass(frozen=True)
+class Stated:
+    """A backend whose answers state a result; others are failed calls."""
+
+    backend: Backend
+
+    def __call__(self, prompt: str) -> str:
+        answer = self.backend(prompt)
+        if not re.search(r"result:\s*(un)?matched", answer or "", re.I):
+            raise ValueError(f"no result in answer: {answer}")
+        return answer
+
+
 def evaluate_ground_truth(a: DataFrame, b: DataFrame, k: int = 3, max_depth: int | None = None, decisions: DataFrame | None = None) -> dict[str, DataFrame]:
     """Evaluations of aligned annotations and everything that is reported from them."""
     e = scoring.gt_evaluations(a, b, max_depth=max_depth, decisions=decisions)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe import backends, prompts
+from veilframe import prompts
 from veilframe.functions.parse import analysis_part, normalized_pii, subject_count
 from veilframe.functions.repair import parse_profiles
 from veilframe.operators.alignment import description_jaccard, keep_first, prefer_first
+from veilframe.sources.folders import work_folder, written
+from veilframe.sources.ledger import Ledger
 
 
 def analysis(answers: DataFrame) -> DataFrame:
@@ -24,7 +26,12 @@ def profile_prompts(documents: DataFrame, analysed: DataFrame, code: bool) -> Da
 
 def long_profiles(answers: DataFrame) -> DataFrame:
     """data_id, subject_id, subject_pos, description, tag, pos, keyword, certainty, hardness of profile answers; the first value of a tag counts."""
-    people = parse_profiles(answers, "response").where("parsed.status = 'success'").select("data_id", F.posexplode("parsed.subjects").alias("subject_pos", "s"))
+    return long_parsed(parse_profiles(answers, "response"))
+
+
+def long_parsed(parsed: DataFrame) -> DataFrame:
+    """``long_profiles`` of answers that are parsed."""
+    people = parsed.where("parsed.status = 'success'").select("data_id", F.posexplode("parsed.subjects").alias("subject_pos", "s"))
     flat = people.select("data_id", F.col("s.id").alias("subject_id"), "subject_pos", "s.description", F.posexplode("s.PIIs").alias("pos", "p")).select("data_id", "subject_id", "subject_pos", "description", "p.tag", "pos", "p.keyword", "p.certainty", "p.hardness")
     return keep_first(flat.where("tag is not null"), ["data_id", "subject_id", "tag"], "pos")
 
@@ -68,14 +75,44 @@ def merged_profiles(code: DataFrame, free: DataFrame, allow_fallback: bool = Tru
     return both.withColumn("_n", n).select("data_id", "subject_id", "tag", "_n.*")
 
 
-def with_repair(answers: DataFrame, backend) -> DataFrame:
+def with_repair(answers: DataFrame, backend, ledger: Ledger | None = None) -> DataFrame:
     """Parsed profile answers (data_id, response); what can't be read goes to a model once, with the request to mend it.
 
-    Adds parsed (as ``parse_profiles``) and repaired: whether the answer had to be mended.
+    Adds parsed (as ``parse_profiles``) and repaired: whether the answer had to be
+    mended.  Every row stays, whatever its id.  The model's answers are kept in
+    ``ledger``; unreadable answers that are equal are one call.
+    """
+    ledger = ledger or Ledger(answers.sparkSession)
+    read = parse_profiles(answers.select("data_id", "response"), "response").withColumnsRenamed({"response": "_first", "parsed": "_read"})
+    lost = (F.col("_read.status") == "error") & (F.trim(F.coalesce("_first", F.lit(""))) != "")
+    told = ledger.ask(read.withColumn("_prompt", F.when(lost, prompts.mend(F.col("_first"), F.coalesce("_read.error", F.lit(""))))), backend, "mend", "_prompt")
+    mended = parse_profiles(told.withColumn("_again", F.when(F.col("_prompt").isNotNull() & (F.col("status") == "success"), F.col("response"))), "_again")
+    repaired = F.coalesce(F.col("_again").isNotNull() & (F.col("parsed.status") == "success"), F.lit(False))
+    return mended.select("data_id", F.when(repaired, F.col("_again")).otherwise(F.col("_first")).alias("response"), F.when(repaired, F.col("parsed")).otherwise(F.col("_read")).alias("parsed"), repaired.alias("repaired"))
+
+
+def run(documents: DataFrame, backend, dataset: str = "panorama", ledger: Ledger | None = None, attempts: int = 1, allow_fallback: bool = True) -> dict[str, DataFrame]:
+    """The whole inference of documents (data_id, text): people counted, profiled twice, mended, merged.
+
+    Each stage asks through ``ledger``, so a run that is started again asks only
+    what it lacks.  Returns profiles (a row per person and tag) and errors
+    (data_id, error_type, error) of documents whose analysis or both profiles
+    failed.
     """
-    read = parse_profiles(answers, "response").withColumn("repaired", F.lit(False))
-    bad = read.where("parsed.status = 'error' and trim(coalesce(response, '')) <> ''").select("data_id", prompts.mend(F.col("response"), F.coalesce("parsed.error", F.lit(""))).alias("prompt"))
-    mended = parse_profiles(backends.call(bad, backend).where("status = 'success'").select("data_id", "response"), "response")
-    fixed = mended.where("parsed.status = 'success'").withColumn("repaired", F.lit(True))
-    good = read.join(fixed.select("data_id"), "data_id", "left_anti")
-    return good.select("data_id", "response", "parsed", "repaired").unionByName(fixed.select("data_id", "response", "parsed", "repaired"))
+    ledger = ledger or Ledger(documents.sparkSession)
+    docs = documents.select("data_id", "text")
+    counted = ledger.ask(docs.withColumn("prompt", prompts.count_people(F.col("text"), dataset)), backend, "analysis", attempts=attempts)
+    analysed = analysis(counted.select("data_id", "status", "response"))
+    analysed = analysed.withColumn("analysis_status", F.when(F.col("status") == "success", F.col("analysis_status")).otherwise("error"))
+
+    def profiles(code: bool) -> DataFrame:
+        name = "profile-code" if code else "profile-free"
+        told = ledger.ask(profile_prompts(docs, analysed, code), backend, name, attempts=attempts)
+        return with_repair(told.where("status = 'success'"), backend, ledger)
+
+    code, free = written(profiles(True), work_folder(documents.sparkSession), "code"), written(profiles(False), work_folder(documents.sparkSession), "free")
+    merged = merged_profiles(long_parsed(code), long_parsed(free), allow_fallback)
+    read = code.unionByName(free).where("parsed.status = 'success'").select("data_id").distinct()
+    bad = analysed.where("analysis_status <> 'success'").select("data_id", F.lit("analysis").alias("error_type"), F.when(F.col("status") == "success", "no count of people in the answer").otherwise(F.col("response")).alias("error"))
+    unread = analysed.where("analysis_status = 'success'").select("data_id").distinct().join(read, "data_id", "left_anti").select("data_id", F.lit("profile").alias("error_type"), F.lit("no profile could be read").alias("error"))
+    return {"profiles": merged, "errors": bad.unionByName(unread)}

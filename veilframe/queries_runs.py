@@ -9,6 +9,9 @@ from veilframe.operators import alignment, entities, stats
 from veilframe.plans import anonymize, evaluate, infer
 from veilframe.queries import register, table
 from veilframe.queries_documents import PAIR, pairs, subjects
+from veilframe.sources.folders import work_folder
+from veilframe.sources.ledger import Ledger
+from veilframe.streaming import retries
 
 
 def joined(df, *names):
@@ -143,3 +146,52 @@ def tagger_corrections(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("data_id"), F.element_at(forms, (F.col("c_custkey") % len(TAGGED) + 1).cast("int")).alias("f")).select("data_id", "f.*")
     mentions = c.select("data_id", F.lit(0).alias("pos"), F.length("x").alias("start_offset"), (F.length("x") + F.length("m")).alias("end_offset"), "label")
     return entities.corrected(mentions, c.select("data_id", F.concat("x", "m", "y").alias("text")), countries=("Spain",)).drop("pos")
+
+
+@register("call_ledger", "SELECT c_mktsegment || ' ' || c_nationkey AS prompt, count(*) AS customers, CASE WHEN c_nationkey % 5 = 0 THEN 2 ELSE 1 END AS calls, CASE WHEN c_nationkey % 5 = 0 THEN 'error' ELSE 'success' END AS status, CASE WHEN c_nationkey % 5 = 0 THEN 'OSError: down' ELSE 'about ' || c_mktsegment || ' ' || c_nationkey END AS response FROM customer GROUP BY c_mktsegment, c_nationkey")
+def call_ledger(spark, sf_dir):
+    """Customers' prompts, which repeat, asked for every second customer and then for all; some always fail and get a second attempt."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat_ws(" ", "c_mktsegment", "c_nationkey").alias("prompt"))
+
+    def answer(p):
+        if int(p.rsplit(" ", 1)[1]) % 5 == 0:
+            raise OSError("down")
+        return "about " + p
+
+    ledger = Ledger(spark)
+    ledger.ask(c.where("c_custkey % 2 = 0"), backends.Stub(answer), "about").count()
+    told = ledger.ask(c, backends.Stub(answer), "about", attempts=2)
+    calls = ledger.answers("about").groupBy("key").agg(F.count(F.lit(1)).alias("calls"))
+    prompts = told.groupBy("prompt").agg(F.count(F.lit(1)).alias("customers"), F.max("status").alias("status"), F.max("response").alias("response"))
+    return prompts.withColumn("key", F.sha2(F.concat(F.lit("\n"), "prompt"), 256)).join(calls, "key").drop("key")
+
+
+@register("alignment_run_retries", "SELECT CAST(c_custkey AS VARCHAR) AS data_id, unnest(range(1, CASE WHEN c_custkey % 5 < 3 THEN 4 ELSE 2 END))::INT AS attempt, CASE WHEN c_custkey % 5 < 3 THEN 'error' ELSE 'success' END AS status FROM customer WHERE c_custkey % 5 > 0")
+def alignment_run_retries(spark, sf_dir):
+    """The passes of an aligner that always fails for some customers and gives others no result."""
+    c, form = table(spark, sf_dir, "customer"), F.col("c_custkey") % 5
+    pii = F.array(F.struct(F.lit("NAME").alias("tag"), F.lit("n").alias("keyword"), F.lit(3).alias("certainty"), F.lit(1).alias("hardness")))
+    person = F.array(F.struct(F.lit("0").alias("id"), F.lit("someone").alias("description"), pii.alias("PIIs")))
+    text = F.concat(F.element_at(F.array(*map(F.lit, ("none", "down", "mumble", "same", "other"))), (form + 1).cast("int")), F.lit(" "), "c_name")
+    combined = c.select(F.col("c_custkey").cast("string").alias("data_id"), text.alias("text"), person.alias("annotation_A"), F.when(form == 0, F.slice(person, 1, 0)).otherwise(person).alias("annotation_B"))
+
+    def answer(p):
+        kind = p.split("Text:\n", 1)[1].split(" ", 1)[0]
+        if kind == "down":
+            raise OSError("down")
+        return {"same": "Result: Matched\nSubject: A_0; B_0\n", "other": "Result: Unmatched\nSubject: A_0; B_0\n"}.get(kind, "Well.")
+
+    return evaluate.align_documents(combined, backends.Stub(answer))["passes"]
+
+
+@register("retry_passes", "SELECT CAST(c_custkey AS VARCHAR) AS data_id, CAST(least(c_custkey % 5 + 1, 3) AS INT) AS attempt, CASE WHEN c_custkey % 5 < 3 THEN 'done' ELSE 'failed' END AS outcome, CASE WHEN c_custkey % 5 >= 3 THEN 'down in pass 3' END AS error_type, CASE WHEN c_custkey % 5 < 3 THEN 'about ' || c_name END AS response FROM customer")
+def retry_passes(spark, sf_dir):
+    """A stream of answers that fail once to four times, with state by document, in three passes."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("data_id"), F.concat(F.lit("about "), "c_name").alias("prompt"))
+
+    def ask(asked):
+        good = F.col("data_id").cast("long") % 5 < F.col("attempt")
+        error = F.concat(F.lit("down in pass "), "attempt")
+        return asked.select("data_id", "attempt", F.when(good, "success").otherwise("error").alias("status"), F.when(~good, error).alias("error_type"), F.when(good, F.col("prompt")).alias("response"))
+
+    return retries.run(c, ask, work_folder(spark))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def hadoop_path(spark: SparkSession, path: str):
@@ -32,6 +32,23 @@ def work_folder(spark: SparkSession) -> str:
     return path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = hadoop_path(spark, path)
+    return fs.exists(p)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    fs, p = hadoop_path(spark, path)
+    fs.delete(p, True)
+
+
+def written(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """``df`` as a table in ``folder``: computed once, whatever reads it, and cut from its lineage."""
+    path = f"{folder}/{name}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def as_one_file(spark: SparkSession, folder: str, path: str) -> None:
     """Move the only part file of ``folder`` to ``path``."""
     fs, p = hadoop_path(spark, folder)
