@@ -78,7 +78,8 @@ def outcomes(answers: DataFrame, limit: int = 3, wait_ms: int | None = None, kee
     """What each new answer of a stream (``ANSWERS``) leads to: done, again or failed.
 
     ``wait_ms``: an answer that doesn't come in that time after its request is an
-    error of type ``timeout``.  ``keep_ms``: how long a document without news is
+    error of type ``timeout``; timers need a trigger that keeps running, not
+    ``availableNow``, which never ends with them.  ``keep_ms``: how long a document without news is
     remembered (always, if None).  The session's state store has to be RocksDB, as
     ``run`` sets it.
     """
