@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import crc_mod, let_go, small_batches
+from veilframe.llm.common import crc_mod, let_go, small_batches, stored, work_dir
 from veilframe.llm.textvec import PLACES, code_points, pieces
 
 ORDER = 4
@@ -182,20 +182,25 @@ def fit(docs: DataFrame, allowed: Column | None = None, per_lang: int = PER_LANG
     characters of longer ones besides.  Where there are many languages each has
     fewer, SAMPLE_TEXTS together; past MAX_LANGS tags those with the fewest
     texts are taken for junk, so that what the driver and the models hold stays
-    bounded.  Ids are drawn first, by a hash, so that no task sorts texts.
+    bounded.  Ids are drawn first, by a hash: those below a threshold that lets
+    about four times as many through as are wanted, so that no task ranks all of
+    a language.  Of rows that repeat an id one is taken, that whose text hashes
+    lowest.
     """
     allowed = F.lit(True) if allowed is None else allowed
     long = F.length("text") > max_chars
     usable = docs.where(allowed & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0))
-    kinds = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    known = stored(usable.groupBy("lang", "doc_id").agg(F.min(long).alias("long")), work_dir(docs.sparkSession), "ids")
+    kinds = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("long"), 1)).alias("short")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
     per_lang = max(1, min(per_lang, SAMPLE_TEXTS // max(1, len(kinds))))
-    if len(kinds) == MAX_LANGS:
-        usable = usable.join(F.broadcast(docs.sparkSession.createDataFrame([(r["lang"],) for r in kinds], "lang string")), "lang", "left_semi")
+    share = [(r["lang"], kind, min(1.0, 4 * per_lang / n)) for r in kinds for kind, n in ((False, r["short"]), (True, r["n"] - r["short"] if r["short"] < per_lang else 0)) if n]
+    shares = docs.sparkSession.createDataFrame(share, "lang string, long boolean, share double")
+    place = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id"))
-    ids = usable.select("doc_id", "lang", long.alias("long")).withColumn("r", rank).where(F.col("r") <= per_lang).select("doc_id", "lang", "long").dropDuplicates()
-    texts = docs.select("doc_id", "lang", F.substring("text", 1, max_chars).alias("text"), long.alias("long"))
-    rows = texts.join(F.broadcast(ids), ["doc_id", "lang", "long"]).collect()
-    rows = sorted((r["lang"], r["doc_id"], r["text"]) for r in rows if r["text"])
+    ids = known.join(F.broadcast(shares), ["lang", "long"]).where(place <= F.col("share")).withColumn("r", rank).where(F.col("r") <= per_lang).select("doc_id", "lang", "long")
+    texts = docs.where(F.length("text") > 0).select("doc_id", "lang", F.substring("text", 1, max_chars).alias("text"), long.alias("long"))
+    drawn = texts.join(F.broadcast(ids), ["doc_id", "lang", "long"]).groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("text"))).alias("t"))
+    rows = sorted((r["lang"], r["doc_id"], r["t"]["text"]) for r in drawn.collect())
     names = sorted({r[0] for r in rows})
     by = {name: [t for lang, _, t in rows if lang == name] for name in names}
     train_on = {k: [t for i, t in enumerate(v) if len(v) < HOLD_BACK or i % HOLD_BACK] for k, v in by.items()}

@@ -83,6 +83,16 @@ def sainte_lague(weights, seats: int, caps) -> np.ndarray:
     return got
 
 
+def block_length(target: float, total: int) -> int:
+    """Words of a source's blocks: a power of two, at most BLOCK_WORDS (more only past MAX_BLOCKS of them) and a 64th of the source's own target.
+
+    So a small source has short blocks without making those of others short;
+    sources with blocks of one length are apportioned together.
+    """
+    length = min(max(BLOCK_WORDS, -(-total // MAX_BLOCKS)), max(1, int(target // 64)))
+    return 1 << (length.bit_length() - 1)
+
+
 def draw_blocks(sizes: np.ndarray, quota: int, block: int, seed) -> np.ndarray:
     """Words that each of a shard's documents, laid end to end, gets from ``quota`` blocks."""
     ends = np.cumsum(sizes)
@@ -155,8 +165,7 @@ def _shards(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col:
     shard_words = max(SHARD_WORDS, -(-total // MAX_SHARDS))
     shard_rows = max(SHARD_ROWS, -(-sum(r["docs"] for r in rows) // MAX_SHARDS))
     n_shards = [max(1, -(-s // shard_words), -(-r["docs"] // shard_rows)) for s, r in zip(sizes, rows)]
-    least = min((t for t in targets if t > 0), default=1)
-    block = max(-(-total // MAX_BLOCKS), min(BLOCK_WORDS, max(1, int(least // 64))), 1)
+    lengths = [block_length(t, total) for t in targets]
     plan = spark.createDataFrame(
         [(i, n, s, float(t), k) for i, (n, s, t, k) in enumerate(zip(names, sizes, targets, n_shards))], "src int, source string, source_size long, target double, shards int"
     )
@@ -167,19 +176,22 @@ def _shards(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col:
     by_source: dict[int, list[tuple[int, int]]] = {}
     for r in cells:
         by_source.setdefault(r["src"], []).append((r["shard"], int(r["n"])))
-    blocks = [sum(-(-n // block) for _, n in by_source.get(i, ())) for i in range(len(names))]
-    seats = sainte_lague(targets, round(sum(targets) / block), [repeat * b for b in blocks])
-    seats = np.where([t >= repeat * s for t, s in zip(targets, sizes)], [repeat * b for b in blocks], seats) if len(names) else seats
+    most = [repeat * sum(-(-n // length) for _, n in by_source.get(i, ())) for i, length in enumerate(lengths)]
+    seats = np.array(most, np.int64)
+    for length in sorted(set(lengths)):
+        alike = [i for i, x in enumerate(lengths) if x == length]
+        got = sainte_lague([targets[i] for i in alike], round(sum(targets[i] for i in alike) / length), [most[i] for i in alike])
+        seats[alike] = np.where([targets[i] >= repeat * sizes[i] for i in alike], seats[alike], got)
     quotas = []
-    for i in range(len(names)):
+    for i, length in enumerate(lengths):
         own = sorted(by_source.get(i, ()))
-        got = sainte_lague([n for _, n in own], int(seats[i]), [repeat * -(-n // block) for _, n in own])
-        quotas += [(i, s, int(q)) for (s, _), q in zip(own, got)]
-    quota = spark.createDataFrame(quotas, "src int, shard int, quota long")
+        got = seats[i : i + 1] if len(own) == 1 else sainte_lague([n for _, n in own], int(seats[i]), [repeat * -(-n // length) for _, n in own])
+        quotas += [(i, s, int(q), length) for (s, _), q in zip(own, got)]
+    quota = spark.createDataFrame(quotas, "src int, shard int, quota long, block long")
 
     def take(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["o", "doc_id", "size"], kind="stable")
-        pdf["taken"] = draw_blocks(pdf["size"].to_numpy(), int(pdf["quota"].iloc[0]), block, [seed, int(key[0]), int(key[1])])
+        pdf["taken"] = draw_blocks(pdf["size"].to_numpy(), int(pdf["quota"].iloc[0]), int(pdf["block"].iloc[0]), [seed, int(key[0]), int(key[1])])
         return pdf
 
     # Ids go to pandas as text, which keeps long ones exact beside nulls.

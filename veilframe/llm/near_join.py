@@ -34,10 +34,8 @@ SHINGLE, PERCENT = 4, 85
 ROWS, BLOCK_BITS, STEPS = 2, 15, 2600
 #: Bytes of text for each cell of a row, and the least and most cells as powers of two (4 bytes of broadcast a cell).
 CELL_BYTES, LEAST_CELLS, MOST_CELLS = 256, 16, 24
-#: Shingles that the sketch has seen more often are busy: what meets in one task is then aggregated or salted first.
+#: Shingles of more groups are busy: their groups are dealt over tasks of about so many, and what has to meet is aggregated or copied first.
 BUSY = 1000
-#: Tasks that the groups of a busy shingle, or the pairs of a busy class, are dealt over.
-SALTS = 16
 #: Bytes of a text whose words are split at a time.
 SLICE = 1 << 20
 
@@ -127,7 +125,6 @@ def frequency(counts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def _signatures(sent, k: int, percent: int):
-    busy = int(np.log1p(BUSY) * STEPS)
     weights = np.random.default_rng(17).integers(1, 1 << 63, 4, dtype=np.uint64) | np.uint64(1)
 
     def digest(values: np.ndarray) -> list[int]:
@@ -138,21 +135,20 @@ def _signatures(sent, k: int, percent: int):
     def run(batches):
         counts = sent.value
         for batch in batches:
-            ids, n, marks, prefixes, calm = batch.column(0), [], [], [], []
+            ids, n, marks, prefixes = batch.column(0), [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text or "", k)
                 often = frequency(counts, s)
                 order = np.argsort(often, kind="stable")
                 order = order[: prefix_length(len(s), percent)] if len(s) else order
                 p = s[order]
-                calm.append(int((often[order] <= busy).sum()))
                 n.append(len(s))
                 marks.append(digest(s) + digest(p))
                 prefixes.append(p.astype(np.int64))
             cols = list(zip(*marks)) if marks else [()] * 4
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             values = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), *(pa.array(c, pa.int64()) for c in cols), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(calm, pa.int32())], ["doc_id", "n", "h1", "h2", "p1", "p2", "prefix", "calm"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), *(pa.array(c, pa.int64()) for c in cols), pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "n", "h1", "h2", "p1", "p2", "prefix"])
 
     return run
 
@@ -195,7 +191,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     folder = work_dir(spark)
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     counts = spark.sparkContext.broadcast(shingle_counts(named, shingle))
-    sig = stored(named.mapInArrow(tidy(_signatures(counts, shingle, percent)), "doc_id long, n long, h1 long, h2 long, p1 long, p2 long, prefix array<long>, calm int"), folder, "signatures")
+    sig = stored(named.mapInArrow(tidy(_signatures(counts, shingle, percent)), "doc_id long, n long, h1 long, h2 long, p1 long, p2 long, prefix array<long>"), folder, "signatures")
     keys = ["n", "p1", "p2", "h1", "h2"]
     live = sig.where("n > 0 and doc_id is not null")
     classes = live.groupBy(*keys).agg(F.min("doc_id").alias("cid"))
@@ -203,16 +199,19 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = stored(classes.join(groups, ["n", "p1", "p2"]), folder, "classes")
 
     # Postings of groups.  A shingle leads on only where the next smaller or larger group that has it is near in size; a busy
-    # one always does.
+    # one, by an exact count of its groups, always does.
     heads = classes.where("cid = gid").select("n", "p1", "p2", F.col("gid").alias("doc_id"))
-    postings = sig.join(heads, ["doc_id", "n", "p1", "p2"], "left_semi").select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("gid"), "n", "calm")
+    postings = sig.join(heads, ["doc_id", "n", "p1", "p2"], "left_semi").select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("gid"), "n")
+    postings = stored(postings, folder, "postings")
+    often = stored(postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > BUSY).select("token", F.ceil(F.col("c") / max(BUSY, 1)).cast("int").alias("salts")), folder, "often")
+    postings = postings.join(often, "token", "left").withColumn("busy", F.col("salts").isNotNull()).withColumn("salts", F.coalesce("salts", F.lit(1)))
     over = Window.partitionBy("token", "salt").orderBy("n", "gid")
     below, above = F.lag("n").over(over), F.lead("n").over(over)
     near = (F.coalesce(below, F.lit(0)) * 100 >= F.col("n") * percent) | (F.coalesce(F.col("n") * 100 >= above * percent, F.lit(False)))
-    postings = postings.withColumn("busy", F.col("pos") >= F.col("calm")).withColumn("salt", F.when(F.col("busy"), _salt("gid")).otherwise(0))
-    postings = postings.withColumn("near", F.col("busy") | near).where("near").withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("gid")))
-    fields = ["token", "gid", "n", "pos"]
+    postings = postings.withColumn("salt", _salt("gid")).withColumn("near", F.col("busy") | near).where("near").withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("gid")))
+    fields = ["token", "gid", "n", "pos", "salts"]
     shared = stored(postings.select(*fields, "k", "busy"), folder, "shared", "busy")
+    drop_path(spark, f"{folder}/postings")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """Links among the pairs (a, b) of classes; only the texts of these classes are read as sets.
@@ -252,15 +251,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     placed = stored(shared.join(spread, "gid").select(*fields, "lo", "hi", "busy"), folder, "placed", "busy")
     whole = Window.partitionBy("token")
     calm = placed.where("not busy").withColumn("first", F.min("lo").over(whole)).withColumn("last", F.max("hi").over(whole)).where("first <> last")
-    ends = placed.where("busy").groupBy("token").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where("first <> last")
+    ends = placed.where("busy").groupBy("token", "salts").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where("first <> last")
     busy = _salted(placed.where("busy"), ends)
     names = [*fields, "lo", "hi", "busy"]
     open_ = stored(calm.select(*names).unionAll(busy.select(*names)), folder, "open")
     # Of a busy shingle each block of groups meets all groups in a task of its own.
-    blocks = F.when(F.col("busy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    own = F.when(F.col("busy"), _salt("gid")).otherwise(F.lit(0))
-    x = open_.select("token", own.alias("block"), *fields[1:], "lo", "hi").toDF("token", "block", "ga", "na", "pa", "la", "ha")
-    y = open_.select("token", F.explode(blocks).alias("block"), *fields[1:], "lo", "hi").toDF("token", "block", "gb", "nb", "pb", "lb", "hb")
+    x = open_.select("token", _salt("gid").alias("block"), "gid", "n", "pos", "lo", "hi").toDF("token", "block", "ga", "na", "pa", "la", "ha")
+    y = open_.select("token", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("block"), "gid", "n", "pos", "lo", "hi").toDF("token", "block", "gb", "nb", "pb", "lb", "hb")
     # A pair needs a shingle early enough in both sets: with what follows it they can still overlap enough.
     early = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= _least_overlap(percent)
     differ = F.least("la", "lb") != F.greatest("ha", "hb")
@@ -285,12 +282,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _salt(col: str):
-    return F.pmod(F.xxhash64(col), F.lit(SALTS)).cast("int")
+    """The task of its token's that a row goes to."""
+    return F.pmod(F.xxhash64(col), F.col("salts")).cast("int")
 
 
 def _salted(rows: DataFrame, by_token: DataFrame) -> DataFrame:
-    """``rows`` joined with the one row of their token, a busy token's rows dealt over SALTS tasks."""
-    return rows.withColumn("salt", _salt("gid")).join(by_token.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["token", "salt"]).drop("salt")
+    """``rows`` joined with the one row of their token (token, salts and more), a busy token's rows dealt over its tasks."""
+    copies = by_token.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    return rows.withColumn("salt", _salt("gid")).join(copies, ["token", "salt"]).drop("salt")
 
 
 def _least_overlap(percent: int):
@@ -314,7 +313,7 @@ def _single(shared: DataFrame, order, percent: int) -> DataFrame:
     ordered = shared.withColumn("o", order)
     head = F.struct("o", "gid", "n")
     calm = ordered.where("not busy").withColumn("h", F.first(head).over(over))
-    busy = _salted(ordered.where("busy"), ordered.where("busy").groupBy("token").agg(F.min(head).alias("h")))
+    busy = _salted(ordered.where("busy"), ordered.where("busy").groupBy("token", "salts").agg(F.min(head).alias("h")))
     names = [F.col("h.gid").alias("ga"), F.col("gid").alias("gb"), F.col("h.n").alias("na"), F.col("n").alias("nb")]
     pairs = calm.select(*names).unionAll(busy.select(*names))
     counted = pairs.where((F.col("ga") != F.col("gb")) & _near_in_size("na", "nb", percent)).groupBy("ga", "gb", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
