@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe import prompts
@@ -34,6 +34,11 @@ def by_rules(documents: DataFrame) -> DataFrame:
     return finish(documents.withColumn("anonymized_text", apply_masks(F.col("text"), spans)))
 
 
+def masked(text: Column, spans: Column) -> Column:
+    """A text without its spans (start_offset, end_offset, entity_type)."""
+    return apply_masks(text, spans)
+
+
 def by_spans(documents: DataFrame, spans: DataFrame) -> DataFrame:
     """Masks given spans (data_id, start_offset, end_offset, entity_type)."""
     g = spans.groupBy("data_id").agg(F.collect_list(F.struct("start_offset", "end_offset", "entity_type")).alias("spans"))
