@@ -12,6 +12,7 @@ from veilframe.plans import evaluate, infer, utility
 from veilframe.queries import register, table
 from veilframe.sources import jsonl
 from veilframe.sources.folders import as_one_file, work_folder
+from veilframe.sources.json_array import read_json_array
 from veilframe.streaming import incremental
 
 
@@ -281,3 +282,18 @@ def stream_equals_batch(spark, sf_dir):
     seen = incremental.once_each(stream, "event_id", "ts", "4000 days")
     incremental.run(seen, lambda batch: batch.select("event_type", "value"), f"{folder}/out", f"{folder}/state").awaitTermination()
     return spark.read.parquet(f"{folder}/out").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@register("json_array_ranges", "SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, lang, n_chars, doc_id % 8 AS file FROM documents")
+def json_array_ranges(spark, sf_dir):
+    """Documents as eight files of one JSON array each, whose strings hold brackets, quotes and backslashes, read by ranges of 64 KB."""
+    d = table(spark, sf_dir, "documents")
+    odd = F.concat(F.lit('{"[\\},]'), F.coalesce("text", F.lit("")), F.lit('\\\\"]'))
+    lines = d.select((F.col("doc_id") % 8).alias("file"), F.lit(1).alias("part"), F.to_json(F.struct("doc_id", odd.alias("text"), "lang", "n_chars", F.array(F.struct(F.lit("},{").alias("k"))).alias("more"))).alias("line"))
+    frame = spark.range(8).select(F.col("id").alias("file"), F.explode(F.array(F.struct(F.lit(0).alias("part"), F.lit("[").alias("line")), F.struct(F.lit(2).alias("part"), F.lit('{"doc_id": null}]').alias("line")))).alias("x")).select("file", "x.*")
+    body = lines.withColumn("line", F.concat("line", F.lit(" ,"))).unionByName(frame)
+    folder = work_folder(spark)
+    body.repartition(8, "file").sortWithinPartitions("file", "part").select("line", "file").write.partitionBy("file").text(f"{folder}/arrays")
+    rows = read_json_array(spark, f"{folder}/arrays/*", "doc_id long, text string, lang string, n_chars long", split=1 << 16)
+    inner = F.substring("text", 8, F.length("text") - 11)
+    return rows.where("doc_id is not null").select("doc_id", F.sha2(inner, 256).alias("text_sha256"), "lang", "n_chars", (F.col("doc_id") % 8).alias("file"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -32,6 +33,14 @@ def work_folder(spark: SparkSession) -> str:
     return path
 
 
+def arrow_path(uri: str) -> tuple[pafs.FileSystem, str]:
+    """(file system, path) for tasks, which have no Hadoop classes at hand."""
+    scheme, colon, rest = uri.partition(":")
+    if not colon or scheme == "file":
+        return pafs.LocalFileSystem(), "/" + (rest if colon else uri).lstrip("/")
+    return pafs.FileSystem.from_uri(uri)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p = hadoop_path(spark, path)
     return fs.exists(p)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe import schemas
+from veilframe.sources.json_array import read_json_array
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = schemas.ANNOTATED, strict: bool = True) -> DataFrame:
@@ -93,8 +94,8 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_training(spark: SparkSession, path: str) -> DataFrame:
-    """Training documents (a JSON array a file), a row per annotator and mention."""
-    docs = spark.read.schema(schemas.TRAINING_DOC).option("multiLine", True).json(path)
+    """Training documents (a JSON array a file, split into ranges), a row per annotator and mention."""
+    docs = read_json_array(spark, path, schemas.TRAINING_DOC)
     return docs.select("doc_id", "dataset_type", "text", F.explode("annotations").alias("annotator", "a")).select("doc_id", "dataset_type", "text", "annotator", F.posexplode("a.entity_mentions").alias("pos", "m")).select("doc_id", "dataset_type", "text", "annotator", "pos", "m.*")
 
 

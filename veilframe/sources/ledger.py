@@ -20,7 +20,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.sources.folders import drop_folder, exists, work_folder, written
+from veilframe.sources.folders import arrow_path, drop_folder, exists, work_folder, written
 
 ANSWERS = "key string, attempt int, status string, response string, stage string"
 #: Leading hexadecimal digits of a key that name its bucket, and answers after which a segment is closed.
@@ -31,7 +31,7 @@ class Segments:
     """The write-ahead files of one attempt of one stage, seen from a task."""
 
     def __init__(self, uri: str):
-        self.fs, self.root = pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+        self.fs, self.root = arrow_path(uri)
         self.lock, self.out, self.rows = threading.Lock(), None, 0
 
     def read(self, bucket: str) -> dict[str, tuple[str, str]]:
