@@ -186,6 +186,35 @@ def test_kneser_ney_against_dictionaries():
     assert np.allclose(got, [[f(t) for f in slow] for t in asked], rtol=1e-5)
 
 
+def test_an_id_of_most_rows_is_drawn_once(spark, monkeypatch):
+    """20,000 rows of which 19,990 bear one id: a text for each id comes to the driver, whatever the rows."""
+    docs = spark.range(20_000).selectExpr("least(id, 10) AS doc_id", "concat('text number ', id) AS text", "if(id % 2 = 0, 'en', 'fr') AS lang")
+    drawn = []
+    monkeypatch.setattr(langid, "train", lambda texts, train=langid.train: drawn.append(len(texts)) or train(texts))
+    assert langid.fit(docs).names == ("en", "fr")
+    assert sum(drawn) <= 12
+    again = []
+    monkeypatch.setattr(langid, "train", lambda texts, train=langid.train: again.append(texts) or train(texts))
+    langid.fit(docs)
+    langid.fit(docs.repartition(9))
+    assert again[:2] == again[2:]
+
+
+def test_the_threshold_draws_what_a_full_ranking_would(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(30_000).selectExpr("id AS doc_id", "concat('a text of ', id) AS text", "if(id % 3 = 0, 'en', 'fr') AS lang")
+    want = [r["text"] for r in docs.where("lang = 'fr'").orderBy(F.xxhash64("doc_id")).limit(20).collect()]
+    seen = []
+    original = langid.train
+    langid.train = lambda texts: seen.append(texts) or original(texts)
+    try:
+        langid.fit(docs, per_lang=20)
+    finally:
+        langid.train = original
+    assert set(seen[1]) <= set(want) and len(seen[1]) >= 15
+
+
 def test_equally_good_languages_go_to_the_first(spark):
     docs = spark.createDataFrame([(i, "one two three", lang) for i, lang in enumerate(["no", "da", "no", "da"])], "doc_id long, text string, lang string")
     assert {r["lang_pred"] for r in langid.language_id(docs).collect()} == {"da"}
@@ -393,6 +422,35 @@ def test_components(spark):
     assert got == {x: find(x) for x in root}
 
 
+def test_a_sketch_that_is_full_costs_little(spark, monkeypatch):
+    """Thousands of documents over a sketch of 2**16 cells: the same components as with one of 2**22, and about as many postings."""
+    pick = random.Random(8)
+    texts = []
+    for i in range(3000):
+        words = [f"w{pick.randrange(40_000)}" for _ in range(90)] + "a line that stands in every single document of this test".split()
+        texts.append(" ".join(words))
+        if i % 10 == 0:
+            words[pick.randrange(90)] = "changed"
+            texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").cache()
+    found, kept = {}, {}
+    drop = near_join.drop_path
+
+    def note(spark, path):
+        if path.endswith("/shared"):
+            kept[bits] = spark.read.parquet(path).count()
+        drop(spark, path)
+
+    monkeypatch.setattr(near_join, "drop_path", note)
+    for bits in (16, 22):
+        monkeypatch.setattr(near_join, "LEAST_CELLS", bits)
+        monkeypatch.setattr(near_join, "MOST_CELLS", bits)
+        found[bits] = sorted(tuple(r) for r in near_join.jaccard_join(docs).collect())
+    assert found[16] == found[22]
+    assert len({r[2] for r in found[16]}) == 3000
+    assert kept[16] <= 1.5 * kept[22]
+
+
 def test_components_of_a_long_path_and_a_large_star(spark):
     path = list(range(5000))
     random.Random(1).shuffle(path)
@@ -439,7 +497,7 @@ def test_mix_meets_targets(spark, sf):
     by = {}
     for r in got:
         assert 0 <= r["taken"] <= 2 * r["size"]
-        assert r["size"] == 0 or True
+        assert r["size"] > 0 or r["taken"] == 0
         by.setdefault(r["source"], [0, r["target"]])[0] += r["taken"]
     assert all(abs(t - want) <= max(64, 0.03 * want) for t, want in by.values())
     words = {r["doc_id"]: len((r["text"] or "").encode().split()) for r in docs.select("doc_id", "text").collect()}
@@ -492,7 +550,13 @@ def test_mix_against_a_slow_version(spark, sf, monkeypatch):
     names = sorted({r[2] for r in rows}, key=lambda s: (s is None, s or ""))
     sizes = [sum(r[1] for r in rows if r[2] == s) for s in names]
     targets = slow_targets(sizes)
-    block = min(mixing.BLOCK_WORDS, max(1, int(min(t for t in targets if t) // 64)))
+    lengths = []
+    for t in targets:  # the largest power of two that is no more than a 64th of the target, and no more than usual
+        length = 1
+        while 2 * length <= min(mixing.BLOCK_WORDS, t // 64):
+            length *= 2
+        lengths.append(length)
+    assert len(set(lengths)) > 1
     hashed = spark.createDataFrame(sorted({(r[0], r[1]) for r in rows}, key=repr), "doc_id long, size long").select("doc_id", "size", F.xxhash64(F.lit(42), "doc_id", "size").alias("h"), F.xxhash64(F.lit(43), "doc_id").alias("o")).collect()
     h, o = ({(r["doc_id"], r["size"]): r[c] for r in hashed} for c in ("h", "o"))
     shards = {}
@@ -500,11 +564,15 @@ def test_mix_against_a_slow_version(spark, sf, monkeypatch):
         for r in rows:
             if r[2] == s and r[1]:
                 shards.setdefault((i, h[r[:2]] % max(1, -(-n // 3000))), []).append(r)
-    blocks = [sum(-(-sum(r[1] for r in own) // block) for (j, _), own in shards.items() if j == i) for i in range(len(names))]
-    seats = slow_seats(targets, round(sum(targets) / block), [2 * b for b in blocks])
+    blocks = [sum(-(-sum(r[1] for r in own) // lengths[i]) for (j, _), own in shards.items() if j == i) for i in range(len(names))]
+    seats = [0] * len(names)
+    for length in set(lengths):
+        alike = [i for i in range(len(names)) if lengths[i] == length]
+        for i, n in zip(alike, slow_seats([targets[i] for i in alike], round(sum(targets[i] for i in alike) / length), [2 * blocks[i] for i in alike])):
+            seats[i] = n
     want = [(r[0], r[1], r[2], 0) for r in rows if not r[1]]
     for i in range(len(names)):
-        own = sorted(k for k in shards if k[0] == i)
+        own, block = sorted(k for k in shards if k[0] == i), lengths[i]
         words = [sum(r[1] for r in shards[k]) for k in own]
         caps = [2 * -(-n // block) for n in words]
         quota = slow_seats(words, sum(caps) if targets[i] >= 2 * sizes[i] else seats[i], caps)
@@ -520,6 +588,28 @@ def test_mix_against_a_slow_version(spark, sf, monkeypatch):
     assert all(r["target"] == pytest.approx(targets[names.index(r["source"])]) and r["source_size"] == sizes[names.index(r["source"])] for r in got)
 
 
+def test_a_tiny_source_leaves_the_blocks_of_others(spark):
+    docs = [(i, "w " * (200 + 37 * i % 400), "abc"[i % 3]) for i in range(900)]
+    spread = {}
+    for more in ([], [(-1, "w " * 20, "tiny")]):
+        got = mixing.mix_sources(spark.createDataFrame(docs + more, "doc_id long, text string, source string")).where("source = 'c'").collect()
+        ratio = [r["taken"] / r["size"] for r in got]
+        spread[len(more)] = (np.mean(ratio), np.std(ratio))
+    assert spread[0][1] > 0.1
+    assert spread[1] == pytest.approx(spread[0], rel=0.05)
+
+
+def test_a_hundred_thousand_sources(spark):
+    """Most of one document, so of one shard; the plan on the driver takes well under a minute."""
+    import time
+
+    docs = spark.range(100_000).selectExpr("id AS doc_id", "concat('s', id) AS source", "repeat('w ', cast(20 + id % 50 as int)) AS text")
+    began = time.monotonic()
+    got = mixing.mix_sources(docs).selectExpr("count(*) AS n", "sum(taken) / sum(size) AS ratio", "max(taken / size) AS most").first()
+    assert time.monotonic() - began < 60
+    assert got["n"] == 100_000 and got["most"] <= 2 and got["ratio"] == pytest.approx(1.5, abs=0.02)
+
+
 def test_many_sources_fill_quickly():
     import time
 

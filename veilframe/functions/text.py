@@ -145,7 +145,118 @@ def length_check(original: Column, anonymized: Column, threshold: float = 0.4) -
     return F.struct(F.abs(a - o).alias("length_diff"), F.round(ratio, 3).alias("length_ratio"), (F.abs(ratio - 1) > threshold).alias("length_anomaly"))
 
 
+# --- Offsets ----------------------------------------------------------------------
+
+#: Code points of a block of a text.
+BLOCK = 1024
+
+
+def blocks(text: Column) -> Column:
+    """A text in blocks of ``BLOCK`` code points, cut in one pass."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def block_slice(parts: Column, start: Column, end: Column) -> Column:
+    """``text[start:end]`` from its blocks; a negative start counts as 0, and offsets behind the text give what there is."""
+    a = F.greatest(start, F.lit(0))
+    first = F.floor(a / BLOCK).cast("int")
+    n = F.greatest(F.floor((end - 1) / BLOCK).cast("int") - first + 1, F.lit(1))
+    return F.substring(F.array_join(F.slice(parts, first + 1, n), ""), (a - first * BLOCK).cast("int") + 1, F.greatest(end - a, F.lit(0)).cast("int"))
+
+
+def offset_directory(text: Column) -> Column:
+    """struct<blocks,bytes,units>: a text's blocks, and the UTF-8 bytes and UTF-16 units before each of them.
+
+    Made once a text, as a column of its own; a conversion then looks at one block.
+    """
+    units = lambda b: (F.octet_length(F.encode(b, "UTF-16BE")) / 2).cast("long")
+    sized = lambda b, size: sums_before(F.concat(F.transform(b, lambda x: size(x).cast("long")), F.array(F.lit(0).cast("long"))))
+    return let(blocks(text), lambda b: F.struct(b.alias("blocks"), sized(b, F.octet_length).alias("bytes"), sized(b, units).alias("units")))
+
+
+def _length(d: Column) -> Column:
+    n = F.size(d["blocks"])
+    return F.when(n == 0, F.lit(0)).otherwise((n - 1) * BLOCK + F.length(d["blocks"][n - 1]))
+
+
+def _from_chars(d: Column, at: Column, before: str, size) -> Column:
+    i = F.least(F.greatest(at, F.lit(0)), _length(d))
+    b = F.floor(i / BLOCK).cast("int")
+    rest = F.coalesce(F.get(d["blocks"], b), F.lit(""))
+    return (d[before][b] + size(F.substring(rest, F.lit(1), (i - b * BLOCK).cast("int")))).cast("int")
+
+
+def _block_of(starts: Column, at: Column) -> Column:
+    """The last block that begins at or before an offset, by bisection."""
+    zero = F.struct(F.lit(0).alias("lo"), (F.size(starts) - 1).alias("hi"))
+    mid = lambda x: F.ceil((x["lo"] + x["hi"]) / 2).cast("int")
+    halve = lambda x, _: F.when(starts[mid(x)] <= at, F.struct(mid(x).alias("lo"), x["hi"].alias("hi"))).otherwise(F.struct(x["lo"].alias("lo"), F.greatest(mid(x) - 1, x["lo"]).alias("hi")))
+    return F.aggregate(F.sequence(F.lit(1), F.ceil(F.log2(F.size(starts) + F.lit(1))).cast("int") + 1), zero, halve)["lo"]
+
+
+def _to_chars(d: Column, at: Column, before: str, encoding: str, width: int) -> Column:
+    """Code points before an offset; one outside the text or inside a character gives the text's length."""
+    whole = _length(d)
+
+    def inside(b):
+        code = F.encode(F.coalesce(F.get(d["blocks"], b), F.lit("")), encoding)
+        head = F.substring(code, F.lit(1), ((at - d[before][b]) * width).cast("int"))
+        # a head that ends inside a character isn't what its own text would be written as
+        text = F.try_validate_utf8(head.cast("string")) if encoding == "UTF-8" else F.decode(F.when(_ends_whole(head), head), encoding)
+        return F.when(text.isNotNull(), F.least(b * BLOCK + F.length(text), whole)).otherwise(whole)
+
+    fits = (at >= 0) & (at <= F.element_at(d[before], -1))
+    return F.when(fits, let(_block_of(d[before], at), inside)).otherwise(whole).cast("int")
+
+
+def _ends_whole(head: Column) -> Column:
+    """Whether UTF-16 (big end first) doesn't end behind the first half of a pair."""
+    unit = F.conv(F.hex(F.substring(head, -2, 2)), 16, 10).cast("int")
+    return (F.octet_length(head) == 0) | ~unit.between(0xD800, 0xDBFF)
+
+
+def _units(text: Column) -> Column:
+    return F.octet_length(F.encode(text, "UTF-16BE")) / 2
+
+
+def byte_of_char(d: Column, at: Column) -> Column:
+    """UTF-8 bytes before a code point; offsets behind the text give its size, negative ones 0."""
+    return _from_chars(d, at, "bytes", F.octet_length)
+
+
+def unit_of_char(d: Column, at: Column) -> Column:
+    """UTF-16 units before a code point."""
+    return _from_chars(d, at, "units", _units)
+
+
+def char_of_byte(d: Column, at: Column) -> Column:
+    return _to_chars(d, at, "bytes", "UTF-8", 1)
+
+
+def char_of_unit(d: Column, at: Column) -> Column:
+    return _to_chars(d, at, "units", "UTF-16BE", 2)
+
+
+def unit_of_byte(d: Column, at: Column) -> Column:
+    return unit_of_char(d, char_of_byte(d, at))
+
+
+def byte_of_unit(d: Column, at: Column) -> Column:
+    return byte_of_char(d, char_of_unit(d, at))
+
+
+def slice_of_bytes(d: Column, start: Column, end: Column) -> Column:
+    """The text between two byte offsets."""
+    return block_slice(d["blocks"], char_of_byte(d, start), char_of_byte(d, end))
+
+
+def slice_of_units(d: Column, start: Column, end: Column) -> Column:
+    """The text between two offsets in UTF-16 units."""
+    return block_slice(d["blocks"], char_of_unit(d, start), char_of_unit(d, end))
+
+
 def byte_offset(text: Column, chars: Column) -> Column:
+    """UTF-8 bytes before a code point; for many offsets of a text make its ``offset_directory``."""
     return F.octet_length(F.substring(text, F.lit(1), chars))
 
 

@@ -9,10 +9,16 @@ from __future__ import annotations
 
 import re
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from veilframe.functions.text import mention_masked, merged, tokens
+from veilframe.functions.text import block_slice, blocks, let, mention_masked, merged, tokens
+
+#: Characters of a bin in which intervals meet.
+BIN = 256
 
 
 def maskable():
@@ -41,9 +47,38 @@ def masks_of_entities(entities: DataFrame) -> DataFrame:
     return entities.groupBy("data_id").agg(merged(F.collect_list(F.struct(F.col("start_offset").alias("s"), F.col("end_offset").alias("e")))).alias("masked"))
 
 
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _occur(patterns: pd.Series, text: pd.Series) -> pd.Series:
+    """Whether each pattern of a row occurs in its text: an automaton of the row's patterns passes the text once."""
+
+    def one(words, whole):
+        if whole is None:
+            return [None] * len(words)
+        searcher, found = ahocorasick.Automaton(), set()
+        for w in words:
+            if w:
+                searcher.add_word(w, w)
+        if len(searcher):
+            searcher.make_automaton()
+            for _, w in searcher.iter(whole):
+                found.add(w)
+                if len(found) == len(searcher):
+                    break
+        return [None if w is None else w == "" or w in found for w in words]
+
+    return pd.Series([one(list(p), t) for p, t in zip(patterns, text)], dtype=object)
+
+
 def spans_by_search(mentions: DataFrame, anonymized: DataFrame) -> DataFrame:
-    """Mentions whose text doesn't occur in the anonymized text any more."""
-    return mentions.join(anonymized.select("data_id", "anonymized_text"), "data_id").where("span_text <> '' and not contains(anonymized_text, span_text)").drop("anonymized_text")
+    """Mentions whose text doesn't occur in the anonymized text any more.
+
+    A document's mentions are put together, so its text is sent and read once,
+    however many they are.
+    """
+    own = mentions.where("span_text <> ''").groupBy("data_id").agg(F.collect_list(F.struct(*mentions.columns)).alias("_m"))
+    both = own.join(anonymized.select("data_id", F.col("anonymized_text").alias("_text")), "data_id")
+    there = both.select("_m", _occur(F.col("_m.span_text"), F.col("_text")).alias("_there"))
+    return there.select(F.explode(F.arrays_zip("_m", "_there")).alias("x")).where("not x._there").select("x._m.*")
 
 
 def spans_by_offset(mentions: DataFrame, anonymized: DataFrame) -> DataFrame:
@@ -76,15 +111,55 @@ def detected_masks(mentions: DataFrame, anonymized: DataFrame, reported: DataFra
     return base.join(masks_of_entities(spans), "data_id", "left").withColumn("masked", F.coalesce("masked", F.array().cast("array<struct<s:int,e:int>>")))
 
 
+def cut_mentions(documents: DataFrame, spans: DataFrame) -> DataFrame:
+    """Spans (data_id, start_offset, end_offset, ...) with ``slice``, what they cover of their document's text.
+
+    Each text meets its spans once, as one row, and is cut into blocks; what goes
+    on are the slices.  Documents without spans and spans without a document go.
+    """
+    own = spans.groupBy("data_id").agg(F.collect_list(F.struct(*spans.columns)).alias("_m"))
+    both = own.join(documents.select("data_id", F.col("text").alias("_text")), "data_id")
+    piece = lambda b: F.transform("_m", lambda m: F.struct(m.alias("m"), block_slice(b, m["start_offset"], m["end_offset"]).alias("slice")))
+    return both.select(F.explode(let(blocks(F.col("_text")), piece)).alias("x")).select("x.m.*", "x.slice")
+
+
 def mention_recall(documents: DataFrame, mentions: DataFrame, masks: DataFrame) -> DataFrame:
-    """Maskable mentions with ``is_masked`` and their numbers of tokens and masked tokens."""
-    text = documents.select("data_id", "text").join(masks, "data_id")
-    m = mentions.where("entity_id is not null and entity_id <> ''").where(maskable()).join(text, "data_id")
-    parts = tokens(F.col("text"), F.col("start_offset"), F.col("end_offset"))
-    hit = F.filter(parts, lambda t: mention_masked(F.col("text"), t["start_offset"], t["end_offset"], F.col("masked")))
-    return m.select(
-        "data_id", "entity_id", "pos", mention_masked(F.col("text"), F.col("start_offset"), F.col("end_offset"), F.col("masked")).alias("is_masked"), F.size(parts).alias("n_tokens"), F.size(hit).alias("n_masked_tokens")
-    )
+    """Maskable mentions with ``is_masked`` and their numbers of tokens and masked tokens.
+
+    Only a mention's slice of the text and the masks inside it are looked at.
+    """
+    m = mentions.where("entity_id is not null and entity_id <> ''").where(maskable()).select("data_id", "entity_id", "pos", "start_offset", "end_offset")
+    m = cut_mentions(documents, m)
+    a, b = F.col("start_offset"), F.col("end_offset")
+    near = _masks_near(m, masks)
+    zero, length = F.lit(0), F.col("end_offset") - F.col("start_offset")
+    parts = tokens(F.col("slice"), zero, length)
+    hit = F.filter(parts, lambda t: mention_masked(F.col("slice"), t["start_offset"], t["end_offset"], F.col("inside")))
+    inside = F.transform("near", lambda x: F.struct((x["s"] - a).cast("int").alias("s"), (F.least(x["e"], b) - a).cast("int").alias("e")))
+    inside = F.transform(inside, lambda x: F.struct(F.greatest(x["s"], F.lit(0)).alias("s"), x["e"].alias("e")))
+    near = near.withColumn("inside", inside)
+    return near.select("data_id", "entity_id", "pos", mention_masked(F.col("slice"), zero, length, F.col("inside")).alias("is_masked"), F.size(parts).alias("n_tokens"), F.size(hit).alias("n_masked_tokens"))
+
+
+def _masks_near(m: DataFrame, masks: DataFrame) -> DataFrame:
+    """``m`` with ``near``: its document's masks that overlap it, in order; documents without a row of masks go.
+
+    Masks are merged and so disjoint: they meet mentions by bins of text, each
+    pair in one bin.
+    """
+    key = m.withColumn("_key", F.struct("entity_id", "pos", "start_offset", "end_offset"))
+    own = masks.select("data_id", F.explode("masked").alias("x")).select("data_id", F.col("x.s").alias("_s"), F.col("x.e").alias("_e"))
+    left = key.select("data_id", "_key", F.col("start_offset").alias("_a"), F.col("end_offset").alias("_b")).distinct().withColumn("_bin", bins("_a", "_b"))
+    met = left.join(own.withColumn("_bin", bins("_s", "_e")), ["data_id", "_bin"]).where((F.col("_s") < F.col("_b")) & (F.col("_e") > F.col("_a")) & (F.col("_bin") == F.floor(F.greatest("_a", "_s") / BIN)))
+    found = met.groupBy("data_id", "_key").agg(F.array_sort(F.collect_list(F.struct(F.col("_s").alias("s"), F.col("_e").alias("e")))).alias("near"))
+    known = key.join(masks.select("data_id"), "data_id", "left_semi")
+    return known.join(found, ["data_id", "_key"], "left").withColumn("near", F.coalesce("near", F.array().cast("array<struct<s:int,e:int>>"))).drop("_key")
+
+
+def bins(start: str, end: str):
+    """A row for each bin of BIN characters that an interval touches."""
+    last = F.greatest(F.col(end) - 1, F.col(start))
+    return F.explode(F.sequence(F.floor(F.col(start) / BIN), F.floor(last / BIN)))
 
 
 def entity_recall(documents: DataFrame, mentions: DataFrame, masks: DataFrame) -> DataFrame:
@@ -116,15 +191,26 @@ def recall_report(entities: DataFrame, by_type: bool = False) -> DataFrame:
 
 def system_tokens(documents: DataFrame, reported: DataFrame) -> DataFrame:
     """Word tokens of the spans that an anonymizer reported, with their places."""
-    spans = reported.where("start_offset is not null and end_offset is not null").join(documents.select("data_id", "text"), "data_id")
-    return spans.select("data_id", F.explode(tokens(F.col("text"), F.col("start_offset"), F.col("end_offset"))).alias("t")).select("data_id", "t.*")
+    spans = reported.where("start_offset is not null and end_offset is not null").select("data_id", "start_offset", "end_offset")
+    found = cut_mentions(documents, spans).select("data_id", "start_offset", F.explode(tokens(F.col("slice"), F.lit(0), F.length("slice"))).alias("t"))
+    place = lambda c: (F.col(f"t.{c}") + F.col("start_offset")).alias(c)
+    return found.select("data_id", "t.token", place("start_offset"), place("end_offset"))
 
 
 def covered_tokens(system: DataFrame, mentions: DataFrame) -> DataFrame:
-    """System tokens inside any maskable mention: a semi join with the document as equi key."""
-    gold = mentions.where(maskable()).select(F.col("data_id").alias("g_id"), F.col("start_offset").alias("g_s"), F.col("end_offset").alias("g_e"))
-    inside = (F.col("data_id") == F.col("g_id")) & (F.col("g_s") <= F.col("start_offset")) & (F.col("g_e") >= F.col("end_offset"))
-    return system.join(gold, inside, "left_semi")
+    """System tokens inside any maskable mention: a sweep over each document's tokens and mentions in order of their start.
+
+    A token is inside one iff the mentions that begin no later reach as far as
+    its end; only the furthest end so far is kept.
+    """
+    gold = mentions.where(maskable()).where("start_offset is not null and end_offset is not null")
+    none = F.lit(None).cast(system.select(F.struct("*").alias("r")).schema["r"].dataType)
+    end = F.lit(None).cast("int")
+    events = system.select("data_id", F.col("start_offset").alias("at"), F.lit(1).alias("kind"), F.col("end_offset").alias("end"), F.struct("*").alias("row"), end.alias("reach"))
+    events = events.unionAll(gold.select("data_id", "start_offset", F.lit(0), end, none, F.col("end_offset").cast("int")))
+    over = Window.partitionBy("data_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = events.where("data_id is not null").withColumn("reach", F.max("reach").over(over))
+    return swept.where((F.col("kind") == 1) & (F.col("reach") >= F.col("end"))).select("row.*")
 
 
 def token_precision(documents: DataFrame, mentions: DataFrame, reported: DataFrame) -> DataFrame:
@@ -186,15 +272,22 @@ def entity_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def best_overlap_label(spans: DataFrame, labelled: DataFrame, default: str = "MISC") -> DataFrame:
-    """The label of the entity with the highest intersection over union, the first one on ties."""
+    """The label of the entity with the highest intersection over union, the first one on ties.
+
+    Spans and entities meet by bins of text, each pair in one bin, and the best
+    one is picked before anything is dealt by span.
+    """
     e = labelled.select("data_id", F.col("pos").alias("e_pos"), F.col("start_offset").alias("e_s"), F.col("end_offset").alias("e_e"), F.col("entity_type").alias("label"))
+    e = e.where("e_s < e_e").withColumn("bin", bins("e_s", "e_e"))
     s = spans.select("data_id", "pos", "start_offset", "end_offset")
-    meet = (s["data_id"] == e["data_id"]) & (F.col("e_s") < F.col("end_offset")) & (F.col("e_e") > F.col("start_offset"))
-    both = s.join(e, meet, "left").select(s["data_id"], "pos", "start_offset", "end_offset", "e_pos", "e_s", "e_e", "label")
+    met = s.where("start_offset < end_offset").withColumn("bin", bins("start_offset", "end_offset")).join(e, ["data_id", "bin"])
+    met = met.where((F.col("e_s") < F.col("end_offset")) & (F.col("e_e") > F.col("start_offset")) & (F.col("bin") == F.floor(F.greatest("start_offset", "e_s") / BIN)))
     inter = F.least("end_offset", "e_e") - F.greatest("start_offset", "e_s")
-    iou = F.coalesce(inter / (F.col("end_offset") - F.col("start_offset") + F.col("e_e") - F.col("e_s") - inter), F.lit(0.0))
-    best = Window.partitionBy("data_id", "pos").orderBy(F.desc("iou"), "e_pos")
-    return both.withColumn("iou", iou).withColumn("_rn", F.row_number().over(best)).where("_rn = 1").select("data_id", "pos", F.coalesce("label", F.lit(default)).alias("entity_type"), "iou")
+    iou = inter / (F.col("end_offset") - F.col("start_offset") + F.col("e_e") - F.col("e_s") - inter)
+    found = met.select("data_id", "pos", iou.alias("iou"), (-F.col("e_pos")).alias("first"), "label")
+    alone = s.select("data_id", "pos", F.lit(0.0).alias("iou"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("string").alias("label"))
+    best = found.unionByName(alone).groupBy("data_id", "pos").agg(F.max_by(F.struct("iou", "label"), F.struct("iou", "first")).alias("b"))
+    return best.select("data_id", "pos", F.coalesce("b.label", F.lit(default)).alias("entity_type"), "b.iou")
 
 
 def merge_overlaps(mentions: DataFrame) -> DataFrame:

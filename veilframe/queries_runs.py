@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilframe import backends, schemas
+from veilframe.functions import text as tx
 from veilframe.operators import alignment, entities, stats
 from veilframe.plans import anonymize, evaluate, infer
 from veilframe.queries import register, table
@@ -195,3 +196,25 @@ def retry_passes(spark, sf_dir):
         return asked.select("data_id", "attempt", F.when(good, "success").otherwise("error").alias("status"), F.when(~good, error).alias("error_type"), F.when(good, F.col("prompt")).alias("response"))
 
     return retries.run(c, ask, work_folder(spark))
+
+
+PLANE = r"'[\x{10000}-\x{10FFFF}]'"
+
+
+@register(
+    "offset_directory",
+    f"""WITH o AS (SELECT doc_id, t, CAST(unnest([length(t) * k // 7 for k in range(8)]) AS INT) AS place FROM (SELECT doc_id, coalesce(text, '') || ' 😀é' AS t FROM documents)),
+    p AS (SELECT *, strlen(left(t, place))::INT AS byte, (place + len(regexp_extract_all(left(t, place), {PLANE})))::INT AS unit FROM o)
+    SELECT doc_id, place, byte, unit, place AS char_of_byte, place AS char_of_unit, unit AS unit_of_byte, byte AS byte_of_unit, substr(t, place + 1, 5) AS piece_of_bytes, substr(t, place + 1, 5) AS piece_of_units FROM p""",
+)
+def offset_directory(spark, sf_dir):
+    """Eight offsets of each document to bytes, to UTF-16 units and back, and the texts at them, by one directory a document."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" 😀é")).alias("t"))
+    d = d.withColumn("d", tx.offset_directory(F.col("t"))).withColumn("at", F.explode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.floor(F.length("t") * k / 7).cast("int"))))
+    here, at = F.col("d"), F.col("at")
+    d = d.withColumns({"byte": tx.byte_of_char(here, at), "unit": tx.unit_of_char(here, at), "byte_end": tx.byte_of_char(here, at + 5), "unit_end": tx.unit_of_char(here, at + 5)})
+    byte, unit = F.col("byte"), F.col("unit")
+    return d.select(
+        "doc_id", at.alias("place"), "byte", "unit", tx.char_of_byte(here, byte).alias("char_of_byte"), tx.char_of_unit(here, unit).alias("char_of_unit"), tx.unit_of_byte(here, byte).alias("unit_of_byte"), tx.byte_of_unit(here, unit).alias("byte_of_unit"),
+        tx.slice_of_bytes(here, byte, F.col("byte_end")).alias("piece_of_bytes"), tx.slice_of_units(here, unit, F.col("unit_end")).alias("piece_of_units"),
+    )
