@@ -59,8 +59,14 @@ def questions(scored: DataFrame) -> DataFrame:
 
 
 def best_pairs(scored: DataFrame) -> DataFrame:
-    order = Window.partitionBy(*KEYS).orderBy(F.desc("score"), "pos_a", "pos_b")
-    return scored.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
+    """The best pair of each tag: highest score, then first places; ``error`` if any pair of the tag failed, whichever is best.
+
+    One aggregation, which combines pairs before they are shuffled.
+    """
+    last = lambda c: F.coalesce(-F.col(c).cast("long"), F.lit(-(1 << 40)))
+    rest = [c for c in scored.columns if c not in (*KEYS, "error")]
+    best = F.max_by(F.struct(*rest), F.struct("score", last("pos_a"), last("pos_b")))
+    return scored.groupBy(*KEYS).agg(best.alias("_b"), F.max("error").alias("error")).select(*KEYS, "_b.*", "error")
 
 
 def _verdict(df: DataFrame) -> DataFrame:
@@ -107,9 +113,7 @@ def gt_evaluations(a: DataFrame, b: DataFrame, tags=None, max_depth: int | None
     alone = F.col("pos_b").isNull()
     scored = decided(rule_scores(pairs, max_depth), decisions)
     scored = scored.withColumn("score", F.when(alone, 0.0).otherwise(F.col("score"))).withColumn("method", F.when(alone, "RULE").otherwise(F.col("method")))
-    # An error in any pair of a tag fails the tag, whichever pair is best.
-    failing = F.max(F.col("error").cast("int")).over(Window.partitionBy(*KEYS))
-    best = _verdict(best_pairs(scored.withColumn("error", failing == 1)))
+    best = _verdict(best_pairs(scored))
     return best if keep_errors else drop_failed_subjects(best)
 
 
@@ -132,8 +136,7 @@ def inter_evaluations(a: DataFrame, b: DataFrame, min_certainty: int = 0, tags=N
     alone = F.col("pos_b").isNull()
     scored = decided(rule_scores(pairs, max_depth), decisions)
     scored = scored.withColumn("score", F.when(alone, 0.0).otherwise(F.col("score"))).withColumn("method", F.when(alone, "RULE").otherwise(F.col("method")))
-    failing = F.max(F.col("error").cast("int")).over(Window.partitionBy(*KEYS))
-    best = _verdict(best_pairs(scored.withColumn("error", failing == 1)))
+    best = _verdict(best_pairs(scored))
     lost = failed.select(*KEYS)
     for c in best.columns[len(KEYS) : -1]:
         lost = lost.withColumn(c, F.lit(None).cast(dict(best.dtypes)[c]))
