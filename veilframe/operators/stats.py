@@ -145,25 +145,33 @@ def saved_match_stats(documents: DataFrame) -> DataFrame:
     )
 
 
-def run_totals(per_document: DataFrame, failed: DataFrame | None = None) -> DataFrame:
-    """One row over the counts of all documents, new and saved ones alike (``unionByName`` of both).
-
-    Documents in ``failed`` (of the same columns) count with all their subjects as the ground truth's alone,
-    but neither as processed nor among the distinct subjects.
-    """
+def run_sums(per_document: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """The sums of ``run_totals``: rows of several parts of the documents add up to that of all."""
     rows = per_document.withColumn("ok", F.lit(True))
     if failed is not None:
         rows = rows.unionByName(failed.withColumn("ok", F.lit(False)))
     ok, lone = F.col("ok"), F.size("gt_only_ids")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    t = rows.agg(
+    return rows.agg(
         N(F.when(ok, 1)).alias("documents"), total(F.when(ok, F.col("gt_subjects") + F.col("llm_subjects"))).alias("subjects_of_both"),
         total(F.when(ok, F.col("matched") + lone + F.size("llm_only_ids"))).alias("distinct_subjects"), total(F.col("matched") + lone).alias("gt_subjects"), total("matched").alias("matched_subjects"),
         total(lone).alias("gt_only_subjects"), total("gt_only_piis").alias("gt_only_piis"), total(F.size("llm_only_ids")).alias("llm_only_subjects"), total("llm_only_piis").alias("llm_only_piis"),
         N(F.when(lone > 0, 1)).alias("docs_with_gt_only"),
     )
+
+
+def with_rates(sums: DataFrame) -> DataFrame:
     m, g = F.col("matched_subjects"), F.col("gt_subjects")
-    return t.withColumn("match_ratio", F.round(_rate(m, g), 4)).withColumn("gt_miss_ratio", F.round(_rate(F.col("gt_only_subjects"), g), 4)).withColumn("avg_matched_per_doc", F.round(_rate(m, F.col("documents")), 2))
+    return sums.withColumn("match_ratio", F.round(_rate(m, g), 4)).withColumn("gt_miss_ratio", F.round(_rate(F.col("gt_only_subjects"), g), 4)).withColumn("avg_matched_per_doc", F.round(_rate(m, F.col("documents")), 2))
+
+
+def run_totals(per_document: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """One row over the counts of all documents, new and saved ones alike (``unionByName`` of both).
+
+    Documents in ``failed`` (of the same columns) count with all their subjects as the ground truth's alone,
+    but neither as processed nor among the distinct subjects.
+    """
+    return with_rates(run_sums(per_document, failed))
 
 
 def ner_stats(matches: DataFrame) -> DataFrame:

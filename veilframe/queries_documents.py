@@ -435,7 +435,17 @@ def rouge_l(spark, sf_dir):
     return sentences(spark, sf_dir).select("data_id", F.round(rouge_l_udf("text", "anonymized_text"), 9).alias("rougeL"))
 
 
-@register("bleu")
+def _bleu_sql() -> str:
+    grams = lambda t, n: f"[array_to_string({t}[i:i + {n - 1}], ' ') for i in generate_series(1, len({t}) - {n - 1})]"
+    hits = lambda n: f"coalesce(list_sum([least(len(list_filter({grams('h', n)}, lambda t: t = k)), len(list_filter({grams('r', n)}, lambda t: t = k))) for k in list_distinct({grams('h', n)})]), 0)"
+    missing = lambda n: " + ".join(f"CASE WHEN h{i} = 0 THEN 1 ELSE 0 END" for i in range(1, n + 1))
+    part = lambda n: f"ln(CASE WHEN h{n} = 0 THEN ln(len(h)) / (pow(2, {missing(n)}) * 5) ELSE h{n} END::DOUBLE / greatest(1, len(h) - {n - 1})) / 4"
+    return f"""WITH s AS (SELECT p_partkey AS data_id, [t for t in string_split_regex(p_name || ' ' || p_type || ' ' || p_brand, '\\s+') if t <> ''] AS r, [t for t in string_split_regex(split_part(p_name, ' ', 1) || ' redacted ' || p_type, '\\s+') if t <> ''] AS h FROM part),
+    c AS (SELECT *, {", ".join(f"{hits(n)} AS h{n}" for n in range(1, 5))} FROM s)
+    SELECT data_id, round(CASE WHEN h1 = 0 THEN 0 ELSE CASE WHEN len(h) > len(r) THEN 1 ELSE exp(1 - len(r) / len(h)::DOUBLE) END * exp({" + ".join(part(n) for n in range(1, 5))}) END, 9) AS bleu FROM c"""
+
+
+@register("bleu", _bleu_sql())
 def bleu(spark, sf_dir):
     return sentences(spark, sf_dir).select("data_id", F.round(bleu_udf("text", "anonymized_text"), 9).alias("bleu"))
 

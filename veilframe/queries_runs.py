@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from veilframe import backends, schemas
 from veilframe.functions import text as tx
 from veilframe.operators import alignment, entities, stats
+from veilframe.operators import counts as counting
 from veilframe.plans import anonymize, evaluate, infer
 from veilframe.queries import register, table
 from veilframe.queries_documents import PAIR, pairs, subjects
-from veilframe.sources.folders import work_folder
+from veilframe.sources import release
+from veilframe.sources.folders import work_folder, written
 from veilframe.sources.ledger import Ledger
 from veilframe.streaming import retries
 
@@ -218,3 +221,44 @@ def offset_directory(spark, sf_dir):
         "doc_id", at.alias("place"), "byte", "unit", tx.char_of_byte(here, byte).alias("char_of_byte"), tx.char_of_unit(here, unit).alias("char_of_unit"), tx.unit_of_byte(here, byte).alias("unit_of_byte"), tx.byte_of_unit(here, unit).alias("byte_of_unit"),
         tx.slice_of_bytes(here, byte, F.col("byte_end")).alias("piece_of_bytes"), tx.slice_of_units(here, unit, F.col("unit_end")).alias("piece_of_units"),
     )
+
+
+@register(
+    "stats_merge",
+    f"""WITH {PAIR}, g AS (SELECT sa.data_id, 'A' AS side, sa.idx, pos IS NOT NULL AS hit FROM sa LEFT JOIN pr ON sa.data_id = pr.data_id AND sa.idx = pr.a_idx UNION ALL SELECT data_id, 'B', idx, l_tax > 0.02 FROM sb),
+    m AS (SELECT data_id, count(*) FILTER (side = 'A') AS a, count(*) FILTER (side = 'B') AS b, count(*) FILTER (side = 'A' AND hit) AS h, count(*) FILTER (side = 'A' AND NOT hit) AS x, count(*) FILTER (side = 'B' AND NOT hit) AS y FROM g GROUP BY data_id),
+    o AS (SELECT *, data_id % 10 <> 0 AS ok FROM m)
+    SELECT count(*) FILTER (ok) AS documents, (sum(a + b) FILTER (ok))::BIGINT AS subjects_of_both, (sum(h + x + y) FILTER (ok))::BIGINT AS distinct_subjects, sum(h + x)::BIGINT AS gt_subjects, sum(h)::BIGINT AS matched_subjects, sum(x)::BIGINT AS gt_only_subjects, sum(2 * x)::BIGINT AS gt_only_piis,
+      sum(y)::BIGINT AS llm_only_subjects, sum(y)::BIGINT AS llm_only_piis, count(*) FILTER (x > 0) AS docs_with_gt_only, round(sum(h) / sum(h + x), 4) AS match_ratio, round(sum(x) / sum(h + x), 4) AS gt_miss_ratio, round(sum(h) / count(*) FILTER (ok), 2) AS avg_matched_per_doc FROM o""",
+)
+def stats_merge(spark, sf_dir):
+    """Orders' alignments counted in three batches that share documents, one of them twice; a tenth of the orders fails, some of it at first only."""
+    a, b = subjects(spark, sf_dir)
+    value = lambda d, side, *more: d.select("data_id", F.lit(side).alias("side"), "idx", F.explode(F.array(F.col("description"), *map(F.lit, more))).alias("keyword"))
+    values = value(a, "A", " ", "x", "\t").unionByName(value(b, "B", ""))
+    folder, key = work_folder(spark), F.col("data_id")
+    rows = written(stats.match_stats(a, b, alignment.valid_pairs(pairs(spark, sf_dir), a, b), values), folder, "rows")
+    lost, counts = key % 10 == 0, counting.Counts(spark, f"{folder}/counts")
+    for batch in ("1", "2", "3", "2"):
+        part = rows.where(key % 3 <= int(batch) - 1) if batch != "3" else rows
+        # what fails in the second batch as well is read in the third
+        fails = lost | (key % 7 == 3) if batch == "2" else lost
+        counts.add(batch, part.where(~fails), part.where(fails))
+    return counts.totals()
+
+
+@register("release_outputs", "SELECT c_custkey AS data_id, 'agreed' AS part, CAST(count(*) OVER () AS BIGINT) AS total FROM customer WHERE c_custkey % 3 > 0 UNION ALL SELECT c_custkey, 'conflict', CAST(count(*) OVER () AS BIGINT) FROM customer WHERE c_custkey % 3 = 0")
+def release_outputs(spark, sf_dir):
+    """Two parts and their summary as one commit; a second run that stops at its summary leaves the first one's three."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("data_id"), F.when(F.col("c_custkey") % 3 == 0, "conflict").otherwise("agreed").alias("part"))
+    root = f"{work_folder(spark)}/release"
+    outputs = lambda d: {**{p: d.where(F.col("part") == p).select("data_id") for p in ("agreed", "conflict")}, "summary": d.groupBy("part").agg(F.count(F.lit(1)).alias("total"))}
+    release.publish(spark, root, outputs(c))
+    broken = outputs(c.where("data_id % 2 = 0")) | {"summary": c.select(F.raise_error(F.lit("stopped")).cast("string").alias("part"))}
+    try:
+        release.publish(spark, root, broken)
+    except PySparkException as e:
+        if "stopped" not in str(e):
+            raise
+    parts = [release.read(spark, root, p).withColumn("part", F.lit(p)) for p in ("agreed", "conflict")]
+    return parts[0].unionByName(parts[1]).join(release.read(spark, root, "summary"), "part").select("data_id", "part", "total")
