@@ -242,3 +242,54 @@ def test_divergence_of_large_counts():
     a, b, zero = p(n, total), p(1, total), p(0, total)
     assert [r["value"] for r in got if r["kind"] == "both"] == [f(a, b) - f(a, zero) - f(zero, b) + f(zero, zero)]
     assert [(r["item"], r["value"]) for r in got if r["kind"] == "term"] == [("w", f(a, p(2 * n, 3 * total)))]
+
+
+# --- Bounds of the other operators ------------------------------------------------
+
+
+def test_ranges_follow_the_rows():
+    from veilframe.llm import exact_dedup
+
+    for rows in (0, 1, 10**6, 10**9, 10**11):
+        bits = exact_dedup.range_bits(rows)
+        assert rows / 2**bits <= exact_dedup.RANGE_ROWS and bits <= exact_dedup.FP_BITS - 16
+    assert exact_dedup.range_bits(10**11) >= 16
+
+
+def test_pivots_are_few_and_the_same_for_any_partitioning(spark, monkeypatch):
+    """More classes of one label than a tile holds: links equal those of one tile."""
+    import numpy as np
+
+    from veilframe.llm import embedding_dedup as ed
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16))
+    rows = [(i, (centres[i % 40] + 0.05 * rng.normal(size=16)).tolist(), "x" if i % 7 else "y") for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    whole = sorted(tuple(r) for r in ed.embedding_dedup(df).collect())
+    monkeypatch.setattr(ed, "TILE_ROWS", 60)
+    assert sorted(tuple(r) for r in ed.embedding_dedup(df.repartition(6)).collect()) == whole
+    assert len({r[2] for r in whole}) > 40
+
+
+def test_one_id_of_many_rows_is_laid_out_by_several_tasks(spark):
+    """10^5 rows of one id: read back whole, in places that follow one another, written by more than one task."""
+    import zlib
+
+    from veilframe.llm import bpe, common, token_files
+
+    df = spark.range(100_000).selectExpr("if(id < 99990, 7L, id) AS doc_id", "concat('text ', id % 1000) AS text")
+    path = f"{common.work_dir(spark)}/one-id"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token_files.write_token_files(df, path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = spark.read.parquet(path)
+    assert files.select("part").distinct().count() > 1
+    got = token_files.read_token_files(spark, path)
+    rows = sorted((r["start"], r["n_tokens"], r["doc_id"]) for r in got.collect())
+    assert len(rows) == 100_000 and all(a[0] + a[1] == b[0] for a, b in zip(rows, rows[1:])) and [r[2] for r in rows] == sorted(r[2] for r in rows)
+    codec = bpe.ByteBpe(bpe.ByteBpe.read())
+    crc = lambda i: zlib.crc32(b"".join(x.to_bytes(4, "little") for x in [*codec.encode(f"text {i}"), 0]))
+    assert {r["ids_crc32"] for r in got.select("ids_crc32").distinct().collect()} == {crc(i) for i in range(1000)}

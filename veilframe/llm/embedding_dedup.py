@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm.common import small_batches, stored, tidy, work_dir
@@ -139,12 +139,14 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
 
     tile_rows = max(TILE_ROWS, -(-classes.count() // MAX_PIVOTS))
     big = classes.groupBy("label", "dim").count().where(F.col("count") > 2 * tile_rows)
-    wanted = big.select("label", "dim", F.ceil(F.col("count") / tile_rows).alias("k")).collect()
+    wanted = big.select("label", "dim", F.ceil(F.col("count") / tile_rows).alias("k"), F.col("count").alias("of")).collect()
     pivots: dict = {}
     if wanted:
-        ks = spark.createDataFrame(wanted, big.select("label", "dim", F.lit(0).cast("long").alias("k")).schema)
-        drawn = classes.join(F.broadcast(ks), ["label", "dim"]).select("label", "dim", "cid", "k", F.row_number().over(Window.partitionBy("label", "dim").orderBy(F.xxhash64("cid"), "cid")).alias("r")).where("r <= k")
-        for r in classes.join(F.broadcast(drawn.select("label", "dim", "cid")), ["label", "dim", "cid"]).select("label", "dim", "embedding").collect():
+        ks = spark.createDataFrame(wanted, big.select("label", "dim", F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("of")).schema)
+        # Hashes below a threshold that about k + 4 classes of a label pass: no task ranks a label's classes.
+        place = F.xxhash64("cid") / F.lit(2.0**64) + 0.5
+        drawn = classes.join(F.broadcast(ks), ["label", "dim"]).where(place <= (F.col("k") + 4) / F.col("of"))
+        for r in drawn.select("label", "dim", "embedding").collect():
             pivots.setdefault((r["label"], r["dim"]), []).append(r["embedding"])
     for k, v in pivots.items():
         m = np.array(sorted(v), np.float64)

@@ -14,11 +14,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import drop_path, keep_columns, partitions, route_bitmap, router, small_batches, stored, tidy, work_dir
+from veilframe.llm.common import drop_path, keep_columns, route_bitmap, router, small_batches, stored, tidy, work_dir
 
 FP_BITS = 48
 #: Fingerprints that a partition gathers before it writes out its filters.
 FLUSH = 1 << 20
+#: Rows of a range, and the fewest ranges as a power of two.
+RANGE_ROWS, LEAST_RANGES = 1 << 20, 4
 
 
 class CountingQuotientFilter:
@@ -130,9 +132,14 @@ def _merge(range_bits: int):
     return run
 
 
+def range_bits(rows: int) -> int:
+    """The ranges of fingerprints as a power of two: about RANGE_ROWS rows in each, whatever the input."""
+    return min(max((rows // RANGE_ROWS).bit_length(), LEAST_RANGES), FP_BITS - 16)
+
+
 def repeated_fingerprints(fingerprints: DataFrame) -> DataFrame:
     """(fp, n) of every fingerprint in column ``fp`` that occurs more than once."""
-    ranges = max(4, min(12, (4 * partitions(fingerprints.sparkSession)).bit_length()))
+    ranges = range_bits(fingerprints.count())
     blobs = fingerprints.select("fp").mapInPandas(tidy(_build(ranges)), "range_id long, filter binary")
     return blobs.groupBy("range_id").applyInPandas(_merge(ranges), "fp long, n long")
 
@@ -203,8 +210,8 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of ``docs`` with one row, that of the largest id, for each text.
 
     A null text counts as empty, a null id stays only where its text has no
-    other; of rows that repeat both the id that stays and the text, any one
-    stays.  All columns are kept, whatever their names; an empty table stays
+    other; of rows that repeat both the id that stays and the text, that of the
+    smallest hash stays.  All columns are kept, whatever their names; an empty table stays
     empty.  Digests decide which rows may stay, and only these few rows' texts
     are shuffled, for an exact check: rows whose fingerprint occurs once stay
     where they are, and rows that lose to another go where they are.
@@ -220,7 +227,7 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stays = some.where(F.col("n").isNull() | F.col("doc_id").eqNullSafe(F.col("keep"))).select("doc_id", "sha")
     may_stay = router(spark, route_bitmap(stored(stays, folder, "stays"), slot))
     rows = keep_columns(docs, doc_id=F.col(id_col), sha=_sha(text), routed=routed(_fingerprint(text)))
-    asked = rows.where("routed").withColumn("may", may_stay(slot)).where("may").groupBy("sha", "doc_id").agg(F.first("row").alias("row"))
+    asked = rows.where("routed").withColumn("may", may_stay(slot)).where("may").groupBy("sha", "doc_id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
     sure = asked.join(groups, "sha", "left").where(F.col("n").isNull() | F.col("doc_id").eqNullSafe(F.col("keep")))
     drop_path(spark, f"{folder}/narrow")
     return rows.where("not routed").select("row.*").unionAll(sure.select("row.*"))

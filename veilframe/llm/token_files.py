@@ -192,7 +192,7 @@ class TokenFile:
 
 
 def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, shard_ids: int = SHARD_IDS) -> None:
-    """Encode and write all documents in ascending id order (null ids first).
+    """Encode and write all documents in ascending id order (null ids first, rows of one id by a hash of their text).
 
     Rows of ``path``: part, piece (their order is the documents'), start (ids of
     the part before this piece), n_docs, n_ids, file.
@@ -229,8 +229,10 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
 
     (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        .withColumn("h", F.xxhash64("text"))
+        .repartitionByRange("doc_id", "h")
+        .sortWithinPartitions("doc_id", "h", "text")
+        .select("doc_id", "text")
         .mapInPandas(tidy(encode), "part int, piece int, start long, n_docs long, n_ids long, file binary")
         .write.mode("overwrite")
         .option("compression", "zstd")
@@ -267,7 +269,7 @@ def token_files(docs: DataFrame, path: str | None = None, **options) -> DataFram
     """Write the token files (to ``path`` or the shared folder) and read the documents' rows back.
 
     Null texts count as empty and get the end id alone; rows with equal ids are
-    laid out by their texts; an empty table gives no files and no rows.
+    laid out by a hash of their texts, in several tasks if they are many; an empty table gives no files and no rows.
     """
     path = path or f"{work_dir(docs.sparkSession)}/token_files"
     write_token_files(docs, path, **options)
