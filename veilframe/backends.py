@@ -11,7 +11,7 @@ import json
 import os
 import time
 import urllib.request
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from typing import Protocol
@@ -77,7 +77,7 @@ class Http:
         return replace(self, limit=tokens)
 
     def request(self, prompt: str) -> urllib.request.Request:
-        provider = "anthropic" if self.model.startswith("claude") else self.provider
+        provider = "anthropic" if "claude" in self.model.lower() else self.provider
         body: dict = {"model": self.model, "messages": [{"role": "user", "content": prompt}]}
         if self.temperature is not None and self.model not in NO_TEMPERATURE:
             body["temperature"] = min(self.temperature, 1.0) if provider == "anthropic" else self.temperature
@@ -107,6 +107,41 @@ class Http:
         raise AssertionError
 
 
+#: Where each provider answers; the last one's host is a setting.
+ENDPOINTS = {"openai": "https://api.openai.com/v1/chat/completions", "anthropic": "https://api.anthropic.com/v1/messages", "ollama": "{OLLAMA_BASE_URL}/v1/chat/completions"}
+#: Settings and what they are where nothing is set (fixed values).
+DEFAULTS = {"DEFAULT_API_PROVIDER": "openai", "DEFAULT_MODEL_NAME": "gpt-4.1", "OLLAMA_BASE_URL": "http://localhost:11434"}
+
+
+def read_settings(path: str) -> dict[str, str]:
+    """The ``NAME=value`` lines of a settings file; comments, quotes around values and ``export`` before names go."""
+    found = {}
+    with open(path, encoding="utf-8") as f:
+        for line in f:
+            name, mark, value = line.strip().removeprefix("export ").partition("=")
+            if mark and not name.lstrip().startswith("#"):
+                value = value.strip()
+                quoted = len(value) > 1 and value[0] == value[-1] and value[0] in "'\""
+                found[name.strip()] = value[1:-1] if quoted else value.split(" #")[0].strip()
+    return found
+
+
+def configured(settings: Mapping[str, str] | None = None, provider: str | None = None, model: str | None = None, **more) -> Http:
+    """A backend as settings say (the environment, if none are given): provider, model and, for a local server, its address.
+
+    Models named claude* always go to ``anthropic``; an unknown provider raises.
+    Keys stay in the executors' environment.  ``more``: other fields of ``Http``.
+    """
+    known = {**DEFAULTS, **{k: v for k, v in (os.environ if settings is None else settings).items() if k in DEFAULTS and v}}
+    provider, model = provider or known["DEFAULT_API_PROVIDER"], model or known["DEFAULT_MODEL_NAME"]
+    if provider not in ENDPOINTS:
+        raise ValueError(f"unknown provider {provider}, not one of {', '.join(ENDPOINTS)}")
+    if "claude" in model.lower():
+        provider = "anthropic"
+    url = ENDPOINTS[provider].format(OLLAMA_BASE_URL=known["OLLAMA_BASE_URL"].rstrip("/"))
+    return Http(url, model, provider, **more)
+
+
 def call(df: DataFrame, backend: Backend, prompt: str = "prompt", threads: int = 20, partitions: int | None = None, limit: str | None = None) -> DataFrame:
     """Adds status and response.  A failed call is a row with status ``error`` and the message.
 

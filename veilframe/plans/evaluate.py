@@ -115,6 +115,19 @@ def model_decisions(answers: DataFrame) -> DataFrame:
     return answers.select("keyword_a", "keyword_b", "tag", agreement_answer(F.col("response")).alias("answer"), F.lit("MODEL").alias("method"))
 
 
+def decide(scored: DataFrame, backend, truth: bool = True, ledger: Ledger | None = None, attempts: int = 1) -> DataFrame:
+    """A model's decisions on the pairs that rules score 0, each distinct pair asked once through ``ledger``.
+
+    ``truth``: whether the first value is the truth or another annotator's.  A
+    failed call is a decision without an answer, which keeps the score of 0.
+    """
+    asked = scoring.questions(scored)
+    prompt = prompts.agree(F.coalesce("keyword_a", F.lit("")), F.coalesce("keyword_b", F.lit("")), F.col("tag"), truth)
+    told = (ledger or Ledger(scored.sparkSession)).ask(asked.withColumn("prompt", prompt), backend, "agree-truth" if truth else "agree-annotators", attempts=attempts)
+    said = model_decisions(told.withColumn("response", F.when(F.col("status") == "success", F.col("response"))))
+    return said.withColumn("answer", F.when(F.col("method").isNotNull(), F.col("answer")))
+
+
 def consensus_classes(evaluations: DataFrame) -> DataFrame:
     """The class of each case; any but ``perfect`` puts its document up for review."""
     kind = (

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilframe import prompts
 from veilframe.functions.parse import judged_utility
 from veilframe.functions.similarity import bleu_udf, rouge_udf
+from veilframe.operators import stats
+from veilframe.sources.folders import work_folder, written
+from veilframe.sources.ledger import Ledger
 
 
 def overlap_scores(documents: DataFrame) -> DataFrame:
@@ -28,3 +32,26 @@ def combine(scores: DataFrame, judged: DataFrame | None = None) -> DataFrame:
     both = scores.join(j, "data_id", "left")
     rouge = F.least(F.greatest(F.col("rougeL"), F.lit(0.0)), F.lit(1.0))
     return both.withColumn("utility_model", (unit("readability") + unit("meaning")) / 2).withColumn("utility_comb", F.coalesce((unit("readability") + unit("meaning") + rouge) / 3, F.col("rougeL")))
+
+
+def evaluate(documents: DataFrame, backend=None, ledger: Ledger | None = None, attempts: int = 1) -> dict[str, DataFrame]:
+    """Utility of documents (data_id, text, anonymized_text) as one run, with a judge where there is a backend.
+
+    Returns scores (a row per document that has both texts), errors (missing
+    texts and failed calls of the judge, whose documents keep their overlap
+    scores) and summary (``stats.utility_aggregate``).  The judge is asked through
+    ``ledger``, once a pair of texts.
+    """
+    spark = documents.sparkSession
+    docs = documents.select("data_id", "text", "anonymized_text")
+    scores = written(overlap_scores(docs), work_folder(spark), "scores")
+    lost = missing_texts(docs).select("data_id", F.lit("missing_text").alias("error_type"), "error")
+    judged = None
+    if backend is not None:
+        asked = scores.select("data_id", prompts.judge(F.col("text"), F.col("anonymized_text")).alias("prompt"))
+        told = (ledger or Ledger(spark)).ask(asked, backend, "judge", attempts=attempts).drop("prompt")
+        told = written(told, work_folder(spark), "judged")
+        judged = told.where("status = 'success'").dropDuplicates(["data_id"])
+        lost = lost.unionByName(told.where("status <> 'success'").select("data_id", F.lit("judge").alias("error_type"), F.col("response").alias("error")))
+    out = combine(scores, judged)
+    return {"scores": out, "errors": lost, "summary": stats.utility_aggregate(out)}

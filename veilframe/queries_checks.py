@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veilframe import prompts
+from veilframe import backends, prompts
 from veilframe.functions import parse
 from veilframe.operators import entities, scoring, spans
-from veilframe.plans import evaluate
+from veilframe.plans import evaluate, utility
 from veilframe.queries import EV_COLUMNS, ORACLES, ann, register, table, with_ev
 from veilframe.queries_files import annotated
 from veilframe.sources import jsonl
@@ -114,3 +114,48 @@ def failed_subjects(spark, sf_dir):
     side = lambda v: o.select("data_id", F.lit(0).alias("subject_id"), F.lit("AGE").alias("tag"), F.lit(0).alias("pos"), v.alias("keyword"), F.lit(3).alias("certainty"), F.lit(1).alias("hardness"))
     a, b = side(F.when(F.col("k") == 1, "old").otherwise("35")), side(F.lit("30-40"))
     return scoring.failed_subjects(scoring.gt_evaluations(a, b, keep_errors=True))
+
+
+@register(
+    "judged_run",
+    """SELECT 'judged' AS kind, count(*) FILTER (p_partkey % 3 = 0) AS n FROM part UNION ALL SELECT 'judge', count(*) FILTER (p_partkey % 3 = 1) FROM part UNION ALL SELECT 'missing_text', count(*) FILTER (p_partkey % 3 = 2) FROM part
+    UNION ALL SELECT 'samples', count(*) FILTER (p_partkey % 3 < 2) FROM part UNION ALL SELECT 'readable', count(*) FILTER (p_partkey % 3 = 0) * 8 FROM part""",
+)
+def judged_run(spark, sf_dir):
+    """Utility of parts' names with a judge that answers for a third, fails for a third, and a third without an anonymized text."""
+    p = table(spark, sf_dir, "part")
+    form = F.col("p_partkey") % 3
+    docs = p.select(F.col("p_partkey").alias("data_id"), F.concat_ws(" ", F.when(form == 1, "down"), "p_name", "p_type").alias("text"), F.when(form < 2, F.concat_ws(" ", "p_name", F.lit("redacted"))).alias("anonymized_text"))
+
+    def answer(prompt):
+        if "Original:\ndown" in prompt:
+            raise OSError("down")
+        return '{"readability": {"score": 8}, "meaning": {"score": 6}, "hallucinations": {"score": 1}}'
+
+    run = utility.evaluate(docs, backends.Stub(answer))
+    n = F.count(F.lit(1)).alias("n")
+    counted = run["errors"].groupBy(F.col("error_type").alias("kind")).agg(n)
+    judged = run["scores"].where("utility_model = 0.7").agg(F.lit("judged").alias("kind"), n)
+    total = run["summary"].select(F.lit("samples").alias("kind"), F.col("num_samples").alias("n"))
+    readable = run["scores"].agg(F.lit("readable").alias("kind"), F.sum("readability").cast("long").alias("n"))
+    return counted.unionByName(judged).unionByName(total).unionByName(readable)
+
+
+@register(
+    "model_decisions",
+    "SELECT CAST(o_orderkey AS BIGINT) AS data_id, CASE o_orderkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END::DOUBLE AS agreement_score, 'MODEL' AS evaluation_method FROM orders",
+)
+def model_decisions(spark, sf_dir):
+    """Orders as documents whose occupations differ: a model says yes, less precise, or fails."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("data_id"), (F.col("o_orderkey") % 3).alias("k"))
+    side = lambda v: o.select("data_id", F.lit(0).alias("subject_id"), F.lit("OCCUPATION").alias("tag"), F.lit(0).alias("pos"), v.alias("keyword"), F.lit(3).alias("certainty"), F.lit(1).alias("hardness"))
+    a, b = side(F.concat(F.lit("baker "), "k")), side(F.lit("cook"))
+
+    def answer(prompt):
+        if "baker 2" in prompt:
+            raise OSError("down")
+        return "Yes." if "baker 0" in prompt else "Less precise"
+
+    pairs = a.join(b.select("data_id", F.col("keyword").alias("keyword_b")), "data_id").withColumnRenamed("keyword", "keyword_a")
+    decisions = evaluate.decide(scoring.rule_scores(pairs), backends.Stub(answer))
+    return scoring.gt_evaluations(a, b, decisions=decisions).select("data_id", "agreement_score", "evaluation_method")

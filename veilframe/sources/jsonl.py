@@ -157,3 +157,12 @@ def split_by_part(df: DataFrame, agreed: str, conflict: str) -> None:
     for part, path in (("agreed", agreed), ("conflict", conflict)):
         write_jsonl(kept.where(F.col("part") == part), path)
     kept.unpersist()
+
+
+def result_path(source: str, root: str, method: str, stamp: str) -> str:
+    """Where the results for a source go: a folder of its dataset below ``root``, or beside the source if its path names none."""
+    folder, _, name = source.rpartition("/")
+    kind = next((k for k in ("panorama", "tab") if k in source.lower()), None)
+    base = name.rsplit(".", 1)[0] if "." in name[1:] else name
+    place = folder if kind is None else f"{root.rstrip('/')}/{kind}"
+    return f"{place + '/' if place or kind is None and source.startswith('/') else ''}{base}_{method}_{stamp}.jsonl"
