@@ -293,3 +293,36 @@ def test_one_id_of_many_rows_is_laid_out_by_several_tasks(spark):
     codec = bpe.ByteBpe(bpe.ByteBpe.read())
     crc = lambda i: zlib.crc32(b"".join(x.to_bytes(4, "little") for x in [*codec.encode(f"text {i}"), 0]))
     assert {r["ids_crc32"] for r in got.select("ids_crc32").distinct().collect()} == {crc(i) for i in range(1000)}
+
+
+def test_chunks_over_many_bins(spark, monkeypatch):
+    """Far more bins than a block has, a chunk in all of them: the same digests, and each chunk encoded once a block."""
+    from veilframe.llm import bpe, bpe_chunks
+
+    monkeypatch.setattr(bpe_chunks, "BIN_BYTES", 2000)
+    codec = bpe.ByteBpe(bpe.ByteBpe.read())
+    pick = random.Random(6)
+    common = " ".join(f"shared{pick.randrange(999)}" for _ in range(900))
+    texts = [f"own {i} " + (common if i % 3 else "") + " ".join(f"w{pick.randrange(5000)}" for _ in range(pick.randrange(200))) for i in range(150)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: hashlib.sha256(",".join(map(str, codec.encode(t or ""))).encode()).hexdigest() for i, t in enumerate(texts)}
+    for block in (1 << 12, 5, 1):
+        monkeypatch.setattr(bpe_chunks, "BLOCK_BINS", block)
+        assert {r["doc_id"]: r["ids_sha256"] for r in bpe_chunks.encode_decode(docs).collect()} == want
+
+
+def test_a_chunk_is_encoded_once_for_its_bins():
+    import pyarrow as pa
+
+    from veilframe.llm import bpe, bpe_chunks
+
+    class Spec:
+        value = bpe.ByteBpe.read()
+
+    rows = [(b"a" * 16, 1, b"hello world"), (b"a" * 16, 1, b"hello world"), (b"a" * 16, 2, None), (b"a" * 16, 2, None), (b"b" * 16, 3, b"alone"), (b"c" * 16, 1, b"x y"), (b"c" * 16, 9, None)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["h", "bin", "chunk"])
+    for cut in range(len(rows)):
+        got = [r for b in bpe_chunks._encoded_once(Spec, True)([batch.slice(0, cut), batch.slice(cut)]) for r in b.to_pylist()]
+        assert [(r["bin"], r["h"][:1]) for r in got] == [(1, b"a"), (2, b"a"), (1, b"c"), (9, b"c")]
+    got = [r for b in bpe_chunks._encoded_once(Spec, False)([batch]) for r in b.to_pylist()]
+    assert [(r["bin"], r["h"][:1]) for r in got] == [(1, b"a"), (2, b"a"), (3, b"b"), (1, b"c"), (9, b"c")]

@@ -41,8 +41,10 @@ CACHE_IDS = 4 << 20
 PART_BYTES = 1 << 20
 #: Bits of the bitmap for each shared chunk: a document has many chunks, so each must seldom pass for another.
 ROUTE_BITS = 512
-#: Digests of chunks that a task remembers to have sent.
-SENT = 1 << 20
+#: Digests of chunks, with their bins, that a task remembers to have sent.
+SENT = 1 << 18
+#: Bins of a block: a chunk is encoded once for all bins of one.
+BLOCK_BINS = 1 << 12
 
 FIRST = re.compile(rb"[!-~](?=[ \t\n\r])")
 LAST = re.compile(rb".*[!-~](?=[ \t\n\r])", re.S)
@@ -243,45 +245,86 @@ def _is_shared(bits: np.ndarray, h: bytes) -> bool:
     return bool(bits[slot >> 3] >> (slot & 7) & 1)
 
 
-def _shared_chunks(codec: bpe.Splitter, sent):
-    """(h, chunk) of every chunk that the bitmap lets through, mostly once a task."""
+def _routed(spec, sent, with_ids: bool):
+    """One pass over the texts, as rows of three kinds.
+
+    0: the digests of a text without a chunk that the bitmap lets through.  1: a
+    text with one, and its bin.  2: such a chunk's digest and bin, once a task,
+    and its bytes the first time that the task meets it in a block of bins.
+    """
 
     def run(batches):
-        bits, seen = sent.value, set()
+        codec, bits = bpe.of(spec.value), sent.value
+        out, encoder, told, given = Digests(codec, with_ids), ChunkEncoder(codec), set(), set()
         for batch in batches:
-            hashes, data, n = [], [], 0
-            for text in batch.column(0).to_pylist():
-                for c in chunks(codec, text):
-                    h = digest(c)
-                    if h in seen or not _is_shared(bits, h):
+            doc_ids = batch.column("doc_id")
+            alone, rows, moved, texts, bins = [], [], [], [], []
+            hashes, places, data = [], [], []
+            for i, (text, b) in enumerate(zip(batch.column("text").to_pylist(), batch.column("bin").to_pylist())):
+                found = [(h, c) for c in chunks(codec, text) if _is_shared(bits, h := digest(c))]
+                if not found:
+                    alone.append(i)
+                    rows.append(out.row(encoder, text))
+                    continue
+                moved.append(i)
+                texts.append(text)
+                bins.append(b)
+                for h, c in found:
+                    if (h, b) in told:
                         continue
-                    if len(seen) >= SENT:
-                        seen.clear()
-                    seen.add(h)
+                    if len(told) >= SENT:
+                        told.clear()
+                        given.clear()
+                    told.add((h, b))
+                    first = (h, b // BLOCK_BINS) not in given
+                    given.add((h, b // BLOCK_BINS))
                     hashes.append(h)
-                    data.append(c)
-                    n += len(c)
-                    if n > BATCH_BYTES:
-                        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(data, pa.binary())], ["h", "chunk"])
-                        hashes, data, n = [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(data, pa.binary())], ["h", "chunk"])
+                    places.append(b)
+                    data.append(c if first else None)
+            yield _parts(0, out.batch(doc_ids.take(pa.array(alone, pa.int64())), rows), with_ids, doc_ids.type)
+            yield _parts(1, pa.RecordBatch.from_arrays([doc_ids.take(pa.array(moved, pa.int64())), pa.array(texts, pa.string()), pa.array(bins, pa.int32())], ["doc_id", "text", "bin"]), with_ids, doc_ids.type)
+            yield _parts(2, pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(places, pa.int32()), pa.array(data, pa.binary())], ["h", "bin", "chunk"]), with_ids, doc_ids.type)
 
     return run
 
 
-def _encoded_once(spec):
-    """(h, ids) of each chunk of a partition sorted by h."""
+def _parts(kind: int, batch: pa.RecordBatch, with_ids: bool, id_type: pa.DataType) -> pa.RecordBatch:
+    """A batch with the columns of all kinds."""
+    types = {"doc_id": id_type, "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(), **({"ids": pa.list_(pa.int32())} if with_ids else {}), "text": pa.string(), "bin": pa.int32(), "h": pa.binary(), "chunk": pa.binary()}
+    n = batch.num_rows
+    columns = [batch.column(c) if c in batch.schema.names else pa.nulls(n, t) for c, t in types.items()]
+    return pa.RecordBatch.from_arrays([*columns, pa.array([kind] * n, pa.int32())], [*types, "kind"])
+
+
+def _encoded_once(spec, whole: bool):
+    """(bin, h, ids) of each bin of a chunk, from rows (h, bin, chunk) in order of chunk, rows with bytes first.
+
+    If all bins of a chunk are there (``whole``), one that only one bin has was
+    let through by mistake and goes.  Of a chunk its bins are remembered, at most
+    BLOCK_BINS of them.
+    """
 
     def run(batches):
-        codec, past = bpe.of(spec.value), None
+        codec, past, seen, ids, first = bpe.of(spec.value), None, set(), None, None
         for batch in batches:
-            hashes, ids = [], []
-            for h, chunk in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if h != past:
-                    past = h
-                    hashes.append(h)
-                    ids.append(np.array(codec.plain(chunk.as_py().decode("utf-8")), codec.kind).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(ids, pa.binary())], ["h", "ids"])
+            out = []
+            for h, b, chunk in zip(*(batch.column(c).to_pylist() for c in ("h", "bin", "chunk"))):
+                key = h, b // BLOCK_BINS
+                if key != past:
+                    past, seen, ids, first = key, set(), None, chunk
+                if b in seen:
+                    continue
+                seen.add(b)
+                if len(seen) == 1 and whole:
+                    alone = b
+                    continue
+                if ids is None:
+                    ids = np.array(codec.plain(first.decode("utf-8")), codec.kind).tobytes()
+                    if whole:
+                        out.append((alone, h, ids))
+                out.append((b, h, ids))
+            columns = list(zip(*out)) if out else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], ["bin", "h", "ids"])
 
     return run
 
@@ -308,31 +351,14 @@ def _bins(spec, with_ids: bool):
     return run
 
 
-def _meets(codec: bpe.Splitter, bits: np.ndarray, text: str) -> bool:
-    return any(_is_shared(bits, digest(c)) for c in chunks(codec, text))
-
-
-def _with_shared(codec: bpe.Splitter, sent):
-    """The rows whose text has a chunk that the bitmap lets through."""
-
-    def run(batches):
-        for batch in batches:
-            live = [i for i, t in enumerate(batch.column("text").to_pylist()) if _meets(codec, sent.value, t)]
-            yield batch.take(pa.array(live, pa.int64()))
-
-    return run
-
-
-def _alone(spec, with_ids: bool, sent=None):
-    """Digests of documents without such a chunk, or of all."""
+def _alone(spec, with_ids: bool):
+    """Digests of documents, text by text."""
 
     def run(batches):
         codec = bpe.of(spec.value)
         out, encoder = Digests(codec, with_ids), ChunkEncoder(codec)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            live = [i for i, t in enumerate(texts) if sent is None or not _meets(codec, sent.value, t)]
-            yield out.batch(batch.column("doc_id").take(pa.array(live, pa.int64())), [out.row(encoder, texts[i]) for i in live])
+            yield out.batch(batch.column("doc_id"), [out.row(encoder, t) for t in batch.column("text").to_pylist()])
 
     return run
 
@@ -362,21 +388,26 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n_bins = max(partitions(spark), -(-total // BIN_BYTES))
     binned = named.withColumn("bin", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_bins)).cast("int"))
     by_bin = binned.select("bin", "text").mapInArrow(tidy(_digests_of_chunks(splitter)), "bin int, h binary")
-    shared = stored(by_bin.groupBy("h").agg(F.collect_set("bin").alias("bins")).where(F.size("bins") > 1), folder, "shared")
+    shared = stored(by_bin.groupBy("h").agg(F.min("bin").alias("lo"), F.max("bin").alias("hi")).where("lo < hi").select("h"), folder, "shared")
     slot = F.conv(F.hex(F.substring("h", 1, 6)), 16, 10).cast("long")
     bits = spark.sparkContext.broadcast(route_bitmap(shared, slot, ROUTE_BITS))
-
-    # Each shared chunk is encoded once, by the task that its digest belongs to.
-    sent = named.select("text").mapInArrow(tidy(_shared_chunks(splitter, bits)), "h binary, chunk binary")
-    once = sent.repartition("h").sortWithinPartitions("h").mapInArrow(tidy(_encoded_once(spec)), "h binary, ids binary")
-    ids = stored(once.join(shared, "h").select(F.explode("bins").alias("bin"), "h", "ids"), folder, "ids")
-
-    some = binned.mapInArrow(tidy(_with_shared(splitter, bits)), f"doc_id {kind}, text string, bin int")
-    some = some.select("bin", F.lit(None).cast("binary").alias("h"), F.lit(None).cast("binary").alias("ids"), "doc_id", "text")
+    results = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
+    routed = stored(binned.mapInArrow(tidy(_routed(spec, bits, with_ids)), f"{schema}, text string, bin int, h binary, chunk binary, kind int"), folder, "routed", "kind")
+
+    # Each shared chunk is encoded once, by the task that its digest belongs to, and sent to its bins; past BLOCK_BINS bins, once
+    # for each block of them, so that no task has all bins of a chunk that stands everywhere.
+    whole = n_bins <= BLOCK_BINS
+    told = routed.where("kind = 2").select("h", "bin", "chunk")
+    told = told if whole else told.join(shared, "h", "left_semi")
+    block = F.floor(F.col("bin") / BLOCK_BINS)
+    told = told.repartition("h", block).sortWithinPartitions("h", block, F.col("chunk").isNull(), "bin")
+    ids = told.mapInArrow(tidy(_encoded_once(spec, whole)), "bin int, h binary, ids binary")
+
+    some = routed.where("kind = 1").select("bin", F.lit(None).cast("binary").alias("h"), F.lit(None).cast("binary").alias("ids"), "doc_id", "text")
     both = ids.select("bin", "h", "ids", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("string").alias("text")).unionAll(some)
     ordered = both.repartition(min(n_bins, max(partitions(spark), 1 << 13)), "bin").sortWithinPartitions("bin", F.col("h").isNull())
     found = stored(ordered.mapInArrow(tidy(_bins(spec, with_ids)), schema), folder, "found")
-    rest = stored(named.mapInArrow(tidy(_alone(spec, with_ids, bits)), schema), folder, "rest")
-    for name in ("shared", "ids"):
-        drop_path(spark, f"{folder}/{name}")
-    return found.unionAll(rest)
+    drop_path(spark, f"{folder}/shared")
+    drop_path(spark, f"{folder}/routed/kind=1")
+    drop_path(spark, f"{folder}/routed/kind=2")
+    return found.unionAll(routed.where("kind = 0").select(*results))
