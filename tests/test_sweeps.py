@@ -73,14 +73,15 @@ def test_a_document_of_very_many_mentions(spark):
     assert time.monotonic() - began < 60
 
 
-def test_search_of_many_mentions_in_one_pass(spark):
+@pytest.mark.parametrize("automaton", [True, False])
+def test_search_of_many_mentions_in_one_pass(spark, automaton):
     """10^4 mentions of one document, every third in the anonymized text; overlapping and repeated ones, nulls, a text that is null."""
     words = [f"name{i:05d}x" for i in range(10_000)]
     text = " ".join(words[::3])
     rows = [(1, i, w) for i, w in enumerate(words)] + [(1, -1, "ame00000"), (1, -2, "name00001x name"), (1, -3, ""), (1, -4, None), (2, 0, "x"), (3, 0, "y"), (4, 0, "gone"), (4, 1, "gone"), (4, 2, "é😀")]
     m = spark.createDataFrame(rows, "data_id long, pos int, span_text string")
     began = time.monotonic()
-    got = entities.spans_by_search(m, spark.createDataFrame([(1, text), (2, None), (4, "aé😀b")], "data_id long, anonymized_text string"))
+    got = entities.spans_by_search(m, spark.createDataFrame([(1, text), (2, None), (4, "aé😀b")], "data_id long, anonymized_text string"), automaton)
     assert got.columns == m.columns
     assert sorted((r["data_id"], r["pos"]) for r in got.collect()) == sorted([(1, i) for i in range(10_000) if i % 3] + [(1, -2), (4, 0), (4, 1)])
     assert time.monotonic() - began < 60

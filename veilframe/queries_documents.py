@@ -12,7 +12,7 @@ from veilframe.functions import text as tx
 from veilframe.functions.similarity import bleu_udf, rouge1_f1, rouge_l_udf
 from veilframe.operators import alignment, entities, privacy, scoring, spans, stats
 from veilframe.plans import anonymize, evaluate, infer, utility
-from veilframe.queries import CLASS, IEV, ann, evaluations, register, rounded, table, with_ev
+from veilframe.queries import CLASS, IEV, ORACLES, ann, evaluations, register, rounded, table, with_ev
 from veilframe.schemas import FILLER_TAGS
 from veilframe.streaming import incremental
 
@@ -171,6 +171,12 @@ def span_search_mask(spark, sf_dir):
     return entities.spans_by_search(fx.spark_mentions(spark, sf_dir), fx.spark_documents(spark, sf_dir)).select("data_id", "pos", "span_text")
 
 
+@register("span_search_automaton", ORACLES["span_search_mask"])
+def span_search_automaton(spark, sf_dir):
+    """The same, each text passed once by an automaton of its document's mentions."""
+    return entities.spans_by_search(fx.spark_mentions(spark, sf_dir), fx.spark_documents(spark, sf_dir), automaton=True).select("data_id", "pos", "span_text")
+
+
 @register("offset_mask", f"SELECT m.data_id, m.pos, m.span_text FROM {fx.duck_mentions()} m JOIN {fx.DUCK_DOCUMENTS} d USING (data_id) WHERE length(anonymized_text) < end_offset OR substr(anonymized_text, start_offset + 1, end_offset - start_offset) <> span_text")
 def offset_mask(spark, sf_dir):
     return entities.spans_by_offset(fx.spark_mentions(spark, sf_dir), fx.spark_documents(spark, sf_dir)).select("data_id", "pos", "span_text")
