@@ -590,9 +590,12 @@ def emoji_bytes(spark, sf_dir):
 
 @register("token_windows", "SELECT l_orderkey AS data_id, CAST(w AS INT) AS window, string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY li) AS tokens FROM (SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS li, unnest([0, 1, 2, 3, 4, 5, 6, 7, 8]) AS w FROM lineitem) WHERE li >= w * 2 AND li < w * 2 + 3 GROUP BY l_orderkey, w")
 def token_windows(spark, sf_dir):
-    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    """All windows of each order's lines; of orders of more than 18 lines the SQL has only the first nine."""
+    order = [F.asc_nulls_last(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")]
+    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order))
     t = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("data_id"), pos.alias("pos"), F.col("l_suppkey").alias("token"))
-    return spans.windows(t, size=3, stride=1).withColumn("tokens", F.concat_ws(",", F.col("tokens").cast("array<string>")))
+    said = F.exists("tokens", lambda x: x.isNotNull())
+    return spans.windows(t, size=3, stride=1).withColumn("tokens", F.when(said, F.concat_ws(",", F.col("tokens").cast("array<string>"))))
 
 
 @register(
